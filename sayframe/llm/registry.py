@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .embeddings import op8_embedding_near_dedup
 from .fingerprints import op7_fingerprints
+from .packing import op6_packing
 from .sharding import op9_sharding
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op4_warc": op4_warc,
+    "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_sharding": op9_sharding,
 }
 
