@@ -6,9 +6,11 @@ from .embeddings import op8_embedding_near_dedup
 from .fingerprints import op7_fingerprints
 from .packing import op6_packing
 from .sharding import op9_sharding
+from .substrings import op3_substring_dedup
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,

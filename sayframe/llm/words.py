@@ -108,3 +108,18 @@ def shingle_hashes(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[
         have = at + k < last
         out = np.where(have, mix(out * _BASE + hashes[np.minimum(at + k, max(0, len(hashes) - 1))]), out) if len(hashes) else out
     return mix(out), np.concatenate([[0], np.cumsum(counts)])
+
+
+def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each `width` consecutive entries (of whatever text; the caller leaves out those that cross a border)."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up = np.full(len(h), _BASE, np.uint64)
+    up[0] = 1
+    up = np.multiply.accumulate(up)
+    down = np.full(n, _BASE_INVERSE, np.uint64)
+    down[0] = 1
+    down = np.multiply.accumulate(down)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+    return mix((run[width:] - run[:n]) * down)
