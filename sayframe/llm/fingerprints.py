@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .storage import shuffle_partitions
+from .storage import extended, shuffle_partitions
 from .words import mix, slices, text_bytes, word_hashes, word_spans
 
 BITS = 128
@@ -64,7 +64,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     """Adds the hexadecimal fingerprint of each text. Null counts as an empty text, whose fingerprint is all zeros;
     equal texts have equal fingerprints. A column of the same name is replaced."""
     df = df.drop(name) if name != text else df
-    schema = df.schema.add(name, "string")
+    schema = extended(df, f"`{name}` string")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

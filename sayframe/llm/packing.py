@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .storage import Scratch
+from .storage import Scratch, extended
 from .words import inside, slices, text_bytes, word_hashes, word_spans
 
 CAPACITY = 4096
@@ -243,7 +243,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
     nth = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row_no")).cast("long") - 1)
     ranked = nth.join(before, ["length", "salt"]).withColumn("nth", F.col("nth") + F.col("before"))
     out = rows.drop("row_no")
-    return ranked.select(*out.columns, "nth").mapInArrow(place, out.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.select(*out.columns, "nth").mapInArrow(place, extended(out, "sequence_id long, offset long"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ from .fingerprints import op7_fingerprints
 from .packing import op6_packing
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
+from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,

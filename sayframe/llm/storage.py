@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,8 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The frame's schema with further fields; a frame's own schema object is never changed."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
