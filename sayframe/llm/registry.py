@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op8_embedding_near_dedup
 from .fingerprints import op7_fingerprints
+from .jaccard import op1_jaccard_join
 from .packing import op6_packing
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
