@@ -67,7 +67,7 @@ def _scan(df: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _segments(df: DataFrame, width: int) -> DataFrame:
-    """Of each (key, n, text, runs): the words of each run (anchor, segment), or for hot anchors each window's digest."""
+    """Of each (key, n, text, runs): the words of each run; those at hot anchors are joined by single spaces."""
     schema = "key binary, n long, first int, hot boolean, route long, segment binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,20 +82,9 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
                 hot = flat.field(3).to_numpy(zero_copy_only=False)
                 at, end = firsts[owner] + first, firsts[owner] + last + width - 1
                 n = b.column("n").to_numpy()
-                cold = np.flatnonzero(~hot)
-                rows = [(owner[cold], first[cold], np.zeros(len(cold), np.bool_), anchor[cold], [data[x:y] for x, y in zip(starts[at[cold]].tolist(), ends[end[cold]].tolist())])]
-                if hot.any():
-                    h = word_hashes(raw, starts, ends)
-                    one, two = run_hashes(h, width), run_hashes(mix(h + np.uint64(0x51ED270B27F5A4C1)), width)
-                    many = np.flatnonzero(hot)
-                    size = (last - first + 1)[many]
-                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    place = np.repeat(at[many], size) + step
-                    both = np.stack([one[place], two[place]], axis=1).tobytes()
-                    rows.append((np.repeat(owner[many], size), np.repeat(first[many], size) + step, np.ones(len(place), np.bool_), np.zeros(len(place), np.int64), [both[16 * i : 16 * i + 16] for i in range(len(place))]))
-                for o, f, is_hot, route, segment in rows:
-                    if len(o):
-                        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(o)), pa.array(n[o]), pa.array(f.astype(np.int32)), pa.array(is_hot), pa.array(route), pa.array(segment, pa.binary())], names=schema.replace(",", "").split()[::2])
+                words = [data[x:y] for x, y in zip(starts[at].tolist(), ends[end].tolist())]
+                words = [b" ".join(w.split()) if h else w for w, h in zip(words, hot.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(owner)), pa.array(n[owner]), pa.array(first), pa.array(hot), pa.array(anchor), pa.array(words, pa.binary())], names=schema.replace(",", "").split()[::2])
 
     return df.select("key", "n", "text", "runs").mapInArrow(run, schema)
 
@@ -202,8 +191,8 @@ def find_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, gram: i
     Each window of `width` words is anchored at its least hashed gram of `gram` words; only windows with anchors that
     occur twice can recur. The words around such anchors are dealt to shards by anchor, and a shard counts windows,
     compiles the recurring passages into an automaton and streams its segments through it. An anchor with over
-    HOT_ANCHOR occurrences (a line that very many texts share) has its windows dealt singly by their digests, summed
-    before the shuffle, so it does not meet in one shard. Null texts are empty ones.
+    HOT_ANCHOR occurrences (a line that very many texts share) does not meet in one shard: its equal segments are summed
+    before the shuffle, and their windows are dealt singly by their digests. Null texts are empty ones.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -212,21 +201,71 @@ def find_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, gram: i
     classes = scratch.table(classes, "classes")
     anchors = classes.select("key", "n", F.inline("runs")).drop("hot")
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("places")).where("total > 1").select("anchor", (F.col("places") > HOT_ANCHOR).alias("hot"))
+    often = scratch.table(often, "often")  # a table, so that the join's own exchange can split hot anchors
     hits = anchors.join(often, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "hot")).alias("runs"))
     hits = scratch.table(hits.join(classes.select("key", "id", "n"), "key"), "hits")
     met = docs.join(hits.select("key", "n", "runs", F.col("id").alias("least")), (docs["key"] == hits["key"]) & docs["id"].eqNullSafe(F.col("least"))).select(docs["key"], "n", "text", "runs")
     segments = scratch.table(_segments(met, width), "segments")
     scratch.drop("hits")
     cold = segments.where("NOT hot").repartition(shuffle_partitions(spark), "route").sortWithinPartitions("route")
-    single = segments.where("hot").select("key", "n", "first", "segment")
-    confirmed = single.groupBy("segment").agg(F.sum("n").alias("total")).where("total > 1").select("segment")
-    hot = single.join(confirmed, "segment").select("key", F.col("first").alias("begin"), (F.col("first") + width).alias("end"))
+    hot = _locate_hot(segments.where("hot"), width, scratch)
     covered = scratch.table(_locate(cold, width).unionAll(hot), "covered")
     scratch.drop("segments")
     ranges = covered.join(classes.where("n = 1").select("key"), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges"))
     return classes.drop("runs"), scratch.table(ranges, "ranges")
 
 
+def _windows(df: DataFrame, width: int) -> DataFrame:
+    """(run, at, window, total) of each window of (run, segment, total); windows are told apart by 128 bits."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "segment"):
+                raw, offsets = text_bytes(b.column("segment"))
+                starts, ends, firsts = word_spans(raw, offsets)
+                h = word_hashes(raw, starts, ends)
+                one, two = run_hashes(h, width), run_hashes(mix(h + np.uint64(0x51ED270B27F5A4C1)), width)
+                text = np.repeat(np.arange(b.num_rows), np.diff(firsts))
+                at = np.flatnonzero(text[: len(one)] == text[width - 1 :]) if len(one) else np.zeros(0, np.int64)
+                both = np.stack([one[at], two[at]], axis=1).tobytes()
+                digests = pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary())
+                owner = pa.array(text[at])
+                yield pa.RecordBatch.from_arrays([b.column("run").take(owner), pa.array((at - firsts[text[at]]).astype(np.int32)), digests, b.column("total").take(owner)], names=["run", "at", "window", "total"])
+
+    return df.select("run", "segment", "total").mapInArrow(explode, "run string, at int, window binary, total long")
+
+
+def _merged(df: DataFrame, width: int) -> DataFrame:
+    """(run, ranges) of each (run, places): the words that the windows at these places cover, in as few ranges as can be."""
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for places in b.column("places").to_pylist():
+                at = np.unique(places)
+                gap = np.flatnonzero(np.diff(at) > width)
+                heads, tails = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + width
+                out.append([{"begin": x, "end": y} for x, y in zip(heads.tolist(), tails.tolist())])
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(out, kind)], names=["run", "ranges"])
+
+    return df.mapInArrow(merge, "run string, ranges array<struct<begin:int,end:int>>")
+
+
+def _locate_hot(df: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(key, begin, end) of repeated words within (key, n, first, segment) at hot anchors.
+
+    Equal segments are summed before the shuffle and examined once; their windows are dealt singly by digest.
+    """
+    single = df.select("key", "n", "first", "segment", F.md5("segment").alias("run"))
+    distinct = single.groupBy("run").agg(F.sum("n").alias("total"), F.first("segment").alias("segment"))
+    windows = scratch.table(_windows(distinct, width), "windows")
+    confirmed = windows.groupBy("window").agg(F.sum("total").alias("sum")).where("sum > 1").select("window")
+    good = _merged(windows.join(confirmed, "window").groupBy("run").agg(F.collect_list("at").alias("places")), width)
+    met = single.select("key", "first", "run").join(scratch.table(good, "good"), "run")
+    return met.select("key", F.inline(F.transform("ranges", lambda r: F.struct((r["begin"] + F.col("first")).alias("begin"), (r["end"] + F.col("first")).alias("end")))))
+
+
 def _kept_mask(n: int, ranges) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     if len(ranges):
