@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embeddings import op8_embedding_near_dedup
 from .fingerprints import op7_fingerprints
 from .jaccard import op1_jaccard_join
+from .licenses import OP10_SQL, op10_license_scan
 from .packing import op6_packing
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
@@ -20,8 +21,10 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_sharding": op9_sharding,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
     "op4_warc": OP4_SQL,
+    "op10_license_scan": OP10_SQL,
 }
