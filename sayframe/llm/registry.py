@@ -7,6 +7,7 @@ from .fingerprints import op7_fingerprints
 from .jaccard import op1_jaccard_join
 from .licenses import OP10_SQL, op10_license_scan
 from .packing import op6_packing
+from .pieces import op5_sentencepiece
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
 from .toxicity import op2_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
