@@ -27,6 +27,8 @@ TEMPLATES = {
 }
 #: Words without weight, in templates and texts alike.
 STOP_WORDS = ("a", "all", "and", "any", "are", "as", "at", "be", "by", "for", "from", "has", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with")
+#: Words of templates that much other prose has; the scan avoids to search for them.
+PROSE_WORDS = ("author", "code", "copy", "extent", "form", "forms", "free", "general", "international", "law", "library", "possible", "public", "purpose", "released", "software", "source", "subject", "terms", "use", "version", "without", "work")
 HEADER_LEAST, FILE_LEAST = 0.5, 0.8
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
 LICENSE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
@@ -46,7 +48,7 @@ def template_weights() -> tuple[list[tuple[str, str, float, float]], float, list
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
         unit[k] = {w: n * idf[w] / norm for w, n in c.items()}
     left = set(idf)
-    for w in sorted(idf, key=lambda w: (idf[w], w)):  # common words are left out first
+    for w in sorted(idf, key=lambda w: (not w[0].isdigit() and len(w) > 1, w not in PROSE_WORDS, idf[w], w)):  # what other texts hold too is left out first
         left.discard(w)
         if any(math.sqrt(sum(x * x for v, x in u.items() if v not in left)) >= HEADER_LEAST for u in unit.values()):
             left.add(w)
@@ -71,20 +73,21 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     weights = F.broadcast(spark.createDataFrame(rows, "word string, license string, idf double, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted({(w, i) for w, _, i, _ in rows}), "word string, idf double"))
     base = files.drop("license", "how", "inherited_from", "own_score", "own_licenses")
-    keyed = base.withColumn("_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    keyed = base.withColumn("_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_text", F.unhex(F.md5(F.concat_ws("\n", F.col(path), F.coalesce(F.col(text), F.lit(""))))))
     pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(re.escape(w) for w in wanted) + r")($|[^a-z0-9])"
-    scanned = keyed.where(F.col(text).rlike(pattern)).select("_path", "_text", F.lower(F.col(text)).alias("body")).distinct()
-    marked = scanned.select("_path", "_text", "body", F.split(F.regexp_replace("body", r"([.!?])[ \t\r]+", "$1\n"), "\n").alias("parts"))
-    units = marked.select("_path", "_text", F.posexplode("parts").alias("unit", "part")).where(F.col("part").rlike(pattern))
-    units = units.unionAll(marked.select("_path", "_text", F.lit(-1).alias("unit"), F.col("body").alias("part")))
-    words = units.select("_path", "_text", "unit", F.explode(F.regexp_extract_all("part", F.lit(f"({WORD})"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
-    counted = words.groupBy("_path", "_text", "unit", "word").agg(F.count("*").cast("double").alias("n")).join(idfs, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))).drop("idf")
-    norms = counted.groupBy("_path", "_text", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counted.join(weights.drop("idf"), "word").groupBy("_path", "_text", "unit", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scores = dots.join(norms, ["_path", "_text", "unit"]).select("_path", "_text", "unit", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("score"))
+    scanned = keyed.where(F.col(text).rlike(pattern)).select("_text", F.lower(F.col(text)).alias("body")).dropDuplicates(["_text"])
+    marked = scanned.select("_text", "body", F.split(F.regexp_replace("body", r"([.!?])[ \t\r]+", "$1\n"), "\n").alias("parts"))
+    units = marked.select("_text", F.posexplode("parts").alias("unit", "part")).where(F.col("part").rlike(pattern))
+    units = units.unionAll(marked.select("_text", F.lit(-1).alias("unit"), F.col("body").alias("part")))
+    words = units.select("_text", "unit", F.explode(F.regexp_extract_all("part", F.lit(f"({WORD})"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    counted = words.groupBy("_text", "unit", "word").agg(F.count("*").cast("double").alias("n")).join(idfs, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))).drop("idf")
+    norms = counted.groupBy("_text", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counted.join(weights.drop("idf"), "word").groupBy("_text", "unit", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scores = dots.join(norms, ["_text", "unit"]).select("_text", "unit", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("score"))
     best = F.struct((-F.col("score")).alias("s"), F.col("license").alias("license"))
-    per_unit = scores.where(F.col("score") >= HEADER_LEAST).groupBy("_path", "_text", "unit").agg(F.min(best).alias("top"))
-    own = per_unit.groupBy("_path", "_text").agg(F.min(F.when(F.col("unit") >= 0, F.col("top"))).alias("top"), F.array_sort(F.collect_set(F.when(F.col("unit") >= 0, F.col("top.license")))).alias("own_licenses"), F.min(F.when(F.col("unit") < 0, F.col("top"))).alias("whole"))
+    per_unit = scores.where(F.col("score") >= HEADER_LEAST).groupBy("_text", "unit").agg(F.min(best).alias("top"))
+    own = per_unit.groupBy("_text").agg(F.min(F.when(F.col("unit") >= 0, F.col("top"))).alias("top"), F.array_sort(F.collect_set(F.when(F.col("unit") >= 0, F.col("top.license")))).alias("own_licenses"), F.min(F.when(F.col("unit") < 0, F.col("top"))).alias("whole"))
+    own = own.join(keyed.where(F.col(text).rlike(pattern)).select("_path", "_text").distinct(), "_text")
     named = F.regexp_extract("_path", "([^/]*)$", 1).rlike(LICENSE_NAME)
     own = own.select("_path", "_text", "top", "own_licenses", F.when(-F.col("whole.s") >= FILE_LEAST, F.col("whole")).when(named, F.coalesce("top", "whole")).alias("file"))
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
@@ -94,7 +97,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     steps = F.split("folder", "/")
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))))
     near = folders.select("folder", F.posexplode(above).alias("depth", "above")).join(held, "above").groupBy("folder").agg(F.max_by(F.struct("file", "above"), "depth").alias("near"))
-    out = keyed.join(own.drop("file"), ["_path", "_text"], "left").withColumn("_folder", F.when(F.col("_path") != "", folder(F.col("_path")))).join(near.withColumnRenamed("folder", "_folder"), "_folder", "left")
+    out = keyed.join(own.drop("file", "_path"), "_text", "left").withColumn("_folder", F.when(F.col("_path") != "", folder(F.col("_path")))).join(near.withColumnRenamed("folder", "_folder"), "_folder", "left")
     mine, theirs = F.col("top.license"), F.col("near.file.license")
     return out.select(
         *base.columns,
