@@ -32,6 +32,12 @@ def unit_from_json(df: DataFrame, column: str, schema: Any) -> DataFrame:
     return rows.withColumn("changes", F.transform("changes", full)).withColumnRenamed("source_text", "text")
 
 
+def unit_schema() -> str:
+    """The schema of a unit's JSON."""
+    struct = lambda ddl: "struct<" + ", ".join(":".join(x.split(" ")) for x in ddl.split(", ")) + ">"
+    return f"unit_id string, source_text string, spoken_text string, language string, role string, changes array<{struct(CHANGES)}>, issues array<{struct(ISSUES)}>"
+
+
 def result_to_dict(result: Any) -> dict[str, Any]:
     """A whole (small) result as one JSON tree on the driver; larger ones are written as rows of unit_json."""
     units = [json.loads(r["json"]) for r in unit_json(result.units, result.issues).orderBy("ordinal").collect()]
@@ -46,8 +52,5 @@ def result_from_dict(spark: SparkSession, data: dict[str, Any]) -> dict[str, Any
     """The tree with `units` as a DataFrame; ValueError for another schema."""
     if data.get("schema") != RESULT_SCHEMA:
         raise ValueError(f"unknown schema {data.get('schema')!r}")
-    change = "struct<" + ", ".join(f"{n}:{t}" for n, t in (x.split(" ") for x in CHANGES.split(", "))) + ">"
-    issue = "struct<" + ", ".join(f"{n}:{t}" for n, t in (x.split(" ") for x in ISSUES.split(", "))) + ">"
-    schema = f"unit_id string, source_text string, spoken_text string, language string, role string, changes array<{change}>, issues array<{issue}>"
     rows = spark.createDataFrame([(i, json.dumps(u)) for i, u in enumerate(data["units"])], "ordinal long, json string")
-    return {**data, "units": unit_from_json(rows, "json", schema), "stats": {"stage_edits": {}, "rules": {}, "recognition_domains": {}, **data["stats"]}}
+    return {**data, "units": unit_from_json(rows, "json", unit_schema()), "stats": {"stage_edits": {}, "rules": {}, "recognition_domains": {}, **data["stats"]}}
