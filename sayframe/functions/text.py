@@ -9,7 +9,7 @@ WORD_CLASS = r"\p{L}\p{N}_" + "\U00010400"
 BEFORE, AFTER = f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])"
 SPACE_CLASS = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
 #: Noncharacters that mark the borders of matches; one in a text is read as the other.
-MARK, OTHER_MARK = "﷐", "﷑"
+MARK, OTHER_MARK = "\ufdd0", "\ufdd1"
 
 TOKEN_PATTERN = r"[\p{L}\p{Nl}\p{No}]+(?:['\x{2019}\x{02BC}\x{2010}-\x{2014}][\p{L}\p{Nl}\p{No}]+)*\p{M}*"
 LINK_PATTERN = (

@@ -18,7 +18,7 @@ from .streaming.stream import progress_events
 def benchmark_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages with characters added that no clean text has."""
     t = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    odd = F.concat(F.col("text"), *[F.lit(x) for x in (" �x ￾ ​‌ ­", " 😀")])
+    odd = F.concat(F.col("text"), *[F.lit(x) for x in (" \ufffd\ue000x \ufffe \u200b\u200c \u00ad", " \U0001f600")])
     return text_units(t.select("item_id", odd.alias("text")), "item_id", "text", "en", "prose", "item_id")
 
 
@@ -219,7 +219,7 @@ def override_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overrides.override_issues(done).select("unit_id", "code", "source_start", "source_end", "text")
 
 
-_NESTED = (SpeechOverride("on", "ON", "literal"), SpeechOverride("tion", "shun", "literal"))
+_NESTED = (SpeechOverride("on", "X", "literal"), SpeechOverride("tion", "X", "literal"))
 _MANY = [f"{a}{b}" for a in ("the", "and", "for", "was", "with", "that", "from") for b in ("", "re", "nd", "th", "ing")]
 _MANY_POLICY = tuple(SpeechOverride(w, w.upper()) for w in _MANY)
 
@@ -336,7 +336,7 @@ ORACLE_SQL = {
     "override_nocase": f"WITH {_found(_DOCS, _WORDS)} SELECT unit_id, {_SELECTED}, 'THE' AS spoken FROM found WHERE lower(s) = 'the'",
     "override_unit_scope": f"WITH {_found(_DOCS, _WORDS)} SELECT unit_id, {_SELECTED}, 'THE' AS spoken FROM found WHERE s = 'the' AND unit_id = '7'",
     "override_occurrence": "SELECT CAST(o_orderkey AS VARCHAR) AS unit_id, CAST(4 AS INT) AS source_start, CAST(7 AS INT) AS source_end, 'LEE' AS spoken FROM orders WHERE o_orderkey = 3",
-    "override_resolution": f"WITH {_found(_DOCS, 'tion|on')} SELECT unit_id, {_SELECTED}, CASE s WHEN 'on' THEN 'ON' ELSE 'shun' END AS spoken FROM found",
+    "override_resolution": f"WITH {_found(_DOCS, 'tion|on')} SELECT unit_id, {_SELECTED}, 'X' AS spoken FROM found",
     "override_issues": f"WITH {_found(_DOCS, 'tion')} SELECT unit_id, 'override.lower_priority_overlap' AS code, CAST(start + 2 AS INT) AS source_start, CAST(stop AS INT) AS source_end, 'on' AS text FROM found",
     "override_join": f"WITH {_found(_DOCS, _WORDS)} SELECT unit_id, {_SELECTED}, upper(s) AS spoken FROM found WHERE s IN ({', '.join(repr(w) for w in _MANY)})",
     "initialism_seeds": f"WITH {_EDITS} SELECT 'en-us' AS language_key, source AS surface, replacement AS spoken, unit_id, CAST(source_start AS INT) AS source_start FROM edits WHERE rule LIKE 'sequence%'",
