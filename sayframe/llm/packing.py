@@ -16,7 +16,7 @@ from .words import inside, slices, text_bytes, word_hashes, word_spans
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
 _caches: dict[str, "WordIds"] = {}
 
 

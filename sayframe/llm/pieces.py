@@ -15,7 +15,7 @@ from .words import inside, mix, slices
 
 NBEST = 3
 BLANK = 0x2581
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _models: dict[str, "PieceModel"] = {}
