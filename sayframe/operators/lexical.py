@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import stable_id_column
-from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, casefold, cut, free_of, is_titlecase, spans
+from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, casefold, cut, is_titlecase, overlaps, spans
 from .sentences import sentence_spans
 
 _REASONS = ("unknown_to_lexicon", "rare_word", "proper_name_candidate", "mixed_case", "all_caps", "contains_unusual_graphemes")
@@ -14,15 +14,13 @@ _REASONS = ("unknown_to_lexicon", "rare_word", "proper_name_candidate", "mixed_c
 def tokens(units: DataFrame) -> DataFrame:
     """Words outside links and protected spans: unit_id, ordinal, language, surface, normalized, start, end,
     sentence_index and four flags. Single letters are left out unless they are unusual."""
+    # Neither words nor links hold the white space that divides sentences, so each sentence is searched by itself.
+    parts = units.select("unit_id", "ordinal", "language", "protected_spans", F.inline(sentence_spans(F.col("text")))).withColumnsRenamed({"start": "_base", "end": "_end"})
     text = F.col("text")
-    links = spans(text, LINK_PATTERN)
-    found = free_of(free_of(spans(text, TOKEN_PATTERN), links), F.col("protected_spans"))
-    rows = units.withColumn("_sentences", sentence_spans(text)).withColumn("_all", spans(text, TOKEN_PATTERN)).withColumn("_token", F.explode(found))
-    start, end = F.col("_token.start"), F.col("_token.end")
-    surface = cut(text, start, end)
-    holder = F.get(F.filter("_sentences", lambda s: (s["start"] <= start) & (start < s["end"])), F.lit(0))
-    first = F.get(F.filter("_all", lambda t: t["start"] >= F.col("_holder.start")), F.lit(0))["start"]
-    rows = rows.withColumn("_holder", holder).select("unit_id", "ordinal", "language", surface.alias("surface"), start.alias("start"), end.alias("end"), F.col("_holder.index").alias("sentence_index"), F.coalesce(start == first, F.lit(False)).alias("_starts"))
+    found = parts.withColumn("_links", spans(text, LINK_PATTERN)).select("*", F.posexplode(spans(text, TOKEN_PATTERN)).alias("_nth", "_token"))
+    start, end = F.col("_base") + F.col("_token.start"), F.col("_base") + F.col("_token.end")
+    blocked = F.exists("_links", lambda x: overlaps(x, F.col("_token"))) | F.exists("protected_spans", lambda p: (p["start"] < end) & (start < p["end"]))
+    rows = found.where(~F.coalesce(blocked, F.lit(False))).select("unit_id", "ordinal", "language", cut(text, F.col("_token.start"), F.col("_token.end")).alias("surface"), start.alias("start"), end.alias("end"), F.col("index").alias("sentence_index"), (F.col("_nth") == 0).alias("_starts"))
     s = F.col("surface")
     letters = F.regexp_replace(s, r"\P{L}", "")
     unusual = s.rlike(r"[\p{M}\p{Cf}\p{Co}\p{Cs}\p{Cn}]")
