@@ -15,7 +15,7 @@ from .words import inside, mix, slices
 
 NBEST = 3
 BLANK = 0x2581
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _models: dict[str, "PieceModel"] = {}
@@ -44,6 +44,8 @@ class PieceModel:
         assert not any("\n" in p or chr(BLANK) in p.lstrip(chr(BLANK)) for p in self.pieces)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - 10.0  # pieces under that are barred
         self.longest = max(map(len, self.pieces))
+        #: Every beginning of a piece, with the piece itself where it is one.
+        self.begins = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.clear()
 
     def clear(self) -> None:
@@ -53,11 +55,13 @@ class PieceModel:
 
     def edges_to(self, unit: str) -> list[list[tuple[int, float, int]]]:
         """For each place, edges that end there: (start, score, id); id -1 is an unknown character's bytes."""
-        get, n = self.pieces.get, len(unit)
+        begins, n = self.begins, len(unit)
         out: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if piece := get(unit[i:j]):
+            for j in range(i + 1, n + 1):
+                if (part := unit[i:j]) not in begins:
+                    break
+                if piece := begins[part]:
                     out[j].append((i, piece[1], piece[0]))
             if unit[i] not in self.pieces:
                 out[i + 1].append((i, self.unknown, -1))
