@@ -1,9 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine of weighted terms, over all terms of the examples."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .storage import extended
 from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, mix, slices, text_bytes
 
-#: Bounds of the fitted part: examples of each label, and terms.
-EXAMPLES, TERMS = 4096, 8192
+#: Bound of the fitted part: examples of each label.
+EXAMPLES = 4096
 NEIGHBOURS, SMOOTH = 15, 1.0
-LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 4, 20, 20.0
-BLOCK = 64
+#: Terms that are held as full rows at most, and texts that are multiplied with them at once.
+DENSE, BLOCK = 1024, 32
 THRESHOLD = 0.3
 #: Words are runs of letters, digits and bytes over 127; a term is a word, or the first 4, 5 or 6 bytes of a longer one.
 _WORD = np.zeros(256, np.bool_)
@@ -43,7 +43,7 @@ def text_terms(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     if wanted is not None:
         maybe = np.zeros(1 << 20, np.bool_)
         maybe[(wanted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    texts, terms = [], []
+    texts, terms, places = [], [], []
     for size in (0, *_PREFIXES):
         pick = slice(None) if not size else ends - starts > size
         a, b, o = starts[pick], (ends[pick] if not size else starts[pick] + size), owner[pick]
@@ -53,9 +53,17 @@ def text_terms(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
             h, o = h[keep], o[keep]
             place = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
             keep = wanted[place] == h if len(wanted) else np.zeros(0, np.bool_)
-            h, o = h[keep], o[keep]
+            o = o[keep]
+            places.append(o * max(1, len(wanted)) + place[keep])
+            continue
         texts.append(o)
         terms.append(h)
+    if wanted is not None:
+        both = np.concatenate(places)
+        both.sort()
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        text, place = np.divmod(both[first], max(1, len(wanted)))
+        return text, wanted[place], np.diff(np.concatenate([first, [len(both)]]))
     text, term = np.concatenate(texts), np.concatenate(terms)
     order = np.lexsort((term, text))
     text, term = text[order], term[order]
@@ -66,20 +74,21 @@ def text_terms(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
 
 
 @dataclass
-class BlockMaxIndex:
-    """Postings by term, cut into blocks of BLOCK examples with the largest weight of each block.
+class ExampleIndex:
+    """All terms of all examples: postings, and for at most DENSE of the most common terms a matrix with a row each.
 
-    Blocks are scored in the order of their upper bounds, and the search ends at the first bound that cannot reach
-    the k-th best cosine, so its result is exact. Ties go to the smaller example number.
+    The matrix product is in single precision. For the k best, and those that rounding leaves in doubt, its part of the
+    cosine is summed again term by term, so results do not depend on how texts are dealt. Ties go to the smaller
+    example number.
     """
 
     terms: np.ndarray
-    idf: np.ndarray
+    idf: np.ndarray  # weight of a term: its idf times its relevance to label 1
     labels: np.ndarray
     ids: np.ndarray
     weight: np.ndarray  # of an example's vote
-    base: float  # score of a text without any term
-    lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    base: float  # score of a text without any term of the examples
+    dense: np.ndarray | None = None
 
     @staticmethod
     def vectors(text: np.ndarray, col: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -88,73 +97,67 @@ class BlockMaxIndex:
         return w / np.where(norm > 0, norm, 1)[text]
 
     def add(self, text: np.ndarray, col: np.ndarray, times: np.ndarray) -> None:
-        w = self.vectors(text, col, times, self.idf, len(self.labels))
-        order = np.lexsort((text, col))
-        text, col, w = text[order], col[order], w[order]
-        cuts = np.flatnonzero(np.diff(col)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(col)]) if len(col) else []:
-            block = text[a:b] // BLOCK
-            heads = np.flatnonzero(np.diff(block, prepend=-1))
-            self.lists[int(col[a])] = (text[a:b], w[a:b], block[heads], np.concatenate([heads, [b - a]]))
+        w = self.vectors(text, col, times, self.idf, len(self.labels)).astype(np.float32)
+        many = np.bincount(col, minlength=len(self.terms))
+        common = np.argsort(-many, kind="stable")[:DENSE]
+        common = common[many[common] * 32 >= len(self.labels)]
+        self.slot = np.full(len(self.terms), -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.common = len(common)
+        order = np.flatnonzero(self.slot[col] >= 0)
+        self.by_slot, self.by_slot_text, self.by_slot_w = self.slot[col[order]], text[order].astype(np.int32), w[order]
+        order = np.flatnonzero(self.slot[col] < 0)
+        order = order[np.lexsort((text[order], col[order]))]
+        self.by_term, self.by_term_w = text[order].astype(np.int32), w[order]
+        self.many = np.where(self.slot < 0, many, 0)
+        self.heads = (np.cumsum(self.many) - self.many).astype(np.int32)
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector (columns, weights) the k examples of the largest positive cosine, best first."""
+        n = len(self.labels)
+        if self.dense is None:
+            self.dense = np.zeros((self.common, n), np.float32)
+            self.dense[self.by_slot, self.by_slot_text] = self.by_slot_w
+        for at in range(0, len(queries), BLOCK):
+            block = queries[at : at + BLOCK]
+            slots = [self.slot[cols] for cols, _ in block]
+            asked = np.zeros((len(block), self.common), np.float32)
+            for i, (slot, (_, weights)) in enumerate(zip(slots, block)):
+                asked[i, slot[slot >= 0]] = weights[slot >= 0]
+            for slot, (cols, weights), common in zip(slots, block, asked @ self.dense):
+                many = self.many[cols]
+                place = np.repeat(self.heads[cols] - (np.cumsum(many) - many).astype(np.int32), many)
+                place += np.arange(len(place), dtype=np.int32)
+                rare = np.bincount(self.by_term[place], np.repeat(weights.astype(np.float32), many) * self.by_term_w[place], n)
+                about = common + rare
+                least = np.partition(about, n - k)[n - k] if n > k else 0.0
+                names = np.flatnonzero((about > 0) & (about >= least - 1e-5))
+                cosine = rare[names] + (self.dense[slot[slot >= 0][:, None], names] * weights[slot >= 0][:, None]).sum(axis=0)
+                best = np.lexsort((names, -cosine))[:k]
+                yield names[best], cosine[best]
 
     def nearest(self, cols: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine with this unit vector, best first."""
-        mine = [(q, *self.lists[c]) for c, q in zip(cols.tolist(), weights.tolist()) if c in self.lists]
-        bounds = np.zeros(-(-len(self.labels) // BLOCK))
-        for q, _, w, blocks, cuts in mine:
-            bounds[blocks] += q * np.maximum.reduceat(w, cuts[:-1])
-        order = np.argsort(-bounds, kind="stable")
-        best, names, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for at in range(0, len(order), 8):
-            some = order[at : at + 8]
-            some = some[(bounds[some] > 0) & (bounds[some] >= least - 1e-12)]
-            if not len(some):
-                break
-            score = np.zeros(len(self.labels)) if not at else score
-            for q, text, w, blocks, cuts in mine:
-                hit = np.searchsorted(blocks, some)
-                hit = hit[(hit < len(blocks)) & (blocks[np.minimum(hit, len(blocks) - 1)] == some)]
-                for j in hit.tolist():
-                    part = slice(cuts[j], cuts[j + 1])
-                    score[text[part]] += q * w[part]
-            near = np.concatenate([names, *(np.arange(s * BLOCK, min(len(score), (s + 1) * BLOCK)) for s in some.tolist())])
-            near = near[score[near] > 0]
-            near = near[np.lexsort((near, -score[near]))][:k]
-            names, best = near, score[near]
-            least = best[-1] if len(best) == k else 0.0
-        return names, best
-
-    def score(self, cols: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        names, cosine = self.nearest(cols, weights, NEIGHBOURS)
+        return next(self.nearest_many([(cols, weights)], k))
+
+    def score(self, names: np.ndarray, cosine: np.ndarray) -> float:
+        """Of a text with these nearest examples."""
         if not len(names):
-            return self.base, names, cosine
-        vote = cosine * cosine * self.weight[names]
+            return self.base
+        vote = (cosine / cosine[0]) ** 2 * self.weight[names]
         mean = self.weight[names].mean()
-        return float(((vote * self.labels[names]).sum() + SMOOTH * mean * self.base) / (vote.sum() + SMOOTH * mean)), names, cosine
-
+        return float(((vote * self.labels[names]).sum() + SMOOTH * mean * self.base) / (vote.sum() + SMOOTH * mean))
 
-def _terms_frame(df: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(id, toxic, terms, times) of each (id, toxic, text)."""
-    schema = f"id {df.schema['id'].dataType.simpleString()}, toxic int, terms array<long>, times array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                raw, offsets = text_bytes(b.column("text"))
-                text, term, times = text_terms(raw, offsets, wanted)
-                cuts = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.ListArray.from_arrays(cuts, pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))], names=["id", "toxic", "terms", "times"])
 
-    return df.select("id", "toxic", "text").mapInArrow(run, schema)
+BlockMaxIndex = ExampleIndex  # its name before it held all terms
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ExampleIndex:
     """The index over a bounded sample of the labelled rows: at most EXAMPLES of each label, by the order of a hash of
-    their id, and at most TERMS terms. The vote of an example counts for the rows of its label that were not drawn.
+    their id. The vote of an example counts for the rows of its label that were not drawn.
 
-    Terms are those that speak for label 1: found in LEAST_DOCS toxic examples or more, LEAST_RATIO times as often as in others,
-    with a log likelihood ratio of LEAST_G2 or more. Labels that are null are left out; an id with several labels counts as
-    toxic if one of them is 1. Without labels of both kinds every score is 0 or the share of toxic rows.
+    All terms of the sample are indexed. A term weighs its idf, times a relevance of 1 or more that grows with how
+    much more often toxic examples have it than others. Labels that are null are left out; an id with several labels
+    counts as toxic if one of them is 1. Without labels of both kinds every score is 0 or 1.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
     known = known.join(docs.select(F.col(key).alias("id")).dropna().distinct(), "id", "left_semi")
@@ -163,37 +166,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = parts[0].unionAll(parts[1])
     spark = docs.sparkSession
     drawn = F.broadcast(spark.createDataFrame(sample.collect(), sample.schema))
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "id")
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "id").select("id", "toxic", "text")
     n = {t: min(EXAMPLES, totals.get(t, 0)) for t in (0, 1)}
-    ratio = ((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1))
-    both, found, total = n[0] + n[1], F.col("a") + F.col("b"), float(max(1, n[0] + n[1]))
-    part = lambda seen, row, size: F.when(seen > 0, seen * F.log(seen * total / (row * max(1, size)))).otherwise(0.0)
-    strength = 2 * (part(F.col("a"), found, n[1]) + part(F.col("b"), found, n[0]) + part(n[1] - F.col("a"), both - found, n[1]) + part(n[0] - F.col("b"), both - found, n[0]))
-    counts = _terms_frame(texts).select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    strong = counts.where((F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).withColumn("g2", strength).where(F.col("g2") >= LEAST_G2)
-    strong = strong.orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-    terms = np.sort(np.array([r["term"] for r in strong], np.int64).astype(np.uint64))
-    rows = sorted(_terms_frame(texts, terms).collect(), key=lambda r: (r["id"], r["terms"]))
-    text = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows]).astype(np.int64)
-    term = np.array([t for r in rows for t in r["terms"]], np.int64).astype(np.uint64)
-    times = np.array([t for r in rows for t in r["times"]], np.int64)
-    col = np.searchsorted(terms, term)
-    found = np.bincount(col, minlength=len(terms))
-    label = np.array([r["toxic"] for r in rows], np.float64)
+    rows = texts.toArrow().combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    ids, label = rows["id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+    done = 0
+    for batch in rows.select(["text"]).to_batches():
+        for b in slices(batch, "text"):
+            own, term, times = text_terms(*text_bytes(b.column("text")))
+            found.append(((own + done).astype(np.int32), term, times.astype(np.int32)))
+            done += b.num_rows
+    text, term, times = (np.concatenate(x) for x in zip(*found))
+    del rows, found
+    terms = np.unique(term)
+    col = np.searchsorted(terms, term).astype(np.int32)
+    del term
+    found, speaking = np.bincount(col, minlength=len(terms)), np.bincount(col, label[text], len(terms))
+    toxic_rows = label.sum()
+    ratio = (speaking + 0.5) / (toxic_rows + 1) / ((found - speaking + 0.5) / (len(ids) - toxic_rows + 1))
+    value = (np.log((len(ids) + 1) / (found + 1)) + 1) * np.log2(1 + np.maximum(ratio, 1))
     weight = np.array([totals.get(int(y), 0) / max(1, n[int(y)]) for y in label])
-    none = np.bincount(text, minlength=len(rows)) == 0
-    base = float((weight * label)[none].sum() / weight[none].sum()) if none.any() else 0.0
-    index = BlockMaxIndex(terms, np.log((len(rows) + 1) / (found + 1)) + 1, label, np.array([r["id"] for r in rows], np.int64), weight, base)
+    base = float((weight * label).sum() / weight.sum()) if len(ids) else 0.0
+    index = ExampleIndex(terms, value, label, ids.astype(np.int64), weight, base)
     index.add(text, col, times)
     return index
 
 
-def score_texts(df: DataFrame, index: BlockMaxIndex, text: str = "text", evidence: bool = True) -> DataFrame:
+def score_texts(df: DataFrame, index: ExampleIndex, text: str = "text", evidence: bool = True) -> DataFrame:
     """Adds score (0 to 1) and, if asked, evidence: the three nearest examples with their cosine and label.
 
-    The score of a text is the vote of its NEIGHBOURS nearest examples, by squared cosine, drawn a little towards the
-    share of toxic rows among texts without terms; such texts (null and empty ones too) get that share itself. The
-    index is sent to the executors once; its size is bounded by EXAMPLES and TERMS.
+    The score of a text is the vote of its NEIGHBOURS nearest examples, by the square of their cosine's share of the
+    best one, drawn a little towards the share of toxic rows; texts without a term of any example (null and empty ones
+    too) get that share itself. The index is sent to the executors once; its size is that of the terms of at most
+    EXAMPLES texts of each label.
     """
     held = df.sparkSession.sparkContext.broadcast(index)
     out = df.drop("score", "evidence")
@@ -201,7 +207,7 @@ def score_texts(df: DataFrame, index: BlockMaxIndex, text: str = "text", evidenc
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = held.value, {}
+        model = held.value
         for batch in batches:
             for b in slices(batch, text):
                 raw, offsets = text_bytes(b.column(text))
@@ -210,14 +216,10 @@ def score_texts(df: DataFrame, index: BlockMaxIndex, text: str = "text", evidenc
                 w = model.vectors(owner, col, times, model.idf, b.num_rows)
                 scores, why = np.full(b.num_rows, model.base), [[]] * b.num_rows
                 cuts = np.flatnonzero(np.diff(owner)) + 1
-                for x, y in zip([0, *cuts], [*cuts, len(owner)]) if len(owner) else []:
-                    mark = (col[x:y].tobytes(), times[x:y].tobytes())
-                    if mark not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        s, names, cosine = model.score(col[x:y], w[x:y])
-                        seen[mark] = s, [{"doc_id": int(model.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(names[:3], cosine)]
-                    scores[owner[x]], why[owner[x]] = seen[mark]
+                spans = list(zip([0, *cuts], [*cuts, len(owner)])) if len(owner) else []
+                for (x, _), (names, cosine) in zip(spans, model.nearest_many([(col[x:y], w[x:y]) for x, y in spans], NEIGHBOURS)):
+                    scores[owner[x]] = model.score(names, cosine)
+                    why[owner[x]] = [{"doc_id": int(model.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(names[:3], cosine)]
                 arrays = [*b.columns, pa.array(np.clip(scores, 0, 1))] + ([pa.array(why, kind)] if evidence else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 

@@ -176,3 +176,22 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     assert [r["score"] for r in toxicity.score_texts(one, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
+
+
+def test_toxicity_searches_all_terms(spark):
+    """Every labelled text is an example by all its terms, and every text with one of them has neighbours."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=3)) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(words[:40] if i % 3 else words[20:], k=12))) for i in range(30)] + [(30, None), (31, ""), (7, "a second text of seven"), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(32)] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert sorted(index.ids.tolist()) == sorted(i for i, _ in rows if i is not None) and len(index.terms) == len({w for i, t in rows if i is not None for w in (t or "").split()} | {"seco", "secon", "seve"})
+    assert {int(index.ids[e]) for e in [*index.by_term, *index.by_slot_text]} == set(range(30))
+    by_word = {}
+    for i, t in rows[:30]:
+        for w in set(t.split()):
+            by_word.setdefault(w, set()).add(i)
+    got = {x["text"]: x for x in toxicity.score_texts(spark.createDataFrame([(w,) for w in by_word] + [("zzz",), (None,)], "text string"), index).collect()}
+    assert all(x["evidence"] and {e["doc_id"] for e in x["evidence"]} <= by_word[w] for w, x in got.items() if w in by_word)
+    assert got["zzz"]["evidence"] == [] == got[None]["evidence"] and got["zzz"]["score"] == got[None]["score"] == index.base > 0
