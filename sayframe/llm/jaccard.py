@@ -285,7 +285,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.select("cls", "text").mapInArrow(run, "cls long, elements binary")
 
 
-def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
     """One row for each row of `df`: key, n_shingles, n_links (other rows linked directly) and component_id (least
     key that links reach, itself included).
 
@@ -293,7 +293,8 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     pairs that sizes, places and parity bitmaps allow make candidate groups, in which all overlaps are then counted
     exactly (in pairs of blocks where a group is large). Only spanning links leave a task. A text without words, or
     null, has an empty set and links with nothing. A row with a null key belongs to its component by its text; where
-    all keys are null, component_id is null.
+    all keys are null, component_id is null. `by_text` adds text_key (MD5 of the text) and group_no, a number of the
+    component that repeated and null keys do not blur (null for a text without words).
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -326,11 +327,11 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     reached = components(links.where("root <> cls").select(F.col("root").alias("a"), F.col("cls").alias("b")), scratch, "sure")
     ends = reached.join(classes.select(F.col("cls").alias("id"), F.col("id").alias("least_id")), "id")
     least = ends.groupBy("component_id").agg(F.min("least_id").alias("reached"))
-    named = ends.join(least, "component_id").select(F.col("id").alias("cls"), "reached")
+    named = ends.join(least, "component_id").select(F.col("id").alias("cls"), "reached", "component_id")
     counts = links.groupBy("cls").agg(F.sum("linked").alias("linked"))
-    known = classes.join(counts, "cls", "left").join(named, "cls", "left").select("set_key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("reached", "id").alias("reached"))
+    known = classes.join(counts, "cls", "left").join(named, "cls", "left").select("set_key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("reached", "id").alias("reached"), F.coalesce("component_id", "cls").alias("group_no"))
     known = scratch.table(known, "known")
-    return rows.join(known, "set_key", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("reached", "id").alias("component_id"))
+    return rows.join(known, "set_key", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("reached", "id").alias("component_id"), *(["text_key", "group_no"] if by_text else []))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
