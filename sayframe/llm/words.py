@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+from .storage import Scratch
 
 #: Words are maximal runs of bytes other than the ASCII white space x20, x09-x0D.
 SPACE = np.zeros(256, np.bool_)
@@ -124,3 +127,41 @@ def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
     down = np.multiply.accumulate(down)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
     return mix((run[width:] - run[:n]) * down)
+
+
+def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with a space behind each, and each word's first place there (and the end)."""
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(begin[-1], 0x20, np.uint8)
+    out[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = raw[~SPACE[raw]]
+    return out.tobytes(), begin
+
+
+def frequent_hashes(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], bound: int, scratch: Scratch) -> np.ndarray:
+    """The frequent values of `hashes` over all texts, the least frequent first: those that are a `bound`th part or
+    more of all values, so at most `bound` of them reach the driver. A text slice hands on values that it has thrice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                all_of_slice = hashes(b.column("text"))
+                values, n = np.unique(all_of_slice, return_counts=True)
+                often = n >= 3
+                arrays = [pa.array(np.append(values[often], 0).astype(np.int64)), pa.array(np.append(n[often], len(all_of_slice))), pa.array(np.append(np.ones(often.sum(), np.bool_), False))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["value", "n", "real"])
+
+    counts = scratch.table(texts.mapInArrow(run, "value long, n long, real boolean").groupBy("value", "real").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where("NOT real").agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("real") & (F.col("n") * bound >= total)).select("value", "n").toArrow()
+    values, n = found["value"].to_numpy(), found["n"].to_numpy()
+    return values[np.lexsort((values, n))].astype(np.uint64)
+
+
+def ranked(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """1, 2, ... for frequent values (sorted values, place of each in the order), 0 for others."""
+    known, place = frequent
+    if not len(known) or not len(values):
+        return np.zeros(len(values), np.uint64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, place[at] + np.uint64(1), np.uint64(0))

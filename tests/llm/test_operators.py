@@ -60,9 +60,11 @@ def test_overlaps_are_exact():
     assert (jaccard.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_substrings_are_brute_force(frame, texts, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
+@pytest.mark.parametrize("shard, stream, least", [(1 << 20, 32 << 20, 1 << 18), (2000, 3000, 4)])
+def test_substrings_are_brute_force(frame, texts, shard, stream, least, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
+    monkeypatch.setattr(substrings, "STREAM_BYTES", stream)
+    monkeypatch.setattr(substrings, "FREQUENT", least)
     words = {i: WORD.findall(t or "") for i, t in texts}
     seen = Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
     expected = {}
