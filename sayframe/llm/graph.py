@@ -37,6 +37,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about `rows` rows unless one group has more."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        while batch.num_rows:
+            if count < rows:
+                part = batch.slice(0, rows - count)
+                held.append(part)
+                count += part.num_rows
+                batch = batch.slice(part.num_rows)
+                continue
+            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys]
+            other = np.zeros(batch.num_rows, np.bool_)
+            for k, v in zip(keys, last):
+                other |= batch.column(k).to_numpy() != v
+            cut = int(other.argmax()) if other.any() else batch.num_rows
+            if cut:
+                held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+            if other.any():
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def union_edges(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each of n items' component, under these links."""
     root = np.arange(n)

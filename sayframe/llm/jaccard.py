@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .graph import components, runs, union_edges
+from .graph import components, runs, union_edges, whole_runs
 from .storage import Scratch, shuffle_partitions
 from .words import LOWER, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
@@ -179,7 +179,7 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Spanning links between classes that may be linked, from index rows sorted by list and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["token", "low", "high"], 8192):
+        for t in whole_runs(batches, ["token", "low", "high"], 8192):
             token, low, high, cls = (t.column(c).to_numpy() for c in ("token", "low", "high", "cls"))
             new = np.ones(len(token), np.bool_)
             new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -193,33 +193,6 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, of about `rows` rows unless one group has more."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        while batch.num_rows:
-            if count < rows:
-                part = batch.slice(0, rows - count)
-                held.append(part)
-                count += part.num_rows
-                batch = batch.slice(part.num_rows)
-                continue
-            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys]
-            other = np.zeros(batch.num_rows, np.bool_)
-            for k, v in zip(keys, last):
-                other |= batch.column(k).to_numpy() != v
-            cut = int(other.argmax()) if other.any() else batch.num_rows
-            if cut:
-                held.append(batch.slice(0, cut))
-            batch = batch.slice(cut)
-            if other.any():
-                yield pa.Table.from_batches(held)
-                held, count = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections. Each set's row is derived from that of the most similar set done before: only lists
     of elements that one of the two lacks are visited. Without such a set, the lists of all its elements are."""

@@ -128,24 +128,44 @@ def test_warc_round_trip(spark):
     assert [r["page_id"] for r in warc.read_warc(index.where("page_id = 5"), f"{scratch.root}/a").collect()] == [5]
 
 
-def test_vectors_are_brute_force(spark):
-    r = np.random.default_rng(3)
-    centres = r.standard_normal((8, 16))
-    rows = [(i, (centres[i % 8] + 0.05 * r.standard_normal(16)).tolist(), i % 2) for i in range(120)]
-    rows += [(200, rows[0][1], 0), (201, rows[0][1], None), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] * 16, 0), (205, [], 1), (206, [1.0, None], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embeddings.link_vectors(df, "vec_id", "embedding", "label").collect()}
-    fine = {i: (np.array(v) / np.linalg.norm(v), label) for i, v, label in rows if i <= 200}
-    links, root = Counter(), {i: i for i, *_ in rows}
+def vector_truth(rows):
+    """(n_links, component_id) of each row by all pairs."""
+    fine = [i for i, (k, v, label) in enumerate(rows) if k is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in fine}
+    links, root = Counter(), list(range(len(rows)))
     find = lambda x: x if root[x] == x else find(root[x])
     for a, b in itertools.combinations(fine, 2):
-        if fine[a][1] == fine[b][1] and fine[a][0] @ fine[b][0] >= 0.98:
+        if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98:
             links[a] += 1
             links[b] += 1
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    assert sum(g[0] for g in got.values()) >= 0.95 * sum(links.values()) > 0
-    assert all(got[i][0] <= links[i] for i, *_ in rows) and all(got[i] == (0, i) for i in range(201, 207))
+            root[find(b)] = find(a)
+    least = {}
+    for i in fine:
+        least[find(i)] = min(rows[i][0], least.get(find(i), rows[i][0]))
+    return Counter((k, links[i], least.get(find(i), k)) for i, (k, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_vectors_are_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((8, 16))
+    rows = [(i, (centres[i % 8] + 0.05 * r.standard_normal(16)).tolist(), i % 2) for i in range(120)]
+    rows += [(300 + i, (centres[0] + 0.001 * r.standard_normal(16)).tolist(), 0) for i in range(40)]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], None), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] * 16, 0), (205, [], 1), (206, [1.0, None], 1), (207, rows[0][1][:8], 0), (0, rows[0][1], 0)]
+    df = spark.createDataFrame([(*x, 1, "s") for x in rows], "vec_id long, embedding array<double>, label int, cls int, n string")
+    got = embeddings.link_vectors(df, "vec_id", "embedding", "label").collect()
+    assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got)
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == vector_truth(rows)
+    assert embeddings.link_vectors(df.limit(0), "vec_id", "embedding", "label").count() == 0
+
+
+@pytest.mark.parametrize("rows", [[(1, 0, 0), (1, 7, 1), (3, 13, 0)], [(1, 0, 0), (1, 90, 0), (3, 5, 0)]])
+def test_vectors_with_one_id_stay_apart(spark, rows):
+    rows = [(i, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))], label) for i, d, label in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embeddings.link_vectors(df, "vec_id", "embedding", "label").collect()
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == vector_truth(rows)
 
 
 def test_nearest_examples_are_exact():
