@@ -1,9 +1,8 @@
-"""Toxicity by the nearest labelled examples: exact cosine of weighted terms, over all terms of the examples."""
+"""Toxicity by the nearest labelled examples: exact cosine of TF-IDF vectors through a block-max inverted index."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +13,11 @@ from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, mix, slices, text_
 
 #: Bound of the fitted part: examples of each label.
 EXAMPLES = 4096
-NEIGHBOURS, SMOOTH = 15, 1.0
+NEIGHBOURS, SMOOTH, SHRINK = 15, 1.0, 4.0
+#: Examples of a block of the index, and of each half and label that calibrate.
+EXAMPLE_BLOCK, CALIBRATION = 512, 256
 #: Terms that are held as full rows at most, and texts that are multiplied with them at once.
-DENSE, BLOCK = 1024, 32
+DENSE, BLOCK = 512, 64
 THRESHOLD = 0.3
 #: Words are runs of letters, digits and bytes over 127; a term is a word, or the first 4, 5 or 6 bytes of a longer one.
 _WORD = np.zeros(256, np.bool_)
@@ -73,103 +74,250 @@ def text_terms(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return text[first], term[first], np.diff(np.concatenate([first, [len(text)]]))
 
 
-@dataclass
+def unit_vectors(text: np.ndarray, col: np.ndarray, times: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Weights of terms in each of n texts, as unit vectors: (1 + log(times)) * value."""
+    w = (1 + np.log(times)) * value[col]
+    norm = np.sqrt(np.bincount(text, w * w, n))
+    return w / np.where(norm > 0, norm, 1)[text]
+
+
+def alike_order(common: np.ndarray, size: int) -> np.ndarray:
+    """An order of the columns in which neighbours are alike: split at the median of the direction, out of the strongest
+    ones, along which a part spreads most, until a part has at most `size` columns."""
+    if not common.shape[0] or common.shape[1] <= size:
+        return np.arange(common.shape[1])
+    strongest = np.linalg.eigh((common @ common.T).astype(np.float64))[1][:, -8:]
+    along, done, todo = common.T @ strongest, [], [np.arange(common.shape[1])]
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        part = part[np.argsort(along[part, along[part].var(axis=0).argmax()], kind="stable")]
+        middle = len(part) // 2 // size * size or size
+        todo += [part[middle:], part[:middle]]
+    return np.concatenate(done)
+
+
 class ExampleIndex:
-    """All terms of all examples: postings, and for at most DENSE of the most common terms a matrix with a row each.
+    """A block-max inverted index over all terms of labelled examples.
+
+    Examples that are alike lie in one block of EXAMPLE_BLOCK, and each term has its largest weight in each block. The
+    sum of these over a text's terms bounds its cosine to every example of a block. A text is compared with its most
+    promising block first, and then with the blocks alone whose bound reaches the k-th best cosine so far, so the k
+    nearest examples are exact. At most DENSE of the most common terms are rows of a matrix, the rest are postings.
 
     The matrix product is in single precision. For the k best, and those that rounding leaves in doubt, its part of the
-    cosine is summed again term by term, so results do not depend on how texts are dealt. Ties go to the smaller
-    example number.
+    cosine is summed again term by term, so results do not depend on how texts are dealt. Ties go to the example that
+    comes first in the index.
     """
 
-    terms: np.ndarray
-    idf: np.ndarray  # weight of a term: its idf times its relevance to label 1
-    labels: np.ndarray
-    ids: np.ndarray
-    weight: np.ndarray  # of an example's vote
-    base: float  # score of a text without any term of the examples
-    dense: np.ndarray | None = None
-
-    @staticmethod
-    def vectors(text: np.ndarray, col: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-        w = (1 + np.log(times)) * idf[col]
-        norm = np.sqrt(np.bincount(text, w * w, n))
-        return w / np.where(norm > 0, norm, 1)[text]
-
-    def add(self, text: np.ndarray, col: np.ndarray, times: np.ndarray) -> None:
-        w = self.vectors(text, col, times, self.idf, len(self.labels)).astype(np.float32)
-        many = np.bincount(col, minlength=len(self.terms))
+    def __init__(self, terms: np.ndarray, value: np.ndarray, labels: np.ndarray, ids, weight: np.ndarray, text: np.ndarray, col: np.ndarray, times: np.ndarray):
+        n = len(labels)
+        self.terms, self.value, self.dense = terms, value, None
+        w = unit_vectors(text, col, times, value, n).astype(np.float32)
+        many = np.bincount(col, minlength=len(terms))
         common = np.argsort(-many, kind="stable")[:DENSE]
-        common = common[many[common] * 32 >= len(self.labels)]
-        self.slot = np.full(len(self.terms), -1, np.int32)
+        common = common[many[common] * 32 >= n]
+        self.slot = np.full(len(terms), -1, np.int32)
         self.slot[common] = np.arange(len(common))
-        self.common = len(common)
-        order = np.flatnonzero(self.slot[col] >= 0)
-        self.by_slot, self.by_slot_text, self.by_slot_w = self.slot[col[order]], text[order].astype(np.int32), w[order]
-        order = np.flatnonzero(self.slot[col] < 0)
-        order = order[np.lexsort((text[order], col[order]))]
-        self.by_term, self.by_term_w = text[order].astype(np.int32), w[order]
-        self.many = np.where(self.slot < 0, many, 0)
-        self.heads = (np.cumsum(self.many) - self.many).astype(np.int32)
+        rows = np.flatnonzero(self.slot[col] >= 0)
+        matrix = np.zeros((len(common), n), np.float32)
+        matrix[self.slot[col[rows]], text[rows]] = w[rows]
+        order = alike_order(matrix, EXAMPLE_BLOCK)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        text = place[text]
+        self.labels, self.weight, self.ids = labels[order], weight[order], [ids[i] for i in order.tolist()]
+        self.base = float((weight * labels).sum() / weight.sum()) if n else 0.0
+        self.line: tuple[float, float] | None = None  # slope and shift of the calibration
+        self.common, self.blocks = len(common), -(-n // EXAMPLE_BLOCK)
+        self.by_slot, self.by_slot_text, self.by_slot_w = self.slot[col[rows]], text[rows].astype(np.int32), w[rows]
+        rows = np.flatnonzero(self.slot[col] < 0)
+        rows = rows[np.lexsort((text[rows], col[rows]))]
+        self.posted, self.posted_w = text[rows].astype(np.int32), w[rows]
+        # Block maxima: an entry for each term and block, with the block's postings.
+        key = col[rows].astype(np.int64) * self.blocks + text[rows] // EXAMPLE_BLOCK
+        self.first = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int64)
+        self.top = np.maximum.reduceat(self.posted_w, self.first) if len(self.first) else np.zeros(0, np.float32)
+        self.block = (key[self.first] % max(1, self.blocks)).astype(np.int32)
+        self.size = np.diff(np.append(self.first, len(rows)))
+        self.entry = np.searchsorted(key[self.first], np.arange(len(terms) + 1) * self.blocks)
+
+    def _matrices(self) -> None:
+        """The common terms' rows, and their block maxima; made in the worker, as they are sent more cheaply as lists."""
+        self.dense = np.zeros((self.common, self.blocks * EXAMPLE_BLOCK), np.float32)
+        self.dense[self.by_slot, self.by_slot_text] = self.by_slot_w
+        self.dense_top = self.dense.reshape(self.common, self.blocks, EXAMPLE_BLOCK).max(axis=2) if self.blocks else np.zeros((self.common, 0), np.float32)
+
+    def _postings(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.size[entries]
+        place = np.repeat(self.first[entries] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.posted[place], np.repeat(weights, size) * self.posted_w[place], self.blocks * EXAMPLE_BLOCK)
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each unit vector (columns, weights) the k examples of the largest positive cosine, best first."""
-        n = len(self.labels)
+        if not self.blocks:
+            yield from [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+            return
         if self.dense is None:
-            self.dense = np.zeros((self.common, n), np.float32)
-            self.dense[self.by_slot, self.by_slot_text] = self.by_slot_w
+            self._matrices()
         for at in range(0, len(queries), BLOCK):
-            block = queries[at : at + BLOCK]
-            slots = [self.slot[cols] for cols, _ in block]
-            asked = np.zeros((len(block), self.common), np.float32)
-            for i, (slot, (_, weights)) in enumerate(zip(slots, block)):
-                asked[i, slot[slot >= 0]] = weights[slot >= 0]
-            for slot, (cols, weights), common in zip(slots, block, asked @ self.dense):
-                many = self.many[cols]
-                place = np.repeat(self.heads[cols] - (np.cumsum(many) - many).astype(np.int32), many)
-                place += np.arange(len(place), dtype=np.int32)
-                rare = np.bincount(self.by_term[place], np.repeat(weights.astype(np.float32), many) * self.by_term_w[place], n)
-                about = common + rare
-                least = np.partition(about, n - k)[n - k] if n > k else 0.0
-                names = np.flatnonzero((about > 0) & (about >= least - 1e-5))
-                cosine = rare[names] + (self.dense[slot[slot >= 0][:, None], names] * weights[slot >= 0][:, None]).sum(axis=0)
-                best = np.lexsort((names, -cosine))[:k]
-                yield names[best], cosine[best]
+            yield from self._batch(queries[at : at + BLOCK], k)
+
+    def _batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(queries), EXAMPLE_BLOCK
+        asked = np.zeros((m, self.common), np.float32)
+        lists, bound = [], np.zeros((m, self.blocks), np.float64)
+        for i, (cols, weights) in enumerate(queries):
+            slot = self.slot[cols]
+            asked[i, slot[slot >= 0]] = weights[slot >= 0]
+            first, many = self.entry[cols], self.entry[cols + 1] - self.entry[cols]
+            entries = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            each = np.repeat(weights.astype(np.float32), many)
+            lists.append((entries, each))
+            bound[i] = np.bincount(self.block[entries], each * self.top[entries], self.blocks)
+        bound += asked @ self.dense_top + 1e-5
+        about, rare = np.full((m, self.blocks * width), -1.0), [None] * m
+        least = np.zeros(m)
+        wanted = np.zeros((m, self.blocks), np.bool_)
+        wanted[np.arange(m), bound.argmax(axis=1)] = True
+        for step in range(2):
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                about[rows, b * width : (b + 1) * width] = asked[rows] @ self.dense[:, b * width : (b + 1) * width]
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                entries, each = lists[i]
+                mine = wanted[i][self.block[entries]]
+                more = self._postings(entries[mine], each[mine])
+                rare[i] = more if rare[i] is None else rare[i] + more
+            scores = np.stack([np.where(a >= 0, a + r, -1.0) for a, r in zip(about, rare)])
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(m, -1.0)
+            if step == 0:
+                done = wanted
+                wanted = (bound >= np.maximum(least, 0)[:, None] - 1e-5) & ~done
+        for i, (cols, weights) in enumerate(queries):
+            names = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 1e-5))
+            slot = self.slot[cols]
+            cosine = rare[i][names] + (self.dense[slot[slot >= 0][:, None], names] * weights[slot >= 0][:, None]).sum(axis=0)
+            best = np.lexsort((names, -cosine))[:k]
+            yield names[best], cosine[best]
 
     def nearest(self, cols: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return next(self.nearest_many([(cols, weights)], k))
 
-    def score(self, names: np.ndarray, cosine: np.ndarray) -> float:
-        """Of a text with these nearest examples."""
+    def vote(self, names: np.ndarray, cosine: np.ndarray) -> float:
+        """The share of label 1 among these nearest examples, by the square of the cosine's share of the best one."""
         if not len(names):
             return self.base
         vote = (cosine / cosine[0]) ** 2 * self.weight[names]
         mean = self.weight[names].mean()
         return float(((vote * self.labels[names]).sum() + SMOOTH * mean * self.base) / (vote.sum() + SMOOTH * mean))
 
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        """Probabilities of label 1; the votes themselves where the examples were too few to calibrate."""
+        return votes if self.line is None else 1 / (1 + np.exp(-(self.line[0] * _logit(votes) + self.line[1])))
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
 
-BlockMaxIndex = ExampleIndex  # its name before it held all terms
+
+def calibration(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic map of votes to probabilities, by Newton steps, held towards slope 1 and shift 0."""
+    x, weight = np.stack([_logit(votes), np.ones(len(votes))], axis=1), weight * len(votes) / max(weight.sum(), 1e-9)
+    start = np.array([1.0, 0.0])
+    at = start.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-(x @ at)))
+        slope = x.T @ (weight * (labels - p)) - (at - start)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        at += np.clip(step, -1, 1)
+    return float(max(at[0], 0.05)), float(at[1])
+
+
+def term_values(found: np.ndarray, toxic: np.ndarray, rows: int, toxic_rows: float) -> np.ndarray:
+    """idf of each term, times the square of its relevance to label 1.
+
+    The relevance is log2(1 + odds ratio of label 1 among texts with the term), 1 where label 1 is not likelier with it;
+    the share of label 1 is drawn to that of all texts, as if SHRINK more texts had the term.
+    """
+    share = toxic_rows / max(1, rows)
+    if not 0 < share < 1:
+        return np.log((rows + 1) / (found + 1)) + 1
+    p = np.minimum((toxic + SHRINK * share) / (found + SHRINK), 1 - 1e-9)
+    odds = p / (1 - p) * (1 - share) / share
+    return (np.log((rows + 1) / (found + 1)) + 1) * np.log2(1 + np.maximum(odds, 1)) ** 2
+
+
+def build_index(text: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids, weight: np.ndarray, rows: np.ndarray | None = None) -> ExampleIndex:
+    """The index over all examples, or over some `rows` of them; terms (text, term, times) are sorted by text."""
+    if rows is not None:
+        number = np.full(len(labels), -1)
+        number[rows] = np.arange(len(rows))
+        keep = number[text] >= 0
+        text, term, times = number[text[keep]], term[keep], times[keep]
+        labels, ids, weight = labels[rows], [ids[i] for i in rows.tolist()], weight[rows]
+    terms, col = np.unique(term, return_inverse=True)
+    value = term_values(np.bincount(col, minlength=len(terms)), np.bincount(col, labels[text], len(terms)), len(labels), labels.sum())
+    return ExampleIndex(terms, value, labels, ids, weight, text, col.astype(np.int32), times)
+
+
+def query_vectors(index: ExampleIndex, text: np.ndarray, term: np.ndarray, times: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(columns, weights) of each of n texts; only terms of the index count."""
+    place = np.minimum(np.searchsorted(index.terms, term), max(0, len(index.terms) - 1))
+    known = index.terms[place] == term if len(index.terms) else np.zeros(len(term), np.bool_)
+    text, col = text[known], place[known]
+    w = unit_vectors(text, col, times[known], index.value, n)
+    cuts = np.searchsorted(text, np.arange(n + 1))
+    return [(col[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def fit_calibration(index: ExampleIndex, text: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids, weight: np.ndarray) -> None:
+    """Sets the index's calibration from votes for examples of each half by an index over the other half; of each
+    half and label at most CALIBRATION examples are asked."""
+    half = np.arange(len(labels)) % 2
+    votes, truth, counts = [], [], []
+    for h in (0, 1):
+        rows = np.flatnonzero(half == h)
+        if not 0 < labels[rows].sum() < len(rows):
+            return
+        other = build_index(text, term, times, labels, ids, weight, rows)
+        for y in (0, 1):
+            asked = np.flatnonzero((half != h) & (labels == y))
+            drawn = asked[np.unique(np.linspace(0, len(asked) - 1, CALIBRATION).astype(np.int64))] if len(asked) > CALIBRATION else asked
+            spans = [slice(*np.searchsorted(text, [i, i + 1])) for i in drawn.tolist()]
+            queries = [query_vectors(other, np.zeros(s.stop - s.start, np.int64), term[s], times[s], 1)[0] for s in spans]
+            votes += [other.vote(*x) for x in other.nearest_many(queries, NEIGHBOURS)]
+            truth += [y] * len(drawn)
+            counts += [weight[asked].sum() / max(1, len(drawn))] * len(drawn)
+    index.line = calibration(np.array(votes), np.array(truth, float), np.array(counts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ExampleIndex:
     """The index over a bounded sample of the labelled rows: at most EXAMPLES of each label, by the order of a hash of
     their id. The vote of an example counts for the rows of its label that were not drawn.
 
-    All terms of the sample are indexed. A term weighs its idf, times a relevance of 1 or more that grows with how
-    much more often toxic examples have it than others. Labels that are null are left out; an id with several labels
-    counts as toxic if one of them is 1. Without labels of both kinds every score is 0 or 1.
+    All terms of the sample are indexed (see term_values for their weights), and the votes are calibrated within the
+    sample. Labels that are null are left out; an id with several labels counts as toxic if one of them is 1, and an id
+    with several texts as one example for each. Without labels of both kinds every score is 0 or 1.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
     known = known.join(docs.select(F.col(key).alias("id")).dropna().distinct(), "id", "left_semi")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(EXAMPLES) for t in (0, 1)]
-    sample = parts[0].unionAll(parts[1])
+    # Only ids under a hash bound that about EXAMPLES (and some more) of a label pass are sorted.
+    place = F.xxhash64("id", F.lit(5)).bitwiseAND((1 << 52) - 1)
+    share = F.when(F.col("toxic") == 1, min(1.0, 1.2 * EXAMPLES / max(1, totals.get(1, 0)))).otherwise(min(1.0, 1.2 * EXAMPLES / max(1, totals.get(0, 0))))
+    some = known.where(F.col("toxic").isin(0, 1) & (place < share * float(1 << 52)))
+    sample = sorted((r["toxic"], r["place"], r["id"]) for r in some.select("toxic", place.alias("place"), "id").collect())
+    sample = [x for t in (0, 1) for x in [(i, y) for y, _, i in sample if y == t][:EXAMPLES]]
     spark = docs.sparkSession
-    drawn = F.broadcast(spark.createDataFrame(sample.collect(), sample.schema))
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "id").select("id", "toxic", "text")
-    n = {t: min(EXAMPLES, totals.get(t, 0)) for t in (0, 1)}
-    rows = texts.toArrow().combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
-    ids, label = rows["id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    drawn = F.broadcast(spark.createDataFrame(sample, known.schema))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "id").select("id", "toxic", "text")
+    rows = rows.toArrow().combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    ids, label = rows["id"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64)
     found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     done = 0
     for batch in rows.select(["text"]).to_batches():
@@ -177,34 +325,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             own, term, times = text_terms(*text_bytes(b.column("text")))
             found.append(((own + done).astype(np.int32), term, times.astype(np.int32)))
             done += b.num_rows
-    text, term, times = (np.concatenate(x) for x in zip(*found))
+    text_no, term, times = (np.concatenate(x) for x in zip(*found))
     del rows, found
-    terms = np.unique(term)
-    col = np.searchsorted(terms, term).astype(np.int32)
-    del term
-    found, speaking = np.bincount(col, minlength=len(terms)), np.bincount(col, label[text], len(terms))
-    toxic_rows = label.sum()
-    ratio = (speaking + 0.5) / (toxic_rows + 1) / ((found - speaking + 0.5) / (len(ids) - toxic_rows + 1))
-    value = (np.log((len(ids) + 1) / (found + 1)) + 1) * np.log2(1 + np.maximum(ratio, 1))
-    weight = np.array([totals.get(int(y), 0) / max(1, n[int(y)]) for y in label])
-    base = float((weight * label).sum() / weight.sum()) if len(ids) else 0.0
-    index = ExampleIndex(terms, value, label, ids.astype(np.int64), weight, base)
-    index.add(text, col, times)
+    drawn_of = {t: sum(y == t for _, y in sample) for t in (0, 1)}
+    weight = np.array([totals.get(int(y), 0) / max(1, drawn_of[int(y)]) for y in label])
+    index = build_index(text_no, term, times, label, ids, weight)
+    fit_calibration(index, text_no, term, times, label, ids, weight)
     return index
 
 
 def score_texts(df: DataFrame, index: ExampleIndex, text: str = "text", evidence: bool = True) -> DataFrame:
-    """Adds score (0 to 1) and, if asked, evidence: the three nearest examples with their cosine and label.
+    """Adds score (0 to 1) and, if asked, evidence: the three nearest examples with their id, cosine and label.
 
-    The score of a text is the vote of its NEIGHBOURS nearest examples, by the square of their cosine's share of the
-    best one, drawn a little towards the share of toxic rows; texts without a term of any example (null and empty ones
-    too) get that share itself. The index is sent to the executors once; its size is that of the terms of at most
-    EXAMPLES texts of each label.
+    The score of a text is the vote of its NEIGHBOURS nearest examples, drawn a little towards the share of toxic rows,
+    and calibrated; texts without a term of any example (null and empty ones too) get that of the share itself. Equal
+    texts have equal scores. Columns named score or evidence are replaced, others are kept as they are; an empty table
+    gives no rows. The index is sent to the executors once; its size is that of the terms of at most EXAMPLES texts of
+    each label.
     """
     held = df.sparkSession.sparkContext.broadcast(index)
     out = df.drop("score", "evidence")
-    schema = extended(out, "score double" + ", evidence array<struct<doc_id:long,cosine:double,toxic:int>>" * evidence)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    whole = not index.ids or isinstance(index.ids[0], int)
+    schema = extended(out, "score double" + f", evidence array<struct<doc_id:{'long' if whole else 'string'},cosine:double,toxic:int>>" * evidence)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64() if whole else pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -212,15 +355,11 @@ def score_texts(df: DataFrame, index: ExampleIndex, text: str = "text", evidence
             for b in slices(batch, text):
                 raw, offsets = text_bytes(b.column(text))
                 owner, term, times = text_terms(raw, offsets, model.terms)
-                col = np.searchsorted(model.terms, term)
-                w = model.vectors(owner, col, times, model.idf, b.num_rows)
-                scores, why = np.full(b.num_rows, model.base), [[]] * b.num_rows
-                cuts = np.flatnonzero(np.diff(owner)) + 1
-                spans = list(zip([0, *cuts], [*cuts, len(owner)])) if len(owner) else []
-                for (x, _), (names, cosine) in zip(spans, model.nearest_many([(col[x:y], w[x:y]) for x, y in spans], NEIGHBOURS)):
-                    scores[owner[x]] = model.score(names, cosine)
-                    why[owner[x]] = [{"doc_id": int(model.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(names[:3], cosine)]
-                arrays = [*b.columns, pa.array(np.clip(scores, 0, 1))] + ([pa.array(why, kind)] if evidence else [])
+                votes, why = np.full(b.num_rows, model.base), []
+                for i, (names, cosine) in enumerate(model.nearest_many(query_vectors(model, owner, term, times, b.num_rows), NEIGHBOURS)):
+                    votes[i] = model.vote(names, cosine)
+                    why.append([{"doc_id": model.ids[j] if whole else str(model.ids[j]), "cosine": float(c), "toxic": int(model.labels[j])} for j, c in zip(names[:3].tolist(), cosine)])
+                arrays = [*b.columns, pa.array(model.calibrated(votes))] + ([pa.array(why, kind)] if evidence else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return out.mapInArrow(run, schema)

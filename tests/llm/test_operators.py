@@ -111,11 +111,51 @@ def test_fingerprints(spark, frame, texts):
     assert {(r["query_fingerprint"], r["fingerprint"]) for r in near} == {k for k, d in apart.items() if d <= 3}
 
 
+def check_shards(rows, shards, slack=0.03):
+    """Slots are gapless, sizes near equal (about one record apart, or `slack` of a share), and no small group is parted."""
+    share = sum(r["bytes"] for r in rows) / shards
+    largest = max((r["bytes"] for r in rows), default=0)
+    for s in range(shards):
+        mine = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["bytes"] for r in mine) - share) <= 2 * largest + slack * share
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["h"]].append(r)
+    for g in groups.values():
+        assert len({r["shard"] for r in g}) == 1 or sum(r["bytes"] for r in g) > share / 4
+
+
 def test_sharding(frame, texts):
-    rows = sharding.shard_by_bytes(frame.selectExpr("doc_id", "xxhash64(text) AS h", "cast(coalesce(octet_length(text), 0) + 8 AS long) AS bytes"), ["h", "doc_id"], "bytes", 3).collect()
-    assert sorted(r["doc_id"] for r in rows) == [i for i, _ in texts]
-    for s in {r["shard"] for r in rows}:
-        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    rows = sharding.shard_by_bytes(frame.selectExpr("doc_id", "xxhash64(text) AS h", "cast(coalesce(octet_length(text), 0) + 8 AS long) AS bytes", "1 AS shard", "2 AS part", "3 AS row_no", "4 AS k1", "5 AS size"), ["h", "doc_id"], "bytes", 3).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i, _ in texts] and {(r["part"], r["row_no"], r["k1"], r["size"]) for r in rows} == {(2, 3, 4, 5)}
+    check_shards(rows, 3)
+
+
+@pytest.mark.parametrize("hot", [0, 900])
+def test_sharding_of_many_rows(spark, hot, monkeypatch):
+    """Groups of equal keys, one of a third of all rows, null keys, repeated rows, and overfull ranges."""
+    r = random.Random(6)
+    rows = [(i, r.choice([r.randrange(1 << 40), r.randrange(50)]) if i % 5 else None, r.randint(8, 80)) for i in range(1800)] + [(i, 77, 20) for i in range(hot)] + [(5, 123, 30)] * 3
+    sizes = {}
+    rows = [(i, h, sizes.setdefault(h, n) if h is not None else n) for i, h, n in rows]
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
+    df = spark.createDataFrame(rows, "doc_id long, h long, bytes long").repartition(5)
+    got = sharding.shard_by_bytes(df, ["h", "doc_id"], "bytes", 6).collect()
+    assert Counter((x["doc_id"], x["h"], x["bytes"]) for x in got) == Counter(rows)
+    check_shards([x.asDict() | {"h": x["h"] if x["h"] is not None else -1} for x in got], 6)
+
+
+def test_sharding_query(spark, tmp_path, texts):
+    import zlib
+
+    rows = [*texts, texts[8], (90, "one"), (91, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op9_sharding(spark, str(tmp_path)).collect()
+    expected = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in got) == expected
+    assert all(x["law"] == "bytes" and 0 <= x["shard"] < 24 and x["grown_shard"] is None for x in got)
+    assert len({x["shard"] for x in got if x["doc_id"] in (3, 90, 91)}) == 1
 
 
 def test_warc_round_trip(spark):
@@ -168,20 +208,62 @@ def test_vectors_with_one_id_stay_apart(spark, rows):
     assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == vector_truth(rows)
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("block, dense", [(512, 512), (16, 8), (16, 0)])
+def test_nearest_examples_are_exact(block, dense, monkeypatch):
+    monkeypatch.setattr(toxicity, "EXAMPLE_BLOCK", block)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     r = np.random.default_rng(2)
     n, terms = 300, 40
     picks = [np.sort(r.choice(terms, r.integers(1, 6), replace=False)) for _ in range(n)]
     text, col = np.repeat(np.arange(n), [len(p) for p in picks]), np.concatenate(picks)
-    index = toxicity.BlockMaxIndex(np.arange(terms, dtype=np.uint64), r.uniform(1, 3, terms), r.integers(0, 2, n).astype(float), np.arange(n), np.ones(n), 0.1)
-    times = r.integers(1, 4, len(text))
-    index.add(text, col, times)
-    dense = np.zeros((n, terms))
-    dense[text, col] = index.vectors(text, col, times, index.idf, n)
-    for q in range(0, n, 7):
-        cols = picks[q]
-        _, best = index.nearest(cols, dense[q, cols], 10)
-        assert np.allclose(best, np.sort(dense @ dense[q])[::-1][: len(best)]) and len(best) == min(10, int((dense @ dense[q] > 0).sum()))
+    times, value = r.integers(1, 4, len(text)), r.uniform(1, 3, terms)
+    index = toxicity.ExampleIndex(np.arange(terms, dtype=np.uint64), value, r.integers(0, 2, n).astype(float), list(range(n)), np.ones(n), text, col, times)
+    full = np.zeros((n, terms))
+    full[text, col] = toxicity.unit_vectors(text, col, times, value, n)
+    assert sorted(index.ids) == list(range(n))
+    found = list(index.nearest_many([(picks[q], full[q, picks[q]]) for q in range(n)], 10))
+    for q, (names, best) in enumerate(found):
+        cosine = full @ full[q]
+        assert np.allclose(best, np.sort(cosine)[::-1][: len(best)], atol=1e-6) and len(best) == min(10, int((cosine > 0).sum()))
+        assert np.allclose(cosine[[index.ids[i] for i in names]], best, atol=1e-6)
+
+
+def test_calibration_follows_labels():
+    r = np.random.default_rng(5)
+    truth = r.uniform(0, 1, 4000)
+    labels = (r.uniform(0, 1, 4000) < truth).astype(float)
+    votes = 1 / (1 + np.exp(-0.5 * np.log(truth / (1 - truth))))  # too shy
+    slope, shift = toxicity.calibration(votes, labels, np.ones(4000))
+    assert abs(slope - 2) < 0.3 and abs(shift) < 0.2
+
+
+def test_toxicity_learns_from_rows_that_are_not_held_out(spark, tmp_path):
+    """The query's rows: nulls, empty and long texts, repeated rows, and labels that held-out rows would turn."""
+    import zlib
+
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(200)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    bad = {i for i in range(400) if i % 8 == 0}
+    rows = [(i, " ".join(r.choices(words, k=30) + (["vilest", "slurring"] if i in bad else []))) for i in range(400)] + [(400, None), (401, ""), (402, " ".join(r.choices(words, k=20000))), (None, words[0]), (3, None)]
+    rows[5] = (5, rows[4][1])
+    labels = [(i, int(i in bad) if not held(i) else int(i not in bad)) for i in range(400)] + [(None, 1), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert Counter(x["doc_id"] for x in got) == Counter(i for i, _ in rows)
+    assert all(x["predicted"] == (x["score"] >= 0.3) and 0 <= x["score"] <= 1 and x["held_out"] == (x["doc_id"] is not None and held(x["doc_id"])) for x in got)
+    scores = {x["doc_id"]: x["score"] for x in got if x["doc_id"] is not None and x["doc_id"] < 400}
+    asked = [i for i in scores if held(i) and i != 3]
+    assert all((scores[i] >= 0.3) == (i in bad) for i in asked) and np.mean([(scores[i] - (i in bad)) ** 2 for i in asked]) < 0.02
+    assert scores[4] == scores[5] and len({round(s, 6) for s in scores.values()}) > 200
+
+
+def test_toxicity_takes_any_id_and_column(spark):
+    docs = spark.createDataFrame([("a", "vile words here", 1, "x"), ("b", "kind words there", 2, "y"), ("b", None, 3, "z")], "doc_id string, text string, score int, idf string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int")
+    got = {(x["doc_id"], x["text"]): x for x in toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()}
+    assert got["a", "vile words here"]["evidence"][0]["doc_id"] == "a" and got["b", None]["idf"] == "z" and got["b", None]["evidence"] == []
 
 
 def test_licences(spark):
@@ -208,12 +290,12 @@ def test_toxicity_searches_all_terms(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(32)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     index = toxicity.fit(docs, labels)
-    assert sorted(index.ids.tolist()) == sorted(i for i, _ in rows if i is not None) and len(index.terms) == len({w for i, t in rows if i is not None for w in (t or "").split()} | {"seco", "secon", "seve"})
-    assert {int(index.ids[e]) for e in [*index.by_term, *index.by_slot_text]} == set(range(30))
+    assert sorted(index.ids) == sorted(i for i, _ in rows if i is not None) and len(index.terms) == len({w for i, t in rows if i is not None for w in (t or "").split()} | {"seco", "secon", "seve"})
+    assert {index.ids[e] for e in [*index.posted, *index.by_slot_text]} == set(range(30)) | {7}
     by_word = {}
     for i, t in rows[:30]:
         for w in set(t.split()):
             by_word.setdefault(w, set()).add(i)
     got = {x["text"]: x for x in toxicity.score_texts(spark.createDataFrame([(w,) for w in by_word] + [("zzz",), (None,)], "text string"), index).collect()}
     assert all(x["evidence"] and {e["doc_id"] for e in x["evidence"]} <= by_word[w] for w, x in got.items() if w in by_word)
-    assert got["zzz"]["evidence"] == [] == got[None]["evidence"] and got["zzz"]["score"] == got[None]["score"] == index.base > 0
+    assert got["zzz"]["evidence"] == [] == got[None]["evidence"] and got["zzz"]["score"] == got[None]["score"] == index.calibrated(np.array([index.base]))[0] > 0
