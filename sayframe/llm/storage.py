@@ -11,11 +11,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, one of our own is set (local runs only)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own is set on a local master, and any other
+    is refused, as its executors do not share the driver's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sayframe-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -55,3 +58,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The frame's schema with further fields; a frame's own schema object is never changed."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
