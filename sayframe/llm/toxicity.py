@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .storage import extended
 from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, mix, slices, text_bytes
 
-#: Bound of the fitted part: examples of each label.
-EXAMPLES = 4096
+#: Bound of the fitted part: examples of each label. Held-out quality is the same for 1,024, 2,048 and 4,096 (see the README); the time of a search grows with it.
+EXAMPLES = 2048
 NEIGHBOURS, SMOOTH, SHRINK = 15, 1.0, 4.0
 #: Examples of a block of the index, and of each half and label that calibrate.
-EXAMPLE_BLOCK, CALIBRATION = 512, 256
+EXAMPLE_BLOCK, CALIBRATION = 256, 256
 #: Terms that are held as full rows at most, and texts that are multiplied with them at once.
-DENSE, BLOCK = 512, 64
+DENSE, BLOCK = 1024, 256
 THRESHOLD = 0.3
 #: Words are runs of letters, digits and bytes over 127; a term is a word, or the first 4, 5 or 6 bytes of a longer one.
 _WORD = np.zeros(256, np.bool_)
@@ -104,7 +104,7 @@ class ExampleIndex:
 
     Examples that are alike lie in one block of EXAMPLE_BLOCK, and each term has its largest weight in each block. The
     sum of these over a text's terms bounds its cosine to every example of a block. A text is compared with its most
-    promising block first, and then with the blocks alone whose bound reaches the k-th best cosine so far, so the k
+    promising blocks first, and then with the blocks alone whose bound reaches the k-th best cosine so far, so the k
     nearest examples are exact. At most DENSE of the most common terms are rows of a matrix, the rest are postings.
 
     The matrix product is in single precision. For the k best, and those that rounding leaves in doubt, its part of the
@@ -135,25 +135,29 @@ class ExampleIndex:
         self.by_slot, self.by_slot_text, self.by_slot_w = self.slot[col[rows]], text[rows].astype(np.int32), w[rows]
         rows = np.flatnonzero(self.slot[col] < 0)
         rows = rows[np.lexsort((text[rows], col[rows]))]
-        self.posted, self.posted_w = text[rows].astype(np.int32), w[rows]
+        self.postings = np.empty(len(rows), [("text", np.int32), ("w", np.float32)])  # side by side, to be read at once
+        self.postings["text"], self.postings["w"] = text[rows], w[rows]
         # Block maxima: an entry for each term and block, with the block's postings.
         key = col[rows].astype(np.int64) * self.blocks + text[rows] // EXAMPLE_BLOCK
-        self.first = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int64)
-        self.top = np.maximum.reduceat(self.posted_w, self.first) if len(self.first) else np.zeros(0, np.float32)
-        self.block = (key[self.first] % max(1, self.blocks)).astype(np.int32)
-        self.size = np.diff(np.append(self.first, len(rows)))
-        self.entry = np.searchsorted(key[self.first], np.arange(len(terms) + 1) * self.blocks)
+        self.first = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
+        self.tops = np.empty(len(self.first), [("block", np.int32), ("w", np.float32)])
+        self.tops["block"] = key[self.first] % max(1, self.blocks)
+        self.tops["w"] = np.maximum.reduceat(self.postings["w"], self.first) if len(self.first) else np.zeros(0, np.float32)
+        self.size = np.diff(np.append(self.first, len(rows))).astype(np.int32)
+        self.entry = np.searchsorted(key[self.first], np.arange(len(terms) + 1) * self.blocks).astype(np.int32)
 
     def _matrices(self) -> None:
         """The common terms' rows, and their block maxima; made in the worker, as they are sent more cheaply as lists."""
-        self.dense = np.zeros((self.common, self.blocks * EXAMPLE_BLOCK), np.float32)
-        self.dense[self.by_slot, self.by_slot_text] = self.by_slot_w
-        self.dense_top = self.dense.reshape(self.common, self.blocks, EXAMPLE_BLOCK).max(axis=2) if self.blocks else np.zeros((self.common, 0), np.float32)
+        self.dense = np.zeros((self.blocks, self.common, EXAMPLE_BLOCK), np.float32)
+        self.dense[self.by_slot_text // EXAMPLE_BLOCK, self.by_slot, self.by_slot_text % EXAMPLE_BLOCK] = self.by_slot_w
+        self.dense_top = np.ascontiguousarray(self.dense.max(axis=2).T)
 
     def _postings(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
         size = self.size[entries]
-        place = np.repeat(self.first[entries] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.posted[place], np.repeat(weights, size) * self.posted_w[place], self.blocks * EXAMPLE_BLOCK)
+        place = np.repeat(self.first[entries] - (np.cumsum(size, dtype=np.int32) - size), size)
+        place += np.arange(len(place), dtype=np.int32)
+        found = self.postings.view(np.int64)[place].view(self.postings.dtype)
+        return np.bincount(found["text"], np.repeat(weights, size) * found["w"], self.blocks * EXAMPLE_BLOCK)
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each unit vector (columns, weights) the k examples of the largest positive cosine, best first."""
@@ -173,33 +177,38 @@ class ExampleIndex:
             slot = self.slot[cols]
             asked[i, slot[slot >= 0]] = weights[slot >= 0]
             first, many = self.entry[cols], self.entry[cols + 1] - self.entry[cols]
-            entries = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            entries = np.repeat(first - (np.cumsum(many, dtype=np.int32) - many), many)
+            entries += np.arange(len(entries), dtype=np.int32)
             each = np.repeat(weights.astype(np.float32), many)
-            lists.append((entries, each))
-            bound[i] = np.bincount(self.block[entries], each * self.top[entries], self.blocks)
+            tops = self.tops.view(np.int64)[entries].view(self.tops.dtype)
+            lists.append((entries, each, tops["block"]))
+            bound[i] = np.bincount(tops["block"], each * tops["w"], self.blocks)
         bound += asked @ self.dense_top + 1e-5
-        about, rare = np.full((m, self.blocks * width), -1.0), [None] * m
+        first = -(-self.blocks // 16)
+        wanted = bound >= np.partition(bound, -first, axis=1)[:, -first:][:, :1]
+        about = np.empty((m, self.blocks, width), np.float32)
+        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(m)]
         least = np.zeros(m)
-        wanted = np.zeros((m, self.blocks), np.bool_)
-        wanted[np.arange(m), bound.argmax(axis=1)] = True
         for step in range(2):
             for b in np.flatnonzero(wanted.any(axis=0)):
                 rows = np.flatnonzero(wanted[:, b])
-                about[rows, b * width : (b + 1) * width] = asked[rows] @ self.dense[:, b * width : (b + 1) * width]
+                about[rows, b] = asked[rows] @ self.dense[b]
             for i in np.flatnonzero(wanted.any(axis=1)):
-                entries, each = lists[i]
-                mine = wanted[i][self.block[entries]]
-                more = self._postings(entries[mine], each[mine])
-                rare[i] = more if rare[i] is None else rare[i] + more
-            scores = np.stack([np.where(a >= 0, a + r, -1.0) for a, r in zip(about, rare)])
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(m, -1.0)
-            if step == 0:
-                done = wanted
-                wanted = (bound >= np.maximum(least, 0)[:, None] - 1e-5) & ~done
-        for i, (cols, weights) in enumerate(queries):
-            names = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i] - 1e-5))
-            slot = self.slot[cols]
-            cosine = rare[i][names] + (self.dense[slot[slot >= 0][:, None], names] * weights[slot >= 0][:, None]).sum(axis=0)
+                entries, each, blocks = lists[i]
+                mine, some = wanted[i][blocks], np.flatnonzero(wanted[i])
+                rare = self._postings(entries[mine], each[mine]).reshape(-1, width)[some].ravel()
+                names = (some[:, None] * width + np.arange(width)).ravel()
+                found[i].append((names, about[i, some].ravel() + rare, rare))
+                if step == 0 and len(names) >= k:
+                    least[i] = max(0.0, np.partition(found[i][0][1], -k)[-k])
+            wanted = (bound >= least[:, None] - 1e-5) & ~wanted
+        for (cols, weights), parts in zip(queries, found):
+            names, score, rare = (np.concatenate(x) for x in zip(*parts))
+            kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+            near = np.flatnonzero((score > 0) & (score >= kth - 1e-5))
+            names, slot = names[near], self.slot[cols]
+            mine = self.dense[names[:, None] // width, slot[slot >= 0], names[:, None] % width]
+            cosine = rare[near] + (mine * weights[slot >= 0]).sum(axis=1)
             best = np.lexsort((names, -cosine))[:k]
             yield names[best], cosine[best]
 

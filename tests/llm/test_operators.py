@@ -291,7 +291,7 @@ def test_toxicity_searches_all_terms(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(32)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     index = toxicity.fit(docs, labels)
     assert sorted(index.ids) == sorted(i for i, _ in rows if i is not None) and len(index.terms) == len({w for i, t in rows if i is not None for w in (t or "").split()} | {"seco", "secon", "seve"})
-    assert {index.ids[e] for e in [*index.posted, *index.by_slot_text]} == set(range(30)) | {7}
+    assert {index.ids[e] for e in [*index.postings["text"], *index.by_slot_text]} == set(range(30)) | {7}
     by_word = {}
     for i, t in rows[:30]:
         for w in set(t.split()):
