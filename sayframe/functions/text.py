@@ -22,21 +22,55 @@ SENTENCE_BREAK = r"(?<!(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc))([.!?\x{
 _SPAN = "array<struct<start:int,end:int>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where the value is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: int, add) -> Column:
+    """What `add` has made of `zero` and all values before each one. Appending to an array copies it, so values are
+    folded in stretches, and the work stays in proportion to their number."""
+    size = 64
+    start = F.array().cast("array<struct<at:int,out:array<int>>>")
+
+    def stretch(whole: Column):
+        def fold(done: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(zero))
+            first = F.struct(before.alias("at"), F.array().cast("array<int>").alias("out"))
+            step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+            return F.concat(done, F.array(F.aggregate(F.slice(whole, k * size + 1, size), first, step)))
+
+        return F.flatten(F.transform(F.aggregate(F.sequence(F.lit(0), F.floor((F.greatest(F.size(whole), F.lit(1)) - 1) / size).cast("int")), start, fold), lambda w: w["out"]))
+
+    return let(values, stretch)
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of all values before each one."""
+    return running(values, 0, lambda a, x: a + x)
+
+
+def _parts(text: Column, pattern: str, body) -> Column:
+    """body(parts, places): the text split at the borders of the pattern's matches, so that each odd part is a match, and
+    the place of each part, the running sum of the lengths before."""
+    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, f"{MARK}$0{MARK}")
+    return let(F.split(marked, MARK), lambda parts: let(running_sums(F.transform(parts, F.length)), lambda at: body(parts, at)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end>> of the pattern's matches from left to right, half open, in code points.
 
-    Matches are bracketed by a mark and the text is split there, so each odd part is a match; lengths are summed in
-    one fold. A pattern must not match the empty string. Null gives null.
+    A pattern must not match the empty string. Null gives null.
     """
-    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, f"{MARK}$0{MARK}")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("out"))
+    odd = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end")))
+    return _parts(text, pattern, lambda parts, at: F.when(F.size(parts) > 1, odd(at).cast(_SPAN)).when(parts.isNotNull(), F.array().cast(_SPAN)))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        found = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(marked.contains(MARK), F.aggregate(F.split(marked, MARK), start, step, lambda acc: acc["out"])).when(text.isNotNull(), F.array().cast(_SPAN))
+def matches(text: Column, pattern: str) -> Column:
+    """The same with the matched text: array<struct<start,end,surface>>, so that what explodes them can leave the text."""
+    kind = "array<struct<start:int,end:int,surface:string>>"
+    odd = lambda parts, at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end"), F.get(parts, k).alias("surface")))
+    return _parts(text, pattern, lambda parts, at: F.when(F.size(parts) > 1, odd(parts, at).cast(kind)).when(parts.isNotNull(), F.array().cast(kind)))
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:

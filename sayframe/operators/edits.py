@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import cut
+from ..functions.text import cut, let, running_sums
 from ..model import MappingError
 
 EDIT = "struct<source_start:int,source_end:int,source:string,replacement:string>"
@@ -20,25 +20,20 @@ def with_offsets(changes: DataFrame) -> DataFrame:
 
 def placed(edits: Column) -> Column:
     """The same for one unit's sorted array of edits: each gains output_start and output_end."""
+    growth = F.transform(edits, lambda c: F.length(c["replacement"]) - (c["source_end"] - c["source_start"]))
 
-    def before(i: Column) -> Column:
-        return F.aggregate(F.slice(edits, 1, i), F.lit(0), lambda a, c: a + F.length(c["replacement"]) - (c["source_end"] - c["source_start"]))
+    def place(before: Column) -> Column:
+        start = lambda c, i: c["source_start"] + F.get(before, i)
+        return F.transform(edits, lambda c, i: c.withField("output_start", start(c, i)).withField("output_end", start(c, i) + F.length(c["replacement"])))
 
-    def place(c: Column, i: Column) -> Column:
-        start = c["source_start"] + before(i)
-        return c.withField("output_start", start).withField("output_end", start + F.length(c["replacement"]))
-
-    return F.transform(edits, place)
+    return let(running_sums(growth), place)
 
 
 def rebuild(text: Column, edits: Column) -> Column:
     """The text with its sorted edits applied."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        return F.struct(c["source_end"].alias("at"), F.concat(acc["out"], F.array(cut(text, acc["at"], c["source_start"]), c["replacement"])).alias("out"))
-
-    return F.aggregate(edits, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    end = lambda i: F.coalesce(F.get(edits, i)["source_end"], F.lit(0))
+    parts = F.transform(edits, lambda c, i: F.concat(cut(text, end(i - 1), c["source_start"]), c["replacement"]))
+    return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(edits) - 1) + 1, F.length(text)))
 
 
 def problem(text: Column, edits: Column) -> Column:

@@ -11,16 +11,24 @@ from .sentences import sentence_spans
 _REASONS = ("unknown_to_lexicon", "rare_word", "proper_name_candidate", "mixed_case", "all_caps", "contains_unusual_graphemes")
 
 
-def tokens(units: DataFrame) -> DataFrame:
-    """Words outside links and protected spans: unit_id, ordinal, language, surface, normalized, start, end,
-    sentence_index and four flags. Single letters are left out unless they are unusual."""
+#: What every link has; texts without it are not searched for links.
+_LINK_SIGN = r"(?i)://|@|www[.]|[.][a-z]"
+
+
+def _words(units: DataFrame) -> DataFrame:
+    """Words outside links and protected spans, and whether each starts its sentence."""
     # Neither words nor links hold the white space that divides sentences, so each sentence is searched by itself.
     parts = units.select("unit_id", "ordinal", "language", "protected_spans", F.inline(sentence_spans(F.col("text")))).withColumnsRenamed({"start": "_base", "end": "_end"})
     text = F.col("text")
-    found = parts.withColumn("_links", spans(text, LINK_PATTERN)).select("*", F.posexplode(spans(text, TOKEN_PATTERN)).alias("_nth", "_token"))
+    links = F.when(text.rlike(_LINK_SIGN), spans(text, LINK_PATTERN))
+    found = parts.withColumn("_links", links).select("*", F.posexplode(spans(text, TOKEN_PATTERN)).alias("_nth", "_token"))
     start, end = F.col("_base") + F.col("_token.start"), F.col("_base") + F.col("_token.end")
-    blocked = F.exists("_links", lambda x: overlaps(x, F.col("_token"))) | F.exists("protected_spans", lambda p: (p["start"] < end) & (start < p["end"]))
-    rows = found.where(~F.coalesce(blocked, F.lit(False))).select("unit_id", "ordinal", "language", cut(text, F.col("_token.start"), F.col("_token.end")).alias("surface"), start.alias("start"), end.alias("end"), F.col("index").alias("sentence_index"), (F.col("_nth") == 0).alias("_starts"))
+    blocked = F.coalesce(F.exists("_links", lambda x: overlaps(x, F.col("_token"))), F.lit(False)) | F.coalesce(F.exists("protected_spans", lambda p: (p["start"] < end) & (start < p["end"])), F.lit(False))
+    return found.where(~blocked).select("unit_id", "ordinal", "language", cut(text, F.col("_token.start"), F.col("_token.end")).alias("surface"), start.alias("start"), end.alias("end"), F.col("index").alias("sentence_index"), (F.col("_nth") == 0).alias("_starts"))
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    """Adds normalized and four flags to rows with surface and _starts; single letters go unless they are unusual."""
     s = F.col("surface")
     letters = F.regexp_replace(s, r"\P{L}", "")
     unusual = s.rlike(r"[\p{M}\p{Cf}\p{Co}\p{Cs}\p{Cn}]")
@@ -32,6 +40,12 @@ def tokens(units: DataFrame) -> DataFrame:
     return flagged.where((F.col("_letters") != 1) | F.col("unusual")).drop("_starts", "_letters")
 
 
+def tokens(units: DataFrame) -> DataFrame:
+    """Words outside links and protected spans: unit_id, ordinal, language, surface, normalized, start, end,
+    sentence_index and four flags. Single letters are left out unless they are unusual."""
+    return _flagged(_words(units))
+
+
 def _display(forms: str) -> Column:
     """The form that occurs most; then a title-case one, one that is not upper case, the least."""
     best = F.array_sort(F.transform(forms, lambda f: F.struct((-f["n"]).alias("n"), (~is_titlecase(f["surface"])).alias("t"), f["surface"].rlike(r"^[^\p{IsLowercase}]*\p{IsUppercase}[^\p{IsLowercase}]*$").alias("u"), casefold(f["surface"]).alias("c"), f["surface"].alias("surface"))))
@@ -42,18 +56,19 @@ def review_lexicon(units: DataFrame, lexicon: DataFrame | None = None, max_frequ
     """Findings in order of urgency: id, language, surface, normalized, count, known, frequency_rank, frequency_count,
     reasons, occurrences and priority.
 
-    Words are summed by surface first and by normal form then; only terms of min_count or more meet the lexicon
+    Words are summed by surface first, which then gets its flags, and by normal form then; only terms of min_count or more meet the lexicon
     (normalized, known, frequency_rank, frequency_count), by a left join, so a term that it lacks has unknown (null) evidence.
     Without a limit the order is that of priority, count, rank, normalized, id.
     """
     if min(max_frequency_rank, min_count, max_items or 1) < 1:
         raise ValueError("max_frequency_rank, min_count and max_items are 1 at least")
-    rows = tokens(units).withColumn("language_key", casefold(F.col("language")))
+    rows = _words(units).withColumn("language_key", casefold(F.col("language")))
     place = F.struct("ordinal", "unit_id", "start", "end", "sentence_index")
-    forms = rows.groupBy("language_key", "normalized", "surface").agg(
-        F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "language")).alias("first"), *[F.bool_or(c).alias(c) for c in ("unusual", "mixed_case", "all_caps", "proper_name")],
+    surfaces = rows.groupBy("language_key", "surface").agg(
+        F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "language")).alias("first"), F.bool_and("_starts").alias("_starts"),
         *([F.collect_list(place).alias("places")] if occurrences else []),
     )
+    forms = _flagged(surfaces)
     terms = forms.groupBy("language_key", "normalized").agg(
         F.sum("n").alias("count"), F.collect_list(F.struct("n", "surface")).alias("forms"), F.min("first")["language"].alias("language"), *[F.bool_or(c).alias(c) for c in ("unusual", "mixed_case", "all_caps", "proper_name")],
         *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if occurrences else []),

@@ -13,18 +13,27 @@ MAP = "struct<source_length:int,output_length:int,source_left:array<int>,source_
 
 
 def _side(length: Column, edits: Column, a: str, b: str, bias: str) -> Column:
-    """For each place 0..length of side a its place on side b."""
-
-    def at(i: Column) -> Column:
-        inside = F.get(F.filter(edits, lambda c: (c[f"{a}_start"] <= i) & (i < c[f"{a}_end"])), F.lit(0))
-        empty = F.get(F.filter(edits, lambda c: (c[f"{a}_start"] == i) & (c[f"{a}_end"] == i)), F.lit(0))
-        before = F.filter(edits, lambda c: c[f"{a}_end"] <= i)
-        last = F.get(before, F.size(before) - 1)
-        plain = i + F.coalesce(last[f"{b}_end"] - last[f"{a}_end"], F.lit(0))
-        held = F.coalesce(empty, inside)
-        return F.when(held.isNotNull(), held[f"{b}_start" if bias == "left" else f"{b}_end"]).otherwise(plain)
-
-    return F.transform(F.sequence(F.lit(0), length), at)
+    """For each place 0..length of side a its place on side b, stretch by stretch: what lies before each edit, the edit,
+    and the rest. An edit that is empty on side a holds its place there, of several the first."""
+    none = F.array().cast("array<int>")
+
+    def stretch(first: Column, last: Column, shift: Column) -> Column:
+        return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: i + shift)).otherwise(none)
+
+    def behind(i: Column) -> tuple[Column, Column, Column, Column]:
+        """Of edit i (or the text's start): its end, its shift, the first place behind it, whether it is empty."""
+        c = F.get(edits, i)
+        end, empty = F.coalesce(c[f"{a}_end"], F.lit(0)), F.coalesce(c[f"{a}_start"] == c[f"{a}_end"], F.lit(False))
+        return end, F.coalesce(c[f"{b}_end"] - c[f"{a}_end"], F.lit(0)), end + empty.cast("int"), empty
+
+    def each(c: Column, i: Column) -> Column:
+        end, shift, free, empty = behind(i - 1)
+        held = empty & (end == c[f"{a}_start"])
+        count = F.greatest(c[f"{a}_end"] - c[f"{a}_start"], F.lit(1)) - held.cast("int")
+        return F.concat(stretch(free, c[f"{a}_start"] - 1, shift), F.array_repeat(c[f"{b}_start" if bias == "left" else f"{b}_end"], count))
+
+    _, shift, free, _ = behind(F.size(edits) - 1)
+    return F.concat(F.flatten(F.transform(edits, each)), stretch(free, length, shift))
 
 
 def source_output_map(text: Column, spoken: Column, edits: Column) -> Column:

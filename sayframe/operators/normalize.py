@@ -73,12 +73,14 @@ def normalize(units: DataFrame, profile: PreparationProfile | None = None, block
     profile = profile or PreparationProfile()
     proposed = rule_edits(F.col("text"), F.col("linguistic_tokens"), profile)
     free = F.filter(proposed, lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
-    start = F.array().cast(_EDITS)
-    chosen = F.aggregate(free, start, lambda acc, e: F.when(F.exists(acc, lambda a: (a["start"] < e["end"]) & (e["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(e))))
+    # Proposals are in order of place, so the last chosen one ends last.
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+    chosen = F.aggregate(free, F.array().cast(_EDITS), lambda acc, e: F.when(e["start"] < last(acc), acc).otherwise(F.concat(acc, F.array(e))))
     english = F.split(language_key(F.col("language")), "-")[0] == "en"
-    rows = units.where(english).select("unit_id", "text", "language", F.explode(chosen).alias("e"))
+    sourced = F.transform(chosen, lambda e: e.withField("source", cut(F.col("text"), e["start"], e["end"])))
+    rows = units.where(english).select("unit_id", "language", F.explode(sourced).alias("e"))
     return rows.select(
-        "unit_id", F.col("e.start").alias("source_start"), F.col("e.end").alias("source_end"), cut(F.col("text"), F.col("e.start"), F.col("e.end")).alias("source"), F.col("e.replacement").alias("replacement"),
+        "unit_id", F.col("e.start").alias("source_start"), F.col("e.end").alias("source_end"), F.col("e.source").alias("source"), F.col("e.replacement").alias("replacement"),
         F.array("e.stage").alias("stages"), F.col("e.kind").alias("kind"), F.col("e.rule").alias("rule"), F.col("e.domain").alias("recognition_domain"),
         json_column(origin=F.lit(f"{ORIGIN}.rules"), language=F.col("language")).alias("provenance"), F.lit("en").alias("language"),
     )

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.text import WORD_CLASS, cut, spans
+from ..functions.text import WORD_CLASS, cut, let, matches, running, spans
 from ..model import ORIGIN, InvalidUnitError, OverrideConflictError, SpeechOverride
 
 _CANDIDATE = "array<struct<rank:int,size:int,ord:int,start:int,end:int,priority:int,id:string,spoken:string>>"
 _ISSUE = "array<struct<code:string,start:int,end:int,id:string,blocking:array<string>>>"
-#: From this many plain word overrides for all units on, they are found by a join on words instead of one pattern each.
-JOIN_FROM = 32
+_RANKED_ISSUE = f"array<struct<by:{_CANDIDATE[6:-1]},issue:{_ISSUE[6:-1]}>>"
+_RANKED_ERROR = f"array<struct<by:{_CANDIDATE[6:-1]},message:string>>"
 _WORD_RUN = f"[{WORD_CLASS}'\\-]+"
 
 
@@ -33,13 +33,12 @@ def _joinable(o: SpeechOverride) -> bool:
 def match_overrides(units: DataFrame, overrides: Sequence[SpeechOverride]) -> DataFrame:
     """`units` with `candidates`: all matches of the overrides in their scope, sorted by priority, length, order and place.
 
-    Many plain word overrides are matched by an equality join of the texts' words with the policy, which is broadcast
-    by Spark only while it is small. Occurrences whose text is not the surface raise InvalidUnitError's message.
+    Plain word overrides for all units are matched by an equality join of the texts' words with the policy, which is
+    broadcast by Spark only while it is small; all others by a pattern each. Occurrences whose text is not the surface raise InvalidUnitError's message.
     """
     spark = units.sparkSession
     numbered = list(enumerate(overrides))
     joined = [(i, o) for i, o in numbered if _joinable(o)]
-    joined = joined if len(joined) >= JOIN_FROM else []
     single = [x for x in numbered if x not in joined]
     text, parts = F.col("text"), [F.array().cast(_CANDIDATE)]
     for i, o in single:
@@ -56,7 +55,7 @@ def match_overrides(units: DataFrame, overrides: Sequence[SpeechOverride]) -> Da
     out = units.withColumn("candidates", F.concat(*parts))
     if joined:
         policy = spark.createDataFrame([(o.surface, i, o.id, o.spoken) for i, o in joined], "surface string, ord int, id string, spoken string")
-        words = units.select("unit_id", "text", F.explode(spans(text, _WORD_RUN)).alias("s")).select("unit_id", "s", cut(text, F.col("s.start"), F.col("s.end")).alias("surface"))
+        words = units.select("unit_id", F.explode(matches(text, _WORD_RUN)).alias("s")).select("unit_id", "s", "s.surface")
         hit = F.struct(F.lit(-1).alias("rank"), (F.col("s.start") - F.col("s.end")).alias("size"), F.col("ord"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(1).alias("priority"), F.col("id"), F.col("spoken"))
         more = words.join(policy, "surface").groupBy("unit_id").agg(F.collect_list(hit).cast(_CANDIDATE).alias("_more"))
         out = out.join(more, "unit_id", "left").withColumn("candidates", F.concat("candidates", F.coalesce("_more", F.array().cast(_CANDIDATE)))).drop("_more")
@@ -66,17 +65,19 @@ def match_overrides(units: DataFrame, overrides: Sequence[SpeechOverride]) -> Da
 def resolve_overrides(matched: DataFrame) -> DataFrame:
     """`matched` with `selected` (sorted by place), `override_issues` and `override_conflict` (a message, or null).
 
-    Candidates are taken in their order by one fold: a protected place is skipped first, then a place that a selected
-    one holds. Equal priorities with different replacements there are a conflict; a skipped candidate blocks nothing.
+    Candidates fall into clusters of places that overlap in turn; each cluster takes its candidates in their order: a
+    protected place is skipped first, then a place that a selected one holds. Equal priorities with different
+    replacements there are a conflict; a skipped candidate blocks nothing.
     """
-    start = F.struct(F.array().cast(_CANDIDATE).alias("sel"), F.array().cast(_ISSUE).alias("iss"), F.lit(None).cast("string").alias("err"))
+    start = F.struct(F.array().cast(_CANDIDATE).alias("sel"), F.array().cast(_RANKED_ISSUE).alias("iss"), F.array().cast(_RANKED_ERROR).alias("err"))
     blocked = F.col("protected_spans")
 
     def meets(a: Column, b: Column) -> Column:
         return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
     def issue(code: str, c: Column, blocking: Column) -> Column:
-        return F.array(F.struct(F.lit(code).alias("code"), c["start"].alias("start"), c["end"].alias("end"), c["id"].alias("id"), blocking.alias("blocking"))).cast(_ISSUE)
+        found = F.struct(F.lit(code).alias("code"), c["start"].alias("start"), c["end"].alias("end"), c["id"].alias("id"), blocking.alias("blocking"))
+        return F.array(F.struct(c.alias("by"), found.alias("issue"))).cast(_RANKED_ISSUE)
 
     def step(acc: Column, c: Column) -> Column:
         protected = F.coalesce(F.exists(blocked, lambda p: meets(p, c)), F.lit(False))
@@ -89,12 +90,23 @@ def resolve_overrides(matched: DataFrame) -> DataFrame:
             F.when(protected, F.concat(acc["iss"], issue("override.protected_overlap", c, F.lit(None).cast("array<string>"))))
             .when(taken & clash.isNull(), F.concat(acc["iss"], issue("override.lower_priority_overlap", c, F.transform(holders, lambda s: s["id"]))))
             .otherwise(acc["iss"]).alias("iss"),
-            F.when(~protected & clash.isNotNull(), F.coalesce(acc["err"], message)).otherwise(acc["err"]).alias("err"),
+            F.when(~protected & clash.isNotNull(), F.concat(acc["err"], F.array(F.struct(c.alias("by"), message.alias("message"))).cast(_RANKED_ERROR))).otherwise(acc["err"]).alias("err"),
         )
 
-    done = matched.withColumn("_fold", F.aggregate("candidates", start, step))
-    by_place = F.transform(F.array_sort(F.transform("_fold.sel", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c")))), lambda s: s["c"])
-    return done.withColumns({"selected": by_place, "override_issues": F.col("_fold.iss"), "override_conflict": F.col("_fold.err")}).drop("_fold", "candidates")
+    def clusters(placed: Column) -> Column:
+        """Of candidates by place: the runs that overlap in turn, each in the candidates' own order."""
+        reach = running(F.transform(placed, lambda x: x["end"]), 0, lambda a, e: F.greatest(a, e))
+        heads = let(reach, lambda r: F.filter(F.transform(placed, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        run = lambda h: F.transform(h, lambda i, k: F.array_sort(F.transform(F.slice(placed, i + 1, F.coalesce(F.get(h, k + 1), F.size(placed)) - i), lambda x: x["c"])))
+        return let(heads, run)
+
+    by_place = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c"))))
+    folded = let(by_place("candidates"), lambda placed: F.transform(clusters(placed), lambda c: F.aggregate(c, start, step)))
+    done = matched.withColumn("_fold", folded)
+    all_of = lambda name: F.flatten(F.transform("_fold", lambda f: f[name]))
+    selected = F.transform(by_place(all_of("sel")), lambda s: s["c"])
+    issues = F.transform(F.array_sort(all_of("iss")), lambda x: x["issue"])
+    return done.withColumns({"selected": selected, "override_issues": issues, "override_conflict": F.get(F.array_sort(all_of("err")), F.lit(0))["message"]}).drop("_fold", "candidates")
 
 
 def require_no_conflict(resolved: DataFrame) -> DataFrame:
@@ -120,8 +132,9 @@ def override_changes(resolved: DataFrame, overrides: Sequence[SpeechOverride]) -
 
     spark = resolved.sparkSession
     notes = spark.createDataFrame([(i, canonical_json({"origin": f"{ORIGIN}.override", "override_id": o.id, **o.provenance})) for i, o in enumerate(overrides)], "ord int, provenance string")
-    rows = resolved.select("unit_id", "text", F.explode("selected").alias("c")).select("unit_id", "text", "c.*").join(notes, "ord")
+    chosen = F.transform("selected", lambda c: c.withField("source", cut(F.col("text"), c["start"], c["end"])))
+    rows = resolved.select("unit_id", F.explode(chosen).alias("c")).select("unit_id", "c.*").join(notes, "ord")
     return rows.select(
-        "unit_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"), cut(F.col("text"), F.col("start"), F.col("end")).alias("source"), F.col("spoken").alias("replacement"),
+        "unit_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"), "source", F.col("spoken").alias("replacement"),
         F.array(F.lit("override")).alias("stages"), F.lit("override").alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("recognition_domain"), "provenance", F.lit(None).cast("string").alias("language"),
     )

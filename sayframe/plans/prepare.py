@@ -73,6 +73,7 @@ def prepare_units(units: DataFrame, overrides: Sequence[SpeechOverride] = (), pr
     profile = profile or PreparationProfile()
     units = require_valid(units) if validate else units
     changes, issues = first_pass(units, overrides, profile)
+    changes = changes.persist()  # read three times; lost parts are computed again
     groups = consistency.seed_groups(consistency.seeds(changes, units))
     more = _with_ids(consistency.consistency_changes(units, changes, groups)).select("unit_id", *_FIELDS)
     disputes = consistency.conflicts(groups).join(units.select("unit_id", "ordinal"), "unit_id").withColumns({"pass": F.lit(7), "pos": F.col("source_start"), "code_rank": F.lit(0)})
