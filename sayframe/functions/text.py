@@ -50,11 +50,16 @@ def running_sums(values: Column) -> Column:
     return running(values, 0, lambda a, x: a + x)
 
 
-def _parts(text: Column, pattern: str, body) -> Column:
-    """body(parts, places): the text split at the borders of the pattern's matches, so that each odd part is a match, and
-    the place of each part, the running sum of the lengths before."""
+def _found(text: Column, pattern: str, kind: str, match) -> Column:
+    """Of each match of the pattern, from left to right, match(parts, places, k): the text is split at the borders of the
+    matches, so that each odd part k is one, and its place is the running sum of the lengths before."""
     marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, f"{MARK}$0{MARK}")
-    return let(F.split(marked, MARK), lambda parts: let(running_sums(F.transform(parts, F.length)), lambda at: body(parts, at)))
+
+    def places(parts: Column) -> Column:
+        odd = let(running_sums(F.transform(parts, F.length)), lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: match(parts, at, k)))
+        return F.when(F.size(parts) > 1, odd.cast(kind)).when(parts.isNotNull(), F.array().cast(kind))
+
+    return let(F.split(marked, MARK), places)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -62,15 +67,13 @@ def spans(text: Column, pattern: str) -> Column:
 
     A pattern must not match the empty string. Null gives null.
     """
-    odd = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end")))
-    return _parts(text, pattern, lambda parts, at: F.when(F.size(parts) > 1, odd(at).cast(_SPAN)).when(parts.isNotNull(), F.array().cast(_SPAN)))
+    return _found(text, pattern, _SPAN, lambda parts, at, k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end")))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """The same with the matched text: array<struct<start,end,surface>>, so that what explodes them can leave the text."""
     kind = "array<struct<start:int,end:int,surface:string>>"
-    odd = lambda parts, at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end"), F.get(parts, k).alias("surface")))
-    return _parts(text, pattern, lambda parts, at: F.when(F.size(parts) > 1, odd(parts, at).cast(kind)).when(parts.isNotNull(), F.array().cast(kind)))
+    return _found(text, pattern, kind, lambda parts, at, k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end"), F.get(parts, k).alias("surface")))
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
