@@ -8,6 +8,8 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .storage import free_name
+
 #: Headers as licences ask for them, or as they are usually named.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -73,6 +75,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     weights = F.broadcast(spark.createDataFrame(rows, "word string, license string, idf double, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted({(w, i) for w, _, i, _ in rows}), "word string, idf double"))
     base = files.drop("license", "how", "inherited_from", "own_score", "own_licenses")
+    best_of, list_of, near_of = (free_name(base, c) for c in ("top", "licenses_found", "near"))
     keyed = base.withColumn("_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_text", F.unhex(F.md5(F.concat_ws("\n", F.col(path), F.coalesce(F.col(text), F.lit(""))))))
     pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(re.escape(w) for w in wanted) + r")($|[^a-z0-9])"
     scanned = keyed.where(F.col(text).rlike(pattern)).select("_text", F.lower(F.col(text)).alias("body")).dropDuplicates(["_text"])
@@ -97,15 +100,17 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     steps = F.split("folder", "/")
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))))
     near = folders.select("folder", F.posexplode(above).alias("depth", "above")).join(held, "above").groupBy("folder").agg(F.max_by(F.struct("file", "above"), "depth").alias("near"))
-    out = keyed.join(own.drop("file", "_path"), "_text", "left").withColumn("_folder", F.when(F.col("_path") != "", folder(F.col("_path")))).join(near.withColumnRenamed("folder", "_folder"), "_folder", "left")
-    mine, theirs = F.col("top.license"), F.col("near.file.license")
+    found = own.select("_text", F.col("top").alias(best_of), F.col("own_licenses").alias(list_of))
+    near = near.withColumnRenamed("near", near_of)
+    out = keyed.join(found, "_text", "left").withColumn("_folder", F.when(F.col("_path") != "", folder(F.col("_path")))).join(near.withColumnRenamed("folder", "_folder"), "_folder", "left")
+    mine, theirs = F.col(best_of)["license"], F.col(near_of)["file"]["license"]
     return out.select(
         *base.columns,
         F.coalesce(mine, theirs).alias("license"),
         F.when(mine.isNotNull(), "own").when(theirs.isNotNull(), "inherited").otherwise("none").alias("how"),
-        F.when(mine.isNull(), F.col("near.above")).alias("inherited_from"),
-        (-F.col("top.s")).alias("own_score"),
-        F.coalesce("own_licenses", F.array().cast("array<string>")).alias("own_licenses"),
+        F.when(mine.isNull(), F.col(near_of)["above"]).alias("inherited_from"),
+        (-F.col(best_of)["s"]).alias("own_score"),
+        F.coalesce(list_of, F.array().cast("array<string>")).alias("own_licenses"),
     )
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .storage import Scratch, extended
+from .storage import Scratch, extended, free_name
 from .words import inside, slices, text_bytes, word_hashes, word_spans
 
 CAPACITY = 4096
@@ -208,13 +208,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
 
     Only the histogram of lengths reaches the driver (at most `capacity` rows), and the packing that comes back has a
     size that depends on the number of lengths, not of rows. Rows of one length are numbered within salted groups, so
-    a length that many rows share does not meet in one task. An empty input gives no rows.
+    a length that many rows share does not meet in one task. Rows that repeat are packed each; the frame's own columns
+    may have any name, but its sequence_id and offset are replaced. A length out of range raises ValueError. An empty
+    input gives no rows.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    rows = scratch.table(pieces.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    row, salt, nth, before = (free_name(pieces, c) for c in ("row_no", "salt", "nth", "before"))
+    rows = scratch.table(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     histogram = sorted((r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in histogram)
+    if total and not 1 <= histogram[0][0] <= histogram[-1][0] <= capacity:
+        raise ValueError(f"lengths are 1 to {capacity}")
     lengths, counts = (np.array([h[k] for h in histogram], np.int64) for k in (0, 1))
     groups = round_configurations(lengths, counts, solve_configurations(lengths, counts, capacity) if total else {}, capacity)
     slots, used, sequence = [], defaultdict(int), 0
@@ -227,23 +233,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
             place += each * int(lengths[j])
         sequence += k
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    begin = (table[:, 0] << 48) + table[:, 1]
+    held = spark.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        begin = (table[:, 0] << 48) + table[:, 1]
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("nth").to_numpy()
+            length, rank = b.column("length").to_numpy(), b.column(nth).to_numpy()
             slot = table[np.searchsorted(begin, (length << 48) + rank, "right") - 1]
             within = rank - slot[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(slot[:, 3] + within // slot[:, 2]), pa.array(slot[:, 4] + within % slot[:, 2] * length)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     salts = max(1, int(total**0.5))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)))
-    sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    nth = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row_no")).cast("long") - 1)
-    ranked = nth.join(before, ["length", "salt"]).withColumn("nth", F.col("nth") + F.col("before"))
-    out = rows.drop("row_no")
-    return ranked.select(*out.columns, "nth").mapInArrow(place, extended(out, "sequence_id long, offset long"))
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)))
+    sums = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    earlier = sums.select("length", salt, (F.sum("n").over(Window.partitionBy("length").orderBy(salt)) - F.col("n")).alias(before))
+    numbered = salted.withColumn(nth, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)).cast("long") - 1)
+    ranked = numbered.join(earlier, ["length", salt]).withColumn(nth, F.col(nth) + F.col(before))
+    out = rows.drop(row)
+    return ranked.select(*out.columns, nth).mapInArrow(place, extended(out, "sequence_id long, offset long"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,32 @@ def test_packing_is_gapless_and_whole(spark, frame, texts):
     assert len(by_sequence) <= -(-sum(sizes.values()) // 4096) + 1
 
 
+def test_packing_query(spark, tmp_path, texts):
+    """Each piece's start, length and CRC are those of the tokenizer's own ids."""
+    import zlib
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, expected = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i, t in texts:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            expected[i, n, at, len(part), zlib.crc32(part.tobytes())] += 1
+    got = packing.op6_packing(spark, str(tmp_path)).collect()
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == expected
+
+
+def test_packing_keeps_any_column(spark):
+    rows = [(i, 1 + i % 7, i, i, i, i) for i in range(50)] * 2
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, salt long, nth long, before long, row_no long"), 10).collect()
+    assert Counter((x["doc_id"], x["length"], x["salt"], x["nth"], x["before"], x["row_no"]) for x in got) == Counter(rows)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 11)], "doc_id long, length long"), 10)
+
+
 def test_fingerprints(spark, frame, texts):
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.with_fingerprint(frame).collect()}
     assert got[0] == got[1] == got[2] == "0" * 32 and got[8] == got[17] == got[18]
@@ -266,6 +292,28 @@ def test_toxicity_takes_any_id_and_column(spark):
     assert got["a", "vile words here"]["evidence"][0]["doc_id"] == "a" and got["b", None]["idf"] == "z" and got["b", None]["evidence"] == []
 
 
+def test_fingerprint_query(spark, tmp_path, texts):
+    """Edited texts, next documents and likeness, by plain Python."""
+    rows = [*texts, (30, "one"), (31, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(rows, key=lambda r: -r[0])
+    prints = lambda t: fingerprints.fingerprints(fingerprints.pa.array([t]))
+    expected = {}
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        n = len(t) // 3
+        edited = t[: len(t) - n] + nxt[:n]
+        near = [float(fingerprints.likeness(prints(t), prints(x))[0]) for x in (edited, nxt)]
+        expected[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), prints(t).tobytes().hex(), prints(edited).tobytes().hex(), *near)
+    got = {x["doc_id"]: tuple(x)[1:] for x in fingerprints.op7_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == expected
+
+
+def test_licences_with_clashing_columns(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Released under the MIT License.", "t", "n", "w"), ("a/b", None, "t", "n", "w")], "path string, text string, top string, near string, own_score string")
+    assert {(x["path"], x["license"], x["top"], x["near"]) for x in licenses.scan_licenses(df).collect()} == {("a/LICENSE", "MIT", "t", "n"), ("a/b", "MIT", "t", "n")}
+
+
 def test_licences(spark):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/c/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/c/d/y", ""), ("z/w", None), (None, "All rights reserved."), ("z/v", "text\nAll rights reserved.\nmore")]
     got = {r["path"]: (r["license"], r["how"], r["inherited_from"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
