@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import components, runs, union_edges, whole_runs
 from .storage import Scratch, shuffle_partitions
-from .words import LOWER, shingle_hashes, slices, text_bytes, word_hashes, word_spans
+from .words import LOWER, frequent_hashes, ranked, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 
-#: The most frequent shingles, which come last in the order of all shingles; any such list gives the same links.
-FREQUENT = 1 << 16
+#: A shingle is frequent, and comes last in the order of all shingles, from a 2^19th part of all entries of sets on, so there
+#: are at most as many; any such list gives the same links.
+FREQUENT = 1 << 19
 LIST_BLOCK, SET_BLOCK = 1024, 512
 _FEW = 32
 
@@ -63,37 +64,18 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits if len(bits) == size else bits[:size] ^ bits[size:]
 
 
-def _frequent(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles in many texts (sorted by how many), from counts of all texts; a text slice hands on those that it has thrice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                values, n = np.unique(np.concatenate(text_sets(b.column("text"), width)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values[n >= 3].astype(np.int64)), pa.array(n[n >= 3])], names=["shingle", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    return np.array([r["shingle"] for r in reversed(top)], np.int64).astype(np.uint64)
-
-
 def _scan(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(id, text_key, size, set_key, prefix, bits) of each text; prefix is in the order of all shingles, rare ones first."""
     schema = f"id {docs.schema['id'].dataType.simpleString()}, text_key binary, size long, set_key binary, prefix array<long>, bits binary"
     held = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent).astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = held.value
         for batch in batches:
             for b in slices(batch, "text"):
                 keys, prefixes, bits, sizes = [], [], [], []
                 for s in text_sets(b.column("text"), width):
                     n = len(s)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        order = np.lexsort((s, np.where(known[at] == s, rank[at] + np.uint64(1), np.uint64(0))))
-                    else:
-                        order = np.arange(n)
+                    order = np.lexsort((s, ranked(s, held.value)))
                     prefixes.append(s[order[: probe_prefix(n, percent)]].astype(np.int64) if n else np.zeros(0, np.int64))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bits.append(parity_bits(s).tobytes())
@@ -274,7 +256,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     parts = shuffle_partitions(spark)
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("id"), F.unhex(F.md5(whole)).alias("text_key"), whole.alias("text"))
-    rows = scratch.table(_scan(docs, width, percent, _frequent(docs, width)), "rows")
+    rows = scratch.table(_scan(docs, width, percent, frequent_hashes(docs.select("text"), lambda t: np.concatenate(text_sets(t, width)), FREQUENT, scratch)), "rows")
     classes = rows.where("size > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("least"), F.min("id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 

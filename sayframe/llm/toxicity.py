@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .storage import extended
-from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, mix, slices, text_bytes
+from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, SLICE_BYTES, give_back, mix, slices, text_bytes
 
 #: Bound of the fitted part: examples of each label. Held-out quality is the same for 1,024, 2,048 and 4,096 (see the README); the time of a search grows with it.
 EXAMPLES = 2048
@@ -17,7 +17,7 @@ NEIGHBOURS, SMOOTH, SHRINK = 15, 1.0, 4.0
 #: Examples of a block of the index, and of each half and label that calibrate.
 EXAMPLE_BLOCK, CALIBRATION = 256, 256
 #: Terms that are held as full rows at most, and texts that are multiplied with them at once.
-DENSE, BLOCK = 1024, 256
+DENSE, BLOCK = 1024, 128
 THRESHOLD = 0.3
 #: Words are runs of letters, digits and bytes over 127; a term is a word, or the first 4, 5 or 6 bytes of a longer one.
 _WORD = np.zeros(256, np.bool_)
@@ -284,15 +284,15 @@ def query_vectors(index: ExampleIndex, text: np.ndarray, term: np.ndarray, times
     return [(col[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def fit_calibration(index: ExampleIndex, text: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids, weight: np.ndarray) -> None:
-    """Sets the index's calibration from votes for examples of each half by an index over the other half; of each
-    half and label at most CALIBRATION examples are asked."""
+def fit_calibration(text: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids, weight: np.ndarray) -> tuple[float, float] | None:
+    """The calibration of votes for examples of each half by an index over the other half; of each half and label at
+    most CALIBRATION examples are asked. None where a half lacks a label."""
     half = np.arange(len(labels)) % 2
     votes, truth, counts = [], [], []
     for h in (0, 1):
         rows = np.flatnonzero(half == h)
         if not 0 < labels[rows].sum() < len(rows):
-            return
+            return None
         other = build_index(text, term, times, labels, ids, weight, rows)
         for y in (0, 1):
             asked = np.flatnonzero((half != h) & (labels == y))
@@ -302,7 +302,7 @@ def fit_calibration(index: ExampleIndex, text: np.ndarray, term: np.ndarray, tim
             votes += [other.vote(*x) for x in other.nearest_many(queries, NEIGHBOURS)]
             truth += [y] * len(drawn)
             counts += [weight[asked].sum() / max(1, len(drawn))] * len(drawn)
-    index.line = calibration(np.array(votes), np.array(truth, float), np.array(counts))
+    return calibration(np.array(votes), np.array(truth, float), np.array(counts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ExampleIndex:
@@ -338,8 +338,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     del rows, found
     drawn_of = {t: sum(y == t for _, y in sample) for t in (0, 1)}
     weight = np.array([totals.get(int(y), 0) / max(1, drawn_of[int(y)]) for y in label])
+    line = fit_calibration(text_no, term, times, label, ids, weight)
+    give_back()
     index = build_index(text_no, term, times, label, ids, weight)
-    fit_calibration(index, text_no, term, times, label, ids, weight)
+    index.line = line
+    del text_no, term, times
+    give_back()
     return index
 
 
@@ -361,7 +365,7 @@ def score_texts(df: DataFrame, index: ExampleIndex, text: str = "text", evidence
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for b in slices(batch, text):
+            for b in slices(batch, text, SLICE_BYTES // 2):
                 raw, offsets = text_bytes(b.column(text))
                 owner, term, times = text_terms(raw, offsets, model.terms)
                 votes, why = np.full(b.num_rows, model.base), []

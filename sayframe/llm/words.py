@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,6 +93,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((run[ends] - run[starts]) * both[1][starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which else keeps what the largest step took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def inside(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive groups of these sizes."""
     firsts = np.cumsum(counts) - counts
