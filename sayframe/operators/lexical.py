@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import stable_id_column
-from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, casefold, cut, is_titlecase, overlaps, spans
+from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, casefold, cut, is_titlecase, language_key, overlaps, spans
+from ..model import SPAN
 from .sentences import sentence_spans
 
 _REASONS = ("unknown_to_lexicon", "rare_word", "proper_name_candidate", "mixed_case", "all_caps", "contains_unusual_graphemes")
@@ -52,7 +55,42 @@ def _display(forms: str) -> Column:
     return F.get(best, F.lit(0))["surface"]
 
 
-def review_lexicon(units: DataFrame, lexicon: DataFrame | None = None, max_frequency_rank: int = 10_000, min_count: int = 1, max_items: int | None = None, unknown_only: bool = False, include_all_tokens: bool = False, occurrences: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class LexicalProvider:
+    """A lexicon of one language: rows (normalized, known, frequency_rank, frequency_count), and what it can do."""
+
+    language: str
+    words: DataFrame
+    capabilities: tuple[str, ...] = ("lexical",)
+
+    def __post_init__(self) -> None:
+        if "lexical" not in self.capabilities:
+            raise ValueError("a provider of a lexicon has the capability 'lexical'")
+        if not self.language:
+            raise ValueError("a provider has a language")
+
+    def checked(self, terms: DataFrame) -> DataFrame:
+        """The terms; one of another language raises an error at the action. Regions of a language do not matter."""
+        own = self.language.replace("_", "-").split("-")[0].casefold()
+        other = F.split(language_key(F.col("language")), "-")[0] != own
+        wrong = F.raise_error(F.concat(F.lit("the lexicon has another language than "), F.col("language"))).cast("string")
+        return terms.withColumn("language", F.when(other, wrong).otherwise(F.col("language")))
+
+
+def reviewed(units) -> DataFrame:
+    """The units of a review: a frame of units, or those of a PreparationResult by their source texts, of which then
+    nothing is protected."""
+    if isinstance(units, DataFrame):
+        return units
+    return units.units.withColumn("protected_spans", F.array().cast(f"array<{SPAN}>"))
+
+
+def units_reviewed(units) -> DataFrame:
+    """One row with units_reviewed, the number of units that a review reads."""
+    return reviewed(units).agg(F.count("*").alias("units_reviewed"))
+
+
+def review_lexicon(units, lexicon: DataFrame | LexicalProvider | None = None, max_frequency_rank: int = 10_000, min_count: int = 1, max_items: int | None = None, unknown_only: bool = False, include_all_tokens: bool = False, occurrences: bool = True) -> DataFrame:
     """Findings in order of urgency: id, language, surface, normalized, count, known, frequency_rank, frequency_count,
     reasons, occurrences and priority.
 
@@ -62,7 +100,7 @@ def review_lexicon(units: DataFrame, lexicon: DataFrame | None = None, max_frequ
     """
     if min(max_frequency_rank, min_count, max_items or 1) < 1:
         raise ValueError("max_frequency_rank, min_count and max_items are 1 at least")
-    rows = _words(units).withColumn("language_key", casefold(F.col("language")))
+    rows = _words(reviewed(units)).withColumn("language_key", casefold(F.col("language")))
     place = F.struct("ordinal", "unit_id", "start", "end", "sentence_index")
     surfaces = rows.groupBy("language_key", "surface").agg(
         F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "language")).alias("first"), F.bool_and("_starts").alias("_starts"),
@@ -73,6 +111,8 @@ def review_lexicon(units: DataFrame, lexicon: DataFrame | None = None, max_frequ
         F.sum("n").alias("count"), F.collect_list(F.struct("n", "surface")).alias("forms"), F.min("first")["language"].alias("language"), *[F.bool_or(c).alias(c) for c in ("unusual", "mixed_case", "all_caps", "proper_name")],
         *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if occurrences else []),
     ).where(F.col("count") >= min_count)
+    if isinstance(lexicon, LexicalProvider):
+        terms, lexicon = lexicon.checked(terms), lexicon.words
     if lexicon is None:
         known = terms.withColumns({"known": F.lit(None).cast("boolean"), "frequency_rank": F.lit(None).cast("int"), "frequency_count": F.lit(None).cast("int")})
     else:

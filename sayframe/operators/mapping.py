@@ -81,6 +81,23 @@ def concatenate(maps: DataFrame, group: str, order: str, column: str = "source_m
     return maps.groupBy(group).agg(ordered.alias("_all")).select(group, F.aggregate("_all", start, step).alias("source_map"))
 
 
+def to_json(m: Column) -> Column:
+    """A map as JSON with the six fields of its type."""
+    return F.to_json(m)
+
+
+def from_json(json: Column) -> Column:
+    """The map that to_json wrote; null gives null. What is no map, lacks a field or breaks the order of places raises an
+    error at the action."""
+    m = F.from_json(json, MAP)
+    fields = [m[c].isNull() for c in ("source_length", "output_length", "source_left", "source_right", "output_left", "output_right")]
+    lacks = m.isNull()
+    for missing in fields:
+        lacks = lacks | missing
+    wrong = F.when(lacks, "a map's field is missing or has another type").otherwise(problem(m))
+    return F.when(json.isNull(), F.lit(None).cast(MAP)).when(wrong.isNull(), m).otherwise(F.raise_error(wrong).cast(MAP))
+
+
 def problem(m: Column) -> Column:
     """What is wrong with a map, or null: lengths, order of left and right, range, falling places."""
     wrong = F.lit(False)

@@ -24,6 +24,28 @@ def _edit(rank: int, s: Column, replacement: Column, stage: str, rule: str, doma
     return F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("size"), F.lit(rank).alias("rank"), s["end"].alias("end"), replacement.alias("replacement"), F.lit(stage).alias("stage"), F.lit("structured" if stage == "structured" else "normalization").alias("kind"), F.lit(rule).alias("rule"), F.lit(domain).cast("string").alias("domain"))
 
 
+#: The options of a profile that change white space.
+WHITESPACE = ("normalize_whitespace", "strip_outer_whitespace", "collapse_horizontal_whitespace", "normalize_line_whitespace", "collapse_blank_lines")
+
+
+def spoken_space(run: Column, outer: Column, profile: PreparationProfile) -> Column:
+    """What a run of white space becomes; `outer` says that it starts or ends its text.
+
+    normalize_whitespace: line ends as line feeds, other white space as blanks. normalize_line_whitespace: none at the
+    ends of lines. collapse_horizontal_whitespace: one blank for several. collapse_blank_lines: one empty line for
+    several. strip_outer_whitespace: none at the ends of the text.
+    """
+    if profile.normalize_whitespace:
+        run = F.regexp_replace(F.regexp_replace(run, r"\r\n?|[\x{85}\x{2028}\x{2029}]", "\n"), r"[^\n]", " ")
+    if profile.normalize_line_whitespace:
+        run = F.regexp_replace(run, r"[^\r\n]+(?=[\r\n])|(?<=\n)[^\r\n]+(?=[\r\n])", "")
+    if profile.collapse_horizontal_whitespace:
+        run = F.regexp_replace(run, r"[^\r\n]{2,}", " ")
+    if profile.collapse_blank_lines:
+        run = F.regexp_replace(run, r"(\r?\n)(?:[^\r\n]*\r?\n){2,}", "$1$1")
+    return F.when(outer, "").otherwise(run) if profile.strip_outer_whitespace else run
+
+
 def rule_edits(text: Column, tokens: Column, profile: PreparationProfile) -> Column:
     """All edits that the rules propose, without regard to each other; null replacements are no edits.
 
@@ -31,6 +53,11 @@ def rule_edits(text: Column, tokens: Column, profile: PreparationProfile) -> Col
     initialism: two to eight capitals in brackets are spelled. slash: words with a slash. abbreviation, number.
     """
     out = []
+    if any(getattr(profile, o) for o in WHITESPACE):
+        run = lambda s: cut(text, s["start"], s["end"])
+        spaced = lambda s: spoken_space(run(s), (s["start"] == 0) | (s["end"] == F.length(text)), profile)
+        edits = F.transform(spans(text, r"[\s\p{Z}]+"), lambda s: _edit(5, s, F.nullif(spaced(s), run(s)), "whitespace", "text.whitespace", None))
+        out.append(edits)
     if profile.expand_structured:
         measures = "|".join(MEASURES)
         surface = lambda s: cut(text, s["start"], s["end"])

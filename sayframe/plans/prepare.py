@@ -29,6 +29,19 @@ class PreparationResult:
     runtime_fingerprint: str
     schema: str = RESULT_SCHEMA
 
+    @property
+    def changed(self) -> DataFrame:
+        """Units whose spoken text is another than their text."""
+        return self.units.where("text <> spoken_text")
+
+    @property
+    def warnings(self) -> DataFrame:
+        return self.issues.where("severity = 'warning'")
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.issues.where("severity = 'error'")
+
     def prepared_fingerprint(self) -> str:
         return identity.prepared_fingerprint(self.units)
 
