@@ -91,16 +91,39 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(reduce, "a long, b long")
 
 
+#: Once a round has contracted the links to this many or fewer, one task joins what is left of them.
+REST = 1 << 16
+
+
+def _rest(edges: DataFrame) -> DataFrame:
+    """(id, to) for each id in at most REST links (a, b): the least id of its component, found in one task."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if not ends:
+            return
+        a, b = (np.concatenate(x) for x in zip(*ends))
+        ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = union_edges(len(ids), places[: len(a)], places[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "to"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(join, "id long, to long")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """(id, component_id) for each id in the links (a, b); component_id is the least id that links reach.
 
     Each round maps every id to that neighbour (or itself) that comes first in a fixed random order, and links the
-    images; ids that no neighbour maps to vanish, so rounds are about logarithmic in the longest path. The maps are
-    written to the shared folder and composed afterwards. Nothing is gathered on the driver but counts.
+    images; ids that no neighbour maps to vanish, so rounds are about logarithmic in the longest path. The first round
+    is always one over all tasks; a remainder of at most REST links is then joined at once. The maps are written to the
+    shared folder and composed afterwards. Nothing is gathered on the driver but counts.
     """
     order = lambda c: F.struct(F.xxhash64(c, F.lit(7)).alias("o"), F.col(c).alias("id"))
     level, maps = scratch.table(_forest(edges.where("a <> b")), f"{name}-0"), []
-    while not level.isEmpty():
+    while left := level.count():
+        if maps and left <= REST:
+            maps.append(scratch.table(_rest(level), f"{name}-to-{len(maps)}"))
+            break
         both = level.select("a", "b").unionAll(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min(order("b")).alias("least")).select(F.col("a").alias("id"), F.least(order("a"), F.col("least"))["id"].alias("to"))
         maps.append(scratch.table(to, f"{name}-to-{len(maps)}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,7 +326,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     drawn = F.broadcast(spark.createDataFrame(sample, known.schema))
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "id").select("id", "toxic", "text")
-    rows = rows.toArrow().combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    drawn_of = {t: sum(y == t for _, y in sample) for t in (0, 1)}
+    share_of = {t: totals.get(t, 0) / max(1, drawn_of[t]) for t in (0, 1)}
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        model = pickle.dumps(_fitted(pa.Table.from_batches(found), share_of)) if found else b""
+        give_back()
+        for at in range(0, len(model), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([model[at : at + (1 << 20)]], pa.binary())], names=["at", "part"])
+
+    # One task fits the bounded sample, so the driver holds the index and nothing of what it is made from.
+    parts = rows.repartition(1).mapInArrow(build, "at long, part binary").toArrow().sort_by("at")["part"].to_pylist()
+    return pickle.loads(b"".join(parts)) if parts else _fitted(rows.limit(0).toArrow(), share_of)
+
+
+def _fitted(rows: pa.Table, share_of: dict[int, float]) -> ExampleIndex:
+    """The calibrated index over rows (id, toxic, text); an example of a label counts for share_of[label] rows."""
+    rows = rows.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
     ids, label = rows["id"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64)
     found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     done = 0
@@ -335,15 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found.append(((own + done).astype(np.int32), term, times.astype(np.int32)))
             done += b.num_rows
     text_no, term, times = (np.concatenate(x) for x in zip(*found))
-    del rows, found
-    drawn_of = {t: sum(y == t for _, y in sample) for t in (0, 1)}
-    weight = np.array([totals.get(int(y), 0) / max(1, drawn_of[int(y)]) for y in label])
+    weight = np.array([share_of[int(y)] for y in label])
     line = fit_calibration(text_no, term, times, label, ids, weight)
-    give_back()
     index = build_index(text_no, term, times, label, ids, weight)
     index.line = line
-    del text_no, term, times
-    give_back()
     return index
 
 
