@@ -311,6 +311,8 @@ _TOKENS = TOKEN_PATTERN.replace("'", "''")
 _FOLD = "translate(replace(lower({}), 'ß', 'ss'), 'ς', 'σ')"
 _SINGLE = "NOT (length(regexp_replace(s, '\\P{L}', '', 'g')) = 1 AND NOT regexp_matches(s, '[\\p{M}\\p{Cf}\\p{Co}]'))"
 _LEXED = f"{_found(_TURNS, _TOKENS)}, lexed AS (SELECT *, {_FOLD.format('s')} AS normalized FROM found WHERE {_SINGLE})"
+#: Words of the benchmark with their number of places; one that occurs once there counts as unknown.
+_LEXICON = f"{_found(_ODD, _TOKENS, 'said', 'passages')}, lexicon AS (SELECT {_FOLD.format('s')} AS normalized, count(*) AS places FROM said WHERE {_SINGLE} GROUP BY 1)"
 _SELECTED = "CAST(start AS INT) AS source_start, CAST(stop AS INT) AS source_end"
 
 ORACLE_SQL = {
@@ -350,6 +352,7 @@ ORACLE_SQL = {
     "domain_histogram": f"WITH {_EDITS} SELECT domain AS name, count(*) AS edits FROM every WHERE domain <> '' GROUP BY 1",
     "lexical_tokens": f"WITH {_LEXED} SELECT unit_id, s AS surface, normalized, CAST(start AS INT) AS start, CAST(stop AS INT) AS \"end\" FROM lexed",
     "lexical_counts": f"""WITH {_LEXED} SELECT 'lex:v1:' || substr(sha256('{{"language":"en-us","normalized":"' || normalized || '"}}'), 1, 20) AS id, 'en-US' AS language, normalized, count(*) AS count FROM lexed GROUP BY normalized HAVING count(*) >= 2""",
+    "lexical_unknown_only": f"""WITH {_LEXED}, {_LEXICON} SELECT normalized, count(*) AS count, false AS known, CAST(1000000 AS INT) AS frequency_rank FROM lexed JOIN lexicon USING (normalized) WHERE places = 1 GROUP BY normalized""",
     "sentence_spans": rf"""WITH units AS ({_TURNS}), marked AS (SELECT unit_id, length(text) AS size, text AS whole, string_split(regexp_replace(text, '([.!?…]+["''”’)\]]*)([{_SPACE}])', '\1' || {_M} || '\2', 'g'), {_M}) AS p FROM units WHERE length(text) > 0),
         parts AS (SELECT unit_id, whole, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM marked), placed AS (SELECT *, CAST(sum(length(s)) OVER (PARTITION BY unit_id ORDER BY i) - length(s) AS BIGINT) AS base FROM parts),
         cut AS (SELECT unit_id, whole, i, base + length(s) - length(regexp_replace(s, '^[{_SPACE}]+', '')) AS a, base + length(regexp_replace(s, '[{_SPACE}]+$', '')) AS b FROM placed)
