@@ -16,6 +16,9 @@ from .words import inside, mix, slices
 NBEST = 3
 BLANK = 0x2581
 CACHE_UNITS = 2_000_000
+#: Units up to these lengths are segmented many at once, in matrices of about so many places; longer ones one by one.
+WIDTHS, PLACES = (8, 16, 32, 64), 1 << 16
+_END = 0x1FFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _models: dict[str, "PieceModel"] = {}
@@ -46,8 +49,18 @@ class PieceModel:
         self.longest = max(map(len, self.pieces))
         #: Every beginning of a piece, with the piece itself where it is one.
         self.begins = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self._trie()
         self.clear()
 
+    def _trie(self) -> None:
+        """Steps from a beginning of a piece by a character to a longer one, as sorted keys, and the piece of each."""
+        number = {"": 0} | {p: k for k, p in enumerate(sorted(self.begins), 1)}
+        steps = sorted((number[p[:-1]] << 21 | ord(p[-1]), k) for p, k in number.items() if p)
+        self.step_keys = np.array([k for k, _ in steps] + [np.iinfo(np.int64).max])
+        self.step_to = np.array([k for _, k in steps] + [0])
+        found = [(-1, 0.0)] + [self.begins[p] or (-1, 0.0) for p in sorted(self.begins)]
+        self.step_piece, self.step_score = np.array([i for i, _ in found], np.int32), np.array([s for _, s in found])
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.first, self.count, self.score, self.gap = (np.zeros(0, d) for d in (np.int64, np.int64, np.float64, np.float64))
@@ -137,7 +150,83 @@ class PieceModel:
                     second = forward[i] + s + backward[j]
         return forward[n], forward[n] - second, self.unit_ids(unit, steps[::-1])
 
-    def lookup(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def solve_many(self, points: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for units of at most `width` characters, place by place for all of them: best scores, gaps, numbers
+        of ids, and all ids. score[k, i, u] is that of unit u's edge of k + 1 characters from place i."""
+        m, units, places = len(starts), np.arange(len(starts)), np.arange(width)[:, None]
+        chars = np.where(places < size, points[np.minimum(starts + places, len(points) - 1)], _END).astype(np.int64).ravel()
+        longest = min(self.longest, width)
+        score, piece = np.full((longest, width, m), -np.inf), np.full((longest, width, m), -1, np.int32)
+        at = np.flatnonzero(chars != _END)
+        state = np.zeros(len(at), np.int64)
+        for k in range(longest):
+            room = at < (width - k) * m
+            at = at[room]
+            key = state[room] << 21 | chars[at + k * m]
+            to = np.searchsorted(self.step_keys, key)
+            ok = self.step_keys[to] == key
+            at, state = at[ok], self.step_to[to[ok]]
+            whole = self.step_piece[state] >= 0
+            score[k].ravel()[at[whole]] = self.step_score[state[whole]]
+            piece[k].ravel()[at[whole]] = self.step_piece[state[whole]]
+        score[0][(chars.reshape(width, m) != _END) & (piece[0] < 0)] = self.unknown
+        forward, by = np.full((width + 1, m), -np.inf), np.zeros((width + 1, m), np.int64)
+        backward = forward.copy()
+        forward[0], backward[size, units] = 0.0, 0.0
+        for j in range(1, width + 1):
+            for k in range(min(j, longest), 0, -1):  # of ties the longest edge
+                reach = forward[j - k] + score[k - 1, j - k]
+                better = reach > forward[j]
+                np.copyto(forward[j], reach, where=better)
+                np.copyto(by[j], k, where=better)
+        for i in range(width - 1, -1, -1):
+            for k in range(1, min(longest, width - i) + 1):
+                np.maximum(backward[i], score[k - 1, i] + backward[i + k], out=backward[i])
+        steps, place, live = [], size.copy(), units
+        while len(live):
+            k = by[place[live], live]
+            i = place[live] - k
+            steps.append((live, i, piece[k - 1, i, live]))
+            score[k - 1, i, live] = -np.inf  # what is left are the edges off the best path
+            place[live] = i
+            live = live[i > 0]
+        second = np.full(m, -np.inf)
+        for k in range(1, longest + 1):
+            over = forward[: width - k + 1] + score[k - 1, : width - k + 1] + backward[k:]
+            np.maximum(second, over.max(axis=0), out=second)
+        unit, i, ids = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((i, unit))
+        unit, char, ids = unit[order], points[starts[unit[order]] + i[order]], ids[order]
+        many = np.where(ids >= 0, 1, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
+        unknown = ids < 0
+        ids, spelled = np.repeat(ids, many).astype(np.uint32), np.repeat(unknown, many)
+        ids[spelled] = self.byte[np.frombuffer(char[unknown].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        best = forward[size, units]
+        return best, best - second, np.bincount(unit, many, m).astype(np.int64), ids
+
+    def _solved(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+        """Scores and gaps of units, and where their best ids now are in the cache."""
+        size = ends - starts
+        out = {"first": np.zeros(len(size), np.int64), "count": np.zeros(len(size), np.int64), "score": np.zeros(len(size)), "gap": np.zeros(len(size))}
+
+        def put(some: np.ndarray, score, gap, count: np.ndarray, ids: np.ndarray) -> None:
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            out["first"][some], out["count"][some], out["score"][some], out["gap"][some] = self.used + np.cumsum(count) - count, count, score, gap
+            self.used += len(ids)
+
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            fit = np.flatnonzero((size > low) & (size <= width))
+            for a in range(0, len(fit), PLACES // width):
+                some = fit[a : a + PLACES // width]
+                put(some, *self.solve_many(points, starts[some], size[some], width))
+        for k in np.flatnonzero(size > WIDTHS[-1]).tolist():
+            score, gap, ids = self.solve(text[starts[k] : ends[k]])
+            put(np.array([k]), score, gap, np.array([len(ids)]), np.array(ids, np.uint32))
+        return out
+
+    def lookup(self, hashes: np.ndarray, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each unit's place in the cache, where all are put that are not there yet."""
         if len(self.keys) > CACHE_UNITS:
             self.clear()
@@ -147,17 +236,11 @@ class PieceModel:
         known[known] = self.keys[place[known]] == distinct[known]
         if not known.all():
             new = at[~known]
-            solved = [self.solve(text[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            counts = np.array([len(x[2]) for x in solved], np.int64)
-            total = int(counts.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in solved for i in x[2]), np.uint32, total)
             keys = np.concatenate([self.keys, distinct[~known]])
             order = np.argsort(keys, kind="stable")
-            for name, more in (("first", self.used + np.cumsum(counts) - counts), ("count", counts), ("score", np.array([x[0] for x in solved])), ("gap", np.array([x[1] for x in solved]))):
+            for name, more in self._solved(text, points, starts[new], ends[new]).items():
                 setattr(self, name, np.concatenate([getattr(self, name), more])[order])
-            self.keys, self.used = keys[order], self.used + total
+            self.keys = keys[order]
             place = np.searchsorted(self.keys, distinct)
         return place[back]
 
@@ -183,7 +266,7 @@ class PieceModel:
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[:-1])])
         hashes = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        place = self.lookup(hashes, whole, starts, ends) if len(starts) else np.zeros(0, np.int64)
+        place = self.lookup(hashes, whole, points, starts, ends) if len(starts) else np.zeros(0, np.int64)
         count, gap, score = self.count[place], self.gap[place], self.score[place]
         flat = self.ids[np.repeat(self.first[place], count) + inside(count)] if len(place) else np.zeros(0, np.uint32)
         before = np.concatenate([[0], np.cumsum(count)])

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -57,3 +58,16 @@ def test_cache_does_not_change_results(model):
     model.clear()
     assert one == [[(s, i.tolist()) for s, i in w] for w, _ in model.segment(texts, 3)]
     assert np.isfinite(one[0][0][0])
+
+
+def test_units_at_once_are_units_one_by_one(model):
+    r = random.Random(3)
+    units = ["▁" + "".join(r.choices("aeinrst the▁Ⅷé日😀\x00.,'-", k=r.randint(0, 70))).replace(" ", "") for _ in range(400)] + ["\n", "▁▁▁", "▁international", "Ⅷ", "a" * 64, "b" * 65]
+    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(u) for u in units])
+    model.clear()
+    got = model._solved("".join(units), points, ends - [len(u) for u in units], ends)
+    for k, unit in enumerate(units):
+        score, gap, ids = model.solve(unit)
+        assert (score, gap, ids) == (got["score"][k], got["gap"][k], model.ids[got["first"][k] :][: got["count"][k]].tolist())
+    model.clear()
