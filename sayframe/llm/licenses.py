@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .storage import free_name
+from .storage import Scratch, free_name
 
 #: Headers as licences ask for them, or as they are usually named.
 TEMPLATES = {
@@ -78,19 +78,22 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     best_of, list_of, near_of = (free_name(base, c) for c in ("top", "licenses_found", "near"))
     keyed = base.withColumn("_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_text", F.unhex(F.md5(F.concat_ws("\n", F.col(path), F.coalesce(F.col(text), F.lit(""))))))
     pattern = r"(?i)(^|[^a-z0-9])(" + "|".join(re.escape(w) for w in wanted) + r")($|[^a-z0-9])"
-    scanned = keyed.where(F.col(text).rlike(pattern)).select("_text", F.lower(F.col(text)).alias("body")).dropDuplicates(["_text"])
-    marked = scanned.select("_text", "body", F.split(F.regexp_replace("body", r"([.!?])[ \t\r]+", "$1\n"), "\n").alias("parts"))
+    # Texts are searched once and their words counted once; both results are read several times.
+    scratch = Scratch(spark, "licenses")
+    hits = scratch.table(keyed.where(F.col(text).rlike(pattern)).select("_path", "_text", F.lower(F.col(text)).alias("body")), "hits")
+    marked = hits.select("_text", "body").dropDuplicates(["_text"]).select("_text", "body", F.split(F.regexp_replace("body", r"([.!?])[ \t\r]+", "$1\n"), "\n").alias("parts"))
     units = marked.select("_text", F.posexplode("parts").alias("unit", "part")).where(F.col("part").rlike(pattern))
     units = units.unionAll(marked.select("_text", F.lit(-1).alias("unit"), F.col("body").alias("part")))
     words = units.select("_text", "unit", F.explode(F.regexp_extract_all("part", F.lit(f"({WORD})"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
     counted = words.groupBy("_text", "unit", "word").agg(F.count("*").cast("double").alias("n")).join(idfs, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))).drop("idf")
+    counted = scratch.table(counted, "counted")
     norms = counted.groupBy("_text", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = counted.join(weights.drop("idf"), "word").groupBy("_text", "unit", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, ["_text", "unit"]).select("_text", "unit", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("score"))
     best = F.struct((-F.col("score")).alias("s"), F.col("license").alias("license"))
     per_unit = scores.where(F.col("score") >= HEADER_LEAST).groupBy("_text", "unit").agg(F.min(best).alias("top"))
     own = per_unit.groupBy("_text").agg(F.min(F.when(F.col("unit") >= 0, F.col("top"))).alias("top"), F.array_sort(F.collect_set(F.when(F.col("unit") >= 0, F.col("top.license")))).alias("own_licenses"), F.min(F.when(F.col("unit") < 0, F.col("top"))).alias("whole"))
-    own = own.join(keyed.where(F.col(text).rlike(pattern)).select("_path", "_text").distinct(), "_text")
+    own = own.join(hits.select("_path", "_text").distinct(), "_text")
     named = F.regexp_extract("_path", "([^/]*)$", 1).rlike(LICENSE_NAME)
     own = own.select("_path", "_text", "top", "own_licenses", F.when(-F.col("whole.s") >= FILE_LEAST, F.col("whole")).when(named, F.coalesce("top", "whole")).alias("file"))
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
