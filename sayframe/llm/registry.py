@@ -7,6 +7,7 @@ from .fingerprints import op7_fingerprints
 from .jaccard import op1_jaccard_join
 from .licenses import OP10_SQL, op10_license_scan
 from .packing import op6_packing
+from .periodic import op11_periodic_runs
 from .pieces import op5_sentencepiece
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL = {
