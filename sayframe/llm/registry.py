@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP12_SQL, op12_chat_formatting
 from .embeddings import op8_embedding_near_dedup
 from .fingerprints import op7_fingerprints
 from .jaccard import op1_jaccard_join
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_formatting": op12_chat_formatting,
 }
 
 ORACLE_SQL = {
     "op4_warc": OP4_SQL,
     "op10_license_scan": OP10_SQL,
+    "op12_chat_formatting": OP12_SQL,
 }
