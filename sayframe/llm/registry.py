@@ -13,6 +13,7 @@ from .pieces import op5_sentencepiece
 from .sharding import op9_sharding
 from .substrings import op3_substring_dedup
 from .toxicity import op2_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_chat_formatting": op12_chat_formatting,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
     "op4_warc": OP4_SQL,
     "op10_license_scan": OP10_SQL,
     "op12_chat_formatting": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
