@@ -50,10 +50,15 @@ def running_sums(values: Column) -> Column:
     return running(values, 0, lambda a, x: a + x)
 
 
-def _found(text: Column, pattern: str, kind: str, match) -> Column:
+def unmarked(text: Column) -> Column:
+    """The text with the other noncharacter for the one that marks matches."""
+    return F.when(text.contains(MARK), F.translate(text, MARK, OTHER_MARK)).otherwise(text)
+
+
+def _found(text: Column, pattern: str | Column, kind: str, match) -> Column:
     """Of each match of the pattern, from left to right, match(parts, places, k): the text is split at the borders of the
     matches, so that each odd part k is one, and its place is the running sum of the lengths before."""
-    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), pattern, f"{MARK}$0{MARK}")
+    marked = F.regexp_replace(unmarked(text), pattern, f"{MARK}$0{MARK}")
 
     def places(parts: Column) -> Column:
         odd = let(running_sums(F.transform(parts, F.length)), lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1, F.lit(2)), lambda k: match(parts, at, k)))
@@ -62,16 +67,42 @@ def _found(text: Column, pattern: str, kind: str, match) -> Column:
     return let(F.split(marked, MARK), places)
 
 
-def spans(text: Column, pattern: str) -> Column:
+def sql_string(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(text: str, pattern: str, surfaces: bool = False) -> str:
+    """The expression of spans or matches over a column's name. As one text it reaches Spark at once, where columns made
+    one by one cost a call for each of their parts. A text without a match is neither marked nor split."""
+    hay = f"(CASE WHEN contains({text}, '{MARK}') THEN translate({text}, '{MARK}', '{OTHER_MARK}') ELSE {text} END)"
+    pattern = sql_string(pattern)
+    add = "(acc, x) -> struct(acc.at + x AS at, concat(acc.out, array(acc.at)) AS out)"
+    fold = f"aggregate(sizes, struct(0 AS at, CAST(array() AS array<int>) AS out), {add}, acc -> acc.out)"
+    stretch = f"aggregate(slice(sizes, k * 64 + 1, 64), struct(coalesce(get(done, size(done) - 1).at, 0) AS at, CAST(array() AS array<int>) AS out), {add})"
+    folds = f"flatten(transform(aggregate(sequence(0, (size(sizes) - 1) div 64), CAST(array() AS array<struct<at:int,out:array<int>>>), (done, k) -> concat(done, array({stretch.replace('k *', 'CAST(k AS INT) *')}))), w -> w.out))"
+    sums = f"transform(array(transform(parts, x -> length(x))), sizes -> CASE WHEN size(sizes) <= 64 THEN {fold} ELSE {folds} END)[0]"
+    surface = ", get(parts, k) AS surface" if surfaces else ""
+    found = f"transform(array({sums}), at -> transform(sequence(1, size(at) - 1, 2), k -> struct(get(at, k) AS start, get(at, k + 1) AS end{surface})))[0]"
+    kind = "array<struct<start:int,end:int,surface:string>>" if surfaces else _SPAN
+    split = f"transform(array(split(regexp_replace({hay}, {pattern}, '{MARK}$0{MARK}'), '{MARK}')), parts -> CASE WHEN size(parts) > 1 THEN {found} ELSE array() END)[0]"
+    return f"CASE WHEN {text} RLIKE {pattern} THEN CAST({split} AS {kind}) WHEN {text} IS NOT NULL THEN CAST(array() AS {kind}) END"
+
+
+def spans(text: Column | str, pattern: str | Column) -> Column:
     """array<struct<start,end>> of the pattern's matches from left to right, half open, in code points.
 
-    A pattern must not match the empty string. Null gives null.
+    A pattern must not match the empty string. Null gives null. A string is a column's name.
     """
+    if isinstance(text, str):
+        return F.expr(spans_sql(text, pattern))
     return _found(text, pattern, _SPAN, lambda parts, at, k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end")))
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column | str, pattern: str) -> Column:
     """The same with the matched text: array<struct<start,end,surface>>, so that what explodes them can leave the text."""
+    if isinstance(text, str):
+        return F.expr(spans_sql(text, pattern, surfaces=True))
     kind = "array<struct<start:int,end:int,surface:string>>"
     return _found(text, pattern, kind, lambda parts, at, k: F.struct(F.get(at, k).alias("start"), F.get(at, k + 1).alias("end"), F.get(parts, k).alias("surface")))
 
@@ -91,15 +122,6 @@ def free_of(found: Column, blocked: Column) -> Column:
     return F.filter(found, lambda s: ~F.coalesce(F.exists(blocked, lambda p: overlaps(s, p)), F.lit(False)))
 
 
-def casefold(text: Column) -> Column:
-    """Lower case for comparison: sharp s as ss, final sigma as sigma. Other special foldings are left as lower case."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
-
-
-def language_key(language: Column) -> Column:
-    return casefold(F.replace(F.trim(language), F.lit("_"), F.lit("-")))
-
-
 def is_titlecase(word: Column) -> Column:
     """Upper case exactly at the start of each run of cased letters."""
     upper, lower = r"[\p{IsUppercase}\p{Lt}]", r"\p{IsLowercase}"

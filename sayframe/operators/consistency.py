@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.text import cut, language_key, spans
+from ..functions.text import SPACE_CLASS, cut, let, spans
+from ..functions.unicode import casefold, language_key, nfc
 from ..model import ORIGIN
 from .normalize import INITIALISM_RULE
 
@@ -16,10 +17,14 @@ _RUN = r"[\p{L}\p{M}\p{N}\p{Pc}\p{Pd}'\x{2019}]+"
 def seeds(changes: DataFrame, units: DataFrame) -> DataFrame:
     """Changes that introduce an initialism by spelling its letters: language_key, surface, spoken, change_id, unit_id, source_start.
 
-    The letters are compared after lower-casing, one by one; each is a letter with its marks.
+    A letter is a character with its marks. There are two letters at least, as many spoken ones, each composes (NFC) to one
+    alphabetic character, and both are the same but for case.
     """
-    letters = F.regexp_replace("source", r"(\p{L}\p{M}*)", "$1 ")
-    spelled = (F.size(F.split(F.trim(letters), " ")) >= 2) & F.col("source").rlike(r"^(?:\p{L}\p{M}*)+$") & (F.lower(F.trim(letters)) == F.lower(F.array_join(F.filter(F.split("replacement", r"\s+"), lambda x: x != ""), " ")))
+    said = F.array_join(F.filter(F.split("replacement", f"[{SPACE_CLASS}]+"), lambda x: x != ""), " ")
+    letters = F.array_join(F.regexp_extract_all("source", F.lit(r"(?s)(.\p{M}*)")), " ")
+    # Both sides in one text, so that it is composed and folded once; the folding of a letter may have marks.
+    alphabetic = let(nfc(F.concat(letters, F.lit("\n"), said)), lambda both: F.when(both.rlike(r"^\p{L}( \p{L})+\n\p{L}( \p{L})+$"), casefold(both)))
+    spelled = said.rlike(r"^.\p{M}*( .\p{M}*)+$") & let(F.split(alphabetic, "\n"), lambda x: F.get(x, F.lit(0)) == F.get(x, F.lit(1)))
     keys = units.select("unit_id", language_key(F.col("language")).alias("language_key"))
     return changes.where((F.col("rule") == INITIALISM_RULE) & spelled).join(keys, "unit_id").select("language_key", F.col("source").alias("surface"), F.col("replacement").alias("spoken"), F.col("id").alias("change_id"), "unit_id", "source_start")
 
@@ -48,7 +53,7 @@ def consistency_changes(units: DataFrame, prepared_changes: DataFrame, groups: D
     agreed = groups.where("ways = 1").select("language_key", "surface", "seed")
     text = F.col("text")
     held = prepared_changes.groupBy("unit_id").agg(F.collect_list(F.struct(F.col("source_start").alias("start"), F.col("source_end").alias("end"))).alias("taken"))
-    runs = units.select("unit_id", "text", "language", "protected_spans", language_key(F.col("language")).alias("language_key"), F.explode(spans(text, _RUN)).alias("s"))
+    runs = units.select("unit_id", "text", "language", "protected_spans", language_key(F.col("language")).alias("language_key"), F.explode(spans("text", _RUN)).alias("s"))
     surface = cut(text, F.col("s.start"), F.col("s.end"))
     english = F.split("language_key", "-")[0] == "en"
     stem = F.when(english, F.regexp_replace(surface, r"['\x{2019}]s$", "")).otherwise(surface)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import stable_id_column
-from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, casefold, cut, is_titlecase, language_key, overlaps, spans
+from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, cut, is_titlecase, overlaps, spans
+from ..functions.unicode import casefold, language_key
 from ..model import SPAN
 from .sentences import sentence_spans
 
@@ -23,8 +24,8 @@ def _words(units: DataFrame) -> DataFrame:
     # Neither words nor links hold the white space that divides sentences, so each sentence is searched by itself.
     parts = units.select("unit_id", "ordinal", "language", "protected_spans", F.inline(sentence_spans(F.col("text")))).withColumnsRenamed({"start": "_base", "end": "_end"})
     text = F.col("text")
-    links = F.when(text.rlike(_LINK_SIGN), spans(text, LINK_PATTERN))
-    found = parts.withColumn("_links", links).select("*", F.posexplode(spans(text, TOKEN_PATTERN)).alias("_nth", "_token"))
+    links = F.when(text.rlike(_LINK_SIGN), spans("text", LINK_PATTERN))
+    found = parts.withColumn("_links", links).select("*", F.posexplode(spans("text", TOKEN_PATTERN)).alias("_nth", "_token"))
     start, end = F.col("_base") + F.col("_token.start"), F.col("_base") + F.col("_token.end")
     blocked = F.coalesce(F.exists("_links", lambda x: overlaps(x, F.col("_token"))), F.lit(False)) | F.coalesce(F.exists("protected_spans", lambda p: (p["start"] < end) & (start < p["end"])), F.lit(False))
     return found.where(~blocked).select("unit_id", "ordinal", "language", cut(text, F.col("_token.start"), F.col("_token.end")).alias("surface"), start.alias("start"), end.alias("end"), F.col("index").alias("sentence_index"), (F.col("_nth") == 0).alias("_starts"))

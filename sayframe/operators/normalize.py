@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.text import AFTER, BEFORE, cut, language_key, number_words, spans
+from ..functions.text import AFTER, BEFORE, cut, number_words, spans
+from ..functions.unicode import language_key
 from ..model import ORIGIN, PreparationProfile
 
 #: Units of measure with their singular and plural, and abbreviations.

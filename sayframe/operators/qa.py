@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.text import AFTER, BEFORE, SPACE_CLASS, cut, free_of, overlaps, spans
+from ..functions.text import AFTER, BEFORE, SPACE_CLASS, cut, overlaps, spans_sql, sql_string
 from ..model import ORIGIN, PreparationError, PreparationProfile
 
 _PLANES = "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(17))
@@ -28,25 +28,17 @@ RULES = [
 ]
 
 
-def _issue(turn: int, rank: int, code: str, severity: str, message: str):
-    said = {"pass": F.lit(turn), "rank": F.lit(rank), "code": F.lit(code), "severity": F.lit(severity), "message": F.lit(message)}
-
-    def issue(s: Column) -> Column:
-        parts = {**said, "pos": s["start"], "start": s["start"], "end": s["end"]}
-        return F.struct(*[parts[k].alias(k) for k in ("pass", "pos", "rank", "code", "severity", "start", "end", "message")])
-
-    return issue
-
-
-def scan(text: Column, blocked: Column, profile: PreparationProfile) -> Column:
-    """array<struct<pass,pos,rank,code,severity,start,end,message>> of the issues outside blocked spans, in their order."""
+def scan(text: str, blocked: str, profile: PreparationProfile) -> Column:
+    """array<struct<pass,pos,rank,code,severity,start,end,message>> of the issues outside blocked spans, in their order;
+    text and blocked are columns' names."""
     found = []
+    free = f"NOT coalesce(exists({blocked}, p -> s.start < p.end AND p.start < s.end), false)"
     for rank, (turn, code, severity, pattern, message) in enumerate(RULES):
         if code == "qa.residual_digits" and not profile.expand_numbers:
             continue
-        hits = free_of(spans(text, pattern), blocked)
-        found.append(F.transform(hits, _issue(turn, rank, code, severity, message)))
-    return F.array_sort(F.concat(*found))
+        issue = f"struct({turn} AS pass, s.start AS pos, {rank} AS rank, '{code}' AS code, '{severity}' AS severity, s.start AS start, s.end AS end, {sql_string(message)} AS message)"
+        found.append(f"transform(filter({spans_sql(text, pattern)}, s -> {free}), s -> {issue})")
+    return F.expr(f"array_sort(concat({', '.join(found)}))")
 
 
 def check_units(units: DataFrame, profile: PreparationProfile | None = None, text: str = "text", blocked: str = "protected_spans") -> DataFrame:
@@ -54,7 +46,7 @@ def check_units(units: DataFrame, profile: PreparationProfile | None = None, tex
 
     No row is moved: each unit is scanned where it is read. Null texts have no issues.
     """
-    issues = F.explode(scan(F.col(text), F.col(blocked), profile or PreparationProfile())).alias("i")
+    issues = F.explode(scan(text, blocked, profile or PreparationProfile())).alias("i")
     found = units.select("unit_id", "ordinal", F.col(text).alias("_t"), issues)
     return found.select(
         "unit_id", "ordinal", F.col("i.pass").alias("pass"), F.col("i.pos").alias("pos"), F.col("i.rank").alias("code_rank"), F.col("i.code").alias("code"), F.col("i.severity").alias("severity"),

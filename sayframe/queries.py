@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import identity
-from .functions.text import TOKEN_PATTERN, casefold, language_key, spans
+from .functions.text import TOKEN_PATTERN, free_of, spans
+from .functions.unicode import casefold, language_key
 from .model import SPAN, OverrideScope, SpeechOverride
 from .operators import consistency, edits, lexical, mapping, overrides, qa, sentences, serialize, stats
 from .plans.prepare import first_pass, prepare_run, prepare_text, prepare_units
@@ -104,7 +105,7 @@ def _qa(units, code: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule = next(r for r in qa.RULES if r[1] == code)
         t = units(spark, sf_dir)
-        hit = F.inline(qa.free_of(spans(F.col("text"), rule[3]), F.col("protected_spans")))
+        hit = F.inline(free_of(spans("text", rule[3]), F.col("protected_spans")))
         rows = t.select("unit_id", F.col("text").alias("whole"), hit)
         return rows.select("unit_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"), F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
 
