@@ -113,9 +113,10 @@ class SpeechOverride:
 
     @property
     def pattern(self) -> str:
-        """A Java pattern of the surface; words are bounded by what is no word character, apostrophe or hyphen."""
+        """A Java pattern of the surface; words are bounded by what is no word character, apostrophe or hyphen. Without
+        regard to case it is one for texts in simple case folding."""
         from .functions.text import WORD_CLASS
+        from .functions.unicode import simple_fold
 
-        escaped = re.sub(r"([^\w\s])", r"\\\1", self.surface)
-        bounded = f"(?<![{WORD_CLASS}'\\-])(?:{escaped})(?![{WORD_CLASS}'\\-])" if self.match == "word" else f"(?:{escaped})"
-        return bounded if self.case_sensitive else f"(?iu){bounded}"
+        escaped = re.sub(r"([^\w\s])", r"\\\1", self.surface if self.case_sensitive else simple_fold(self.surface))
+        return f"(?<![{WORD_CLASS}'\\-])(?:{escaped})(?![{WORD_CLASS}'\\-])" if self.match == "word" else f"(?:{escaped})"

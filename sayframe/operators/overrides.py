@@ -1,20 +1,83 @@
-"""Pronunciation overrides: candidates by scope, and their greedy resolution within each unit."""
+"""Pronunciation overrides: candidates by scope, and their greedy resolution within each unit.
+
+A policy is a sequence of overrides or a frame with the columns of POLICY, one row each. A short sequence is matched by a
+pattern each; any longer one and any frame by an index, so that plans do not grow with the policy.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.identity import json_column
-from ..functions.text import WORD_CLASS, cut, let, matches, running, spans
+from ..functions.identity import canonical_json, json_column, override_fingerprint as _fingerprint
+from ..functions.text import WORD_CLASS, cut, let, matches, running, spans, unmarked
+from ..functions.unicode import simple_fold_column
 from ..model import ORIGIN, InvalidUnitError, OverrideConflictError, SpeechOverride
 
+#: ord is the place in the policy, from 0. Where id or note (provenance as canonical JSON) are null they are derived.
+POLICY = "ord int, id string, surface string, spoken string, match string, case_sensitive boolean, kind string, unit_id string, source_start int, source_end int, note string"
+#: Overrides of a sequence from which on it is indexed.
+INDEX_FROM = 24
+#: Characters of a gram, by which surfaces are found in texts.
+GRAM = 3
+
 _CANDIDATE = "array<struct<rank:int,size:int,ord:int,start:int,end:int,priority:int,id:string,spoken:string>>"
 _ISSUE = "array<struct<code:string,start:int,end:int,id:string,blocking:array<string>>>"
 _RANKED_ISSUE = f"array<struct<by:{_CANDIDATE[6:-1]},issue:{_ISSUE[6:-1]}>>"
 _RANKED_ERROR = f"array<struct<by:{_CANDIDATE[6:-1]},message:string>>"
-_WORD_RUN = f"[{WORD_CLASS}'\\-]+"
+WORD_RUN = f"[{WORD_CLASS}'\\-]+"
+_EDGES = f"(?<![{WORD_CLASS}'\\-])(?:", f")(?![{WORD_CLASS}'\\-])"
+
+Policy = Sequence[SpeechOverride] | DataFrame
+
+
+def policy_frame(spark: SparkSession, overrides: Policy) -> DataFrame:
+    """The policy as rows of POLICY with ids and notes."""
+    if isinstance(overrides, DataFrame):
+        scope = F.struct("kind", "source_end", "source_start", "unit_id")
+        derived = F.concat(F.lit("ovr:v1:"), F.substring(F.sha2(json_column(surface=F.col("surface"), spoken=F.col("spoken"), match=F.col("match"), case_sensitive=F.col("case_sensitive"), scope=scope), 256), 1, 20))
+        named = overrides.withColumn("id", F.coalesce("id", derived))
+        return named.withColumn("note", F.coalesce("note", json_column(origin=F.lit(f"{ORIGIN}.override"), override_id=F.col("id")))).select(*[c.split()[0] for c in POLICY.split(", ")])
+    rows = [(i, o.id, o.surface, o.spoken, o.match, o.case_sensitive, o.scope.kind, o.scope.unit_id, o.scope.source_start, o.scope.source_end, canonical_json({"origin": f"{ORIGIN}.override", "override_id": o.id, **o.provenance})) for i, o in enumerate(overrides)]
+    return spark.createDataFrame(rows, POLICY)
+
+
+def policy_problems(policy: DataFrame) -> DataFrame:
+    """(ord, problem) for each broken rule of a policy's rows, by the rules of SpeechOverride and OverrideScope."""
+    has = lambda *names: [F.col(n).isNotNull() if on else F.col(n).isNull() for n, on in zip(("unit_id", "source_start", "source_end"), names)]
+    every = lambda conditions: conditions[0] & conditions[1] & conditions[2]
+    kind = F.col("kind")
+    fields = F.when(kind == "all", every(has(0, 0, 0))).when(kind == "unit", every(has(1, 0, 0))).when(kind == "occurrence", every(has(1, 1, 1)))
+    checks = [
+        ("the place in the policy is null", F.col("ord").isNotNull()), ("a surface is empty", F.col("surface") != ""), ("spoken is null", F.col("spoken").isNotNull()), ("match is neither literal nor word", F.col("match").isin("literal", "word")),
+        ("case_sensitive is null", F.col("case_sensitive").isNotNull()), ("a scope has other fields", fields), ("an occurrence has no 0 <= source_start < source_end", (kind != "occurrence") | ((F.col("source_start") >= 0) & (F.col("source_start") < F.col("source_end")))),
+    ]
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), F.lit(said)) for said, good in checks]))
+    twice = policy.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").select("ord", F.lit("two overrides have one place in the policy").alias("problem"))
+    return policy.select("ord", F.explode(broken).alias("problem")).unionAll(twice)
+
+
+def require_policy(policy: DataFrame) -> DataFrame:
+    """The policy, or ValueError with its first problem."""
+    if bad := policy_problems(policy).orderBy("ord", "problem").limit(1).collect():
+        raise ValueError(f"override {bad[0]['ord']}: {bad[0]['problem']}")
+    return policy
+
+
+def policy_fingerprint(overrides: Policy) -> str:
+    """Of a policy in its order, the same for a sequence and a frame; ids and notes do not count. The driver holds one
+    partition of a frame at a time."""
+    if not isinstance(overrides, DataFrame):
+        return _fingerprint(overrides)
+    scope = F.struct("kind", "source_end", "source_start", "unit_id")
+    rows = overrides.select("ord", json_column(surface=F.col("surface"), spoken=F.col("spoken"), match=F.col("match"), case_sensitive=F.col("case_sensitive"), scope=scope).alias("j")).sort("ord").select("j")
+    digest = hashlib.sha256(b"[")
+    for i, row in enumerate(rows.toLocalIterator()):
+        digest.update((b"," if i else b"") + row["j"].encode())
+    digest.update(b"]")
+    return digest.hexdigest()
 
 
 def _struct(o: SpeechOverride, order: int, start: Column, end: Column) -> Column:
@@ -26,40 +89,113 @@ def _placed(o: SpeechOverride, order: int):
     return lambda s: _struct(o, order, s["start"], s["end"])
 
 
-def _joinable(o: SpeechOverride) -> bool:
-    return o.scope.kind == "all" and o.match == "word" and o.case_sensitive and all(c.isalnum() or c in "_'-" for c in o.surface)
-
-
-def match_overrides(units: DataFrame, overrides: Sequence[SpeechOverride]) -> DataFrame:
+def match_overrides(units: DataFrame, overrides: Policy) -> DataFrame:
     """`units` with `candidates`: all matches of the overrides in their scope, sorted by priority, length, order and place.
 
-    Plain word overrides for all units are matched by an equality join of the texts' words with the policy, which is
-    broadcast by Spark only while it is small; all others by a pattern each. Occurrences whose text is not the surface raise InvalidUnitError's message.
+    Matches of an override do not overlap each other, from left to right. Words are bounded by what is neither a word character
+    nor an apostrophe or hyphen. Without regard to case, characters are alike if simple case folding makes them so.
+    Occurrences whose text is not the surface raise InvalidUnitError's message.
     """
-    spark = units.sparkSession
-    numbered = list(enumerate(overrides))
-    joined = [(i, o) for i, o in numbered if _joinable(o)]
-    single = [x for x in numbered if x not in joined]
+    if isinstance(overrides, DataFrame) or len(overrides) >= INDEX_FROM:
+        return _match_indexed(units, policy_frame(units.sparkSession, overrides))
     text, parts = F.col("text"), [F.array().cast(_CANDIDATE)]
-    for i, o in single:
+    hay = lambda o: text if o.case_sensitive else simple_fold_column(text)
+    for i, o in enumerate(overrides):
         here = F.lit(True) if o.scope.kind == "all" else F.col("unit_id") == o.scope.unit_id
         if o.scope.kind == "occurrence":
             a, b = o.scope.source_start, o.scope.source_end
             exact = cut(text, F.lit(a), F.lit(b)) == o.surface
             if o.match == "word":
-                exact = exact & F.array_contains(spans(text, o.pattern), F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
+                exact = exact & F.array_contains(spans(hay(o), o.pattern), F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
             fits = F.when(F.coalesce(exact, F.lit(False)), F.array(_struct(o, i, F.lit(a), F.lit(b)))).otherwise(F.raise_error(F.lit(f"{InvalidUnitError.__name__}: override {o.id} does not exactly match its occurrence")).cast(_CANDIDATE))
         else:
-            fits = F.transform(spans(text, o.pattern), _placed(o, i))
+            fits = F.transform(spans("text" if o.case_sensitive else hay(o), o.pattern), _placed(o, i))
         parts.append(F.when(here, fits.cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE)))
-    out = units.withColumn("candidates", F.concat(*parts))
-    if joined:
-        policy = spark.createDataFrame([(o.surface, i, o.id, o.spoken) for i, o in joined], "surface string, ord int, id string, spoken string")
-        words = units.select("unit_id", F.explode(matches(text, _WORD_RUN)).alias("s")).select("unit_id", "s", "s.surface")
-        hit = F.struct(F.lit(-1).alias("rank"), (F.col("s.start") - F.col("s.end")).alias("size"), F.col("ord"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(1).alias("priority"), F.col("id"), F.col("spoken"))
-        more = words.join(policy, "surface").groupBy("unit_id").agg(F.collect_list(hit).cast(_CANDIDATE).alias("_more"))
-        out = out.join(more, "unit_id", "left").withColumn("candidates", F.concat("candidates", F.coalesce("_more", F.array().cast(_CANDIDATE)))).drop("_more")
-    return out.withColumn("candidates", F.array_sort("candidates"))
+    return units.withColumn("candidates", F.sort_array(F.concat(*parts)))
+
+
+def _grams(text: Column) -> Column:
+    """At each place of a text the up to GRAM characters from there on."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))."))
+
+
+def _with_gram(policy: DataFrame) -> DataFrame:
+    """Policy rows (ord, key) with the gram by which they are sought, and its place in the key: of a key's grams of full
+    length (or the key, if that is shorter) the one that fewest keys of the policy have."""
+    size = F.least(F.length("key"), F.lit(GRAM))
+    grams = policy.select("ord", size.alias("size"), F.posexplode(_grams(F.col("key"))).alias("at", "gram")).where(F.length("gram") == F.col("size")).groupBy("ord", "gram").agg(F.min("at").alias("at"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    return policy.join(grams.join(counts, "gram").groupBy("ord").agg(F.min_by(F.struct("gram", "at"), F.struct("n", "gram")).alias("g")), "ord").select("*", "g.*").drop("g")
+
+
+def _match_indexed(units: DataFrame, policy: DataFrame) -> DataFrame:
+    """The same by joins: words of the texts with word surfaces, grams of the texts with each other surface's rarest gram,
+    and units with the overrides for them.
+
+    Texts are not joined with the policy: words and grams go to it with their places, and what they find comes back
+    once for each unit. There a place is proven by its characters and the ones beside it. Only surfaces that can overlap themselves,
+    whose matches depend on those before, and overrides of single units are sought by their patterns.
+    """
+    fold = simple_fold_column(F.col("surface"))
+    escaped = lambda c: F.regexp_replace(c, r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1")
+    key = F.when(F.col("case_sensitive"), F.col("surface")).otherwise(fold)
+    pattern = F.when(F.col("match") == "word", F.concat(F.lit(_EDGES[0]), escaped(key), F.lit(_EDGES[1]))).otherwise(escaped(key))
+    priority = F.when(F.col("kind") == "all", 1).when(F.col("kind") == "unit", 2).otherwise(3)
+    rule = F.struct("ord", "id", "spoken", "surface", "match", "case_sensitive", priority.alias("priority"), pattern.alias("pattern"), "source_start", "source_end")
+    border = F.exists(F.sequence(F.lit(0), F.length(fold) - 1), lambda k: (k > 0) & (F.left(fold, k) == F.right(fold, k)))
+    rows = policy.select("ord", "unit_id", "kind", "case_sensitive", "match", ((F.col("match") == "word") & F.col("surface").rlike(f"^{WORD_RUN}$")).alias("run"), border.alias("border"), fold.alias("key"), key.alias("exact"), F.length("surface").alias("length"), rule.alias("rule"))
+    text, of = F.col("text"), rows.schema["rule"].dataType.simpleString()
+    check = f"struct<hit:{_CANDIDATE[6:-1]},exact:string,bounded:boolean,case_sensitive:boolean>"
+    kinds = {"hit": _CANDIDATE[6:-1], "check": check, "rule": of}
+
+    def struct(r: Column, start: Column, end: Column) -> Column:
+        return F.struct((-r["priority"]).alias("rank"), (start - end).alias("size"), r["ord"].alias("ord"), start.alias("start"), end.alias("end"), r["priority"].alias("priority"), r["id"].alias("id"), r["spoken"].alias("spoken")).cast(_CANDIDATE[6:-1])
+
+    def only(df: DataFrame, **have: Column) -> DataFrame:
+        return df.select("unit_id", *[have.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()])
+
+    # Whole words: places are proven but for case.
+    words = units.select("unit_id", F.explode(matches("text", WORD_RUN)).alias("s")).select("unit_id", "s", F.col("s.surface").alias("said"), simple_fold_column(F.col("s.surface")).alias("key"))
+    met = words.join(rows.where("kind = 'all' AND run").select("key", "exact", "case_sensitive", "rule"), "key").where("NOT case_sensitive OR said = exact")
+    found = only(met, hit=struct(F.col("rule"), F.col("s.start"), F.col("s.end")))
+    # Anything else for all units, by its gram; a gram that is all of a surface without regard to case proves it.
+    sought = rows.where("kind = 'all' AND NOT run")
+    keyed = _with_gram(sought.select("ord", "key", "exact", "length", "border", "case_sensitive", "match", "rule")).drop("ord", "key")
+    each = lambda g: F.array_distinct(F.array(*[F.substring(g, 1, k) for k in range(1, GRAM + 1)]))
+    grams = units.select("unit_id", F.posexplode(_grams(simple_fold_column(text))).alias("pos", "long")).select("unit_id", "pos", F.explode(each(F.col("long"))).alias("gram"))
+    start = F.col("pos") - F.col("at")
+    met = grams.join(keyed, "gram").where(start >= 0)
+    hit = struct(F.col("rule"), start, start + F.col("length"))
+    proven = ~F.col("case_sensitive") & (F.col("length") <= GRAM) & (F.col("match") == "literal")
+    proof = F.struct(hit.alias("hit"), "exact", (F.col("match") == "word").alias("bounded"), "case_sensitive")
+    found = found.unionByName(only(met.where("NOT border"), hit=F.when(proven, hit), check=F.when(~proven, proof)))
+    # Of proven places of a surface that can overlap itself, each from left to right that is free of the one before.
+    proven_border = met.where(F.col("border") & proven).groupBy("unit_id", "rule.ord").agg(F.first("rule").alias("rule"), F.first("length").alias("length"), F.sort_array(F.collect_list(start)).alias("starts"))
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.col("length"), F.lit(0))
+    kept = F.aggregate("starts", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) > 0) & (x < last(acc)), acc).otherwise(F.concat(acc, F.array(x))))
+    found = found.unionByName(only(proven_border.select("unit_id", "rule", "length", F.explode(kept).alias("place")), hit=struct(F.col("rule"), F.col("place"), F.col("place") + F.col("length"))))
+    found = found.unionByName(only(met.where(F.col("border") & ~proven).select("unit_id", "rule").distinct(), rule=F.col("rule")))
+    # For a unit or an occurrence.
+    found = found.unionByName(only(rows.where("kind <> 'all'"), rule=F.col("rule")))
+    by_unit = found.groupBy("unit_id").agg(*[F.collect_list(n).alias(f"_{n}") for n in kinds])
+
+    def candidates(hay: Column) -> Column:
+        side = lambda t, a: F.coalesce(cut(t, a, a + 1).rlike(f"^{WORD_RUN}$"), F.lit(False))
+        of_text = lambda t, c: (cut(t, c["hit"]["start"], c["hit"]["end"]) == c["exact"]) & (~c["bounded"] | ~(((c["hit"]["start"] > 0) & side(t, c["hit"]["start"] - 1)) | side(t, c["hit"]["end"])))
+        good = lambda c: F.when(c["case_sensitive"], of_text(hay["text"], c)).otherwise(of_text(hay["folded"], c))
+        return F.concat("_hit", F.transform(F.filter("_check", good), lambda c: c["hit"]), F.flatten(F.transform("_rule", lambda r: seek(hay, r))))
+
+    def seek(hay: Column, r: Column) -> Column:
+        places = spans(F.when(r["case_sensitive"], hay["text"]).otherwise(hay["folded"]), r["pattern"])
+        here = F.struct(r["source_start"].alias("start"), r["source_end"].alias("end"))
+        exact = (cut(text, here["start"], here["end"]) == r["surface"]) & ((r["match"] == "literal") | F.array_contains(places, here))
+        wrong = F.raise_error(F.concat(F.lit(f"{InvalidUnitError.__name__}: override "), r["id"], F.lit(" does not exactly match its occurrence"))).cast(_CANDIDATE)
+        placed = F.transform(places, lambda s: struct(r, s["start"], s["end"]))
+        return F.when(r["priority"] < 3, placed).when(F.coalesce(exact, F.lit(False)), F.array(struct(r, here["start"], here["end"]))).otherwise(wrong)
+
+    hay = let(unmarked(text), lambda t: F.struct(t.alias("text"), simple_fold_column(t).alias("folded")))
+    every = F.when(F.col("_hit").isNull(), F.array().cast(_CANDIDATE)).when((F.size("_check") == 0) & (F.size("_rule") == 0), F.sort_array("_hit")).otherwise(F.sort_array(let(hay, candidates)))
+    return units.join(by_unit, "unit_id", "left").withColumn("candidates", every).drop(*[f"_{n}" for n in kinds])
 
 
 def resolve_overrides(matched: DataFrame) -> DataFrame:
@@ -97,16 +233,16 @@ def resolve_overrides(matched: DataFrame) -> DataFrame:
         """Of candidates by place: the runs that overlap in turn, each in the candidates' own order."""
         reach = running(F.transform(placed, lambda x: x["end"]), 0, lambda a, e: F.greatest(a, e))
         heads = let(reach, lambda r: F.filter(F.transform(placed, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
-        run = lambda h: F.transform(h, lambda i, k: F.array_sort(F.transform(F.slice(placed, i + 1, F.coalesce(F.get(h, k + 1), F.size(placed)) - i), lambda x: x["c"])))
+        run = lambda h: F.transform(h, lambda i, k: F.sort_array(F.transform(F.slice(placed, i + 1, F.coalesce(F.get(h, k + 1), F.size(placed)) - i), lambda x: x["c"])))
         return let(heads, run)
 
-    by_place = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c"))))
+    by_place = lambda c: F.sort_array(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c"))))
     folded = let(by_place("candidates"), lambda placed: F.transform(clusters(placed), lambda c: F.aggregate(c, start, step)))
     done = matched.withColumn("_fold", folded)
     all_of = lambda name: F.flatten(F.transform("_fold", lambda f: f[name]))
     selected = F.transform(by_place(all_of("sel")), lambda s: s["c"])
-    issues = F.transform(F.array_sort(all_of("iss")), lambda x: x["issue"])
-    return done.withColumns({"selected": selected, "override_issues": issues, "override_conflict": F.get(F.array_sort(all_of("err")), F.lit(0))["message"]}).drop("_fold", "candidates")
+    issues = F.transform(F.sort_array(all_of("iss")), lambda x: x["issue"])
+    return done.withColumns({"selected": selected, "override_issues": issues, "override_conflict": F.get(F.sort_array(all_of("err")), F.lit(0))["message"]}).drop("_fold", "candidates")
 
 
 def require_no_conflict(resolved: DataFrame) -> DataFrame:
@@ -126,12 +262,9 @@ def override_issues(resolved: DataFrame) -> DataFrame:
     )
 
 
-def override_changes(resolved: DataFrame, overrides: Sequence[SpeechOverride]) -> DataFrame:
+def override_changes(resolved: DataFrame, overrides: Policy) -> DataFrame:
     """The selected overrides as changes; an override's own provenance comes last, so it may replace our keys."""
-    from ..functions.identity import canonical_json
-
-    spark = resolved.sparkSession
-    notes = spark.createDataFrame([(i, canonical_json({"origin": f"{ORIGIN}.override", "override_id": o.id, **o.provenance})) for i, o in enumerate(overrides)], "ord int, provenance string")
+    notes = policy_frame(resolved.sparkSession, overrides).select("ord", F.col("note").alias("provenance"))
     chosen = F.transform("selected", lambda c: c.withField("source", cut(F.col("text"), c["start"], c["end"])))
     rows = resolved.select("unit_id", F.explode(chosen).alias("c")).select("unit_id", "c.*").join(notes, "ord")
     return rows.select(

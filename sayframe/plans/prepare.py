@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import identity
 from ..functions.identity import change_id_column
-from ..model import RESULT_SCHEMA, SPAN, PreparationProfile, SpeechOverride
+from ..model import RESULT_SCHEMA, SPAN, PreparationProfile
 from ..operators import consistency, edits, mapping, normalize as rules, overrides as policy, qa, sentences, stats as counting
 from ..sources.units import require_valid
 
@@ -50,9 +49,9 @@ def _with_ids(changes: DataFrame) -> DataFrame:
     return changes.withColumn("id", change_id_column(F.col("unit_id"), F.col("source_start"), F.col("source_end"), F.col("source")))
 
 
-def first_pass(units: DataFrame, overrides: Sequence[SpeechOverride] = (), profile: PreparationProfile | None = None) -> tuple[DataFrame, DataFrame]:
+def first_pass(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None) -> tuple[DataFrame, DataFrame]:
     """Changes by overrides and rules, and the issues of the overrides. Rules see the overrides' places as protected."""
-    if not overrides:
+    if not isinstance(overrides, DataFrame) and not overrides:
         return _with_ids(rules.normalize(units, profile)).select("unit_id", *_FIELDS), None
     resolved = policy.require_no_conflict(policy.resolve_overrides(policy.match_overrides(units, overrides)))
     taken = F.transform("selected", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("override").alias("reason"))).cast(f"array<{SPAN}>")
@@ -61,23 +60,23 @@ def first_pass(units: DataFrame, overrides: Sequence[SpeechOverride] = (), profi
     return _with_ids(both).select("unit_id", *_FIELDS), policy.override_issues(resolved)
 
 
-def _result(units: DataFrame, changes: DataFrame, issues: DataFrame | None, overrides: Sequence[SpeechOverride], profile: PreparationProfile, strict: bool) -> PreparationResult:
+def _result(units: DataFrame, changes: DataFrame, issues: DataFrame | None, overrides: policy.Policy, profile: PreparationProfile, strict: bool) -> PreparationResult:
     prepared = edits.apply_changes(units, changes)
     residual = qa.check_prepared(prepared, profile)
     found = residual if issues is None else issues.unionByName(residual)
     if strict:
         qa.require_no_errors(found)
-    return PreparationResult(prepared, edits.exploded(prepared), found, counting.preparation_stats(prepared, found), identity.profile_fingerprint(profile), identity.override_fingerprint(overrides), identity.runtime_fingerprint())
+    return PreparationResult(prepared, edits.exploded(prepared), found, counting.preparation_stats(prepared, found), identity.profile_fingerprint(profile), policy.policy_fingerprint(overrides), identity.runtime_fingerprint())
 
 
-def prepare_text(units: DataFrame, overrides: Sequence[SpeechOverride] = (), profile: PreparationProfile | None = None, strict: bool = False) -> PreparationResult:
+def prepare_text(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False) -> PreparationResult:
     """Each unit by itself: overrides, rules and issues, without consistency between units."""
     profile = profile or PreparationProfile()
     changes, issues = first_pass(units, overrides, profile)
     return _result(units, changes, issues, overrides, profile, strict)
 
 
-def prepare_units(units: DataFrame, overrides: Sequence[SpeechOverride] = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True) -> PreparationResult:
+def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True) -> PreparationResult:
     """All units together. Initialisms that one unit introduces are then spoken alike in all units of its language; where
     units disagree, an issue says so and nothing is applied. Results do not depend on the order of units.
 

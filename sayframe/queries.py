@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import identity
-from .functions.text import TOKEN_PATTERN, free_of, spans
+from .functions.text import TOKEN_PATTERN, free_of, matches, spans
 from .functions.unicode import casefold, language_key
 from .model import SPAN, OverrideScope, SpeechOverride
 from .operators import consistency, edits, lexical, mapping, overrides, qa, sentences, serialize, stats
@@ -225,6 +225,29 @@ _MANY = [f"{a}{b}" for a in ("the", "and", "for", "was", "with", "that", "from")
 _MANY_POLICY = tuple(SpeechOverride(w, w.upper()) for w in _MANY)
 
 
+#: Overrides of the policy that is made of the documents' own words.
+POLICY_SIZE = 5000
+
+
+def word_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy of all kinds: words with and without regard to case, ends and beginnings of words anywhere, words in one
+    document, and single occurrences."""
+    words = documents(spark, sf_dir).select("ordinal", F.explode(matches("text", overrides.WORD_RUN)).alias("s")).groupBy("s.surface").agg(F.min(F.struct("ordinal", "s.start")).alias("first"))
+    some = words.where(F.col("surface").rlike("^[A-Za-zÀ-ÖØ-Þà-öø-ÿ]{4,}$")).orderBy(F.md5("surface")).limit(POLICY_SIZE)
+    rows = some.withColumn("ord", F.row_number().over(Window.orderBy(F.md5("surface"))) - 1).withColumn("n", F.col("ord") % 6)
+    n, word = F.col("n"), F.col("surface")
+    unit, here = F.when(n >= 4, F.col("first.ordinal").cast("string")), F.when(n == 5, F.col("first.start"))
+    kinds = F.when(n == 4, "unit").when(n == 5, "occurrence").otherwise("all")
+    surface = F.when(n == 1, F.upper(word)).when(n == 2, F.concat(F.right(word, F.lit(4)), F.lit(" "))).when(n == 3, F.upper(F.left(word, F.lit(3)))).otherwise(word)
+    return rows.select("ord", F.lit(None).cast("string").alias("id"), surface.alias("surface"), F.lit("x").alias("spoken"), F.when(n.isin(2, 3, 4), "literal").otherwise("word").alias("match"), ~n.isin(1, 3), kinds.alias("kind"), unit.alias("unit_id"), here.alias("source_start"), (here + F.length(word)).alias("source_end"), F.lit(None).cast("string").alias("note")).toDF(*[c.split()[0] for c in overrides.POLICY.split(", ")])
+
+
+def override_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of that policy in the documents."""
+    found = overrides.match_overrides(documents(spark, sf_dir), word_policy(spark, sf_dir))
+    return found.select("unit_id", F.inline("candidates")).select("unit_id", "ord", F.col("start").alias("source_start"), F.col("end").alias("source_end"), "priority")
+
+
 def lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.tokens(turns(spark, sf_dir)).select("unit_id", "surface", "normalized", "start", "end")
 
@@ -301,7 +324,7 @@ QUERIES = {
     "change_ids": change_ids, "change_offsets": change_offsets, "apply_changes": apply_changes, "verify_prepared": verified, "unit_fingerprint": unit_fingerprint, "text_sha256": text_digest, "prepared_fingerprint": prepared_fingerprint,
     "override_word": _override(documents, SpeechOverride("the", "THE")), "override_literal": _override(documents, SpeechOverride("th", "TH", "literal")), "override_nocase": _override(documents, SpeechOverride("The", "THE", case_sensitive=False)),
     "override_unit_scope": _override(documents, SpeechOverride("the", "THE", scope=OverrideScope("unit", "7"))), "override_occurrence": _override(order_notes, SpeechOverride("Lee", "LEE", scope=OverrideScope("occurrence", "3", 4, 7))),
-    "override_resolution": _override(documents, *_NESTED), "override_issues": override_issues, "override_join": _override(documents, *_MANY_POLICY),
+    "override_resolution": _override(documents, *_NESTED), "override_issues": override_issues, "override_join": _override(documents, *_MANY_POLICY), "override_policy": override_policy,
     "initialism_seeds": seeds, "initialism_conflicts": seed_conflicts, "prepare_stats": prepare_stats, "stage_histogram": _histogram("stage"), "rule_histogram": _histogram("rule"), "domain_histogram": _histogram("domain"),
     "lexical_tokens": lexical_tokens, "lexical_counts": lexical_counts, "lexical_findings": lexical_findings, "lexical_unknown_only": lexical_unknown_only, "lexical_topk": lexical_topk,
     "sentence_spans": sentence_rows, "change_context": change_context, "chunks": chunks, "map_positions": map_positions, "map_concat": map_concat, "json_roundtrip": json_roundtrip, "progress_events": progress, "validate_units": validation, "language_keys": language_keys,
@@ -342,6 +365,22 @@ ORACLE_SQL = {
     "override_resolution": f"WITH {_found(_DOCS, 'tion|on')} SELECT unit_id, {_SELECTED}, 'X' AS spoken FROM found",
     "override_issues": f"WITH {_found(_DOCS, 'tion')} SELECT unit_id, 'override.lower_priority_overlap' AS code, CAST(start + 2 AS INT) AS source_start, CAST(stop AS INT) AS source_end, 'on' AS text FROM found",
     "override_join": f"WITH {_found(_DOCS, _WORDS)} SELECT unit_id, {_SELECTED}, upper(s) AS spoken FROM found WHERE s IN ({', '.join(repr(w) for w in _MANY)})",
+    "override_policy": f"""WITH {_found(_DOCS, _WORDS)},
+        firsts AS (SELECT s, min(ordinal * 10000000 + start) AS first FROM found WHERE regexp_full_match(s, '[A-Za-zÀ-ÖØ-Þà-öø-ÿ]{{4,}}') GROUP BY s),
+        ranked AS (SELECT s, CAST(first // 10000000 AS VARCHAR) AS doc, first % 10000000 AS place, row_number() OVER (ORDER BY md5(s)) - 1 AS ord FROM firsts),
+        policy AS (SELECT *, ord % 6 AS n, CASE ord % 6 WHEN 2 THEN right(s, 4) || ' ' WHEN 3 THEN lower(left(s, 3)) ELSE s END AS needle FROM ranked WHERE ord < {POLICY_SIZE}),
+        hays AS (SELECT unit_id, text, lower(text) AS low FROM units),
+        pairs AS (SELECT unit_id, ord, n, needle, CASE WHEN n = 3 THEN low ELSE text END AS hay FROM hays JOIN policy ON n IN (2, 3) AND contains(CASE WHEN n = 3 THEN low ELSE text END, needle)
+          UNION ALL SELECT unit_id, ord, n, needle, text FROM hays JOIN policy ON n = 4 AND unit_id = doc),
+        parts AS (SELECT unit_id, ord, n, needle, string_split(hay, needle) AS p FROM pairs),
+        pieces AS (SELECT unit_id, ord, n, needle, len(p) AS size, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM parts),
+        places AS (SELECT *, sum(length(piece)) OVER (PARTITION BY unit_id, ord ORDER BY i) + (i - 1) * length(needle) AS place FROM pieces),
+        hits AS (
+          SELECT unit_id, ord, start AS a, stop AS b, 1 AS priority FROM found f JOIN policy p ON f.s = p.s WHERE n = 0
+          UNION ALL SELECT unit_id, ord, start, stop, 1 FROM found f JOIN policy p ON lower(f.s) = lower(p.s) WHERE n = 1
+          UNION ALL SELECT unit_id, ord, place, place + length(needle), CASE WHEN n = 4 THEN 2 ELSE 1 END FROM places WHERE i < size
+          UNION ALL SELECT doc, ord, place, place + length(s), 3 FROM policy WHERE n = 5)
+        SELECT unit_id, CAST(ord AS INT) AS ord, CAST(a AS INT) AS source_start, CAST(b AS INT) AS source_end, CAST(priority AS INT) AS priority FROM hits""",
     "initialism_seeds": f"WITH {_EDITS} SELECT 'en-us' AS language_key, source AS surface, replacement AS spoken, unit_id, CAST(source_start AS INT) AS source_start FROM edits WHERE rule LIKE 'sequence%'",
     "initialism_conflicts": f"""WITH {_EDITS}, s AS (SELECT *, CASE WHEN ordinal % 20 = 0 THEN lower(replacement) ELSE replacement END AS way FROM edits WHERE rule LIKE 'sequence%'),
         g AS (SELECT source, count(DISTINCT way) AS ways, min(unit_id) AS unit_id FROM s GROUP BY source HAVING ways > 1)
