@@ -127,24 +127,3 @@ def is_titlecase(word: Column) -> Column:
     upper, lower = r"[\p{IsUppercase}\p{Lt}]", r"\p{IsLowercase}"
     other = r"[^\p{IsUppercase}\p{Lt}\p{IsLowercase}]"
     return word.rlike(rf"^{other}*(?:{upper}{lower}*(?:{other}+|$))+$")
-
-
-_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
-
-
-def number_words(n: Column) -> Column:
-    """English words of a whole number from 0 to 999,999,999; null beyond."""
-    ones, tens = (F.array(*map(F.lit, x)) for x in (_ONES, _TENS))
-
-    def below_hundred(x: Column) -> Column:
-        x = x.cast("int")
-        return F.when(x < 20, F.get(ones, x)).when(x % 10 == 0, F.get(tens, F.floor(x / 10).cast("int"))).otherwise(F.concat_ws("-", F.get(tens, F.floor(x / 10).cast("int")), F.get(ones, x % 10)))
-
-    def below_thousand(x: Column) -> Column:
-        hundreds = F.concat(F.get(ones, F.floor(x / 100).cast("int")), F.lit(" hundred"))
-        return F.when(x < 100, below_hundred(x)).when(x % 100 == 0, hundreds).otherwise(F.concat_ws(" ", hundreds, below_hundred(x % 100)))
-
-    n = n.cast("long")
-    groups = [F.when(F.floor(n / size) % 1000 > 0, F.concat(below_thousand(F.floor(n / size) % 1000), F.lit(name))) for size, name in ((1_000_000, " million"), (1000, " thousand"), (1, ""))]
-    return F.when(n == 0, "zero").when(n.between(1, 999_999_999), F.concat_ws(" ", *groups))

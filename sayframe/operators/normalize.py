@@ -1,19 +1,53 @@
-"""Rules that turn written forms of English units into spoken ones, as exact edits."""
+"""Rules that turn written forms into spoken ones, as exact edits, in the languages of RULES."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.text import AFTER, BEFORE, cut, number_words, spans
-from ..functions.unicode import language_key
+from ..functions.numerals import NOUN, number_words
+from ..functions.text import AFTER, BEFORE, cut, spans
+from ..functions.unicode import language_key, nfc_edits
 from ..model import ORIGIN, PreparationProfile
 
-#: Units of measure with their singular and plural, and abbreviations.
-MEASURES = {"kg": ("kilogram", "kilograms"), "g": ("gram", "grams"), "km": ("kilometer", "kilometers"), "cm": ("centimeter", "centimeters"), "mm": ("millimeter", "millimeters"), "ml": ("milliliter", "milliliters"), "lb": ("pound", "pounds"), "ft": ("foot", "feet")}
-ABBREVIATIONS = {"Dr.": "Doctor", "Mr.": "Mister", "Mrs.": "Missus", "Prof.": "Professor", "vs.": "versus", "etc.": "et cetera"}
 INITIALISM_RULE = "sequence.parenthesized-initialism"
 
+
+@dataclass(frozen=True)
+class LanguageRules:
+    """Words of one language: measures with singular and plural, abbreviations, signs, and the names of capitals that are spelled
+    as words of their own. Longer abbreviations come before shorter ones that begin alike."""
+
+    measures: dict[str, tuple[str, str]]
+    abbreviations: dict[str, str]
+    slash: str
+    symbols: dict[str, str]
+    inches: tuple[str, str] | None = None
+
+
+# Fixed values.
+RULES = {
+    "en": LanguageRules(
+        {"kg": ("kilogram", "kilograms"), "g": ("gram", "grams"), "km": ("kilometer", "kilometers"), "cm": ("centimeter", "centimeters"), "mm": ("millimeter", "millimeters"), "ml": ("milliliter", "milliliters"), "lb": ("pound", "pounds"), "ft": ("foot", "feet")},
+        {"Dr.": "Doctor", "Mr.": "Mister", "Mrs.": "Missus", "Prof.": "Professor", "vs.": "versus", "etc.": "et cetera"}, "slash", {"&": "and", "%": "percent", "+": "plus", "=": "equals", "€": "euros", "$": "dollars", "£": "pounds", "°": "degrees"}, ("inch", "inches"),
+    ),
+    "de": LanguageRules(
+        {"kg": ("Kilogramm", "Kilogramm"), "g": ("Gramm", "Gramm"), "km": ("Kilometer", "Kilometer"), "cm": ("Zentimeter", "Zentimeter"), "mm": ("Millimeter", "Millimeter"), "ml": ("Milliliter", "Milliliter")},
+        {"Dr.": "Doktor", "Prof.": "Professor", "Hr.": "Herr", "Nr.": "Nummer", "bzw.": "beziehungsweise", "usw.": "und so weiter", "z. B.": "zum Beispiel", "z.B.": "zum Beispiel"}, "Schrägstrich", {"&": "und", "%": "Prozent", "+": "plus", "=": "gleich", "€": "Euro", "$": "Dollar", "£": "Pfund", "°": "Grad"},
+    ),
+    "fr": LanguageRules(
+        {"kg": ("kilogramme", "kilogrammes"), "g": ("gramme", "grammes"), "km": ("kilomètre", "kilomètres"), "cm": ("centimètre", "centimètres"), "mm": ("millimètre", "millimètres"), "ml": ("millilitre", "millilitres")},
+        {"Dr": "Docteur", "Mme": "Madame", "Mlle": "Mademoiselle", "n°": "numéro", "etc.": "et cetera"}, "barre oblique", {"&": "et", "%": "pour cent", "+": "plus", "=": "égale", "€": "euros", "$": "dollars", "£": "livres", "°": "degrés"},
+    ),
+    "es": LanguageRules(
+        {"kg": ("kilogramo", "kilogramos"), "g": ("gramo", "gramos"), "km": ("kilómetro", "kilómetros"), "cm": ("centímetro", "centímetros"), "mm": ("milímetro", "milímetros"), "ml": ("mililitro", "mililitros")},
+        {"Sra.": "Señora", "Sr.": "Señor", "Dra.": "Doctora", "Dr.": "Doctor", "Ud.": "usted", "etc.": "etcétera"}, "barra", {"&": "y", "%": "por ciento", "+": "más", "=": "igual a", "€": "euros", "$": "dólares", "£": "libras", "°": "grados"},
+    ),
+}
+
 _EDITS = "array<struct<start:int,size:int,rank:int,end:int,replacement:string,stage:string,kind:string,rule:string,domain:string>>"
 
 
@@ -47,68 +81,99 @@ def spoken_space(run: Column, outer: Column, profile: PreparationProfile) -> Col
     return F.when(outer, "").otherwise(run) if profile.strip_outer_whitespace else run
 
 
-def rule_edits(text: Column, tokens: Column, profile: PreparationProfile) -> Column:
-    """All edits that the rules propose, without regard to each other; null replacements are no edits.
+def _alternatives(words) -> str:
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
-    quantity: a whole number and a measure; `in` counts as inches only where a token hint calls it a noun.
-    initialism: two to eight capitals in brackets are spelled. slash: words with a slash. abbreviation, number.
-    """
-    out = []
+
+def common_edits(profile: PreparationProfile) -> list[Column]:
+    """Edits that do not depend on the language: white space, and canonical composition (NFC)."""
+    text, out = F.col("text"), []
     if any(getattr(profile, o) for o in WHITESPACE):
         run = lambda s: cut(text, s["start"], s["end"])
         spaced = lambda s: spoken_space(run(s), (s["start"] == 0) | (s["end"] == F.length(text)), profile)
-        edits = F.transform(spans(text, r"[\s\p{Z}]+"), lambda s: _edit(5, s, F.nullif(spaced(s), run(s)), "whitespace", "text.whitespace", None))
-        out.append(edits)
+        out.append(F.transform(spans("text", r"[\s\p{Z}]+"), lambda s: _edit(5, s, F.nullif(spaced(s), run(s)), "whitespace", "text.whitespace", None)))
+    if profile.normalize_unicode:
+        out.append(F.transform(nfc_edits(text), lambda e: _edit(6, e, e["replacement"], "unicode", "text.nfc", None)))
+    return out
+
+
+def language_edits(language: str, profile: PreparationProfile) -> list[Column]:
+    """Edits of one language's rules over the columns text and linguistic_tokens.
+
+    quantity: a whole number and a measure; `in` counts as inches only where a token hint calls it a noun, and a lone hint of
+    another part of speech keeps a measure from being one. initialism: two to eight capitals in brackets are spelled;
+    with generic_acronym_mode "spell" others that have no vowel or are of two letters, too. sequence: with
+    sequence_fallback_mode "spell" runs of letters and digits are spelled. slash: words with a slash. symbol: with a
+    symbol_mode other than "none" the signs of the language, as words. abbreviation, number.
+    """
+    rules, text, tokens, out = RULES[language], F.col("text"), F.col("linguistic_tokens"), []
+    surface = lambda s: cut(text, s["start"], s["end"])
+    spelled = lambda s: F.array_join(F.split(surface(s), ""), " ")
+    named = lambda rule: f"{language}.{rule}"
+    add = lambda pattern, rank, replacement, stage, rule, domain, keep=None: out.append(F.transform(spans("text", pattern) if keep is None else F.filter(spans("text", pattern), keep), lambda s: _edit(rank, s, replacement(s), stage, rule, domain)))
     if profile.expand_structured:
-        measures = "|".join(MEASURES)
-        surface = lambda s: cut(text, s["start"], s["end"])
+        hint = lambda s, back, test: F.coalesce(F.exists(tokens, lambda t: (t["start"] == s["end"] - back) & test(t["pos"])), F.lit(False))
 
         def quantity(s: Column) -> Column:
-            n, unit = F.regexp_extract(surface(s), r"^(\p{Nd}+)", 1), F.regexp_extract(surface(s), r"([a-z]+)$", 1)
-            one = F.try_to_number(n, F.lit("999999999")) == 1
-            name = F.when(one, F.element_at(_table({k: v[0] for k, v in MEASURES.items()}), unit)).otherwise(F.element_at(_table({k: v[1] for k, v in MEASURES.items()}), unit))
-            return F.concat_ws(" ", number_words(n.try_cast("long")), name)
-
-        out.append(F.transform(spans(text, rf"{BEFORE}[0-9]{{1,9}} ?(?:{measures}){AFTER}"), lambda s: _edit(0, s, quantity(s), "structured", "en.quantity", "quantities")))
-        noun = lambda s: F.exists(tokens, lambda t: (t["start"] == s["end"] - 3) & (t["pos"] == "NOUN"))
-        inches = F.filter(spans(text, rf"{BEFORE}[0-9]{{1,9}} in[.]"), lambda s: F.coalesce(noun(s), F.lit(False)))
-
-        def inch(s: Column) -> Column:
-            n = F.regexp_extract(surface(s), r"^([0-9]+)", 1).cast("long")
-            last = s["end"] == F.length(text)
-            return F.concat(number_words(n), F.when(n == 1, " inch").otherwise(" inches"), F.when(last, ".").otherwise(""))
-
-        out.append(F.transform(inches, lambda s: _edit(0, s, inch(s), "structured", "en.quantity", "quantities")))
-        out.append(F.transform(spans(text, r"(?<=\()[A-Z]{2,8}(?=\))"), lambda s: _edit(1, s, F.array_join(F.split(surface(s), ""), " "), "structured", INITIALISM_RULE, "sequences")))
-        out.append(F.transform(spans(text, rf"{BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])"), lambda s: _edit(2, s, F.replace(surface(s), F.lit("/"), F.lit(" slash ")), "structured", "en.slash", "symbols")))
+            n, unit = F.regexp_extract(surface(s), r"^([0-9]+)", 1).cast("long"), F.regexp_extract(surface(s), r"([a-z]+)$", 1)
+            name = F.when(n == 1, F.element_at(_table({k: v[0] for k, v in rules.measures.items()}), unit)).otherwise(F.element_at(_table({k: v[1] for k, v in rules.measures.items()}), unit))
+            return F.concat_ws(" ", number_words(n, language, NOUN), name)
+
+        verb = lambda s: ~hint(s, F.length(F.regexp_extract(surface(s), r"([a-z]+)$", 1)), lambda pos: pos.isNotNull() & ~pos.isin("NOUN", "PROPN", "X", "SYM"))
+        add(rf"{BEFORE}[0-9]{{1,9}} ?(?:{_alternatives(rules.measures)}){AFTER}", 0, quantity, "structured", named("quantity"), "quantities", verb)
+        if rules.inches:
+            one, more = rules.inches
+
+            def inch(s: Column) -> Column:
+                n = F.regexp_extract(surface(s), r"^([0-9]+)", 1).cast("long")
+                return F.concat(number_words(n, language, NOUN), F.when(n == 1, f" {one}").otherwise(f" {more}"), F.when(s["end"] == F.length(text), ".").otherwise(""))
+
+            add(rf"{BEFORE}[0-9]{{1,9}} in[.]", 0, inch, "structured", named("quantity"), "quantities", lambda s: hint(s, 3, lambda pos: pos == "NOUN"))
+        add(r"(?<=\()[A-Z]{2,8}(?=\))", 1, spelled, "structured", INITIALISM_RULE, "sequences")
+        add(rf"{BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])", 2, lambda s: F.replace(surface(s), F.lit("/"), F.lit(f" {rules.slash} ")), "structured", named("slash"), "symbols")
+        if profile.generic_acronym_mode == "spell":
+            add(rf"{BEFORE}(?:[A-Z]{{2}}|[B-DF-HJ-NP-TV-XZ]{{3,8}}){AFTER}", 7, spelled, "structured", "sequence.acronym", "sequences")
+        if profile.sequence_fallback_mode == "spell":
+            add(rf"{BEFORE}(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{2,24}}{AFTER}", 8, spelled, "structured", "sequence.fallback", "sequences")
+        if profile.symbol_mode != "none":
+            before, after = (lambda s: F.when((s["start"] > 0) & ~cut(text, s["start"] - 1, s["start"]).rlike(r"[\s\p{Z}]"), " ").otherwise("")), (lambda s: F.when((s["end"] < F.length(text)) & ~cut(text, s["end"], s["end"] + 1).rlike(r"[\s\p{Z}\p{P}]"), " ").otherwise(""))
+            add(f"(?<!\\p{{S}})[{re.escape(''.join(rules.symbols))}](?!\\p{{S}})", 9, lambda s: F.concat(before(s), F.element_at(_table(rules.symbols), surface(s)), after(s)), "structured", named("symbol"), "symbols")
     if profile.expand_abbreviations:
-        short = "|".join(k.replace(".", "[.]") for k in ABBREVIATIONS)
-        out.append(F.transform(spans(text, f"{BEFORE}(?:{short})"), lambda s: _edit(3, s, F.element_at(_table(ABBREVIATIONS), cut(text, s["start"], s["end"])), "abbreviations", "en.abbreviation", "abbreviations")))
+        add(f"{BEFORE}(?:{_alternatives(rules.abbreviations)}){AFTER}", 3, lambda s: F.element_at(_table(rules.abbreviations), surface(s)), "abbreviations", named("abbreviation"), "abbreviations")
     if profile.expand_numbers:
-        plain = rf"(?<![\p{{L}}\p{{N}}_/:.,+*=<>^-])[0-9]{{1,9}}(?![\p{{L}}\p{{N}}_/:+*=<>^-]|[.,][0-9])"
-        out.append(F.transform(spans(text, plain), lambda s: _edit(4, s, number_words(cut(text, s["start"], s["end"]).cast("long")), "numbers", "en.number", "numbers")))
-    if not out:
-        return F.array().cast(_EDITS)
-    return F.filter(F.array_sort(F.concat(*[F.coalesce(x.cast(_EDITS), F.array().cast(_EDITS)) for x in out])), lambda e: e["replacement"].isNotNull())
+        plain = r"(?<![\p{L}\p{N}_/:.,+*=<>^-])[0-9]{1,9}(?![\p{L}\p{N}_/:+*=<>^-]|[.,][0-9])"
+        add(plain, 4, lambda s: number_words(surface(s).cast("long"), language), "numbers", named("number"), "numbers")
+    return out
+
+
+def rule_edits(language: Column, profile: PreparationProfile) -> Column:
+    """All edits that the rules of a unit's language propose, without regard to each other, in order of place."""
+    none = F.array().cast(_EDITS)
+    joined = lambda parts: F.concat(none, *[F.coalesce(x.cast(_EDITS), none) for x in parts])
+    own = none
+    for name in RULES:
+        own = F.when(language == name, joined(language_edits(name, profile))).otherwise(own)
+    return F.filter(F.sort_array(F.concat(joined(common_edits(profile)), own)), lambda e: e["replacement"].isNotNull())
 
 
 def normalize(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans") -> DataFrame:
     """Changes of all units by the rules, none of which touches a blocked span or another change.
 
-    Of proposals that overlap, the first counts; at one place the longest, then the first rule. Units in other
-    languages than English have no changes.
+    Of proposals that overlap, the first counts; at one place the longest, then the first rule. Units in a language
+    without rules have only changes of white space and composition.
     """
     profile = profile or PreparationProfile()
-    proposed = rule_edits(F.col("text"), F.col("linguistic_tokens"), profile)
-    free = F.filter(proposed, lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
+    base = F.split(language_key(F.col("language")), "-")[0]
+    found = units.withColumn("_base", base).withColumn("_edits", rule_edits(F.col("_base"), profile))
+    free = F.filter("_edits", lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
     # Proposals are in order of place, so the last chosen one ends last.
     last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
     chosen = F.aggregate(free, F.array().cast(_EDITS), lambda acc, e: F.when(e["start"] < last(acc), acc).otherwise(F.concat(acc, F.array(e))))
-    english = F.split(language_key(F.col("language")), "-")[0] == "en"
     sourced = F.transform(chosen, lambda e: e.withField("source", cut(F.col("text"), e["start"], e["end"])))
-    rows = units.where(english).select("unit_id", "language", F.explode(sourced).alias("e"))
+    rows = found.where(F.size("_edits") > 0).select("unit_id", "language", "_base", F.explode(sourced).alias("e"))
+    own = ~F.col("e.rule").startswith("text.")
     return rows.select(
         "unit_id", F.col("e.start").alias("source_start"), F.col("e.end").alias("source_end"), F.col("e.source").alias("source"), F.col("e.replacement").alias("replacement"),
         F.array("e.stage").alias("stages"), F.col("e.kind").alias("kind"), F.col("e.rule").alias("rule"), F.col("e.domain").alias("recognition_domain"),
-        json_column(origin=F.lit(f"{ORIGIN}.rules"), language=F.col("language")).alias("provenance"), F.lit("en").alias("language"),
+        json_column(origin=F.lit(f"{ORIGIN}.rules"), language=F.col("language")).alias("provenance"), F.when(own, F.col("_base")).alias("language"),
     )

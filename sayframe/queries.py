@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .functions import identity
+from .functions import identity, numerals
 from .functions.text import TOKEN_PATTERN, free_of, matches, spans
-from .functions.unicode import casefold, language_key
-from .model import SPAN, OverrideScope, SpeechOverride
+from .functions.unicode import casefold, foldings, language_key
+from .model import SPAN, OverrideScope, PreparationProfile, SpeechOverride
 from .operators import consistency, edits, lexical, mapping, overrides, qa, sentences, serialize, stats
+from .operators.normalize import RULES
 from .plans.prepare import first_pass, prepare_run, prepare_text, prepare_units
 from .sources.units import documents, order_notes, text_units, validate_units
 from .streaming.stream import progress_events
@@ -316,6 +319,88 @@ def language_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("unit_id", language_key(F.concat(F.lit(" "), F.upper("language"), F.lit("_DE "))).alias("key"), F.sha2(casefold(F.col("text")), 256).alias("folded"))
 
 
+#: A note in each language, with a title, a measure, a number, an initialism and a slash; and what is spoken around the numbers.
+NOTES = {
+    "en": (("Dr. Lee has ", " kg and ", " signs (ART) open/close."), ("Doctor Lee has ", " and ", " signs (A R T) open slash close.")), "de": (("Dr. Lee hat ", " kg und ", " Zeichen (ART) auf/zu."), ("Doktor Lee hat ", " und ", " Zeichen (A R T) auf Schrägstrich zu.")),
+    "fr": (("Mme Lee a ", " kg et ", " signes (ART) oui/non."), ("Madame Lee a ", " et ", " signes (A R T) oui barre oblique non.")), "es": (("Sra. Lee tiene ", " kg y ", " signos (ART) sí/no."), ("Señora Lee tiene ", " y ", " signos (A R T) sí barra no.")),
+}
+
+
+def language_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note about each document in its language."""
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.expr("CAST(n_chars % 1000 AS STRING)").alias("k"), F.expr("CAST(CAST(n_chars AS BIGINT) * 10007 % 10000000 AS STRING)").alias("n"))
+    note = F.lit("")
+    for lang, ((a, b, c), _) in NOTES.items():
+        note = F.when(F.col("lang") == lang, F.concat(F.lit(a), "k", F.lit(b), "n", F.lit(c))).otherwise(note)
+    return text_units(t.withColumn("note", note), "doc_id", "note", "lang", "note", "doc_id")
+
+
+def prepare_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes in spoken form, with the rules and languages of their changes."""
+    done = prepare_text(language_notes(spark, sf_dir)).units
+    return done.select("unit_id", "spoken_text", F.array_join(F.transform("changes", lambda c: c["rule"]), " ").alias("rules"), F.array_join(F.array_distinct(F.transform("changes", lambda c: c["language"])), " ").alias("languages"))
+
+
+def unicode_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose accents are marks of their own, composed; how many changes that takes, and where places go."""
+    t = documents(spark, sf_dir)
+    text = F.col("text")
+    for c in ACCENTS:
+        text = F.replace(text, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    run = prepare_run(t.withColumn("text", text), PreparationProfile(normalize_unicode=True, expand_abbreviations=False, expand_structured=False, expand_numbers=False))
+    m, first = F.col("source_map"), F.get("changes", F.lit(0))
+    place = F.coalesce(first["source_start"], F.lit(0))
+    # The end of the first change by its left side, as another may begin there.
+    to = mapping.map_place(m, F.least(place + 2, F.length("text")), "left")
+    rows = run.select("unit_id", F.sha2("spoken_text", 256).alias("spoken_sha256"), F.size("changes").alias("changes"), first["source_start"].alias("first"), F.when(first.isNotNull(), F.struct(to.alias("to"), mapping.map_place(m, to, "left", "source").alias("back"))).alias("x"), mapping.map_place(m, F.length("text"), "right").alias("last_place"))
+    return rows.select("unit_id", "spoken_sha256", "changes", "first", F.col("x.to").alias("first_spoken_end"), F.col("x.back").alias("first_source_end"), "last_place")
+
+
+#: Accented letters of the documents' languages.
+ACCENTS = "äöüÄÖÜéèêëàâîïôûùçñáíóúÉÈÀÇÑÁÍÓÚ"
+
+
+def casefold_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document folded, with two characters behind it that its id chooses out of all that folding changes."""
+    changed = "".join(sorted(c for table in foldings() for c in table))
+    pick = lambda by: F.substring(F.lit(changed), (F.col("ordinal") * by % len(changed) + 1).cast("int"), F.lit(1))
+    return documents(spark, sf_dir).select("unit_id", F.sha2(casefold(F.concat("text", F.lit(" "), pick(1), pick(7))), 256).alias("folded"), casefold(pick(1)).alias("one"), casefold(pick(7)).alias("other"))
+
+
+def _folds_sql() -> str:
+    pairs = sorted((c, f) for table in foldings() for c, f in table.items())
+    lists = ["string_split('" + "|".join(x) + "', '|')" for x in zip(*pairs)]
+    return f"folds AS (SELECT unnest({lists[0]}) AS c, unnest({lists[1]}) AS f, unnest(generate_series(0, {len(pairs) - 1})) AS i)"
+
+
+def _words_sql(number: str, form: str) -> str:
+    """A number's words by language, from lists of those below a thousand."""
+    cases = []
+    for lang, g in numerals.LANGUAGES.items():
+        below = lambda f: "string_split('" + "|".join(g.below(n, f) for n in range(1000)) + "', '|')"  # noqa: E731, B023
+        high = f"CASE WHEN {number} // 1000000 = 1 THEN '{g.million[0]}' WHEN {number} // 1000000 > 1 THEN {below(numerals.NOUN)}[{number} // 1000000 + 1] || '{g.million[1]}' END"
+        middle = f"CASE WHEN {number} // 1000 % 1000 = 1 THEN '{g.one_thousand}' WHEN {number} // 1000 % 1000 > 1 THEN {below(numerals.THOUSANDS)}[{number} // 1000 % 1000 + 1] || '{g.thousand}' END"
+        low = f"CASE WHEN {number} % 1000 > 0 OR {number} = 0 THEN {below(form)}[{number} % 1000 + 1] END"
+        cases.append(f"WHEN '{lang}' THEN concat_ws(' ', {high}, nullif(concat_ws('{g.glue}', {middle}, {low}), ''))")
+    return f"CASE lang {' '.join(cases)} END"
+
+
+def _languages_sql() -> str:
+    kilo = " ".join(f"WHEN '{lang}' THEN CASE WHEN k = 1 THEN '{r.measures['kg'][0]}' ELSE '{r.measures['kg'][1]}' END" for lang, r in RULES.items())
+    part = lambda i: "CASE lang " + " ".join(f"WHEN '{lang}' THEN '{said[i]}'" for lang, (_, said) in NOTES.items()) + " END"
+    return f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, lang, CAST(n_chars % 1000 AS BIGINT) AS k, CAST(n_chars AS BIGINT) * 10007 % 10000000 AS n FROM documents)
+        SELECT unit_id, {part(0)} || {_words_sql('k', numerals.NOUN)} || ' ' || CASE lang {kilo} END || {part(1)} || {_words_sql('n', numerals.END)} || {part(2)} AS spoken_text,
+        lang || '.abbreviation ' || lang || '.quantity ' || lang || '.number sequence.parenthesized-initialism ' || lang || '.slash' AS rules, lang AS languages FROM t"""
+
+
+def _nfc_sql() -> str:
+    text = "text"
+    for c in ACCENTS:
+        text = f"replace({text}, '{c}', '{unicodedata.normalize('NFD', c)}')"
+    return rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, {text} AS x FROM documents), n AS (SELECT *, nfc_normalize(x) AS y, CASE WHEN regexp_matches(x, '[\x{{300}}-\x{{36F}}]') THEN length(regexp_extract(x, '^[^\x{{300}}-\x{{36F}}]*')) - 1 END AS first FROM t)
+        SELECT unit_id, sha256(y) AS spoken_sha256, CAST(length(x) - length(y) AS INT) AS changes, CAST(first AS INT) AS first, CAST(first + 1 AS INT) AS first_spoken_end, CAST(first + 2 AS INT) AS first_source_end, CAST(length(y) AS INT) AS last_place FROM n"""
+
+
 QUERIES = {
     "qa_currency": _qa(documents, "qa.currency_symbol"), "qa_measurement": _qa(documents, "qa.measurement_symbol"), "qa_digits": _qa(documents, "qa.residual_digits"), "qa_initialism": _qa(documents, "qa.initialism_candidate"),
     "qa_roman": _qa(documents, "qa.roman_numeral_candidate"), "qa_operator": _qa(documents, "qa.operator_heavy"), "qa_replacement": _qa(benchmark_units, "qa.replacement_character"), "qa_private_use": _qa(benchmark_units, "qa.private_use"),
@@ -328,6 +413,7 @@ QUERIES = {
     "initialism_seeds": seeds, "initialism_conflicts": seed_conflicts, "prepare_stats": prepare_stats, "stage_histogram": _histogram("stage"), "rule_histogram": _histogram("rule"), "domain_histogram": _histogram("domain"),
     "lexical_tokens": lexical_tokens, "lexical_counts": lexical_counts, "lexical_findings": lexical_findings, "lexical_unknown_only": lexical_unknown_only, "lexical_topk": lexical_topk,
     "sentence_spans": sentence_rows, "change_context": change_context, "chunks": chunks, "map_positions": map_positions, "map_concat": map_concat, "json_roundtrip": json_roundtrip, "progress_events": progress, "validate_units": validation, "language_keys": language_keys,
+    "prepare_languages": prepare_languages, "unicode_nfc": unicode_nfc, "casefold_specials": casefold_specials,
 }
 
 _WORDS = r"[\p{L}\p{N}_''-]+"
@@ -409,4 +495,7 @@ ORACLE_SQL = {
     "validate_units": """SELECT CAST(o_custkey AS VARCHAR) AS unit_id, 'protected spans are out of bounds or overlap' AS problem FROM orders WHERE o_custkey % 9 = 0 OR o_custkey % 9 > length(substr(o_orderpriority, 1, 5))
         UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'id occurs twice' FROM orders GROUP BY o_custkey HAVING count(*) > 1""",
     "language_keys": f"SELECT CAST(doc_id AS VARCHAR) AS unit_id, {_FOLD.format('lang')} || '-de' AS key, sha256({_FOLD.format('text')}) AS folded FROM documents",
+    "prepare_languages": _languages_sql(), "unicode_nfc": _nfc_sql(),
+    "casefold_specials": f"""WITH {_folds_sql()}, t AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, text, a.f AS one, b.f AS other FROM documents d JOIN folds a ON a.i = d.doc_id % (SELECT count(*) FROM folds) JOIN folds b ON b.i = d.doc_id * 7 % (SELECT count(*) FROM folds))
+        SELECT unit_id, sha256({_FOLD.format('text')} || ' ' || one || other) AS folded, one, other FROM t""",
 }
