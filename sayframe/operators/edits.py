@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import cut, let, running_sums
 from ..model import MappingError
+from .qa import output_spans
 
 EDIT = "struct<source_start:int,source_end:int,source:string,replacement:string>"
 
@@ -73,6 +74,7 @@ def verify(prepared: DataFrame) -> DataFrame:
     """(unit_id, problem) where texts, edits and protected spans do not fit together; empty for what apply_changes gives."""
     text, spoken, edits = F.col("text"), F.col("spoken_text"), F.col("changes")
     output = F.exists(edits, lambda c: cut(spoken, c["output_start"], c["output_end"]) != c["replacement"])
+    kept = F.exists(F.zip_with("protected_spans", output_spans(F.col("protected_spans"), edits), lambda p, o: cut(spoken, o["start"], o["end"]) != cut(text, p["start"], p["end"])), lambda bad: bad)
     touched = F.exists("protected_spans", lambda p: F.exists(edits, lambda c: (p["start"] < c["source_end"]) & (c["source_start"] < p["end"])))
-    found = F.coalesce(problem(text, edits), F.when(output, "a replacement is not at its place"), F.when(rebuild(text, edits) != spoken, "the spoken text is not that of its edits"), F.when(touched, "an edit touches a protected span"))
+    found = F.coalesce(problem(text, edits), F.when(output, "a replacement is not at its place"), F.when(rebuild(text, edits) != spoken, "the spoken text is not that of its edits"), F.when(touched, "an edit touches a protected span"), F.when(kept, "a protected span is not as it was"))
     return prepared.select("unit_id", found.alias("problem")).where("problem IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import identity
 from ..functions.identity import change_id_column
 from ..model import RESULT_SCHEMA, SPAN, PreparationProfile
-from ..operators import consistency, edits, mapping, normalize as rules, overrides as policy, qa, sentences, stats as counting
+from ..operators import consistency, edits as applied, external, mapping, normalize as rules, overrides as policy, qa, sentences, stats as counting
 from ..sources.units import require_valid
 
 _FIELDS = ("source_start", "source_end", "id", "source", "replacement", "stages", "kind", "rule", "recognition_domain", "provenance", "language")
@@ -49,42 +49,54 @@ def _with_ids(changes: DataFrame) -> DataFrame:
     return changes.withColumn("id", change_id_column(F.col("unit_id"), F.col("source_start"), F.col("source_end"), F.col("source")))
 
 
-def first_pass(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None) -> tuple[DataFrame, DataFrame]:
-    """Changes by overrides and rules, and the issues of the overrides. Rules see the overrides' places as protected."""
-    if not isinstance(overrides, DataFrame) and not overrides:
-        return _with_ids(rules.normalize(units, profile)).select("unit_id", *_FIELDS), None
-    resolved = policy.require_no_conflict(policy.resolve_overrides(policy.match_overrides(units, overrides)))
-    taken = F.transform("selected", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("override").alias("reason"))).cast(f"array<{SPAN}>")
-    masked = resolved.withColumn("_masked", F.concat("protected_spans", taken))
-    both = rules.normalize(masked, profile, "_masked").unionByName(policy.override_changes(resolved, overrides))
-    return _with_ids(both).select("unit_id", *_FIELDS), policy.override_issues(resolved)
+def first_pass(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Changes by overrides and rules, and the issues of the overrides. Rules see the overrides' places as protected.
+
+    With `edits` (and maybe `outputs` with spoken_text, source_map and warnings), these take the place of the rules, and
+    MappingError is raised here if anything is wrong with them, or if one touches an override's place.
+    """
+    blocked, masked, more, issues = "protected_spans", units, None, None
+    if isinstance(overrides, DataFrame) or overrides:
+        resolved = policy.require_no_conflict(policy.resolve_overrides(policy.match_overrides(units, overrides)))
+        taken = F.transform("selected", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("override").alias("reason"))).cast(f"array<{SPAN}>")
+        blocked, masked = "_masked", resolved.withColumn("_masked", F.concat("protected_spans", taken))
+        more, issues = policy.override_changes(resolved, overrides), policy.override_issues(resolved)
+    if edits is None:
+        changes = rules.normalize(masked, profile, blocked)
+    else:
+        external.require_edits(masked, edits, outputs, blocked)
+        changes = external.external_changes(units, edits)
+        if outputs is not None and "warnings" in outputs.columns:
+            warned = external.external_warnings(units, outputs)
+            issues = warned if issues is None else issues.unionByName(warned)
+    return _with_ids(changes if more is None else changes.unionByName(more)).select("unit_id", *_FIELDS), issues
 
 
 def _result(units: DataFrame, changes: DataFrame, issues: DataFrame | None, overrides: policy.Policy, profile: PreparationProfile, strict: bool) -> PreparationResult:
-    prepared = edits.apply_changes(units, changes)
+    prepared = applied.apply_changes(units, changes)
     residual = qa.check_prepared(prepared, profile)
     found = residual if issues is None else issues.unionByName(residual)
     if strict:
         qa.require_no_errors(found)
-    return PreparationResult(prepared, edits.exploded(prepared), found, counting.preparation_stats(prepared, found), identity.profile_fingerprint(profile), policy.policy_fingerprint(overrides), identity.runtime_fingerprint())
+    return PreparationResult(prepared, applied.exploded(prepared), found, counting.preparation_stats(prepared, found), identity.profile_fingerprint(profile), policy.policy_fingerprint(overrides), identity.runtime_fingerprint())
 
 
-def prepare_text(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False) -> PreparationResult:
-    """Each unit by itself: overrides, rules and issues, without consistency between units."""
+def prepare_text(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> PreparationResult:
+    """Each unit by itself: overrides, rules (or the given edits) and issues, without consistency between units."""
     profile = profile or PreparationProfile()
-    changes, issues = first_pass(units, overrides, profile)
+    changes, issues = first_pass(units, overrides, profile, edits, outputs)
     return _result(units, changes, issues, overrides, profile, strict)
 
 
-def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True) -> PreparationResult:
+def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> PreparationResult:
     """All units together. Initialisms that one unit introduces are then spoken alike in all units of its language; where
     units disagree, an issue says so and nothing is applied. Results do not depend on the order of units.
 
-    strict raises PreparationError if an issue is an error. validate checks ids and spans first (InvalidUnitError).
+    edits and outputs are those of another normaliser, in place of the rules (see first_pass). strict raises PreparationError if an issue is an error. validate checks ids and spans first (InvalidUnitError).
     """
     profile = profile or PreparationProfile()
     units = require_valid(units) if validate else units
-    changes, issues = first_pass(units, overrides, profile)
+    changes, issues = first_pass(units, overrides, profile, edits, outputs)
     changes = changes.persist()  # read three times; lost parts are computed again
     groups = consistency.seed_groups(consistency.seeds(changes, units))
     more = _with_ids(consistency.consistency_changes(units, changes, groups)).select("unit_id", *_FIELDS)
@@ -93,9 +105,9 @@ def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: Prep
     return _result(units, changes.unionByName(more), issues, overrides, profile, strict)
 
 
-def prepare_run(units: DataFrame, profile: PreparationProfile | None = None) -> DataFrame:
-    """Rules only: each unit with spoken_text, changes and its source_map; no overrides, issues, sentences or consistency."""
-    prepared = edits.apply_changes(units, _with_ids(rules.normalize(units, profile)).select("unit_id", *_FIELDS))
+def prepare_run(units: DataFrame, profile: PreparationProfile | None = None, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    """Rules (or the given edits) only: each unit with spoken_text, changes and its source_map; no overrides, issues, sentences or consistency."""
+    prepared = applied.apply_changes(units, first_pass(units, (), profile, edits, outputs)[0])
     return prepared.withColumn("source_map", mapping.source_output_map(F.col("text"), F.col("spoken_text"), F.col("changes")))
 
 
