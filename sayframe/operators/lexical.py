@@ -58,11 +58,13 @@ def _display(forms: str) -> Column:
 
 @dataclass(frozen=True)
 class LexicalProvider:
-    """A lexicon of one language: rows (normalized, known, frequency_rank, frequency_count), and what it can do."""
+    """A lexicon of one language: rows (normalized, known, frequency_rank, frequency_count, and maybe domain), and what it
+    can do. Each normalized word (and domain) has one row."""
 
     language: str
     words: DataFrame
     capabilities: tuple[str, ...] = ("lexical",)
+    domains: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if "lexical" not in self.capabilities:
@@ -70,12 +72,25 @@ class LexicalProvider:
         if not self.language:
             raise ValueError("a provider has a language")
 
-    def checked(self, terms: DataFrame) -> DataFrame:
-        """The terms; one of another language raises an error at the action. Regions of a language do not matter."""
-        own = self.language.replace("_", "-").split("-")[0].casefold()
-        other = F.split(language_key(F.col("language")), "-")[0] != own
-        wrong = F.raise_error(F.concat(F.lit("the lexicon has another language than "), F.col("language"))).cast("string")
-        return terms.withColumn("language", F.when(other, wrong).otherwise(F.col("language")))
+    def require(self, units: DataFrame) -> None:
+        """ValueError, at once, if a unit has another language. Regions of a language do not matter."""
+        own = self.language.strip().replace("_", "-").split("-")[0].casefold()
+        other = units.select("language").where(~F.coalesce(F.split(language_key(F.col("language")), "-")[0] == own, F.lit(False))).limit(1).collect()
+        if other:
+            raise ValueError(f"the lexicon of {self.language!r} has another language than {other[0]['language']!r}")
+
+    def supports_domain(self, domain: str) -> bool:
+        return domain in self.domains
+
+    def lookup(self, domain: str | None = None) -> DataFrame:
+        """The evidence of general words, or of a domain that the provider supports (its rows are those with that
+        `domain`; where it has none for a word, the general ones count)."""
+        names = ("normalized", "known", "frequency_rank", "frequency_count")
+        if "domain" not in self.words.columns:
+            return self.words.select(*names)
+        rows = self.words.where(F.col("domain").isNull() | (F.col("domain") == F.lit(domain)))
+        best = rows.groupBy("normalized").agg(F.min(F.struct(F.col("domain").isNull().alias("general"), *names[1:])).alias("b"))
+        return best.select("normalized", *[F.col(f"b.{n}").alias(n) for n in names[1:]])
 
 
 def reviewed(units) -> DataFrame:
@@ -91,17 +106,25 @@ def units_reviewed(units) -> DataFrame:
     return reviewed(units).agg(F.count("*").alias("units_reviewed"))
 
 
-def review_lexicon(units, lexicon: DataFrame | LexicalProvider | None = None, max_frequency_rank: int = 10_000, min_count: int = 1, max_items: int | None = None, unknown_only: bool = False, include_all_tokens: bool = False, occurrences: bool = True) -> DataFrame:
+def review_lexicon(units, lexicon: DataFrame | LexicalProvider | None = None, max_frequency_rank: int = 10_000, min_count: int = 1, max_items: int | None = None, unknown_only: bool = False, include_all_tokens: bool = False, occurrences: bool = True, domain: str | None = None) -> DataFrame:
     """Findings in order of urgency: id, language, surface, normalized, count, known, frequency_rank, frequency_count,
     reasons, occurrences and priority.
 
     Words are summed by surface first, which then gets its flags, and by normal form then; only terms of min_count or more meet the lexicon
     (normalized, known, frequency_rank, frequency_count), by a left join, so a term that it lacks has unknown (null) evidence.
-    Without a limit the order is that of priority, count, rank, normalized, id.
+    A provider's language is checked against that of all units before anything else. Without a limit the order is that of priority, count, rank, normalized, id.
     """
     if min(max_frequency_rank, min_count, max_items or 1) < 1:
         raise ValueError("max_frequency_rank, min_count and max_items are 1 at least")
-    rows = _words(reviewed(units)).withColumn("language_key", casefold(F.col("language")))
+    units = reviewed(units)
+    if isinstance(lexicon, LexicalProvider):
+        if domain is not None and not lexicon.supports_domain(domain):
+            raise ValueError(f"the lexicon has no domain {domain!r}")
+        lexicon.require(units)
+        lexicon = lexicon.lookup(domain)
+    elif domain is not None:
+        raise ValueError("a domain is that of a provider")
+    rows = _words(units).withColumn("language_key", casefold(F.col("language")))
     place = F.struct("ordinal", "unit_id", "start", "end", "sentence_index")
     surfaces = rows.groupBy("language_key", "surface").agg(
         F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "language")).alias("first"), F.bool_and("_starts").alias("_starts"),
@@ -112,8 +135,6 @@ def review_lexicon(units, lexicon: DataFrame | LexicalProvider | None = None, ma
         F.sum("n").alias("count"), F.collect_list(F.struct("n", "surface")).alias("forms"), F.min("first")["language"].alias("language"), *[F.bool_or(c).alias(c) for c in ("unusual", "mixed_case", "all_caps", "proper_name")],
         *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if occurrences else []),
     ).where(F.col("count") >= min_count)
-    if isinstance(lexicon, LexicalProvider):
-        terms, lexicon = lexicon.checked(terms), lexicon.words
     if lexicon is None:
         known = terms.withColumns({"known": F.lit(None).cast("boolean"), "frequency_rank": F.lit(None).cast("int"), "frequency_count": F.lit(None).cast("int")})
     else:

@@ -7,7 +7,7 @@ nearest side of their bias (left: the start, right: the end), and at its end bot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAP = "struct<source_length:int,output_length:int,source_left:array<int>,source_right:array<int>,output_left:array<int>,output_right:array<int>>"
 
@@ -63,22 +63,26 @@ def map_span(m: Column, start: Column, end: Column, to: str = "output") -> Colum
 
 
 def concatenate(maps: DataFrame, group: str, order: str, column: str = "source_map") -> DataFrame:
-    """(group, source_map): maps of one group one behind the other. Empty maps are left out; at a border the left one counts."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("m"))))
-    start = identity(F.lit(0))
+    """(group, source_map): maps of one group one behind the other. Empty maps are left out; at a border the left one counts.
 
-    def step(acc: Column, x: Column) -> Column:
-        m = x["m"]
-        none = (m["source_length"] == 0) & (m["output_length"] == 0)
-        first = (acc["source_length"] == 0) & (acc["output_length"] == 0)
-        join = lambda c, by: F.when(first, m[c]).otherwise(F.concat(acc[c], F.transform(F.slice(m[c], 2, F.greatest(F.size(m[c]) - 1, F.lit(0))), lambda v: v + acc[by])))
-        both = F.struct(
-            (acc["source_length"] + m["source_length"]).alias("source_length"), (acc["output_length"] + m["output_length"]).alias("output_length"), join("source_left", "output_length").alias("source_left"),
-            join("source_right", "output_length").alias("source_right"), join("output_left", "source_length").alias("output_left"), join("output_right", "source_length").alias("output_right"),
-        ).cast(MAP)
-        return F.when(none, acc).otherwise(both)
+    Each map is moved by the lengths before it, and all are put together once, so the work is in proportion to their
+    places. A group of empty maps has an empty one.
+    """
+    sides = ("source_left", "source_right", "output_left", "output_right")
+    m = F.col("m")
+    rows = maps.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(column).alias("m")).withColumn("some", ((m["source_length"] > 0) | (m["output_length"] > 0)).cast("int"))
+    before = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.withColumns({name: F.coalesce(F.sum(value).over(before), F.lit(0)).cast("int") for name, value in (("source", m["source_length"]), ("output", m["output_length"]), ("count", F.col("some")))})
 
-    return maps.groupBy(group).agg(ordered.alias("_all")).select(group, F.aggregate("_all", start, step).alias("source_map"))
+    def moved(c: str) -> Column:
+        own = F.when(F.col("some") == 0, F.slice(m[c], 1, 0)).when(F.col("count") == 0, m[c]).otherwise(F.slice(m[c], F.lit(2), F.greatest(F.size(m[c]) - 1, F.lit(0))))
+        by = F.col("output" if c.startswith("source") else "source")
+        return F.transform(own, lambda v: v + by)
+
+    placed = sums.select("g", "o", "m", *[moved(c).alias(c) for c in sides])
+    whole = placed.groupBy("g").agg(F.sum(m["source_length"]).cast("int").alias("source_length"), F.sum(m["output_length"]).cast("int").alias("output_length"), F.sort_array(F.collect_list(F.struct("o", *sides))).alias("all"))
+    joined = F.struct("source_length", "output_length", *[F.flatten(F.transform("all", lambda x, c=c: x[c])).alias(c) for c in sides]).cast(MAP)
+    return whole.select(F.col("g").alias(group), F.when((F.col("source_length") == 0) & (F.col("output_length") == 0), identity(F.lit(0))).otherwise(joined).alias("source_map"))
 
 
 def to_json(m: Column) -> Column:
@@ -100,7 +104,7 @@ def from_json(json: Column) -> Column:
 
 def problem(m: Column) -> Column:
     """What is wrong with a map, or null: lengths, order of left and right, range, falling places."""
-    wrong = F.lit(False)
+    wrong = (m["source_length"] < 0) | (m["output_length"] < 0)
     for side, other in (("source", "output"), ("output", "source")):
         left, right, top = m[f"{side}_left"], m[f"{side}_right"], m[f"{other}_length"]
         wrong = wrong | (F.size(left) != m[f"{side}_length"] + 1) | (F.size(right) != F.size(left)) | F.exists(F.zip_with(left, right, lambda a, b: F.coalesce(a > b, F.lit(True))), lambda x: x)

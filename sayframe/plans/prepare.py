@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +28,12 @@ class PreparationResult:
     override_fingerprint: str
     runtime_fingerprint: str
     schema: str = RESULT_SCHEMA
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Gives back what the first pass keeps on the executors; later actions compute it again."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     @property
     def changed(self) -> DataFrame:
@@ -88,21 +95,28 @@ def prepare_text(units: DataFrame, overrides: policy.Policy = (), profile: Prepa
     return _result(units, changes, issues, overrides, profile, strict)
 
 
-def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> PreparationResult:
+def prepare_units(units: DataFrame, overrides: policy.Policy = (), profile: PreparationProfile | None = None, strict: bool = False, validate: bool = True, edits: DataFrame | None = None, outputs: DataFrame | None = None, on_progress: Callable | None = None) -> PreparationResult:
     """All units together. Initialisms that one unit introduces are then spoken alike in all units of its language; where
     units disagree, an issue says so and nothing is applied. Results do not depend on the order of units.
 
-    edits and outputs are those of another normaliser, in place of the rules (see first_pass). strict raises PreparationError if an issue is an error. validate checks ids and spans first (InvalidUnitError).
+    edits and outputs are those of another normaliser, in place of the rules (see first_pass). on_progress is called on the
+    driver for each unit of the first pass (see streaming.stream.notify). strict raises PreparationError if an issue is an error. validate checks ids and spans first (InvalidUnitError).
     """
     profile = profile or PreparationProfile()
     units = require_valid(units) if validate else units
     changes, issues = first_pass(units, overrides, profile, edits, outputs)
     changes = changes.persist()  # read three times; lost parts are computed again
+    if on_progress is not None:
+        from ..streaming.stream import notify
+
+        notify(units, on_progress, changes)
     groups = consistency.seed_groups(consistency.seeds(changes, units))
     more = _with_ids(consistency.consistency_changes(units, changes, groups)).select("unit_id", *_FIELDS)
     disputes = consistency.conflicts(groups).join(units.select("unit_id", "ordinal"), "unit_id").withColumns({"pass": F.lit(7), "pos": F.col("source_start"), "code_rank": F.lit(0)})
     issues = disputes if issues is None else issues.unionByName(disputes)
-    return _result(units, changes.unionByName(more), issues, overrides, profile, strict)
+    result = _result(units, changes.unionByName(more), issues, overrides, profile, strict)
+    result.kept = changes
+    return result
 
 
 def prepare_run(units: DataFrame, profile: PreparationProfile | None = None, edits: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -10,9 +11,10 @@ from .functions import identity, numerals
 from .functions.text import TOKEN_PATTERN, free_of, matches, spans
 from .functions.unicode import casefold, foldings, language_key
 from .model import SPAN, OverrideScope, PreparationProfile, SpeechOverride
-from .operators import consistency, edits, lexical, mapping, overrides, qa, sentences, serialize, stats
+from .operators import consistency, edits, external, lexical, mapping, overrides, qa, sentences, serialize, stats
 from .operators.normalize import RULES
 from .plans.prepare import first_pass, prepare_run, prepare_text, prepare_units
+from .sources.shared import shared_dir
 from .sources.units import documents, order_notes, text_units, validate_units
 from .streaming.stream import progress_events
 
@@ -319,6 +321,24 @@ def language_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("unit_id", language_key(F.concat(F.lit(" "), F.upper("language"), F.lit("_DE "))).alias("key"), F.sha2(casefold(F.col("text")), 256).alias("folded"))
 
 
+def edit_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with edits of the documents' digits that another normaliser might propose: nothing, stale sources,
+    places named twice, or output places that are off by one, by document."""
+    t = documents(spark, sf_dir)
+    kind = F.col("ordinal") % 4
+    rows = t.select("unit_id", "ordinal", F.explode(matches("text", "[0-9]+")).alias("s"), kind.alias("kind"))
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("kind") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    proposed = rows.select("unit_id", F.col("s.start").alias("source_start"), F.col("s.end").alias("source_end"), F.concat("s.surface", F.when(F.col("kind") == 1, "x").otherwise("")).alias("source"), F.col("s.surface").alias("replacement"), F.when(F.col("kind") == 3, F.col("s.start") + 1).otherwise(F.col("s.start")).alias("output_start"))
+    return external.edit_problems(t, proposed)
+
+
+def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language notes, prepared, written as a store and read back."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    serialize.write_result(prepare_text(language_notes(spark, sf_dir)), path)
+    return serialize.read_result(spark, path)["units"].select("unit_id", "spoken_text", F.size("changes").alias("changes"))
+
+
 #: A note in each language, with a title, a measure, a number, an initialism and a slash; and what is spoken around the numbers.
 NOTES = {
     "en": (("Dr. Lee has ", " kg and ", " signs (ART) open/close."), ("Doctor Lee has ", " and ", " signs (A R T) open slash close.")), "de": (("Dr. Lee hat ", " kg und ", " Zeichen (ART) auf/zu."), ("Doktor Lee hat ", " und ", " Zeichen (A R T) auf Schrägstrich zu.")),
@@ -413,7 +433,7 @@ QUERIES = {
     "initialism_seeds": seeds, "initialism_conflicts": seed_conflicts, "prepare_stats": prepare_stats, "stage_histogram": _histogram("stage"), "rule_histogram": _histogram("rule"), "domain_histogram": _histogram("domain"),
     "lexical_tokens": lexical_tokens, "lexical_counts": lexical_counts, "lexical_findings": lexical_findings, "lexical_unknown_only": lexical_unknown_only, "lexical_topk": lexical_topk,
     "sentence_spans": sentence_rows, "change_context": change_context, "chunks": chunks, "map_positions": map_positions, "map_concat": map_concat, "json_roundtrip": json_roundtrip, "progress_events": progress, "validate_units": validation, "language_keys": language_keys,
-    "prepare_languages": prepare_languages, "unicode_nfc": unicode_nfc, "casefold_specials": casefold_specials,
+    "prepare_languages": prepare_languages, "unicode_nfc": unicode_nfc, "casefold_specials": casefold_specials, "edit_problems": edit_problems, "result_store": result_store,
 }
 
 _WORDS = r"[\p{L}\p{N}_''-]+"
@@ -495,6 +515,8 @@ ORACLE_SQL = {
     "validate_units": """SELECT CAST(o_custkey AS VARCHAR) AS unit_id, 'protected spans are out of bounds or overlap' AS problem FROM orders WHERE o_custkey % 9 = 0 OR o_custkey % 9 > length(substr(o_orderpriority, 1, 5))
         UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'id occurs twice' FROM orders GROUP BY o_custkey HAVING count(*) > 1""",
     "language_keys": f"SELECT CAST(doc_id AS VARCHAR) AS unit_id, {_FOLD.format('lang')} || '-de' AS key, sha256({_FOLD.format('text')}) AS folded FROM documents",
+    "edit_problems": f"""WITH {_found(_DOCS, '[0-9]+')} SELECT DISTINCT unit_id, CASE ordinal % 4 WHEN 1 THEN 'an edit''s source is not in the text' WHEN 2 THEN 'edits overlap' ELSE 'an edit''s output place is not where the edits before put it' END AS problem FROM found WHERE ordinal % 4 > 0""",
+    "result_store": f"SELECT unit_id, spoken_text, CAST(5 AS INT) AS changes FROM ({_languages_sql()})",
     "prepare_languages": _languages_sql(), "unicode_nfc": _nfc_sql(),
     "casefold_specials": f"""WITH {_folds_sql()}, t AS (SELECT CAST(doc_id AS VARCHAR) AS unit_id, text, a.f AS one, b.f AS other FROM documents d JOIN folds a ON a.i = d.doc_id % (SELECT count(*) FROM folds) JOIN folds b ON b.i = d.doc_id * 7 % (SELECT count(*) FROM folds))
         SELECT unit_id, sha256({_FOLD.format('text')} || ' ' || one || other) AS folded, one, other FROM t""",

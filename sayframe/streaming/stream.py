@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,16 @@ from ..operators.lexical import tokens
 from ..plans.prepare import PreparationResult, prepare_units
 
 
+@dataclass(frozen=True)
+class ProgressEvent:
+    kind: str
+    completed: int
+    total: int
+    unit_id: str
+    language: str
+    role: str
+
+
 def check_stream(units: DataFrame, profile: PreparationProfile | None = None) -> DataFrame:
     """Issues of a stream of units, in append mode without state."""
     return qa.check_units(units, profile)
@@ -41,3 +52,19 @@ def observed(prepared: DataFrame, name: str = "progress") -> tuple[DataFrame, Ob
     """The frame, and totals of units that pass through it, for whatever action follows."""
     o = Observation(name)
     return prepared.observe(o, F.count("*").alias("units"), F.count_if(F.col("text") != F.col("spoken_text")).alias("changed")), o
+
+
+def notify(units: DataFrame, callback: Callable[[ProgressEvent], None], changes: DataFrame | None = None) -> None:
+    """Calls back on the driver, in the units' order, when a unit's first pass starts and when it has ended; an error of
+    the callback reaches the caller and ends the walk.
+
+    The driver holds one partition of units' names at a time. With `changes` (of the first pass) a unit's events come
+    once its changes are there.
+    """
+    names = units.select("ordinal", "unit_id", "language", "role")
+    if changes is not None:
+        names = names.join(changes.groupBy("unit_id").agg(F.count("*").alias("changes")), "unit_id", "left")
+    total = units.count()
+    for done, row in enumerate(names.sort("ordinal").toLocalIterator()):
+        for kind, completed in (("unit.started", done), ("unit.completed", done + 1)):
+            callback(ProgressEvent(kind, completed, total, row["unit_id"], row["language"], row["role"]))

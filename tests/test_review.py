@@ -35,8 +35,15 @@ def test_provider_checks(spark):
     found = lexical.review_lexicon(units, lexical.LexicalProvider("en", words), unknown_only=True).collect()
     assert [(r["surface"], r["count"], [(o["unit_id"], o["sentence_index"]) for o in r["occurrences"]]) for r in found] == [("Siobhan", 3, [("u0", 0), ("u0", 1), ("u1", 0)])]
     assert lexical.review_lexicon(units, unknown_only=True).isEmpty()
-    with pytest.raises(Exception, match="another language"):
-        lexical.review_lexicon(units, lexical.LexicalProvider("de", words)).collect()
+    with pytest.raises(ValueError, match="another language"):
+        lexical.review_lexicon(units, lexical.LexicalProvider("de", words))
+    law = words.withColumn("domain", F.lit(None).cast("string")).unionByName(words.withColumns({"known": F.lit(True), "domain": F.lit("law")}))
+    provider = lexical.LexicalProvider("en", law, domains=("law",))
+    known = lambda **of: [r["known"] for r in lexical.review_lexicon(units, provider, include_all_tokens=True, **of).where("normalized = 'siobhan'").collect()]
+    assert (known(), known(domain="law")) == ([False], [True])
+    for bad in ({"domain": "art"}, {"domain": "law", "lexicon": words}):
+        with pytest.raises(ValueError):
+            lexical.review_lexicon(units, **{"lexicon": provider, **bad})
     with pytest.raises(ValueError):
         lexical.LexicalProvider("en", words, ("segment",))
 
@@ -45,7 +52,7 @@ def test_maps_as_json(spark):
     runs = prepare_run(make(spark, "2 kg", "", "plain"))
     back = runs.select("source_map", mapping.from_json(mapping.to_json(runs["source_map"])).alias("back")).collect()
     assert all(r["source_map"] == r["back"] for r in back)
-    for bad in ('{"source_length":1}', '{"source_length":1,"output_length":1,"source_left":[1,0],"source_right":[1,1],"output_left":[0,1],"output_right":[0,1]}', "x"):
+    for bad in ('{"source_length":-1,"output_length":-1,"source_left":[],"source_right":[],"output_left":[],"output_right":[]}', '{"source_length":1}', '{"source_length":1,"output_length":1,"source_left":[1,0],"source_right":[1,1],"output_left":[0,1],"output_right":[0,1]}', "x"):
         with pytest.raises(Exception, match="map"):
             spark.createDataFrame([(bad,)], "j string").select(mapping.from_json(F.col("j"))).collect()
 
