@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
+from .text import sql_string
 
 # The words of numbers.
 _EN = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen", "twenty thirty forty fifty sixty seventy eighty ninety")
@@ -86,15 +86,16 @@ LANGUAGES = {
 
 @lru_cache
 def _table(language: str, form: str) -> str:
-    return "\x01".join(LANGUAGES[language].below(n, form) for n in range(1000))
-
-
-def number_words(n: Column, language: str = "en", form: str = END) -> Column:
-    """A number's words; before a noun in the form NOUN. Null below 0 and beyond 999,999,999."""
-    g, n = LANGUAGES[language], n.cast("long")
-    of = lambda k, f: F.get(F.split(F.lit(_table(language, f)), "\x01"), k.cast("int"))
-    millions, thousands, rest = F.floor(n / 1_000_000), F.floor(n / 1000) % 1000, n % 1000
-    high = F.when(millions == 1, g.million[0]).when(millions > 1, F.concat(of(millions, NOUN), F.lit(g.million[1])))
-    middle = F.when(thousands == 1, g.one_thousand).when(thousands > 1, F.concat(of(thousands, THOUSANDS), F.lit(g.thousand)))
-    low = F.when((rest > 0) | (n == 0), of(rest, form))
-    return F.when(n.between(0, 999_999_999), F.concat_ws(" ", high, F.nullif(F.concat_ws(g.glue, middle, low), F.lit(""))))
+    return "|".join(LANGUAGES[language].below(n, form) for n in range(1000))
+
+
+def number_words_sql(number: str, language: str, noun: str = "false") -> str:
+    """The expression of a number's words, in the form before a noun where `noun` holds. Null below 0 and beyond
+    999,999,999."""
+    g = LANGUAGES[language]
+    of = lambda k, f: f"get(split({sql_string(_table(language, f))}, '[|]'), CAST({k} AS INT))"
+    millions, thousands, rest = f"{number} div 1000000", f"{number} div 1000 % 1000", f"{number} % 1000"
+    high = f"CASE WHEN {millions} = 1 THEN {sql_string(g.million[0])} WHEN {millions} > 1 THEN concat({of(millions, NOUN)}, {sql_string(g.million[1])}) END"
+    middle = f"CASE WHEN {thousands} = 1 THEN {sql_string(g.one_thousand)} WHEN {thousands} > 1 THEN concat({of(thousands, THOUSANDS)}, {sql_string(g.thousand)}) END"
+    low = f"CASE WHEN {rest} > 0 OR {number} = 0 THEN CASE WHEN {noun} THEN {of(rest, NOUN)} ELSE {of(rest, END)} END END"
+    return f"CASE WHEN {number} BETWEEN 0 AND 999999999 THEN concat_ws(' ', {high}, nullif(concat_ws({sql_string(g.glue)}, {middle}, {low}), '')) END"

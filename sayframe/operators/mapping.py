@@ -81,7 +81,7 @@ def concatenate(maps: DataFrame, group: str, order: str, column: str = "source_m
 
     placed = sums.select("g", "o", "m", *[moved(c).alias(c) for c in sides])
     whole = placed.groupBy("g").agg(F.sum(m["source_length"]).cast("int").alias("source_length"), F.sum(m["output_length"]).cast("int").alias("output_length"), F.sort_array(F.collect_list(F.struct("o", *sides))).alias("all"))
-    joined = F.struct("source_length", "output_length", *[F.flatten(F.transform("all", lambda x, c=c: x[c])).alias(c) for c in sides]).cast(MAP)
+    joined = F.struct("source_length", "output_length", *[F.flatten(F.col("all")[c]).alias(c) for c in sides]).cast(MAP)
     return whole.select(F.col("g").alias(group), F.when((F.col("source_length") == 0) & (F.col("output_length") == 0), identity(F.lit(0))).otherwise(joined).alias("source_map"))
 
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
-from ..functions.numerals import NOUN, number_words
-from ..functions.text import AFTER, BEFORE, cut, spans
+from ..functions.numerals import LANGUAGES, number_words_sql
+from ..functions.text import AFTER, BEFORE, cut, let, running, spans, spans_sql, sql_string
 from ..functions.unicode import language_key, nfc_edits
 from ..model import ORIGIN, PreparationProfile
 
@@ -48,15 +48,15 @@ RULES = {
     ),
 }
 
-_EDITS = "array<struct<start:int,size:int,rank:int,end:int,replacement:string,stage:string,kind:string,rule:string,domain:string>>"
+_EDITS = "array<struct<start:int,size:int,rank:int,end:int,replacement:string,stage:string,kind:string,rule:string,domain:string,number:bigint,noun:boolean>>"
 
 
-def _table(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+#: Parts of speech that are no measure.
+_NO_MEASURE = "NOT IN ('NOUN', 'PROPN', 'X', 'SYM')"
 
 
 def _edit(rank: int, s: Column, replacement: Column, stage: str, rule: str, domain: str | None) -> Column:
-    return F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("size"), F.lit(rank).alias("rank"), s["end"].alias("end"), replacement.alias("replacement"), F.lit(stage).alias("stage"), F.lit("structured" if stage == "structured" else "normalization").alias("kind"), F.lit(rule).alias("rule"), F.lit(domain).cast("string").alias("domain"))
+    return F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("size"), F.lit(rank).alias("rank"), s["end"].alias("end"), replacement.alias("replacement"), F.lit(stage).alias("stage"), F.lit("structured" if stage == "structured" else "normalization").alias("kind"), F.lit(rule).alias("rule"), F.lit(domain).cast("string").alias("domain"), F.lit(None).cast("bigint").alias("number"), F.lit(False).alias("noun"))
 
 
 #: The options of a profile that change white space.
@@ -85,6 +85,11 @@ def _alternatives(words) -> str:
     return "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+def _lookup(table: dict[str, str], key: str) -> str:
+    """SQL: the table's value, or null."""
+    return f"try_element_at(map({', '.join(sql_string(x) for pair in table.items() for x in pair)}), {key})"
+
+
 def common_edits(profile: PreparationProfile) -> list[Column]:
     """Edits that do not depend on the language: white space, and canonical composition (NFC)."""
     text, out = F.col("text"), []
@@ -97,63 +102,67 @@ def common_edits(profile: PreparationProfile) -> list[Column]:
     return out
 
 
-def language_edits(language: str, profile: PreparationProfile) -> list[Column]:
-    """Edits of one language's rules over the columns text and linguistic_tokens.
+def language_edits(profile: PreparationProfile) -> str:
+    """The expression of the edits by the rules of a unit's language, over the columns text, linguistic_tokens and _base
+    (the language). All languages share the search; what a language lacks is no edit.
 
-    quantity: a whole number and a measure; `in` counts as inches only where a token hint calls it a noun, and a lone hint of
+    quantity: a whole number and a measure; `in` counts as inches only where a token hint calls it a noun, and a hint of
     another part of speech keeps a measure from being one. initialism: two to eight capitals in brackets are spelled;
     with generic_acronym_mode "spell" others that have no vowel or are of two letters, too. sequence: with
     sequence_fallback_mode "spell" runs of letters and digits are spelled. slash: words with a slash. symbol: with a
     symbol_mode other than "none" the signs of the language, as words. abbreviation, number.
     """
-    rules, text, tokens, out = RULES[language], F.col("text"), F.col("linguistic_tokens"), []
-    surface = lambda s: cut(text, s["start"], s["end"])
-    spelled = lambda s: F.array_join(F.split(surface(s), ""), " ")
-    named = lambda rule: f"{language}.{rule}"
-    add = lambda pattern, rank, replacement, stage, rule, domain, keep=None: out.append(F.transform(spans("text", pattern) if keep is None else F.filter(spans("text", pattern), keep), lambda s: _edit(rank, s, replacement(s), stage, rule, domain)))
-    if profile.expand_structured:
-        hint = lambda s, back, test: F.coalesce(F.exists(tokens, lambda t: (t["start"] == s["end"] - back) & test(t["pos"])), F.lit(False))
-
-        def quantity(s: Column) -> Column:
-            n, unit = F.regexp_extract(surface(s), r"^([0-9]+)", 1).cast("long"), F.regexp_extract(surface(s), r"([a-z]+)$", 1)
-            name = F.when(n == 1, F.element_at(_table({k: v[0] for k, v in rules.measures.items()}), unit)).otherwise(F.element_at(_table({k: v[1] for k, v in rules.measures.items()}), unit))
-            return F.concat_ws(" ", number_words(n, language, NOUN), name)
-
-        verb = lambda s: ~hint(s, F.length(F.regexp_extract(surface(s), r"([a-z]+)$", 1)), lambda pos: pos.isNotNull() & ~pos.isin("NOUN", "PROPN", "X", "SYM"))
-        add(rf"{BEFORE}[0-9]{{1,9}} ?(?:{_alternatives(rules.measures)}){AFTER}", 0, quantity, "structured", named("quantity"), "quantities", verb)
-        if rules.inches:
-            one, more = rules.inches
+    out, surface = [], "substring(text, s.start + 1, s.end - s.start)"
+    spelled = f"array_join(split({surface}, ''), ' ')"
+    known = f"_base IN ({', '.join(map(sql_string, RULES))})"
+    own = lambda key: f"concat(_base, ':', {key})"
+    table = lambda of: {f"{lang}:{k}": v for lang, r in RULES.items() for k, v in of(r).items()}
+
+    def add(pattern: str, rank: int, stage: str, rule: str, domain: str, replacement: str, number: str = "CAST(NULL AS BIGINT)", noun: bool = False, keep: str = "true") -> None:
+        kind = "structured" if stage == "structured" else "normalization"
+        name = f"'{rule}'" if "." in rule else f"concat(_base, '.{rule}')"
+        edit = f"struct(s.start AS start, s.start - s.end AS size, {rank} AS rank, s.end AS end, {replacement} AS replacement, '{stage}' AS stage, '{kind}' AS kind, {name} AS rule, '{domain}' AS domain, {number} AS number, {str(noun).lower()} AS noun)"
+        found = spans_sql("text", pattern) if keep == "true" else f"filter({spans_sql('text', pattern)}, s -> {keep})"
+        out.append(f"transform({found}, s -> {edit})")
 
-            def inch(s: Column) -> Column:
-                n = F.regexp_extract(surface(s), r"^([0-9]+)", 1).cast("long")
-                return F.concat(number_words(n, language, NOUN), F.when(n == 1, f" {one}").otherwise(f" {more}"), F.when(s["end"] == F.length(text), ".").otherwise(""))
-
-            add(rf"{BEFORE}[0-9]{{1,9}} in[.]", 0, inch, "structured", named("quantity"), "quantities", lambda s: hint(s, 3, lambda pos: pos == "NOUN"))
-        add(r"(?<=\()[A-Z]{2,8}(?=\))", 1, spelled, "structured", INITIALISM_RULE, "sequences")
-        add(rf"{BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])", 2, lambda s: F.replace(surface(s), F.lit("/"), F.lit(f" {rules.slash} ")), "structured", named("slash"), "symbols")
+    if profile.expand_structured:
+        n, unit = f"CAST(regexp_extract({surface}, '^([0-9]+)', 1) AS BIGINT)", f"regexp_extract({surface}, '([a-z]+)$', 1)"
+        hint = lambda back, test: f"coalesce(exists(linguistic_tokens, t -> t.start = s.end - {back} AND t.pos {test}), false)"
+        names = table(lambda r: {k: v[1] for k, v in r.measures.items()} | {f"{k}:1": v[0] for k, v in r.measures.items()})
+        name = _lookup(names, own(f"{unit} || CASE WHEN {n} = 1 THEN ':1' ELSE '' END"))
+        add(rf"{BEFORE}[0-9]{{1,9}} ?(?:{_alternatives({k for r in RULES.values() for k in r.measures})}){AFTER}", 0, "structured", "quantity", "quantities", f"' ' || {name}", n, True, f"NOT {hint(f'length({unit})', _NO_MEASURE)}")
+        inch = _lookup({f"{lang}:{k}": f" {r.inches[k]}" for lang, r in RULES.items() if r.inches for k in (0, 1)}, own(f"CASE WHEN {n} = 1 THEN '0' ELSE '1' END"))
+        add(rf"{BEFORE}[0-9]{{1,9}} in[.]", 0, "structured", "quantity", "quantities", f"{inch} || CASE WHEN s.end = length(text) THEN '.' ELSE '' END", n, True, hint(3, "= 'NOUN'"))
+        add(r"(?<=\()[A-Z]{2,8}(?=\))", 1, "structured", INITIALISM_RULE, "sequences", f"CASE WHEN {known} THEN {spelled} END")
+        slash = _lookup({lang: f" {r.slash} " for lang, r in RULES.items()}, "_base")
+        add(rf"{BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])", 2, "structured", "slash", "symbols", f"replace({surface}, '/', {slash})")
         if profile.generic_acronym_mode == "spell":
-            add(rf"{BEFORE}(?:[A-Z]{{2}}|[B-DF-HJ-NP-TV-XZ]{{3,8}}){AFTER}", 7, spelled, "structured", "sequence.acronym", "sequences")
+            add(rf"{BEFORE}(?:[A-Z]{{2}}|[B-DF-HJ-NP-TV-XZ]{{3,8}}){AFTER}", 7, "structured", "sequence.acronym", "sequences", f"CASE WHEN {known} THEN {spelled} END")
         if profile.sequence_fallback_mode == "spell":
-            add(rf"{BEFORE}(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{2,24}}{AFTER}", 8, spelled, "structured", "sequence.fallback", "sequences")
+            add(rf"{BEFORE}(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{2,24}}{AFTER}", 8, "structured", "sequence.fallback", "sequences", f"CASE WHEN {known} THEN {spelled} END")
         if profile.symbol_mode != "none":
-            before, after = (lambda s: F.when((s["start"] > 0) & ~cut(text, s["start"] - 1, s["start"]).rlike(r"[\s\p{Z}]"), " ").otherwise("")), (lambda s: F.when((s["end"] < F.length(text)) & ~cut(text, s["end"], s["end"] + 1).rlike(r"[\s\p{Z}\p{P}]"), " ").otherwise(""))
-            add(f"(?<!\\p{{S}})[{re.escape(''.join(rules.symbols))}](?!\\p{{S}})", 9, lambda s: F.concat(before(s), F.element_at(_table(rules.symbols), surface(s)), after(s)), "structured", named("symbol"), "symbols")
+            before, after = r"CASE WHEN s.start > 0 AND NOT substring(text, s.start, 1) RLIKE '[\\s\\p{Z}]' THEN ' ' ELSE '' END", r"CASE WHEN s.end < length(text) AND NOT substring(text, s.end + 1, 1) RLIKE '[\\s\\p{Z}\\p{P}]' THEN ' ' ELSE '' END"
+            signs = re.escape("".join(sorted({k for r in RULES.values() for k in r.symbols})))
+            add(rf"(?<!\p{{S}})[{signs}](?!\p{{S}})", 9, "structured", "symbol", "symbols", f"{before} || {_lookup(table(lambda r: r.symbols), own(surface))} || {after}")
     if profile.expand_abbreviations:
-        add(f"{BEFORE}(?:{_alternatives(rules.abbreviations)}){AFTER}", 3, lambda s: F.element_at(_table(rules.abbreviations), surface(s)), "abbreviations", named("abbreviation"), "abbreviations")
+        add(f"{BEFORE}(?:{_alternatives({k for r in RULES.values() for k in r.abbreviations})}){AFTER}", 3, "abbreviations", "abbreviation", "abbreviations", _lookup(table(lambda r: r.abbreviations), own(surface)))
     if profile.expand_numbers:
-        plain = r"(?<![\p{L}\p{N}_/:.,+*=<>^-])[0-9]{1,9}(?![\p{L}\p{N}_/:+*=<>^-]|[.,][0-9])"
-        add(plain, 4, lambda s: number_words(surface(s).cast("long"), language), "numbers", named("number"), "numbers")
-    return out
+        add(r"(?<![\p{L}\p{N}_/:.,+*=<>^-])[0-9]{1,9}(?![\p{L}\p{N}_/:+*=<>^-]|[.,][0-9])", 4, "numbers", "number", "numbers", f"CASE WHEN {known} THEN '' END", f"CAST({surface} AS BIGINT)")
+    return f"concat({', '.join([f'CAST(array() AS {_EDITS})', *(f'coalesce(CAST({x} AS {_EDITS}), array())' for x in out)])})"
 
 
-def rule_edits(language: Column, profile: PreparationProfile) -> Column:
-    """All edits that the rules of a unit's language propose, without regard to each other, in order of place."""
+def proposed_edits(profile: PreparationProfile) -> Column:
+    """All edits that the rules propose for a unit, without regard to each other, in order of place."""
     none = F.array().cast(_EDITS)
-    joined = lambda parts: F.concat(none, *[F.coalesce(x.cast(_EDITS), none) for x in parts])
-    own = none
-    for name in RULES:
-        own = F.when(language == name, joined(language_edits(name, profile))).otherwise(own)
-    return F.filter(F.sort_array(F.concat(joined(common_edits(profile)), own)), lambda e: e["replacement"].isNotNull())
+    every = F.concat(F.expr(language_edits(profile)), *[F.coalesce(x.cast(_EDITS), none) for x in common_edits(profile)])
+    return F.sort_array(F.filter(every, lambda e: e["replacement"].isNotNull()))
+
+
+def _spoken(edits: str) -> str:
+    """The expression of chosen edits with the words of their numbers before their replacements."""
+    words = "CASE _base " + " ".join(f"WHEN '{lang}' THEN {number_words_sql('e.number', lang, 'e.noun')}" for lang in LANGUAGES) + " END"
+    fields = ", ".join(f"e.{f} AS {f}" for f in ("start", "end", "stage", "kind", "rule", "domain"))
+    return f"transform({edits}, e -> struct({fields}, CASE WHEN e.number IS NULL THEN e.replacement ELSE concat({words}, e.replacement) END AS replacement, substring(text, e.start + 1, e.end - e.start) AS source))"
 
 
 def normalize(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans") -> DataFrame:
@@ -164,13 +173,11 @@ def normalize(units: DataFrame, profile: PreparationProfile | None = None, block
     """
     profile = profile or PreparationProfile()
     base = F.split(language_key(F.col("language")), "-")[0]
-    found = units.withColumn("_base", base).withColumn("_edits", rule_edits(F.col("_base"), profile))
+    found = units.withColumn("_base", base).withColumn("_edits", proposed_edits(profile)).where(F.size("_edits") > 0)
     free = F.filter("_edits", lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
-    # Proposals are in order of place, so the last chosen one ends last.
-    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
-    chosen = F.aggregate(free, F.array().cast(_EDITS), lambda acc, e: F.when(e["start"] < last(acc), acc).otherwise(F.concat(acc, F.array(e))))
-    sourced = F.transform(chosen, lambda e: e.withField("source", cut(F.col("text"), e["start"], e["end"])))
-    rows = found.where(F.size("_edits") > 0).select("unit_id", "language", "_base", F.explode(sourced).alias("e"))
+    # Proposals are in order of place, so a chosen one begins behind the end of the last that was chosen before.
+    chosen = let(free, lambda es: let(running(es, 0, lambda end, e: F.when(e["start"] >= end, e["end"]).otherwise(end)), lambda ends: F.filter(es, lambda e, i: e["start"] >= F.get(ends, i))))
+    rows = found.withColumn("_chosen", chosen).select("unit_id", "language", "_base", F.explode(F.expr(_spoken("_chosen"))).alias("e"))
     own = ~F.col("e.rule").startswith("text.")
     return rows.select(
         "unit_id", F.col("e.start").alias("source_start"), F.col("e.end").alias("source_end"), F.col("e.source").alias("source"), F.col("e.replacement").alias("replacement"),

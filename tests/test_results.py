@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sayframe.model import RESULT_SCHEMA, SpeechOverride
+from sayframe.model import SpeechOverride
 from sayframe.operators import mapping, serialize
 from sayframe.plans.prepare import prepare_run, prepare_text, prepare_units
 from tests.test_prepare import make, spoken
@@ -25,7 +25,7 @@ def test_store(spark, tmp_path):
     spark.createDataFrame([("other.v1", "", "", "", "")], serialize.MANIFEST).write.mode("overwrite").parquet(f"{tmp_path}/r/manifest")
     with pytest.raises(ValueError, match="other.v1"):
         serialize.read_result(spark, f"{tmp_path}/r")
-    assert serialize.preparation_result_to_dict(result)["schema"] == RESULT_SCHEMA
+    assert serialize.preparation_result_to_dict is serialize.result_to_dict
 
 
 def test_progress(spark):
