@@ -173,7 +173,7 @@ def normalize(units: DataFrame, profile: PreparationProfile | None = None, block
     """
     profile = profile or PreparationProfile()
     base = F.split(language_key(F.col("language")), "-")[0]
-    found = units.withColumn("_base", base).withColumn("_edits", proposed_edits(profile)).where(F.size("_edits") > 0)
+    found = units.withColumn("_base", base).withColumn("_edits", proposed_edits(profile))
     free = F.filter("_edits", lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
     # Proposals are in order of place, so a chosen one begins behind the end of the last that was chosen before.
     chosen = let(free, lambda es: let(running(es, 0, lambda end, e: F.when(e["start"] >= end, e["end"]).otherwise(end)), lambda ends: F.filter(es, lambda e, i: e["start"] >= F.get(ends, i))))
