@@ -11,7 +11,7 @@ from .functions import identity, numerals
 from .functions.text import TOKEN_PATTERN, free_of, matches, spans
 from .functions.unicode import casefold, foldings, language_key
 from .model import SPAN, OverrideScope, PreparationProfile, SpeechOverride
-from .operators import consistency, edits, external, lexical, mapping, overrides, qa, sentences, serialize, stats
+from .operators import consistency, edits, external, large, lexical, mapping, overrides, qa, sentences, serialize, stats
 from .operators.normalize import RULES
 from .plans.prepare import first_pass, prepare_run, prepare_text, prepare_units
 from .sources.shared import shared_dir
@@ -135,6 +135,23 @@ def _summary_sql() -> str:
     return f"WITH docs AS ({_DOCS}), {', '.join(ctes)} SELECT code, 'warning' AS severity, language, count(*) AS issues FROM ({union}) JOIN docs USING (unit_id) GROUP BY ALL"
 
 
+def qa_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues of the documents, cut into pieces of some 500 characters."""
+    return large.check_large(guarded_documents(spark, sf_dir), size=500).select("unit_id", "code", "source_start", "source_end", "text")
+
+
+def token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the documents, found in pieces: their number, characters and places for each document."""
+    found = large.span_rows(documents(spark, sf_dir), TOKEN_PATTERN, 500)
+    return found.groupBy("unit_id").agg(F.count("*").alias("tokens"), F.sum(F.length("surface")).alias("chars"), F.sum(F.col("start").cast("long")).alias("starts"), F.max("end").alias("last_end"))
+
+
+def _pieces_sql() -> str:
+    ctes = [_found("SELECT * FROM docs", p, f"f{i}", f"u{i}") for i, (_, p, _) in enumerate(_SUMMARY)]
+    union = " UNION ALL ".join(f"SELECT '{c}' AS code, * FROM f{i} WHERE {w}" for i, (c, _, w) in enumerate(_SUMMARY))
+    return f"WITH docs AS ({_DOCS}), {', '.join(ctes)} SELECT unit_id, code, CAST(start AS INT) AS source_start, CAST(stop AS INT) AS source_end, s AS text FROM ({union}) WHERE start >= 500"
+
+
 def note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_units(order_notes(spark, sf_dir)).changes
 
@@ -425,7 +442,7 @@ QUERIES = {
     "qa_currency": _qa(documents, "qa.currency_symbol"), "qa_measurement": _qa(documents, "qa.measurement_symbol"), "qa_digits": _qa(documents, "qa.residual_digits"), "qa_initialism": _qa(documents, "qa.initialism_candidate"),
     "qa_roman": _qa(documents, "qa.roman_numeral_candidate"), "qa_operator": _qa(documents, "qa.operator_heavy"), "qa_replacement": _qa(benchmark_units, "qa.replacement_character"), "qa_private_use": _qa(benchmark_units, "qa.private_use"),
     "qa_noncharacter": _qa(benchmark_units, "qa.noncharacter"), "qa_control": _qa(benchmark_units, "qa.disallowed_control"), "qa_date": _qa(order_notes, "qa.date_candidate"), "qa_time": _qa(order_notes, "qa.time_candidate"),
-    "qa_protected_exclusion": _qa(guarded_documents, "qa.initialism_candidate"), "qa_summary": qa_summary, "qa_mapped_to_source": qa_mapped_to_source,
+    "qa_protected_exclusion": _qa(guarded_documents, "qa.initialism_candidate"), "qa_summary": qa_summary, "qa_mapped_to_source": qa_mapped_to_source, "qa_pieces": qa_pieces, "token_pieces": token_pieces,
     "change_ids": change_ids, "change_offsets": change_offsets, "apply_changes": apply_changes, "verify_prepared": verified, "unit_fingerprint": unit_fingerprint, "text_sha256": text_digest, "prepared_fingerprint": prepared_fingerprint,
     "override_word": _override(documents, SpeechOverride("the", "THE")), "override_literal": _override(documents, SpeechOverride("th", "TH", "literal")), "override_nocase": _override(documents, SpeechOverride("The", "THE", case_sensitive=False)),
     "override_unit_scope": _override(documents, SpeechOverride("the", "THE", scope=OverrideScope("unit", "7"))), "override_occurrence": _override(order_notes, SpeechOverride("Lee", "LEE", scope=OverrideScope("occurrence", "3", 4, 7))),
@@ -450,7 +467,8 @@ ORACLE_SQL = {
     "qa_roman": _qa_sql(_DOCS, _RUNS, "WHERE regexp_full_match(s, '[IVXLCDM]{2,}')"), "qa_operator": _qa_sql(_DOCS, _SUMMARY[5][1]), "qa_replacement": _qa_sql(_ODD, r"\x{FFFD}"), "qa_private_use": _qa_sql(_ODD, r"[\x{E000}-\x{F8FF}]"),
     "qa_noncharacter": _qa_sql(_ODD, r"[\x{FFFE}\x{FFFF}]"), "qa_control": _qa_sql(_ODD, r"[\p{Cc}\p{Cf}]", "WHERE s NOT IN (chr(9), chr(10), chr(13), chr(8204), chr(8205))"),
     "qa_date": _qa_sql(_NOTES, r"[\p{L}\p{N}_/-]+", "WHERE regexp_full_match(s, '\\p{Nd}{1,4}[/-]\\p{Nd}{1,2}[/-]\\p{Nd}{1,4}')"), "qa_time": _qa_sql(_NOTES, r"[\p{L}\p{N}_:]+", "WHERE regexp_full_match(s, '\\p{Nd}{1,2}:\\p{Nd}{2}')"),
-    "qa_protected_exclusion": _qa_sql(_DOCS, _RUNS, "WHERE regexp_full_match(s, '[A-Z]{2,8}') AND start >= 500"), "qa_summary": _summary_sql(),
+    "qa_protected_exclusion": _qa_sql(_DOCS, _RUNS, "WHERE regexp_full_match(s, '[A-Z]{2,8}') AND start >= 500"), "qa_summary": _summary_sql(), "qa_pieces": _pieces_sql(),
+    "token_pieces": f"WITH {_found(_DOCS, _TOKENS)} SELECT unit_id, count(*) AS tokens, CAST(sum(length(s)) AS BIGINT) AS chars, CAST(sum(start) AS BIGINT) AS starts, CAST(max(stop) AS INT) AS last_end FROM found GROUP BY 1",
     "qa_mapped_to_source": f"""WITH {_EDITS}, day AS (SELECT unit_id, strpos(text, ' kg on ') + 6 AS d FROM said)
         SELECT unit_id, code, CAST(d + a AS INT) AS source_start, CAST(d + b AS INT) AS source_end, substr(text, d + a + 1, b - a) AS text FROM said JOIN day USING (unit_id),
         (VALUES ('qa.residual_digits', 0, 2), ('qa.residual_digits', 3, 5), ('qa.residual_digits', 6, 10), ('qa.residual_digits', 14, 16), ('qa.residual_digits', 17, 19), ('qa.date_candidate', 0, 10), ('qa.time_candidate', 14, 19), ('qa.operator_heavy', 0, 5)) AS v(code, a, b)
