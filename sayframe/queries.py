@@ -286,7 +286,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.review_lexicon(documents(spark, sf_dir), lexicon(spark, sf_dir), min_count=3, occurrences=False)
+    found = lexical.review_lexicon(documents(spark, sf_dir), lexicon(spark, sf_dir), min_count=3, occurrences=False)
+    return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def lexical_unknown_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +296,9 @@ def lexical_unknown_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.review_lexicon(turns(spark, sf_dir), lexicon(spark, sf_dir), max_frequency_rank=1000, max_items=50)
+    found = lexical.review_lexicon(turns(spark, sf_dir), lexicon(spark, sf_dir), max_frequency_rank=1000, max_items=50)
+    places = F.transform("occurrences", lambda p: F.concat_ws("/", p["unit_id"], p["start"], p["end"], p["sentence_index"]))
+    return found.withColumns({"reasons": F.array_join("reasons", ","), "occurrences": F.array_join(places, " ")})
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,6 +465,49 @@ _LEXED = f"{_found(_TURNS, _TOKENS)}, lexed AS (SELECT *, {_FOLD.format('s')} AS
 _LEXICON = f"{_found(_ODD, _TOKENS, 'said', 'passages')}, lexicon AS (SELECT {_FOLD.format('s')} AS normalized, count(*) AS places FROM said WHERE {_SINGLE} GROUP BY 1)"
 _SELECTED = "CAST(start AS INT) AS source_start, CAST(stop AS INT) AS source_end"
 
+
+def _review_sql(units: str, least: int, rank: int, places: bool = False, items: int | None = None) -> str:
+    """A review against the words of the benchmark, from sentences, links and tokens on. Links are put out by a letter that
+    no text has; its length differs, so places are right only where units have no links."""
+    link = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:(?:https?://|ftp://|www[.])[^<>{_SPACE}]+|(?:[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+[.][a-z]{{2,}}|(?:[a-z0-9-]+[.])+[a-z]{{2,}})($|[^\p{{L}}\p{{N}}_]))"
+    out = lambda x: rf"regexp_replace({x}, '{link}', '\1ꙮ\2', 'g')"
+    other = r"[^\p{Lu}\p{Lt}\p{Ll}]"
+    title = rf"regexp_matches(s, '^{other}*(?:[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*(?:{other}+|$))+$')"
+    return rf"""WITH {_LEXICON}, units AS ({units}),
+guarded AS (SELECT unit_id, ordinal, language, regexp_replace(text, '(^|[^\p{{L}}])(Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc)[.!?…](["''”’)\]]*[{_SPACE}])', '\1\2' || chr(1) || '\3', 'g') AS t FROM units),
+broken AS (SELECT *, string_split(regexp_replace(regexp_replace(t, '([.!?…]+["''”’)\]]*)([{_SPACE}])', '\1' || {_M} || '\2', 'g'), '(\r?\n[\t ]*\r?\n)', {_M} || '\1', 'g'), {_M}) AS p FROM guarded),
+numbered AS (SELECT unit_id, ordinal, language, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM broken),
+based AS (SELECT *, sum(length(s)) OVER (PARTITION BY unit_id ORDER BY i) - length(s) AS base FROM numbered),
+sents AS (SELECT * EXCLUDE (s), row_number() OVER (PARTITION BY unit_id ORDER BY i) - 1 AS sentence, {out(out("s"))} AS s FROM based WHERE regexp_matches(s, '[^{_SPACE}]')),
+cuts AS (SELECT * EXCLUDE (s, i), string_split(regexp_replace(s, '({_TOKENS})', {_M} || '\1' || {_M}, 'g'), {_M}) AS p FROM sents),
+pieces AS (SELECT * EXCLUDE (p), generate_subscripts(p, 1) AS j, unnest(p) AS s FROM cuts),
+spots AS (SELECT *, base + sum(length(s)) OVER (PARTITION BY unit_id, sentence ORDER BY j) - length(s) AS start FROM pieces),
+words AS (SELECT *, j = 2 AS starts FROM spots WHERE j % 2 = 0 AND NOT contains(s, 'ꙮ')),
+surfaces AS (SELECT lower(language) AS lang, s, count(*) AS n, min(language) AS language, bool_and(starts) AS starts, regexp_replace(s, '\P{{L}}', '', 'g') AS letters, regexp_matches(s, '\p{{Ll}}') AS low FROM words GROUP BY 1, 2),
+forms AS (
+  SELECT *, {_FOLD.format("s")} AS normalized, {title} AS title, regexp_matches(s, '[\p{{M}}\p{{Cf}}\p{{Co}}]') AS unusual,
+    low AND regexp_matches(s, '\p{{Lu}}') AND NOT {title} AS mixed, length(letters) > 1 AND NOT regexp_matches(letters, '[^\p{{Lu}}]') AS caps, low AND NOT starts AND regexp_matches(letters, '^\p{{Lu}}') AS proper
+  FROM surfaces WHERE length(letters) <> 1 OR regexp_matches(s, '[\p{{M}}\p{{Cf}}\p{{Co}}]')
+),
+terms AS (
+  SELECT lang, normalized, min(language) AS language, CAST(sum(n) AS BIGINT) AS count, bool_or(unusual) AS unusual, bool_or(mixed) AS mixed, bool_or(caps) AS caps, bool_or(proper) AS proper,
+    first(s ORDER BY n DESC, NOT title, NOT low AND regexp_matches(s, '\p{{Lu}}'), normalized, s) AS surface
+  FROM forms GROUP BY 1, 2 HAVING sum(n) >= {least}
+),
+known AS (SELECT terms.*, places > 1 AS known, CAST(floor(1000000.0 / places) AS INT) AS frequency_rank, CAST(places AS INT) AS frequency_count FROM terms LEFT JOIN lexicon USING (normalized)),
+flagged AS (
+  SELECT *, coalesce(NOT known, false) AS unknown, coalesce(frequency_rank > {rank}, false) AS rare FROM known
+),
+found AS (
+  SELECT 'lex:v1:' || substr(sha256('{{"language":"' || lang || '","normalized":"' || normalized || '"}}'), 1, 20) AS id, lang, language, surface, normalized, count, known, frequency_rank, frequency_count,
+    concat_ws(',', CASE WHEN unknown THEN 'unknown_to_lexicon' END, CASE WHEN rare THEN 'rare_word' END, CASE WHEN proper THEN 'proper_name_candidate' END, CASE WHEN mixed THEN 'mixed_case' END, CASE WHEN caps THEN 'all_caps' END, CASE WHEN unusual THEN 'contains_unusual_graphemes' END) AS reasons,
+    CAST(CASE WHEN unknown THEN CASE WHEN proper THEN 0 WHEN count > 1 THEN 1 ELSE 2 END WHEN rare THEN CASE WHEN proper THEN 3 WHEN count > 1 THEN 4 ELSE 5 END WHEN proper THEN 6 WHEN unusual THEN 7 ELSE 8 END AS INT) AS priority
+  FROM flagged WHERE unknown OR rare OR proper OR mixed OR caps OR unusual
+)
+SELECT * EXCLUDE (lang){""", (SELECT string_agg(concat_ws('/', unit_id, CAST(start AS INT), CAST(start + length(s) AS INT), sentence), ' ' ORDER BY ordinal, unit_id, start) FROM words w WHERE lower(w.language) = found.lang AND """ + _FOLD.format("w.s") + " = found.normalized) AS occurrences" if places else ""}
+FROM found{f" ORDER BY priority, count DESC, coalesce(frequency_rank, 0) DESC, normalized, id LIMIT {items}" if items else ""}"""
+
+
 ORACLE_SQL = {
     "qa_currency": _qa_sql(_DOCS, r"\p{Sc}"), "qa_measurement": _qa_sql(_DOCS, _SUMMARY[1][1]), "qa_digits": _qa_sql(_DOCS, r"\p{Nd}+"), "qa_initialism": _qa_sql(_DOCS, _RUNS, "WHERE regexp_full_match(s, '[A-Z]{2,8}')"),
     "qa_roman": _qa_sql(_DOCS, _RUNS, "WHERE regexp_full_match(s, '[IVXLCDM]{2,}')"), "qa_operator": _qa_sql(_DOCS, _SUMMARY[5][1]), "qa_replacement": _qa_sql(_ODD, r"\x{FFFD}"), "qa_private_use": _qa_sql(_ODD, r"[\x{E000}-\x{F8FF}]"),
@@ -516,6 +562,7 @@ ORACLE_SQL = {
     "domain_histogram": f"WITH {_EDITS} SELECT domain AS name, count(*) AS edits FROM every WHERE domain <> '' GROUP BY 1",
     "lexical_tokens": f"WITH {_LEXED} SELECT unit_id, s AS surface, normalized, CAST(start AS INT) AS start, CAST(stop AS INT) AS \"end\" FROM lexed",
     "lexical_counts": f"""WITH {_LEXED} SELECT 'lex:v1:' || substr(sha256('{{"language":"en-us","normalized":"' || normalized || '"}}'), 1, 20) AS id, 'en-US' AS language, normalized, count(*) AS count FROM lexed GROUP BY normalized HAVING count(*) >= 2""",
+    "lexical_findings": _review_sql(_DOCS, 3, 10_000), "lexical_topk": _review_sql(_TURNS, 1, 1000, True, 50),
     "lexical_unknown_only": f"""WITH {_LEXED}, {_LEXICON} SELECT normalized, count(*) AS count, false AS known, CAST(1000000 AS INT) AS frequency_rank FROM lexed JOIN lexicon USING (normalized) WHERE places = 1 GROUP BY normalized""",
     "sentence_spans": rf"""WITH units AS ({_TURNS}), marked AS (SELECT unit_id, length(text) AS size, text AS whole, string_split(regexp_replace(text, '([.!?…]+["''”’)\]]*)([{_SPACE}])', '\1' || {_M} || '\2', 'g'), {_M}) AS p FROM units WHERE length(text) > 0),
         parts AS (SELECT unit_id, whole, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM marked), placed AS (SELECT *, CAST(sum(length(s)) OVER (PARTITION BY unit_id ORDER BY i) - length(s) AS BIGINT) AS base FROM parts),
