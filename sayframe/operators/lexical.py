@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import stable_id_column
-from ..functions.text import LINK_PATTERN, TOKEN_PATTERN, cut, is_titlecase, overlaps, spans
+from ..functions.text import LINK_PATTERN, MARK, TOKEN_PATTERN, cut, is_titlecase, let, matches, overlaps, spans
 from ..functions.unicode import casefold, language_key
 from ..model import SPAN
-from .sentences import sentence_spans
+from .sentences import marked_sentences, sentence_spans
 
 _REASONS = ("unknown_to_lexicon", "rare_word", "proper_name_candidate", "mixed_case", "all_caps", "contains_unusual_graphemes")
 
@@ -31,6 +31,19 @@ def _words(units: DataFrame) -> DataFrame:
     return found.where(~blocked).select("unit_id", "ordinal", "language", cut(text, F.col("_token.start"), F.col("_token.end")).alias("surface"), start.alias("start"), end.alias("end"), F.col("index").alias("sentence_index"), (F.col("_nth") == 0).alias("_starts"))
 
 
+def _surfaces(units: DataFrame) -> DataFrame:
+    """The same words without their places: ordinal, language, surface, _starts. Only units with protected spans and
+    sentences with a link need places at all."""
+    free = F.coalesce(F.size("protected_spans"), F.lit(0)) <= 0
+    parts = units.where(free).select("ordinal", "language", F.explode(F.split(marked_sentences(F.col("text")), MARK)).alias("_part"))
+    plain = F.transform(F.regexp_extract_all("_part", F.lit(f"({TOKEN_PATTERN})")), lambda s, i: F.struct(s.alias("surface"), (i == 0).alias("_starts")))
+    numbered = F.transform(matches("_part", TOKEN_PATTERN), lambda m, i: F.struct(m["surface"].alias("surface"), (i == 0).alias("_starts"), m["start"].alias("start"), m["end"].alias("end")))
+    outside = let(spans("_part", LINK_PATTERN), lambda links: F.filter(numbered, lambda m: ~F.exists(links, lambda x: overlaps(x, m))))
+    linked = F.transform(outside, lambda m: F.struct(m["surface"].alias("surface"), m["_starts"].alias("_starts")))
+    found = parts.select("ordinal", "language", F.inline(F.when(F.col("_part").rlike(_LINK_SIGN), linked).otherwise(plain)))
+    return found.unionAll(_words(units.where(~free)).select("ordinal", "language", "surface", "_starts"))
+
+
 def _flagged(rows: DataFrame) -> DataFrame:
     """Adds normalized and four flags to rows with surface and _starts; single letters go unless they are unusual."""
     s = F.col("surface")
@@ -124,10 +137,10 @@ def review_lexicon(units, lexicon: DataFrame | LexicalProvider | None = None, ma
         lexicon = lexicon.lookup(domain)
     elif domain is not None:
         raise ValueError("a domain is that of a provider")
-    rows = _words(units).withColumn("language_key", casefold(F.col("language")))
+    rows = (_words(units) if occurrences else _surfaces(units)).withColumn("language_key", casefold(F.col("language")))
     place = F.struct("ordinal", "unit_id", "start", "end", "sentence_index")
     surfaces = rows.groupBy("language_key", "surface").agg(
-        F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "language")).alias("first"), F.bool_and("_starts").alias("_starts"),
+        F.count("*").alias("n"), F.min(F.struct("ordinal", "language")).alias("first"), F.bool_and("_starts").alias("_starts"),
         *([F.collect_list(place).alias("places")] if occurrences else []),
     )
     forms = _flagged(surfaces)

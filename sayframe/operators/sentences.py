@@ -9,12 +9,16 @@ from ..functions.text import MARK, OTHER_MARK, SENTENCE_BREAK, cut, overlaps
 _SENTENCES = "array<struct<index:int,text:string,start:int,end:int>>"
 
 
+def marked_sentences(text: Column) -> Column:
+    """The text with MARK between its sentences."""
+    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), SENTENCE_BREAK, f"$1{MARK}")
+    return F.regexp_replace(marked, r"(\r?\n[\t ]*\r?\n)", f"{MARK}$1")
+
+
 def sentence_spans(text: Column) -> Column:
     """array<struct<index,text,start,end>>: a sentence ends behind . ! ? or an ellipsis and closing marks before white space
     (not after a known abbreviation), or at an empty line. White space around it is left out. A text without any other
     character is one span as a whole; an empty one has none."""
-    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), SENTENCE_BREAK, f"$1{MARK}")
-    marked = F.regexp_replace(marked, r"(\r?\n[\t ]*\r?\n)", f"{MARK}$1")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     space = r"^[\s\x{85}\p{Z}]+"
 
@@ -25,7 +29,7 @@ def sentence_spans(text: Column) -> Column:
         found = F.array(F.struct((acc["at"] + left).alias("start"), (acc["at"] + right).alias("end")))
         return F.struct((acc["at"] + size).alias("at"), F.when(right > left, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.split(marked, MARK), start, step, lambda acc: acc["out"])
+    found = F.aggregate(F.split(marked_sentences(text), MARK), start, step, lambda acc: acc["out"])
     found = F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"))))
     numbered = F.transform(found, lambda s, i: F.struct(i.alias("index"), cut(text, s["start"], s["end"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.length(text) > 0, numbered.cast(_SENTENCES)).otherwise(F.array().cast(_SENTENCES))

@@ -73,3 +73,13 @@ def test_views_of_a_result(spark):
     codes = lambda frame: {r["code"] for r in frame.collect()}
     assert codes(result.warnings) | codes(result.errors) == codes(result.issues)
     assert "qa.replacement_character" in codes(result.errors) and "qa.currency_symbol" in codes(result.warnings)
+
+
+def test_words_without_places_are_the_same_words(spark):
+    texts = ["Go to www.a.org/x now. Mail me@x.io's or b.net, Dr. No! Éa it's 12 ﷐a", "x-www.c.de http://d.e. Then Again\n\nnew line", "", "  ", "Head words. tail Words", "plain one. Plain two"]
+    units = make(spark, *texts, spans={4: [(0, 7, "head")], 5: [(3, 7, "cross")]})
+    whole = lexical._words(units).select("ordinal", "language", "surface", "_starts")
+    own = lexical._surfaces(units)
+    assert own.columns == whole.columns
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, whole.collect())) != []
+    assert lexical._surfaces(units.limit(0)).isEmpty()
