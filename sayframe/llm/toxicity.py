@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .storage import extended
 from .words import _BASE, _BASE_INVERSE, _BYTE_VALUES, LOWER, SLICE_BYTES, give_back, mix, slices, text_bytes
 
 #: Bound of the fitted part: examples of each label. Held-out quality is the same for 1,024, 2,048 and 4,096 (see the README); the time of a search grows with it.
 EXAMPLES = 2048
+#: Bounds of an id in the fitted part: different texts, those of least MD5 where it has more, and distinct terms of each,
+#: those of least hash where a text has more.
+TEXTS_OF_ID, EXAMPLE_TERMS = 8, 1 << 14
 NEIGHBOURS, SMOOTH, SHRINK = 15, 1.0, 4.0
 #: Examples of a block of the index, and of each half and label that calibrate.
 EXAMPLE_BLOCK, CALIBRATION = 256, 256
@@ -312,7 +316,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     All terms of the sample are indexed (see term_values for their weights), and the votes are calibrated within the
     sample. Labels that are null are left out; an id with several labels counts as toxic if one of them is 1, and an id
-    with several texts as one example for each. Without labels of both kinds every score is 0 or 1.
+    with several different texts (null: empty) as one example for each of the TEXTS_OF_ID least by MD5. An example of more
+    than EXAMPLE_TERMS distinct terms counts with those of least hash. So the task that fits holds at most 2 * EXAMPLES *
+    TEXTS_OF_ID * EXAMPLE_TERMS terms, however long texts are and however often an id repeats. Without labels of both
+    kinds every score is 0 or 1.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
     known = known.join(docs.select(F.col(key).alias("id")).dropna().distinct(), "id", "left_semi")
@@ -337,22 +344,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([model[at : at + (1 << 20)]], pa.binary())], names=["at", "part"])
 
     # One task fits the bounded sample, so the driver holds the index and nothing of what it is made from.
-    parts = rows.repartition(1).mapInArrow(build, "at long, part binary").toArrow().sort_by("at")["part"].to_pylist()
-    return pickle.loads(b"".join(parts)) if parts else _fitted(rows.limit(0).toArrow(), share_of)
+    examples = _examples(rows)
+    parts = examples.repartition(1).mapInArrow(build, "at long, part binary").toArrow().sort_by("at")["part"].to_pylist()
+    return pickle.loads(b"".join(parts)) if parts else _fitted(examples.limit(0).toArrow(), share_of)
+
+
+def _examples(rows: DataFrame) -> DataFrame:
+    """One row (id, key, toxic, term array, times array) for each text of an id, TEXTS_OF_ID at most: texts become terms
+    where they are read, equal ones are brought down to one on both sides of the shuffle, and so are those over the bound."""
+    keyed = rows.select("id", "toxic", F.md5("text").alias("key"), "text")
+    schema = StructType([*keyed.drop("text").schema.fields, StructField("term", ArrayType(LongType())), StructField("times", ArrayType(IntegerType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                own, term, times = text_terms(*text_bytes(b.column("text")))
+                starts = np.searchsorted(own, np.arange(b.num_rows + 1))
+                keep = np.arange(len(own)) - starts[own] < EXAMPLE_TERMS
+                sizes = np.minimum(np.diff(starts), EXAMPLE_TERMS)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term[keep].view(np.int64), times[keep].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), b.column("key"), *lists], names=schema.names)
+
+    texts = keyed.mapInArrow(count, schema).groupBy("id", "toxic", "key").agg(F.min(F.struct("term", "times")).alias("x"))
+    some = texts.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where(F.col("nth") <= TEXTS_OF_ID)
+    return some.select("id", "key", "toxic", F.col("x.term").alias("term"), F.col("x.times").alias("times"))
 
 
 def _fitted(rows: pa.Table, share_of: dict[int, float]) -> ExampleIndex:
-    """The calibrated index over rows (id, toxic, text); an example of a label counts for share_of[label] rows."""
-    rows = rows.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+    """The calibrated index over rows (id, key, toxic, term, times); an example of a label counts for share_of[label] rows."""
+    rows = rows.sort_by([("id", "ascending"), ("key", "ascending")]).combine_chunks()
     ids, label = rows["id"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64)
-    found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))]
-    done = 0
-    for batch in rows.select(["text"]).to_batches():
-        for b in slices(batch, "text"):
-            own, term, times = text_terms(*text_bytes(b.column("text")))
-            found.append(((own + done).astype(np.int32), term, times.astype(np.int32)))
-            done += b.num_rows
-    text_no, term, times = (np.concatenate(x) for x in zip(*found))
+    lists = rows["term"].combine_chunks()
+    text_no = np.repeat(np.arange(rows.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    term, times = lists.flatten().to_numpy().view(np.uint64), rows["times"].combine_chunks().flatten().to_numpy()
     weight = np.array([share_of[int(y)] for y in label])
     line = fit_calibration(text_no, term, times, label, ids, weight)
     index = build_index(text_no, term, times, label, ids, weight)

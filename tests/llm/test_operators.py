@@ -7,9 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sayframe.llm import embeddings, fingerprints, jaccard, licenses, packing, sharding, storage, substrings, toxicity, warc
+from sayframe.llm import embeddings, fingerprints, jaccard, licenses, packing, sharding, storage, substrings, toxicity, warc, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -347,3 +348,18 @@ def test_toxicity_searches_all_terms(spark):
     got = {x["text"]: x for x in toxicity.score_texts(spark.createDataFrame([(w,) for w in by_word] + [("zzz",), (None,)], "text string"), index).collect()}
     assert all(x["evidence"] and {e["doc_id"] for e in x["evidence"]} <= by_word[w] for w, x in got.items() if w in by_word)
     assert got["zzz"]["evidence"] == [] == got[None]["evidence"] and got["zzz"]["score"] == got[None]["score"] == index.calibrated(np.array([index.base]))[0] > 0
+
+
+def test_toxicity_fits_on_a_bounded_part_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXTS_OF_ID", 2)
+    monkeypatch.setattr(toxicity, "EXAMPLE_TERMS", 5)
+    texts = ["bad worst", "bad worst", "good words", None]
+    long = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, t) for t in texts for _ in range(20)] + [(2, long), (3, ""), (None, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    least = sorted({(hashlib.md5((t or "").encode()).hexdigest(), t or "") for t in texts})[:2]
+    index = toxicity.fit(docs, labels)
+    assert index.ids == [1, 1, 2, 3] and index.labels.tolist() == [1.0, 1.0, 0.0, 0.0]
+    own = [sorted(toxicity.text_terms(*words.text_bytes(pa.array([t])))[1].tolist())[:5] for t in [*(t for _, t in least), long]]
+    assert sorted(index.terms.tolist()) == sorted({h for hashes in own for h in hashes})
+    assert toxicity.fit(docs.limit(0), labels).ids == [] == toxicity.fit(docs, labels.limit(0)).ids
