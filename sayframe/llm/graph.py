@@ -119,23 +119,23 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "links") -> DataF
     shared folder and composed afterwards. Nothing is gathered on the driver but counts.
     """
     order = lambda c: F.struct(F.xxhash64(c, F.lit(7)).alias("o"), F.col(c).alias("id"))
-    level, maps = scratch.table(_forest(edges.where("a <> b")), f"{name}-0"), []
+    level, maps = scratch.table(_forest(edges.where("a <> b")), f"{name}-0", grows=True), []
     while left := level.count():
         if maps and left <= REST:
-            maps.append(scratch.table(_rest(level), f"{name}-to-{len(maps)}"))
+            maps.append(scratch.table(_rest(level), f"{name}-to-{len(maps)}", grows=True))
             break
         both = level.select("a", "b").unionAll(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min(order("b")).alias("least")).select(F.col("a").alias("id"), F.least(order("a"), F.col("least"))["id"].alias("to"))
-        maps.append(scratch.table(to, f"{name}-to-{len(maps)}"))
+        maps.append(scratch.table(to, f"{name}-to-{len(maps)}", grows=True))
         low, high = (maps[-1].select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
         images = level.join(low, "a").join(high, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct()
-        level = scratch.table(_forest(images), f"{name}-{len(maps)}")
+        level = scratch.table(_forest(images), f"{name}-{len(maps)}", grows=True)
     spark = edges.sparkSession
     if not maps:
         return spark.createDataFrame([], "id long, component_id long")
     whole = maps[-1]
     for to in reversed(maps[:-1]):
         whole = to.join(whole.select(F.col("id").alias("to"), F.col("to").alias("root")), "to", "left").select("id", F.coalesce("root", "to").alias("to"))
-    whole = scratch.table(whole, f"{name}-roots")
+    whole = scratch.table(whole, f"{name}-roots", grows=True)
     least = whole.groupBy("to").agg(F.least(F.min("id"), F.col("to")).alias("component_id"))
     return whole.join(least, "to").select("id", "component_id")

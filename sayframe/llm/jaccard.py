@@ -232,12 +232,15 @@ def _verify(df: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
+    """The sets of texts as elements; other columns, all long, stay."""
+    own = [c for c in df.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([s.tobytes() for s in text_sets(b.column("text"), width)], pa.binary())], names=["cls", "elements"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], pa.array([s.tobytes() for s in text_sets(b.column("text"), width)], pa.binary())], names=[*own, "elements"])
 
-    return df.select("cls", "text").mapInArrow(run, "cls long, elements binary")
+    return df.select(*own, "text").mapInArrow(run, f"{', '.join(f'{c} long' for c in own)}, elements binary")
 
 
 def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
@@ -256,9 +259,9 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     parts = shuffle_partitions(spark)
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("id"), F.unhex(F.md5(whole)).alias("text_key"), whole.alias("text"))
-    rows = scratch.table(_scan(docs, width, percent, frequent_hashes(docs.select("text"), lambda t: np.concatenate(text_sets(t, width)), FREQUENT, scratch)), "rows")
+    rows = scratch.table(_scan(docs, width, percent, frequent_hashes(docs.select("text"), lambda t: np.concatenate(text_sets(t, width)), FREQUENT, scratch)), "rows", grows=True)
     classes = rows.where("size > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("least"), F.min("id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes", grows=True)
 
     entries = classes.select("cls", "size", F.posexplode("prefix").alias("at", "token"))
     index_end = F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
@@ -267,17 +270,16 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     lists = _blocked(lists.withColumn("at", F.col("at").cast("long")), "cls", "many", LIST_BLOCK)
     lists = lists.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "cls")
     pairs = scratch.table(_candidates(lists, percent), "pairs")
-    groups = scratch.table(components(pairs, scratch, "maybe"), "groups")
+    groups = scratch.table(components(pairs, scratch, "maybe"), "groups", grows=True)
 
     sizes = groups.groupBy("component_id").agg(F.count("*").alias("many"))
     members = groups.join(sizes, "component_id").select(F.col("component_id").alias("group"), "many", F.col("id").alias("cls"))
-    wanted = members.select("cls").join(classes.select("cls", "least"), "cls").select("cls", F.col("least.id").alias("of"), F.col("least.text_key").alias("of_text"))
-    texts = docs.join(wanted, (F.col("text_key") == F.col("of_text")) & F.col("id").eqNullSafe(F.col("of"))).select("cls", "text")
-    sets = scratch.table(_sets(texts, width).dropDuplicates(["cls"]), "sets")
-    met = _blocked(members, "cls", "many", SET_BLOCK).join(classes.select("cls", "n"), "cls").join(sets, "cls")
+    # What a set needs beside its text goes with the text, as sets are larger than texts and so are shuffled only once.
+    wanted = members.join(classes.select("cls", "n", "least"), "cls").select("cls", "group", "many", "n", F.col("least.id").alias("of"), F.col("least.text_key").alias("of_text"))
+    texts = docs.join(wanted, (F.col("text_key") == F.col("of_text")) & F.col("id").eqNullSafe(F.col("of"))).select("cls", "group", "many", "n", "text").dropDuplicates(["cls"])
+    met = _blocked(_sets(texts, width), "cls", "many", SET_BLOCK)
     met = met.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high", "cls")
-    links = scratch.table(_verify(met, percent), "links")
-    scratch.drop("sets")
+    links = scratch.table(_verify(met, percent), "links", grows=True)
 
     reached = components(links.where("root <> cls").select(F.col("root").alias("a"), F.col("cls").alias("b")), scratch, "sure")
     ends = reached.join(classes.select(F.col("cls").alias("id"), F.col("id").alias("least_id")), "id")
@@ -285,7 +287,7 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     named = ends.join(least, "component_id").select(F.col("id").alias("cls"), "reached", "component_id")
     counts = links.groupBy("cls").agg(F.sum("linked").alias("linked"))
     known = classes.join(counts, "cls", "left").join(named, "cls", "left").select("set_key", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("reached", "id").alias("reached"), F.coalesce("component_id", "cls").alias("group_no"))
-    known = scratch.table(known, "known")
+    known = scratch.table(known, "known", grows=True)
     return rows.join(known, "set_key", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("reached", "id").alias("component_id"), *(["text_key", "group_no"] if by_text else []))
 
 

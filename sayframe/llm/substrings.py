@@ -267,11 +267,11 @@ def find_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, gram: i
     docs = _keyed(df, key, text)
     frequent = frequent_hashes(docs.select("text"), lambda t: _grams(t, gram), FREQUENT, scratch)
     classes = _scan(docs, width, gram, frequent).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("words_sha256").alias("words_sha256"), F.first("runs").alias("runs"))
-    classes = scratch.table(classes, "classes")
+    classes = scratch.table(classes, "classes", grows=True)
     anchors = classes.select("key", "n", F.inline("runs"))
-    often = scratch.table(anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "often")  # a table, so that the join's own exchange can split an anchor
+    often = scratch.table(anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "often", grows=True)  # a table, so that the join's own exchange can split an anchor
     hits = anchors.join(often, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-    hits = scratch.table(hits.join(classes.select("key", "id", "n"), "key"), "hits")
+    hits = scratch.table(hits.join(classes.select("key", "id", "n"), "key"), "hits", grows=True)
     met = docs.join(hits.select("key", "n", "runs", F.col("id").alias("least")), (docs["key"] == hits["key"]) & docs["id"].eqNullSafe(F.col("least"))).select(docs["key"], "n", "text", "runs")
     stretches = scratch.table(_stretches(met, width), "stretches")
     scratch.drop("hits")
@@ -279,7 +279,7 @@ def find_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, gram: i
     grouped = distinct.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
     passages = scratch.table(confirmed_passages(grouped, width), "passages")
     covered = locate(passages, stretches, scratch)
-    ranges = scratch.table(covered.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges")), "ranges")
+    ranges = scratch.table(covered.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges")), "ranges", grows=True)
     scratch.drop("stretches")
     return classes.drop("runs"), ranges
 
@@ -336,5 +336,5 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, without words in windows of 35 that also start elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    result = Scratch(spark, "kept").table(remove_repeats(docs, "doc_id", "text").drop("kept_text"), "classes")
+    result = Scratch(spark, "kept").table(remove_repeats(docs, "doc_id", "text").drop("kept_text"), "classes", grows=True)
     return _keyed(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "key").join(result, "key").drop("key")
