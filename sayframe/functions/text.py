@@ -17,7 +17,9 @@ LINK_PATTERN = (
     rf"|{BEFORE}[{WORD_CLASS}.+-]+@[{WORD_CLASS}.-]+[.][a-z]{{2,}}{AFTER}"
     rf"|{BEFORE}(?:[a-z0-9-]+[.])+[a-z]{{2,}}{AFTER})"
 )
-SENTENCE_BREAK = r"(?<!(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc))([.!?\x{2026}]+[\"'\x{201D}\x{2019})\]]*)(?=[\t-\r\x{1c}-\x{20}\x{85}\p{Z}])"
+SENTENCE_END = r"([.!?\x{2026}]+[\"'\x{201D}\x{2019})\]]*)(?=[\t-\r\x{1c}-\x{20}\x{85}\p{Z}])"
+#: The same, but not behind a known abbreviation.
+SENTENCE_BREAK = r"(?<!(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc))" + SENTENCE_END
 
 _SPAN = "array<struct<start:int,end:int>>"
 
