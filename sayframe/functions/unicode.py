@@ -61,7 +61,8 @@ def _listed(values) -> Column:
 def casefold(text: Column) -> Column:
     """Full case folding: the same for all cases of a text, for comparison. It may be longer than the text."""
     one, several = foldings()
-    special = f"[{''.join(several)}]"
+    # A class of single characters is tried one by one; most characters lie below the first, which is seen at once.
+    special = f"(?![\\x{{0}}-\\x{{{ord(min(several)) - 1:X}}}])[{''.join(several)}]"
 
     def spread(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(f"({special})")), lambda c: F.element_at(_listed(several.values()), F.position(c, F.lit("".join(several)))))

@@ -44,3 +44,11 @@ def test_composition_of_clusters(spark):
     assert folded(spark, unicode.nfc, texts) == [unicodedata.normalize("NFC", t) for t in texts]
     edits = folded(spark, unicode.nfc_edits, ["aéx éq́"])[0]
     assert [tuple(e) for e in edits] == [(1, 3, "é"), (5, 7, "é")]
+
+
+def test_special_foldings_are_sought_past_plain_characters(spark):
+    """The pattern looks at the characters below the first special one once, not at each member of its class."""
+    text = ("plain words, " * 40 + "Þé ") * 20 + "Straße ŉ ǰ ﬃ ẞ Ω"
+    df = spark.createDataFrame([(text,), ("Þßß",), ("ß",)], "t string").select("t", unicode.casefold(F.col("t")).alias("f"))
+    assert all(r["f"] == r["t"].casefold() for r in df.collect())
+    assert "(?![" in df._jdf.queryExecution().analyzed().toString()
