@@ -76,3 +76,23 @@ def test_plan_does_not_grow(spark):
     units = make(spark, "x")
     size = lambda n: len(overrides.match_overrides(units, overrides.policy_frame(spark, [SpeechOverride(f"w{i} q", "y") for i in range(n)]))._jdf.queryExecution().analyzed().treeString().splitlines())
     assert size(30) == size(300)
+
+
+def test_rows_across_pieces(spark, monkeypatch):
+    """Surfaces at the borders of the pieces in which grams are sought, held and joined by sorting."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("aab AB'x") for _ in range(n)) for n in (1, 127, 128, 129, 300, 700)] + ["x" * 126 + "a b c " * 60, ("ab " * 20 + "\U00010400") * 9]
+    cuts = [t[a:a + n] for t in texts[3:] for n in (1, 2, 3, 4, 9, 29, 30, 31, 32, 40) for a in (125, 60)]
+    policy = [SpeechOverride(s, "y", r.choice(["word", "literal"]), r.random() < 0.5) for s in cuts if s]
+    units, expected = make(spark, *texts), plain(texts, policy)
+    for held in (20_000, 0):
+        monkeypatch.setattr(overrides, "HELD", held)
+        rows = overrides.match_rows(units, policy).select("unit_id", "ord", "start", "end", "priority").collect()
+        assert {tuple(x) for x in rows} == expected and len(rows) == len(expected)
+
+
+def test_matches_of_a_held_policy_are_not_moved(spark):
+    plan = lambda *policy: overrides.match_rows(make(spark, "x the art"), policy)._jdf.queryExecution().executedPlan().toString()
+    words = plan(SpeechOverride("the", "y"), SpeechOverride("Art", "y", case_sensitive=False))
+    assert "BroadcastHashJoin" in words and "Exchange hashpartitioning" not in words
+    assert "hashpartitioning(unit_id" not in plan(SpeechOverride("art", "y", "literal"), SpeechOverride("a b", "y", "literal", False))
