@@ -15,7 +15,7 @@ _D = r"\p{Nd}"
 RULES = [
     (0, "qa.replacement_character", "error", r"\x{FFFD}", "A replacement character remains."),
     (0, "qa.private_use", "warning", r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]", "A private-use character remains."),
-    (0, "qa.noncharacter", "error", r"[\x{FDD0}-\x{FDEF}" + _PLANES + "]", "A noncharacter remains."),
+    (0, "qa.noncharacter", "error", r"(?![\x{0}-\x{FDCF}])[\x{FDD0}-\x{FDEF}" + _PLANES + "]", "A noncharacter remains."),
     (0, "qa.disallowed_control", "error", r"[\p{Cc}\p{Cf}&&[^\t\n\r\x{200C}\x{200D}]]", "A control or format character remains."),
     (0, "qa.currency_symbol", "warning", r"\p{Sc}", "A currency symbol remains."),
     (0, "qa.measurement_symbol", "warning", r"[%\x{B0}\x{B5}\x{3BC}\x{2103}\x{2109}\x{3A9}]", "A symbol of a measure remains."),
@@ -38,7 +38,7 @@ def scan(text: str, blocked: str, profile: PreparationProfile) -> Column:
             continue
         issue = f"struct({turn} AS pass, s.start AS pos, {rank} AS rank, '{code}' AS code, '{severity}' AS severity, s.start AS start, s.end AS end, {sql_string(message)} AS message)"
         found.append(f"transform(filter({spans_sql(text, pattern)}, s -> {free}), s -> {issue})")
-    return F.expr(f"array_sort(concat({', '.join(found)}))")
+    return F.expr(f"sort_array(concat({', '.join(found)}))")
 
 
 def check_units(units: DataFrame, profile: PreparationProfile | None = None, text: str = "text", blocked: str = "protected_spans") -> DataFrame:
