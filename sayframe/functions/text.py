@@ -48,8 +48,14 @@ def running(values: Column, zero: int, add) -> Column:
 
 
 def running_sums(values: Column) -> Column:
-    """The sum of all values before each one."""
-    return running(values, 0, lambda a, x: a + x)
+    """The sum of all values before each one, in eights: no array of more than eight numbers is appended to, but for the
+    one with a number for 64 values."""
+    add = lambda acc, x: acc + x
+    places = lambda of: F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(of), F.lit(1)) - 1, 3))
+    eights = lambda of: F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 8), F.lit(0), add))
+    append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    spread = lambda of, before: F.flatten(F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 7), F.array(F.get(before, k)), append)))
+    return let(values, lambda z: let(eights(z), lambda b: let(running(eights(b), 0, add), lambda o: F.slice(spread(z, spread(b, o)), F.lit(1), F.size(z)))))
 
 
 def unmarked(text: Column) -> Column:
@@ -79,13 +85,15 @@ def spans_sql(text: str, pattern: str, surfaces: bool = False) -> str:
     one by one cost a call for each of their parts. A text without a match is neither marked nor split."""
     hay = f"(CASE WHEN contains({text}, '{MARK}') THEN translate({text}, '{MARK}', '{OTHER_MARK}') ELSE {text} END)"
     pattern = sql_string(pattern)
-    add = "(acc, x) -> struct(acc.at + x AS at, concat(acc.out, array(acc.at)) AS out)"
-    fold = f"aggregate(sizes, struct(0 AS at, CAST(array() AS array<int>) AS out), {add}, acc -> acc.out)"
-    stretch = f"aggregate(slice(sizes, k * 64 + 1, 64), struct(coalesce(get(done, size(done) - 1).at, 0) AS at, CAST(array() AS array<int>) AS out), {add})"
-    folds = f"flatten(transform(aggregate(sequence(0, (size(sizes) - 1) div 64), CAST(array() AS array<struct<at:int,out:array<int>>>), (done, k) -> concat(done, array({stretch.replace('k *', 'CAST(k AS INT) *')}))), w -> w.out))"
-    sums = f"transform(array(transform(parts, x -> length(x))), sizes -> CASE WHEN size(sizes) <= 64 THEN {fold} ELSE {folds} END)[0]"
+    # The sums before the parts, as in running_sums, and one more maybe.
+    places = lambda of: f"sequence(0, shiftright(size({of}) - 1, 3))"
+    eights = lambda of: f"transform({places(of)}, k -> aggregate(slice({of}, k * 8 + 1, 8), 0, (acc, x) -> acc + x))"
+    spread = lambda of, before: f"flatten(transform({places(of)}, k -> aggregate(slice({of}, k * 8 + 1, 7), array(get({before}, k)), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))))"
+    fold = "aggregate(q, struct(0 AS at, CAST(array() AS array<int>) AS out), (acc, x) -> struct(acc.at + x AS at, concat(acc.out, array(acc.at)) AS out), acc -> acc.out)"
+    one = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    sums = one("transform(parts, x -> length(x))", "z", one(eights("z"), "b", one(one(eights("b"), "q", fold), "o", one(spread("b", "o"), "p", spread("z", "p")))))
     surface = ", get(parts, k) AS surface" if surfaces else ""
-    found = f"transform(array({sums}), at -> transform(sequence(1, size(at) - 1, 2), k -> struct(get(at, k) AS start, get(at, k + 1) AS end{surface})))[0]"
+    found = one(sums, "at", f"transform(sequence(1, size(parts) - 1, 2), k -> struct(get(at, k) AS start, get(at, k + 1) AS end{surface}))")
     kind = "array<struct<start:int,end:int,surface:string>>" if surfaces else _SPAN
     split = f"transform(array(split(regexp_replace({hay}, {pattern}, '{MARK}$0{MARK}'), '{MARK}')), parts -> CASE WHEN size(parts) > 1 THEN {found} ELSE array() END)[0]"
     return f"CASE WHEN {text} RLIKE {pattern} THEN CAST({split} AS {kind}) WHEN {text} IS NOT NULL THEN CAST(array() AS {kind}) END"
@@ -114,6 +122,24 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + F.lit(1), end - start)
 
 
+#: The SQL of the column text in pieces of 256 characters.
+PIECES = r"regexp_extract_all(text, '(?s).{1,256}', 0)"
+
+
+def cutting(text: Column, body) -> Column:
+    """body(cut), where cut(start, end) gives characters of the text from pieces of it. Each cut reads a piece or a few, where
+    one from the whole text walks there from its beginning, so many cuts of a long text cost no more than many of short ones."""
+
+    def of(pieces: Column):
+        def piece_cut(start: Column, end: Column) -> Column:
+            first = F.shiftright(start, 8)
+            return F.substring(F.array_join(F.slice(pieces, first + 1, F.shiftright(F.greatest(end - 1, start), 8) - first + 1), ""), start - first * 256 + 1, end - start)
+
+        return body(piece_cut)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,256}"), F.lit(0)), of)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """Half-open spans that share a character."""
     return (a["start"] < b["end"]) & (b["start"] < a["end"])

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-from .text import cut, let, matches, running
+from .text import cutting, let, matches, running
 
 _HANGUL_L, _HANGUL_V, _HANGUL_T, _HANGUL_S = 0x1100, 0x1161, 0x11A7, 0xAC00
 _ASCII_ONLY = r"^[\x00-\x7F]*$"
@@ -149,7 +149,7 @@ def _composed(cluster: Column) -> Column:
         def by_class(ks: Column) -> Column:
             starters = running(ks, 0, lambda n, k: n + (k == 0).cast("int"))
             blocks = let(starters, lambda s: F.transform(cs, lambda c, i: F.struct((F.get(s, i) + (F.get(ks, i) == 0).cast("int")).alias("block"), F.get(ks, i).alias("k"), i.alias("i"), c.alias("c"))))
-            return F.array_sort(blocks)
+            return F.sort_array(blocks)
 
         return let(F.transform(cs, kind), by_class)
 
@@ -188,7 +188,7 @@ def nfc(text: Column) -> Column:
 
     def rebuilt(edits: Column) -> Column:
         end = lambda i: F.coalesce(F.get(edits, i)["end"], F.lit(0))
-        parts = F.transform(edits, lambda e, i: F.concat(cut(text, end(i - 1), e["start"]), e["replacement"]))
+        parts = cutting(text, lambda piece: F.transform(edits, lambda e, i: F.concat(piece(end(i - 1), e["start"]), e["replacement"])))
         return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(edits) - 1) + 1, F.length(text)))
 
     return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), let(nfc_edits(text), rebuilt)).otherwise(text)

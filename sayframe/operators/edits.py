@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import cut, let, running_sums
+from ..functions.text import cut, cutting, let, running_sums
 from ..model import MappingError
 from .qa import output_spans
 
@@ -33,16 +33,16 @@ def placed(edits: Column) -> Column:
 def rebuild(text: Column, edits: Column) -> Column:
     """The text with its sorted edits applied."""
     end = lambda i: F.coalesce(F.get(edits, i)["source_end"], F.lit(0))
-    parts = F.transform(edits, lambda c, i: F.concat(cut(text, end(i - 1), c["source_start"]), c["replacement"]))
+    parts = cutting(text, lambda piece: F.transform(edits, lambda c, i: F.concat(piece(end(i - 1), c["source_start"]), c["replacement"])))
     return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(edits) - 1) + 1, F.length(text)))
 
 
 def problem(text: Column, edits: Column) -> Column:
     """What is wrong with a sorted array of edits, or null: empty source spans, places out of the text, overlaps, stale sources."""
-    out = F.exists(edits, lambda c: (c["source_start"] < 0) | (c["source_end"] > F.length(text)) | (c["source_start"] >= c["source_end"]))
+    out = let(F.length(text), lambda size: F.exists(edits, lambda c: (c["source_start"] < 0) | (c["source_end"] > size) | (c["source_start"] >= c["source_end"])))
     clash = F.size(edits) > 1
     clash = clash & F.exists(F.sequence(F.lit(1), F.greatest(F.size(edits) - 1, F.lit(1))), lambda i: F.coalesce(F.get(edits, i - 1)["source_end"] > F.get(edits, i)["source_start"], F.lit(False)))
-    stale = F.exists(edits, lambda c: cut(text, c["source_start"], c["source_end"]) != c["source"])
+    stale = cutting(text, lambda piece: F.exists(edits, lambda c: piece(c["source_start"], c["source_end"]) != c["source"]))
     return F.when(out, "an edit lies outside of its text").when(clash, "edits overlap").when(stale, "an edit's source is not in the text")
 
 
@@ -53,7 +53,7 @@ def apply_changes(units: DataFrame, changes: DataFrame, collect_errors: bool = F
     collect_errors give a column `error` and no spoken_text. Edits of unknown units are left out.
     """
     fields = [c for c in changes.columns if c not in ("unit_id", "ordinal", "source_start", "source_end", "output_start", "output_end")]
-    packed = changes.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("source_start", "source_end", *fields))).alias("changes"))
+    packed = changes.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("source_start", "source_end", *fields))).alias("changes"))
     kind = packed.schema["changes"].dataType
     met = units.join(packed, "unit_id", "left").withColumn("changes", F.coalesce("changes", F.array().cast(kind)))
     bad = problem(F.col("text"), F.col("changes"))

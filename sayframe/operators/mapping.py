@@ -18,7 +18,7 @@ def _side(length: Column, edits: Column, a: str, b: str, bias: str) -> Column:
     none = F.array().cast("array<int>")
 
     def stretch(first: Column, last: Column, shift: Column) -> Column:
-        return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: i + shift)).otherwise(none)
+        return F.when(first <= last, F.sequence(first + shift, F.greatest(first, last) + shift)).otherwise(none)
 
     def behind(i: Column) -> tuple[Column, Column, Column, Column]:
         """Of edit i (or the text's start): its end, its shift, the first place behind it, whether it is empty."""
@@ -109,5 +109,5 @@ def problem(m: Column) -> Column:
         left, right, top = m[f"{side}_left"], m[f"{side}_right"], m[f"{other}_length"]
         wrong = wrong | (F.size(left) != m[f"{side}_length"] + 1) | (F.size(right) != F.size(left)) | F.exists(F.zip_with(left, right, lambda a, b: F.coalesce(a > b, F.lit(True))), lambda x: x)
         for arr in (left, right):
-            wrong = wrong | F.exists(arr, lambda v: (v < 0) | (v > top)) | (arr != F.array_sort(arr))
+            wrong = wrong | F.exists(arr, lambda v: (v < 0) | (v > top)) | (arr != F.sort_array(arr))
     return F.when(wrong, "the map's arrays do not fit")

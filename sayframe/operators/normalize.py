@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import json_column
 from ..functions.numerals import LANGUAGES, number_words_sql
-from ..functions.text import AFTER, BEFORE, cut, let, running, spans, spans_sql, sql_string
+from ..functions.text import AFTER, BEFORE, PIECES, cut, let, running, spans, spans_sql, sql_string
 from ..functions.unicode import language_key, nfc_edits
 from ..model import ORIGIN, PreparationProfile
 
@@ -162,7 +162,9 @@ def _spoken(edits: str) -> str:
     """The expression of chosen edits with the words of their numbers before their replacements."""
     words = "CASE _base " + " ".join(f"WHEN '{lang}' THEN {number_words_sql('e.number', lang, 'e.noun')}" for lang in LANGUAGES) + " END"
     fields = ", ".join(f"e.{f} AS {f}" for f in ("start", "end", "stage", "kind", "rule", "domain"))
-    return f"transform({edits}, e -> struct({fields}, CASE WHEN e.number IS NULL THEN e.replacement ELSE concat({words}, e.replacement) END AS replacement, substring(text, e.start + 1, e.end - e.start) AS source))"
+    source = "substring(array_join(slice(ps, shiftright(e.start, 8) + 1, shiftright(e.end - 1, 8) - shiftright(e.start, 8) + 1), ''), e.start - (shiftright(e.start, 8) * 256) + 1, e.end - e.start)"
+    made = f"transform({edits}, e -> struct({fields}, CASE WHEN e.number IS NULL THEN e.replacement ELSE concat({words}, e.replacement) END AS replacement, {source} AS source))"
+    return f"transform(array({PIECES}), ps -> {made})[0]"
 
 
 def normalize(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans") -> DataFrame:

@@ -30,7 +30,7 @@ def validate_units(units: DataFrame) -> DataFrame:
     def disorder(c: str) -> Column:
         s = F.coalesce(F.col(c), F.array().cast(units.schema[c].dataType))
         bounds = F.exists(s, lambda x: x["start"].isNull() | x["end"].isNull() | (x["start"] < 0) | (x["start"] >= x["end"]) | (x["end"] > size))
-        ordered = F.array_sort(F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        ordered = F.sort_array(F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
         pairs = F.when(F.size(s) > 1, F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(ordered, i - 1)["end"] > F.get(ordered, i)["start"])).otherwise(False)
         return bounds | pairs
 
