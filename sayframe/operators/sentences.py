@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, overlaps
+from ..functions.text import MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, cutting, overlaps
 
 _SENTENCES = "array<struct<index:int,text:string,start:int,end:int>>"
 
@@ -94,5 +94,6 @@ def split_prepared_text(units: DataFrame, max_chars: int, text: str = "spoken_te
         return F.struct(end.alias("at"), F.when(size == 0, acc["out"]).when(F.coalesce(joins, F.lit(False)), grown).otherwise(new).alias("out"))
 
     chunks = F.aggregate(parts, first, step, lambda acc: acc["out"])
-    rows = units.where(F.length(text) > 0).select("unit_id", "ordinal", F.col(text).alias("_t"), F.posexplode(chunks).alias("part", "s"))
-    return rows.select("unit_id", "ordinal", "part", cut(F.col("_t"), F.col("s.start"), F.col("s.end")).alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    whole = cutting(F.col(text), lambda piece: F.transform(chunks, lambda s: F.struct(piece(s["start"], s["end"]).alias("text"), s["start"].alias("start"), s["end"].alias("end"))))
+    rows = units.where(F.length(text) > 0).select("unit_id", "ordinal", F.posexplode(whole).alias("part", "s"))
+    return rows.select("unit_id", "ordinal", "part", "s.text", "s.start", "s.end")
