@@ -13,7 +13,7 @@ from ..model import CHANGES, ISSUES, RESULT_SCHEMA
 def unit_json(prepared: DataFrame, issues: DataFrame) -> DataFrame:
     """(ordinal, unit_id, json) of each prepared unit with its changes and issues; nulls are kept."""
     order = F.struct("pass", "pos", "code_rank", *ISSUES.replace(",", "").split()[::2])
-    by_unit = issues.groupBy("unit_id").agg(F.array_sort(F.collect_list(order)).alias("_issues"))
+    by_unit = issues.groupBy("unit_id").agg(F.sort_array(F.collect_list(order)).alias("_issues"))
     names = ISSUES.replace(",", "").split()[::2]
     plain = F.transform("_issues", lambda i: F.struct(*[i[n].alias(n) for n in names]))
     met = prepared.join(by_unit, "unit_id", "left")
