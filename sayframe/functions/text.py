@@ -10,6 +10,8 @@ BEFORE, AFTER = f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])"
 SPACE_CLASS = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
 #: Noncharacters that mark the borders of matches; one in a text is read as the other.
 MARK, OTHER_MARK = "\ufdd0", "\ufdd1"
+#: Another noncharacter, for a place where no border may be.
+HOLD = "\ufdd2"
 
 TOKEN_PATTERN = r"[\p{L}\p{Nl}\p{No}]+(?:['\x{2019}\x{02BC}\x{2010}-\x{2014}][\p{L}\p{Nl}\p{No}]+)*\p{M}*"
 LINK_PATTERN = (
@@ -18,8 +20,11 @@ LINK_PATTERN = (
     rf"|{BEFORE}(?:[a-z0-9-]+[.])+[a-z]{{2,}}{AFTER})"
 )
 SENTENCE_END = r"([.!?\x{2026}]+[\"'\x{201D}\x{2019})\]]*)(?=[\t-\r\x{1c}-\x{20}\x{85}\p{Z}])"
+_ABBREVIATED = r"(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc)"
 #: The same, but not behind a known abbreviation.
-SENTENCE_BREAK = r"(?<!(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc))" + SENTENCE_END
+SENTENCE_BREAK = f"(?<!{_ABBREVIATED})" + SENTENCE_END
+#: A known abbreviation before white space, which the match holds: of two in a row the second is none.
+ABBREVIATION = rf"({_ABBREVIATED}[.!?\x{{2026}}])([\"'\x{{201D}}\x{{2019}})\]]*[{SPACE_CLASS}])"
 
 _SPAN = "array<struct<start:int,end:int>>"
 

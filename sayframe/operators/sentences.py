@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, cutting, overlaps
+from ..functions.text import ABBREVIATION, HOLD, MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, cutting, overlaps
 
 _SENTENCES = "array<struct<index:int,text:string,start:int,end:int>>"
 
 
-def marked_sentences(text: Column, abbreviations: bool = True) -> Column:
-    """The text with MARK between its sentences."""
-    marked = F.regexp_replace(F.translate(text, MARK, OTHER_MARK), SENTENCE_BREAK if abbreviations else SENTENCE_END, f"$1{MARK}")
+def marked_sentences(text: Column, abbreviations: bool = True, chains: bool = True) -> Column:
+    """The text with MARK between its sentences. Without chains, of known abbreviations in a row ("Prof. Dr. x") only every
+    other one, from the first on, ends no sentence."""
+    body = F.translate(text, MARK + HOLD, OTHER_MARK * 2)
+    if abbreviations and not chains:
+        held = F.regexp_replace(body, ABBREVIATION, f"$1{HOLD}$2")
+        marked = F.replace(F.regexp_replace(held, SENTENCE_END, f"$1{MARK}"), F.lit(HOLD), F.lit(""))
+    else:
+        marked = F.regexp_replace(body, SENTENCE_BREAK if abbreviations else SENTENCE_END, f"$1{MARK}")
     return F.regexp_replace(marked, r"(\r?\n[\t ]*\r?\n)", f"{MARK}$1")
 
 
-def sentence_spans(text: Column, abbreviations: bool = True) -> Column:
+def sentence_spans(text: Column, abbreviations: bool = True, chains: bool = True) -> Column:
     """array<struct<index,text,start,end>>: a sentence ends behind . ! ? or an ellipsis and closing marks before white space
-    (not after a known abbreviation, unless abbreviations is false), or at an empty line. White space around it is left out. A text without any other
+    (not after a known abbreviation, unless abbreviations is false; chains as in marked_sentences), or at an empty line. White space around it is left out. A text without any other
     character is one span as a whole; an empty one has none."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     space = r"^[\s\x{85}\p{Z}]+"
@@ -29,7 +35,7 @@ def sentence_spans(text: Column, abbreviations: bool = True) -> Column:
         found = F.array(F.struct((acc["at"] + left).alias("start"), (acc["at"] + right).alias("end")))
         return F.struct((acc["at"] + size).alias("at"), F.when(right > left, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.split(marked_sentences(text, abbreviations), MARK), start, step, lambda acc: acc["out"])
+    found = F.aggregate(F.split(marked_sentences(text, abbreviations, chains), MARK), start, step, lambda acc: acc["out"])
     found = F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"))))
     numbered = F.transform(found, lambda s, i: F.struct(i.alias("index"), cut(text, s["start"], s["end"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.length(text) > 0, numbered.cast(_SENTENCES)).otherwise(F.array().cast(_SENTENCES))

@@ -83,3 +83,14 @@ def test_words_without_places_are_the_same_words(spark):
     assert own.columns == whole.columns
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, whole.collect())) != []
     assert lexical._surfaces(units.limit(0)).isEmpty()
+
+
+def test_of_two_abbreviations_in_a_row_the_second_ends_its_sentence(spark):
+    """As in the SQL of the reviews: "No. No. Ñllí" starts a sentence, "No. Ñllí" does not."""
+    texts = ["a la ñasez. No. No. Ñllí ñja", "a la ñasez. No. Ñllí ñja", "No. No. No. Ñllí", "Prof.' Dr.) Lee", "etc. x No. Ñllí", "a\ufdd0b\ufdd2c. D"]
+    units = make(spark, *texts)
+    words = lexical._words(units).select("ordinal", "language", "surface", "_starts")
+    assert sorted(map(tuple, lexical._surfaces(units).collect())) == sorted(map(tuple, words.collect()))
+    assert [[r["surface"] for r in words.where("_starts").collect() if r["ordinal"] == i] for i in range(6)] == [["a", "No", "Ñllí"], ["a", "No"], ["No", "No"], ["Prof", "Lee"], ["etc"], ["a", "D"]]
+    found = lambda i: {r["normalized"]: r["reasons"] for r in lexical.review_lexicon(units.where(f"ordinal = {i}"), occurrences=False).collect()}
+    assert "ñllí" not in found(0) and found(1)["ñllí"] == ["proper_name_candidate"]
