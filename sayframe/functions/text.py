@@ -60,7 +60,7 @@ def running_sums(values: Column) -> Column:
     eights = lambda of: F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 8), F.lit(0), add))
     append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
     spread = lambda of, before: F.flatten(F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 7), F.array(F.get(before, k)), append)))
-    return let(values, lambda z: let(eights(z), lambda b: let(running(eights(b), 0, add), lambda o: F.slice(spread(z, spread(b, o)), F.lit(1), F.size(z)))))
+    return let(values, lambda z: let(eights(z), lambda b: let(let(running(eights(b), 0, add), lambda o: spread(b, o)), lambda p: F.slice(spread(z, p), F.lit(1), F.size(z)))))
 
 
 def unmarked(text: Column) -> Column:

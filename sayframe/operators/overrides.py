@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identity import canonical_json, json_column, override_fingerprint as _fingerprint
-from ..functions.text import WORD_CLASS, cut, cutting, let, matches, running, spans, unmarked
+from ..functions.text import WORD_CLASS, cut, cutting, let, matches, running, running_sums, spans, unmarked
 from ..functions.unicode import simple_fold_column
 from ..model import ORIGIN, InvalidUnitError, OverrideConflictError, SpeechOverride
 
@@ -90,8 +90,17 @@ def _struct(o: SpeechOverride, order: int, start: Column, end: Column) -> Column
     return F.struct(F.lit(-p).alias("rank"), (start - end).cast("int").alias("size"), F.lit(order).alias("ord"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(p).alias("priority"), F.lit(o.id).alias("id"), F.lit(o.spoken).alias("spoken"))
 
 
-def _placed(o: SpeechOverride, order: int):
-    return lambda s: _struct(o, order, s["start"], s["end"])
+def _found(o: SpeechOverride, order: int, hay: Column) -> Column:
+    """Candidates of an override in a text. The parts between a literal's places give these, so only its words' are marked."""
+    if o.match == "word":
+        return F.transform(spans(hay, o.pattern), lambda s: _struct(o, order, s["start"], s["end"]))
+    size = len(o.surface)
+
+    def behind(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda p: F.length(p) + size))
+        return F.transform(F.slice(ends, F.lit(2), F.size(parts) - 1), lambda e: _struct(o, order, e - size, e))
+
+    return let(F.split(unmarked(hay), o.pattern), behind)
 
 
 def match_overrides(units: DataFrame, overrides: Policy) -> DataFrame:
@@ -103,7 +112,7 @@ def match_overrides(units: DataFrame, overrides: Policy) -> DataFrame:
     """
     if isinstance(overrides, DataFrame) or len(overrides) >= INDEX_FROM:
         return _match_indexed(units, overrides)
-    text, parts = F.col("text"), [F.array().cast(_CANDIDATE)]
+    text, parts = F.col("text"), []
     hay = lambda o: text if o.case_sensitive else simple_fold_column(text)
     for i, o in enumerate(overrides):
         here = F.lit(True) if o.scope.kind == "all" else F.col("unit_id") == o.scope.unit_id
@@ -114,9 +123,10 @@ def match_overrides(units: DataFrame, overrides: Policy) -> DataFrame:
                 exact = exact & F.array_contains(spans(hay(o), o.pattern), F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
             fits = F.when(F.coalesce(exact, F.lit(False)), F.array(_struct(o, i, F.lit(a), F.lit(b)))).otherwise(F.raise_error(F.lit(f"{InvalidUnitError.__name__}: override {o.id} does not exactly match its occurrence")).cast(_CANDIDATE))
         else:
-            fits = F.transform(spans("text" if o.case_sensitive else hay(o), o.pattern), _placed(o, i))
+            fits = _found(o, i, hay(o))
         parts.append(F.when(here, fits.cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE)))
-    return units.withColumn("candidates", F.sort_array(F.concat(*parts)))
+    # Those of one override are in their order as they are found.
+    return units.withColumn("candidates", parts[0] if len(parts) == 1 else F.sort_array(F.concat(F.array().cast(_CANDIDATE), *parts)))
 
 
 def _grams(text: Column) -> Column:
@@ -250,18 +260,22 @@ def resolve_overrides(matched: DataFrame) -> DataFrame:
     protected place is skipped first, then a place that a selected one holds. Equal priorities with different
     replacements there are a conflict; a skipped candidate blocks nothing.
     """
-    start = F.struct(F.array().cast(_CANDIDATE).alias("sel"), F.array().cast(_RANKED_ISSUE).alias("iss"), F.array().cast(_RANKED_ERROR).alias("err"))
+    nothing = (F.array().cast(_RANKED_ISSUE).alias("iss"), F.array().cast(_RANKED_ERROR).alias("err"))
+    start = F.struct(F.array().cast(_CANDIDATE).alias("sel"), *nothing)
     blocked = F.col("protected_spans")
 
     def meets(a: Column, b: Column) -> Column:
         return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
+    def guarded(c: Column) -> Column:
+        return F.coalesce(F.exists(blocked, lambda p: meets(p, c)), F.lit(False))
+
     def issue(code: str, c: Column, blocking: Column) -> Column:
         found = F.struct(F.lit(code).alias("code"), c["start"].alias("start"), c["end"].alias("end"), c["id"].alias("id"), blocking.alias("blocking"))
         return F.array(F.struct(c.alias("by"), found.alias("issue"))).cast(_RANKED_ISSUE)
 
     def step(acc: Column, c: Column) -> Column:
-        protected = F.coalesce(F.exists(blocked, lambda p: meets(p, c)), F.lit(False))
+        protected = guarded(c)
         holders = F.filter(acc["sel"], lambda s: meets(s, c))
         clash = F.get(F.filter(holders, lambda s: (s["priority"] == c["priority"]) & (s["spoken"] != c["spoken"])), F.lit(0))
         taken = F.size(holders) > 0
@@ -274,20 +288,39 @@ def resolve_overrides(matched: DataFrame) -> DataFrame:
             F.when(~protected & clash.isNotNull(), F.concat(acc["err"], F.array(F.struct(c.alias("by"), message.alias("message"))).cast(_RANKED_ERROR))).otherwise(acc["err"]).alias("err"),
         )
 
-    def clusters(placed: Column) -> Column:
-        """Of candidates by place: the runs that overlap in turn, each in the candidates' own order."""
+    def heads(placed: Column) -> Column:
+        """Of candidates by place: whether each begins a run of those that overlap in turn."""
         reach = running(F.transform(placed, lambda x: x["end"]), 0, lambda a, e: F.greatest(a, e))
-        heads = let(reach, lambda r: F.filter(F.transform(placed, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        return let(reach, lambda r: F.transform(placed, lambda x, i: x["start"] >= F.get(r, i)))
+
+    def clusters(placed: Column) -> Column:
+        """The runs, each in the candidates' own order."""
+        firsts = let(heads(placed), lambda h: F.filter(F.transform(h, lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
         run = lambda h: F.transform(h, lambda i, k: F.sort_array(F.transform(F.slice(placed, i + 1, F.coalesce(F.get(h, k + 1), F.size(placed)) - i), lambda x: x["c"])))
-        return let(heads, run)
+        return let(firsts, run)
 
     by_place = lambda c: F.sort_array(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c"))))
-    folded = let(by_place("candidates"), lambda placed: F.transform(clusters(placed), lambda c: F.aggregate(c, start, step)))
-    done = matched.withColumn("_fold", folded)
-    all_of = lambda name: F.flatten(F.transform("_fold", lambda f: f[name]))
-    selected = F.transform(by_place(all_of("sel")), lambda s: s["c"])
+    # Only runs of several and what is protected are folded; a candidate that overlaps no other is selected. The parts are
+    # columns, as a value that passes through a function is copied whole.
+    unguarded = F.coalesce(F.size(blocked), F.lit(0)) <= 0
+    given, placed, alone, runs = map(F.col, ("candidates", "_placed", "_alone", "_runs"))
+    meet = F.exists(F.sequence(F.lit(1), F.size(given) - 1), lambda i: F.get(given, i)["start"] < F.get(given, i - 1)["end"])
+    in_order = unguarded & F.when(F.size(given) > 1, ~meet).otherwise(True)
+    lone = let(heads(placed), lambda h: F.transform(placed, lambda x, i: F.get(h, i) & F.coalesce(F.get(h, i + 1), F.lit(True)) & (unguarded | ~guarded(x))))
+    fold = let(F.filter(placed, lambda x, i: ~F.get(alone, i)), lambda rest: F.transform(clusters(rest), lambda c: F.aggregate(c, start, step)))
+    all_of = lambda name: F.flatten(F.transform(runs, lambda f: f[name]))
+    chosen = F.transform(F.sort_array(F.concat(F.filter(placed, lambda x, i: F.get(alone, i)), by_place(all_of("sel")))), lambda s: s["c"])
+    done = matched.withColumn("_placed", F.when(~in_order, by_place(given))).withColumn("_alone", lone)
+    done = done.withColumn("_runs", F.when(placed.isNotNull(), fold).when(given.isNotNull(), F.array().cast(f"array<struct<sel:{_CANDIDATE},iss:{_RANKED_ISSUE},err:{_RANKED_ERROR}>>")))
     issues = F.transform(F.sort_array(all_of("iss")), lambda x: x["issue"])
-    return done.withColumns({"selected": selected, "override_issues": issues, "override_conflict": F.get(F.sort_array(all_of("err")), F.lit(0))["message"]}).drop("_fold", "candidates")
+    first_error = F.get(F.sort_array(all_of("err")), F.lit(0))["message"]
+    return done.withColumns({"selected": F.when(placed.isNull(), given).otherwise(chosen), "override_issues": issues, "override_conflict": first_error}).drop("_placed", "_alone", "_runs", "candidates")
+
+
+def selected_rows(resolved: DataFrame) -> DataFrame:
+    """The selected overrides as rows: unit_id and a candidate's fields. As an outer generator it is given no filter of
+    units without any, which would match and resolve all texts a second time."""
+    return resolved.select("unit_id", F.inline_outer("selected")).where("ord IS NOT NULL")
 
 
 def require_no_conflict(resolved: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from sayframe.functions.identity import override_fingerprint
 from sayframe.model import OverrideScope, SpeechOverride
 from sayframe.operators import overrides
 from sayframe.plans.prepare import prepare_text
+from sayframe.queries import QUERIES
 from tests.test_prepare import make, spoken
 
 TEXTS = ["The art of ART's C++ (a.b) a-b a_b x", "ſtop STOP stop Straße STRASSE İi ıI Kk K", "aaaa aa a a a ba a a", "", "ΣΑΣ σας Σασ x﷑", "𐐀𐐨 x 𐐨", "tion on nation a.b", "line\nbreak the THE The"]
@@ -96,3 +97,51 @@ def test_matches_of_a_held_policy_are_not_moved(spark):
     words = plan(SpeechOverride("the", "y"), SpeechOverride("Art", "y", case_sensitive=False))
     assert "BroadcastHashJoin" in words and "Exchange hashpartitioning" not in words
     assert "hashpartitioning(unit_id" not in plan(SpeechOverride("art", "y", "literal"), SpeechOverride("a b", "y", "literal", False))
+
+
+def test_literals_lie_where_a_search_finds_them(spark):
+    texts = ["ththe tH th", "", "a.b.a.b.\na.b", "\U0001f600th\U00010400th", "x" * 700 + "th" + "th y" * 300, "﷐th﷐", None]
+    units = make(spark, *texts)
+    for o in (SpeechOverride("th", "x", "literal"), SpeechOverride("a.b", "x", "literal"), SpeechOverride("TH", "x", "literal", case_sensitive=False)):
+        found = {r["ordinal"]: [(c["start"], c["end"]) for c in r["candidates"] or []] for r in overrides.match_overrides(units, [o]).collect()}
+        want = lambda t: [m.span() for m in re.finditer(re.escape(o.surface), t or "", 0 if o.case_sensitive else re.I)]
+        assert found == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_resolution_takes_candidates_one_by_one(spark):
+    """Against a plain loop over all candidates in their order, with and without protected places."""
+    rng, texts, guards = random.Random(5), [], {}
+    for i in range(60):
+        texts.append("".join(rng.choice("abc ") for _ in range(rng.choice((0, 3, 30, 200)))))
+        if i % 3 == 0 and len(texts[-1]) > 4:
+            guards[i] = [(2, 4, None)]
+    policy = [SpeechOverride(s, w, "literal") for s, w in (("abc", "1"), ("ab", "1"), ("bca", "2"), ("c", "1"), ("a b", "3"))]
+    matched = overrides.match_overrides(make(spark, *texts, spans=guards), policy)
+    candidates = {r["ordinal"]: r["candidates"] for r in matched.collect()}
+    for r in overrides.resolve_overrides(matched).collect():
+        selected, issues, conflicts = [], [], 0
+        for c in sorted(candidates[r["ordinal"]]):
+            meets = lambda s: s[0] < c["end"] and c["start"] < s[1]
+            held = [s for s in selected if meets((s["start"], s["end"]))]
+            if any(map(meets, guards.get(r["ordinal"], []))):
+                issues.append(("override.protected_overlap", c["start"], c["end"], None))
+            elif held and all(s["priority"] != c["priority"] or s["spoken"] == c["spoken"] for s in held):
+                issues.append(("override.lower_priority_overlap", c["start"], c["end"], sorted(s["id"] for s in held)))
+            elif held:
+                conflicts += 1
+            else:
+                selected.append(c)
+        assert r["selected"] == sorted(selected, key=lambda c: c["start"])
+        assert [(i["code"], i["start"], i["end"], i["blocking"] and sorted(i["blocking"])) for i in r["override_issues"]] == issues
+        assert (r["override_conflict"] is not None) == (conflicts > 0)
+
+
+def test_texts_are_matched_once(spark, tmp_path):
+    """A filter of units without selected overrides would match and resolve each text a second time."""
+    spark.createDataFrame([(1, "the other", "en", "web"), (2, "x", "en", "web"), (3, None, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("override_literal", "override_resolution", "override_word"):
+        rows = QUERIES[name](spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "transform(" in x]
+        assert {r["unit_id"] for r in rows.collect()} <= {"1"}
+    assert [(r["source_start"], r["source_end"]) for r in QUERIES["override_literal"](spark, str(tmp_path)).orderBy("source_start").collect()] == [(0, 2), (5, 7)]
