@@ -304,12 +304,13 @@ def resolve_overrides(matched: DataFrame) -> DataFrame:
     # columns, as a value that passes through a function is copied whole.
     unguarded = F.coalesce(F.size(blocked), F.lit(0)) <= 0
     given, placed, alone, runs = map(F.col, ("candidates", "_placed", "_alone", "_runs"))
-    meet = F.exists(F.sequence(F.lit(1), F.size(given) - 1), lambda i: F.get(given, i)["start"] < F.get(given, i - 1)["end"])
+    meet = let(given, lambda c: F.exists(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i)["start"] < F.get(c, i - 1)["end"]))
     in_order = unguarded & F.when(F.size(given) > 1, ~meet).otherwise(True)
     lone = let(heads(placed), lambda h: F.transform(placed, lambda x, i: F.get(h, i) & F.coalesce(F.get(h, i + 1), F.lit(True)) & (unguarded | ~guarded(x))))
-    fold = let(F.filter(placed, lambda x, i: ~F.get(alone, i)), lambda rest: F.transform(clusters(rest), lambda c: F.aggregate(c, start, step)))
+    # Flags are bound, as the plan may put a column's own expression where the column is read: here, for each candidate.
+    fold = let(let(alone, lambda a: F.filter(placed, lambda x, i: ~F.get(a, i))), lambda rest: F.transform(clusters(rest), lambda c: F.aggregate(c, start, step)))
     all_of = lambda name: F.flatten(F.transform(runs, lambda f: f[name]))
-    chosen = F.transform(F.sort_array(F.concat(F.filter(placed, lambda x, i: F.get(alone, i)), by_place(all_of("sel")))), lambda s: s["c"])
+    chosen = F.transform(F.sort_array(F.concat(let(alone, lambda a: F.filter(placed, lambda x, i: F.get(a, i))), by_place(all_of("sel")))), lambda s: s["c"])
     done = matched.withColumn("_placed", F.when(~in_order, by_place(given))).withColumn("_alone", lone)
     done = done.withColumn("_runs", F.when(placed.isNotNull(), fold).when(given.isNotNull(), F.array().cast(f"array<struct<sel:{_CANDIDATE},iss:{_RANKED_ISSUE},err:{_RANKED_ERROR}>>")))
     issues = F.transform(F.sort_array(all_of("iss")), lambda x: x["issue"])
