@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .graph import components, runs, union_edges, whole_runs
 from .storage import Scratch, shuffle_partitions
@@ -262,14 +262,21 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     rows = scratch.table(_scan(docs, width, percent, frequent_hashes(docs.select("text"), lambda t: np.concatenate(text_sets(t, width)), FREQUENT, scratch)), "rows", grows=True)
     classes = rows.where("size > 0").groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("least"), F.min("id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes", grows=True)
+    # Prefixes and bitmaps, which are about as large as the texts, are kept no longer than they are read.
+    rows = scratch.table(rows.select("id", "text_key", "size", "set_key"), "names", grows=True)
+    scratch.drop("rows")
 
     entries = classes.select("cls", "size", F.posexplode("prefix").alias("at", "token"))
     index_end = F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
-    shared = entries.groupBy("token").agg(F.count("*").alias("many"), F.max(F.col("at") <= index_end).alias("any_index")).where("many > 1 AND any_index").select("token", "many")
-    lists = entries.join(shared, "token").join(classes.select("cls", "bits"), "cls")
+    # Entries are most of what this step moves, so they are dealt out by token once, and what a token's list is found there.
+    token = Window.partitionBy("token")
+    shared = entries.withColumns({"many": F.count("*").over(token), "any_index": F.max(F.col("at") <= index_end).over(token)}).where("many > 1 AND any_index").drop("any_index")
+    lists = shared.join(classes.select("cls", "bits"), "cls")
     lists = _blocked(lists.withColumn("at", F.col("at").cast("long")), "cls", "many", LIST_BLOCK)
     lists = lists.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "cls")
     pairs = scratch.table(_candidates(lists, percent), "pairs")
+    classes = scratch.table(classes.drop("prefix", "bits"), "members", grows=True)
+    scratch.drop("classes")
     groups = scratch.table(components(pairs, scratch, "maybe"), "groups", grows=True)
 
     sizes = groups.groupBy("component_id").agg(F.count("*").alias("many"))

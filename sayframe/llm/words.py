@@ -157,7 +157,7 @@ def frequent_hashes(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray],
                 all_of_slice = hashes(b.column("text"))
                 values, n = np.unique(all_of_slice, return_counts=True)
                 often = n >= 3
-                arrays = [pa.array(np.append(values[often], 0).astype(np.int64)), pa.array(np.append(n[often], len(all_of_slice))), pa.array(np.append(np.ones(often.sum(), np.bool_), False))]
+                arrays = [pa.array(np.append(values[often].astype(np.int64), 0)), pa.array(np.append(n[often], len(all_of_slice))), pa.array(np.append(np.ones(often.sum(), np.bool_), False))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["value", "n", "real"])
 
     counts = scratch.table(texts.mapInArrow(run, "value long, n long, real boolean").groupBy("value", "real").agg(F.sum("n").alias("n")), "counts")
