@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import PreparationProfile, SpeechOverride
+from .text import let
 
 
 def _check_json(value: Any) -> Any:
@@ -94,11 +95,15 @@ def runtime_fingerprint(versions: Mapping[str, str] | None = None) -> str:
 
 def json_column(**fields: Column) -> Column:
     """Canonical JSON of an object with these fields: sorted keys, nulls kept, and lower-case hex in escapes."""
-    text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
-    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        # Only an escape's own backslash counts, one with an even number of backslashes before it.
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", f"$1\\\\u{code:04x}")
-    return text
+
+    def lowered(text: Column) -> Column:
+        for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+            # Only an escape's own backslash counts, one with an even number of backslashes before it.
+            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", f"$1\\\\u{code:04x}")
+        return text
+
+    whole = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return let(whole, lambda text: F.when(text.contains("\\u00"), lowered(text)).otherwise(text))
 
 
 def stable_id_column(prefix: str, **fields: Column) -> Column:

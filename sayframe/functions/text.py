@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters of words. The literal letter beyond U+FFFF makes Java step back by whole characters in a lookbehind.
 WORD_CLASS = r"\p{L}\p{N}_" + "\U00010400"
@@ -22,11 +22,13 @@ LINK_PATTERN = (
 SENTENCE_END = r"([.!?\x{2026}]+[\"'\x{201D}\x{2019})\]]*)(?=[\t-\r\x{1c}-\x{20}\x{85}\p{Z}])"
 _ABBREVIATED = r"(?:^|[^\p{L}])(?:Dr|Mr|Mrs|Ms|St|Prof|No|vs|etc)"
 #: The same, but not behind a known abbreviation.
-SENTENCE_BREAK = f"(?<!{_ABBREVIATED})" + SENTENCE_END
+SENTENCE_BREAK = rf"(?=[.!?\x{{2026}}])(?<!{_ABBREVIATED})" + SENTENCE_END
 #: A known abbreviation before white space, which the match holds: of two in a row the second is none.
 ABBREVIATION = rf"({_ABBREVIATED}[.!?\x{{2026}}])([\"'\x{{201D}}\x{{2019}})\]]*[{SPACE_CLASS}])"
 
 _SPAN = "array<struct<start:int,end:int>>"
+#: Values of which each is added up from the first on, and parts of which each is put behind those before it.
+FEW = 17
 
 
 def let(value: Column, body) -> Column:
@@ -34,6 +36,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once for each row. Filters on a plain column, and those that Spark infers where it
+    is exploded, are pushed down with a copy of its whole expression."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def exploded(values: str, at: str | None = None, name: str = "x") -> Column:
+    """The elements of an array as rows (with their places as `at`), without the filter that Spark infers from a column's name."""
+    some = F.when(F.size(values) > 0, F.col(values))
+    return F.posexplode(some).alias(at, name) if at else F.explode(some).alias(name)
+
+
 def running(values: Column, zero: int, add) -> Column:
     """What `add` has made of `zero` and all values before each one. Appending to an array copies it, so values are
     folded in stretches, and the work stays in proportion to their number."""
@@ -54,13 +68,14 @@ def running(values: Column, zero: int, add) -> Column:
 
 def running_sums(values: Column) -> Column:
     """The sum of all values before each one, in eights: no array of more than eight numbers is appended to, but for the
-    one with a number for 64 values."""
+    one with a number for 64 values. A few values are added up for each."""
     add = lambda acc, x: acc + x
     places = lambda of: F.sequence(F.lit(0), F.shiftright(F.greatest(F.size(of), F.lit(1)) - 1, 3))
     eights = lambda of: F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 8), F.lit(0), add))
     append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
     spread = lambda of, before: F.flatten(F.transform(places(of), lambda k: F.aggregate(F.slice(of, k * 8 + 1, 7), F.array(F.get(before, k)), append)))
-    return let(values, lambda z: let(eights(z), lambda b: let(let(running(eights(b), 0, add), lambda o: spread(b, o)), lambda p: F.slice(spread(z, p), F.lit(1), F.size(z)))))
+    many = lambda z: let(eights(z), lambda b: let(let(running(eights(b), 0, add), lambda o: spread(b, o)), lambda p: F.slice(spread(z, p), F.lit(1), F.size(z))))
+    return let(values, lambda z: F.when(F.size(z) <= FEW, F.transform(z, lambda _, i: F.aggregate(F.slice(z, F.lit(1), i), F.lit(0), add))).otherwise(many(z)))
 
 
 def unmarked(text: Column) -> Column:
@@ -98,12 +113,26 @@ def spans_sql(text: str, pattern: str, surfaces: bool = False) -> str:
     one = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     sums = one("transform(parts, x -> length(x))", "z", one(eights("z"), "b", one(one(eights("b"), "q", fold), "o", one(spread("b", "o"), "p", spread("z", "p")))))
     surface = ", get(parts, k) AS surface" if surfaces else ""
-    found = one(sums, "at", f"transform(sequence(1, size(parts) - 1, 2), k -> struct(get(at, k) AS start, get(at, k + 1) AS end{surface}))")
+    place = lambda first, last: f"transform(sequence(1, size(parts) - 1, 2), k -> struct({first} AS start, {last} AS end{surface}))"
+    before = lambda k: f"length(array_join(slice(parts, 1, {k}), ''))"
+    found = f"CASE WHEN size(parts) <= {FEW} THEN {place(before('k'), before('k + 1'))} ELSE {one(sums, 'at', place('get(at, k)', 'get(at, k + 1)'))} END"
     kind = "array<struct<start:int,end:int,surface:string>>" if surfaces else _SPAN
     split = f"transform(array(split(regexp_replace({hay}, {pattern}, '{MARK}$0{MARK}'), '{MARK}')), parts -> CASE WHEN size(parts) > 1 THEN {found} ELSE array() END)[0]"
     return f"CASE WHEN {text} RLIKE {pattern} THEN CAST({split} AS {kind}) WHEN {text} IS NOT NULL THEN CAST(array() AS {kind}) END"
 
 
+def chosen_sql(text: str, pattern: str, words: str) -> str:
+    """The expression of those matches whose text is among `words` (SQL literals with commas between). Of a text with few
+    matches only theirs are placed."""
+    hay = f"(CASE WHEN contains({text}, '{MARK}') THEN translate({text}, '{MARK}', '{OTHER_MARK}') ELSE {text} END)"
+    before = lambda k: f"length(array_join(slice(parts, 1, {k}), ''))"
+    near = f"transform(filter(sequence(1, size(parts) - 1, 2), k -> get(parts, k) IN ({words})), k -> struct({before('k')} AS start, {before('k + 1')} AS end, get(parts, k) AS surface))"
+    far = f"filter({spans_sql(text, pattern, surfaces=True)}, m -> m.surface IN ({words}))"
+    kind = "array<struct<start:int,end:int,surface:string>>"
+    split = f"split(regexp_replace({hay}, {sql_string(pattern)}, '{MARK}$0{MARK}'), '{MARK}')"
+    return f"transform(array({split}), parts -> CASE WHEN size(parts) BETWEEN 2 AND 257 THEN CAST({near} AS {kind}) WHEN size(parts) > 257 THEN CAST({far} AS {kind}) ELSE CAST(array() AS {kind}) END)[0]"
+
+
 def spans(text: Column | str, pattern: str | Column) -> Column:
     """array<struct<start,end>> of the pattern's matches from left to right, half open, in code points.
 
@@ -138,7 +167,7 @@ def cutting(text: Column, body) -> Column:
     def of(pieces: Column):
         def piece_cut(start: Column, end: Column) -> Column:
             first = F.shiftright(start, 8)
-            return F.substring(F.array_join(F.slice(pieces, first + 1, F.shiftright(F.greatest(end - 1, start), 8) - first + 1), ""), start - first * 256 + 1, end - start)
+            return F.when(F.size(pieces) == 1, F.substring(F.get(pieces, 0), start + 1, end - start)).otherwise(F.substring(F.array_join(F.slice(pieces, first + 1, F.shiftright(F.greatest(end - 1, start), 8) - first + 1), ""), start - first * 256 + 1, end - start))
 
         return body(piece_cut)
 

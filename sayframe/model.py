@@ -17,6 +17,10 @@ CHANGES = (
     "id string, unit_id string, source_start int, source_end int, output_start int, output_end int, source string, replacement string, "
     "stages array<string>, kind string, rule string, recognition_domain string, provenance string, language string"
 )
+#: The same of a unit's array of changes that have no output places yet.
+CHANGE_FIELDS = (
+    "array<struct<source_start:int,source_end:int,id:string,source:string,replacement:string,stages:array<string>,kind:string,rule:string,recognition_domain:string,provenance:string,language:string>>"
+)
 ISSUES = "code string, severity string, unit_id string, source_start int, source_end int, text string, message string, provenance string"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import cut, cutting, let, running_sums
+from ..functions.text import cut, cutting, exploded as each, let, running_sums
 from ..model import MappingError
 from .qa import output_spans
 
@@ -65,9 +65,16 @@ def apply_changes(units: DataFrame, changes: DataFrame, collect_errors: bool = F
     return out if collect_errors else out.drop("error")
 
 
+def apply_own(units: DataFrame, changes: str) -> DataFrame:
+    """The same for units that have their changes in a column, in order of place, cut from their texts and without overlaps."""
+    kept = [c for c in units.columns if c not in ("unit_id", changes)]
+    own = F.col(changes)
+    return units.select("unit_id", *kept, placed(own).alias("changes"), rebuild(F.col("text"), own).alias("spoken_text"))
+
+
 def exploded(prepared: DataFrame) -> DataFrame:
     """The changes of prepared units as rows in order: unit_id, ordinal, pos and the edit's fields."""
-    return prepared.select("unit_id", "ordinal", F.posexplode("changes").alias("pos", "c")).select("unit_id", "ordinal", "pos", "c.*")
+    return prepared.select("unit_id", "ordinal", each("changes", "pos")).select("unit_id", "ordinal", "pos", "x.*")
 
 
 def verify(prepared: DataFrame) -> DataFrame:
@@ -77,4 +84,5 @@ def verify(prepared: DataFrame) -> DataFrame:
     kept = F.exists(F.zip_with("protected_spans", output_spans(F.col("protected_spans"), edits), lambda p, o: cut(spoken, o["start"], o["end"]) != cut(text, p["start"], p["end"])), lambda bad: bad)
     touched = F.exists("protected_spans", lambda p: F.exists(edits, lambda c: (p["start"] < c["source_end"]) & (c["source_start"] < p["end"])))
     found = F.coalesce(problem(text, edits), F.when(output, "a replacement is not at its place"), F.when(rebuild(text, edits) != spoken, "the spoken text is not that of its edits"), F.when(touched, "an edit touches a protected span"), F.when(kept, "a protected span is not as it was"))
-    return prepared.select("unit_id", found.alias("problem")).where("problem IS NOT NULL")
+    # Not as a filter, which would be computed once more, with all that the columns are made of.
+    return prepared.select("unit_id", F.explode(let(found, lambda said: F.when(said.isNotNull(), F.array(said)))).alias("problem"))

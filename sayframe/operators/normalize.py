@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.identity import json_column
+from ..functions.identity import change_id_column, json_column
 from ..functions.numerals import LANGUAGES, number_words_sql
-from ..functions.text import AFTER, BEFORE, PIECES, cut, let, running, spans, spans_sql, sql_string
+from ..functions.text import AFTER, BEFORE, FEW, PIECES, cut, exploded, let, once, running, spans, spans_sql, sql_string
 from ..functions.unicode import language_key, nfc_edits
 from ..model import ORIGIN, PreparationProfile
 
 INITIALISM_RULE = "sequence.parenthesized-initialism"
+INITIALISM_PATTERN = r"(?<=\()[A-Z]{2,8}(?=\))"
 
 
 @dataclass(frozen=True)
@@ -130,14 +131,14 @@ def language_edits(profile: PreparationProfile) -> str:
         hint = lambda back, test: f"coalesce(exists(linguistic_tokens, t -> t.start = s.end - {back} AND t.pos {test}), false)"
         names = table(lambda r: {k: v[1] for k, v in r.measures.items()} | {f"{k}:1": v[0] for k, v in r.measures.items()})
         name = _lookup(names, own(f"{unit} || CASE WHEN {n} = 1 THEN ':1' ELSE '' END"))
-        add(rf"{BEFORE}[0-9]{{1,9}} ?(?:{_alternatives({k for r in RULES.values() for k in r.measures})}){AFTER}", 0, "structured", "quantity", "quantities", f"' ' || {name}", n, True, f"NOT {hint(f'length({unit})', _NO_MEASURE)}")
+        add(rf"(?=[0-9]){BEFORE}[0-9]{{1,9}} ?(?:{_alternatives({k for r in RULES.values() for k in r.measures})}){AFTER}", 0, "structured", "quantity", "quantities", f"' ' || {name}", n, True, f"NOT {hint(f'length({unit})', _NO_MEASURE)}")
         inch = _lookup({f"{lang}:{k}": f" {r.inches[k]}" for lang, r in RULES.items() if r.inches for k in (0, 1)}, own(f"CASE WHEN {n} = 1 THEN '0' ELSE '1' END"))
-        add(rf"{BEFORE}[0-9]{{1,9}} in[.]", 0, "structured", "quantity", "quantities", f"{inch} || CASE WHEN s.end = length(text) THEN '.' ELSE '' END", n, True, hint(3, "= 'NOUN'"))
-        add(r"(?<=\()[A-Z]{2,8}(?=\))", 1, "structured", INITIALISM_RULE, "sequences", f"CASE WHEN {known} THEN {spelled} END")
+        add(rf"(?=[0-9]){BEFORE}[0-9]{{1,9}} in[.]", 0, "structured", "quantity", "quantities", f"{inch} || CASE WHEN s.end = length(text) THEN '.' ELSE '' END", n, True, hint(3, "= 'NOUN'"))
+        add(INITIALISM_PATTERN, 1, "structured", INITIALISM_RULE, "sequences", f"CASE WHEN {known} THEN {spelled} END")
         slash = _lookup({lang: f" {r.slash} " for lang, r in RULES.items()}, "_base")
-        add(rf"{BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])", 2, "structured", "slash", "symbols", f"replace({surface}, '/', {slash})")
+        add(rf"(?=\p{{L}}){BEFORE}\p{{L}}+/\p{{L}}+(?![\p{{L}}\p{{N}}_/])", 2, "structured", "slash", "symbols", f"replace({surface}, '/', {slash})")
         if profile.generic_acronym_mode == "spell":
-            add(rf"{BEFORE}(?:[A-Z]{{2}}|[B-DF-HJ-NP-TV-XZ]{{3,8}}){AFTER}", 7, "structured", "sequence.acronym", "sequences", f"CASE WHEN {known} THEN {spelled} END")
+            add(rf"(?=[A-Z]){BEFORE}(?:[A-Z]{{2}}|[B-DF-HJ-NP-TV-XZ]{{3,8}}){AFTER}", 7, "structured", "sequence.acronym", "sequences", f"CASE WHEN {known} THEN {spelled} END")
         if profile.sequence_fallback_mode == "spell":
             add(rf"{BEFORE}(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{{2,24}}{AFTER}", 8, "structured", "sequence.fallback", "sequences", f"CASE WHEN {known} THEN {spelled} END")
         if profile.symbol_mode != "none":
@@ -145,10 +146,11 @@ def language_edits(profile: PreparationProfile) -> str:
             signs = re.escape("".join(sorted({k for r in RULES.values() for k in r.symbols})))
             add(rf"(?<!\p{{S}})[{signs}](?!\p{{S}})", 9, "structured", "symbol", "symbols", f"{before} || {_lookup(table(lambda r: r.symbols), own(surface))} || {after}")
     if profile.expand_abbreviations:
-        add(f"{BEFORE}(?:{_alternatives({k for r in RULES.values() for k in r.abbreviations})}){AFTER}", 3, "abbreviations", "abbreviation", "abbreviations", _lookup(table(lambda r: r.abbreviations), own(surface)))
+        firsts = "".join(sorted({k[0] for r in RULES.values() for k in r.abbreviations}))
+        add(f"(?=[{firsts}]){BEFORE}(?:{_alternatives({k for r in RULES.values() for k in r.abbreviations})}){AFTER}", 3, "abbreviations", "abbreviation", "abbreviations", _lookup(table(lambda r: r.abbreviations), own(surface)))
     if profile.expand_numbers:
-        add(r"(?<![\p{L}\p{N}_/:.,+*=<>^-])[0-9]{1,9}(?![\p{L}\p{N}_/:+*=<>^-]|[.,][0-9])", 4, "numbers", "number", "numbers", f"CASE WHEN {known} THEN '' END", f"CAST({surface} AS BIGINT)")
-    return f"concat({', '.join([f'CAST(array() AS {_EDITS})', *(f'coalesce(CAST({x} AS {_EDITS}), array())' for x in out)])})"
+        add(r"(?=[0-9])(?<![\p{L}\p{N}_/:.,+*=<>^-])[0-9]{1,9}(?![\p{L}\p{N}_/:+*=<>^-]|[.,][0-9])", 4, "numbers", "number", "numbers", f"CASE WHEN {known} THEN '' END", f"CAST({surface} AS BIGINT)")
+    return f"concat({', '.join([f'CAST(array() AS {_EDITS})', *(f'coalesce({x}, CAST(array() AS {_EDITS}))' for x in out)])})"
 
 
 def proposed_edits(profile: PreparationProfile) -> Column:
@@ -162,13 +164,14 @@ def _spoken(edits: str) -> str:
     """The expression of chosen edits with the words of their numbers before their replacements."""
     words = "CASE _base " + " ".join(f"WHEN '{lang}' THEN {number_words_sql('e.number', lang, 'e.noun')}" for lang in LANGUAGES) + " END"
     fields = ", ".join(f"e.{f} AS {f}" for f in ("start", "end", "stage", "kind", "rule", "domain"))
-    source = "substring(array_join(slice(ps, shiftright(e.start, 8) + 1, shiftright(e.end - 1, 8) - shiftright(e.start, 8) + 1), ''), e.start - (shiftright(e.start, 8) * 256) + 1, e.end - e.start)"
+    source = "CASE WHEN size(ps) = 1 THEN substring(ps[0], e.start + 1, e.end - e.start) ELSE substring(array_join(slice(ps, shiftright(e.start, 8) + 1, shiftright(e.end - 1, 8) - shiftright(e.start, 8) + 1), ''), e.start - (shiftright(e.start, 8) * 256) + 1, e.end - e.start) END"
     made = f"transform({edits}, e -> struct({fields}, CASE WHEN e.number IS NULL THEN e.replacement ELSE concat({words}, e.replacement) END AS replacement, {source} AS source))"
     return f"transform(array({PIECES}), ps -> {made})[0]"
 
 
-def normalize(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans") -> DataFrame:
-    """Changes of all units by the rules, none of which touches a blocked span or another change.
+def edited(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans", name: str = "_own") -> DataFrame:
+    """The units, each with its changes by the rules as an array in order of place, made where the unit is read. None of
+    them touches a blocked span or another change.
 
     Of proposals that overlap, the first counts; at one place the longest, then the first rule. Units in a language
     without rules have only changes of white space and composition.
@@ -178,11 +181,20 @@ def normalize(units: DataFrame, profile: PreparationProfile | None = None, block
     found = units.withColumn("_base", base).withColumn("_edits", proposed_edits(profile))
     free = F.filter("_edits", lambda e: ~F.coalesce(F.exists(F.col(blocked), lambda p: (p["start"] < e["end"]) & (e["start"] < p["end"])), F.lit(False)))
     # Proposals are in order of place, so a chosen one begins behind the end of the last that was chosen before.
-    chosen = let(free, lambda es: let(running(es, 0, lambda end, e: F.when(e["start"] >= end, e["end"]).otherwise(end)), lambda ends: F.filter(es, lambda e, i: e["start"] >= F.get(ends, i))))
-    rows = found.withColumn("_chosen", chosen).select("unit_id", "language", "_base", F.explode(F.expr(_spoken("_chosen"))).alias("e"))
-    own = ~F.col("e.rule").startswith("text.")
-    return rows.select(
-        "unit_id", F.col("e.start").alias("source_start"), F.col("e.end").alias("source_end"), F.col("e.source").alias("source"), F.col("e.replacement").alias("replacement"),
-        F.array("e.stage").alias("stages"), F.col("e.kind").alias("kind"), F.col("e.rule").alias("rule"), F.col("e.domain").alias("recognition_domain"),
-        json_column(origin=F.lit(f"{ORIGIN}.rules"), language=F.col("language")).alias("provenance"), F.when(own, F.col("_base")).alias("language"),
-    )
+    few = lambda es: F.aggregate(es, F.array().cast(_EDITS), lambda done, e: F.when(e["start"] >= F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)), F.array_append(done, e)).otherwise(done))
+    many = lambda es: let(running(es, 0, lambda end, e: F.when(e["start"] >= end, e["end"]).otherwise(end)), lambda ends: F.filter(es, lambda e, i: e["start"] >= F.get(ends, i)))
+    chosen = let(free, lambda es: F.when(F.size(es) <= FEW, few(es)).otherwise(many(es)))
+
+    def made(es: Column) -> Column:
+        one = lambda said: lambda e: F.struct(
+            e["start"].alias("source_start"), e["end"].alias("source_end"), change_id_column(F.col("unit_id"), e["start"], e["end"], e["source"]).alias("id"), e["source"].alias("source"), e["replacement"].alias("replacement"),
+            F.array(e["stage"]).alias("stages"), e["kind"].alias("kind"), e["rule"].alias("rule"), e["domain"].alias("recognition_domain"), said.alias("provenance"), F.when(~e["rule"].startswith("text."), F.col("_base")).alias("language"),
+        )
+        return let(json_column(origin=F.lit(f"{ORIGIN}.rules"), language=F.col("language")), lambda said: F.transform(es, one(said)))
+
+    return once(found.withColumn("_chosen", chosen), name, made(F.expr(_spoken("_chosen")))).drop("_base", "_edits", "_chosen")
+
+
+def normalize(units: DataFrame, profile: PreparationProfile | None = None, blocked: str = "protected_spans") -> DataFrame:
+    """The changes of `edited` as rows."""
+    return edited(units, profile, blocked).select("unit_id", exploded("_own")).select("unit_id", "x.*")

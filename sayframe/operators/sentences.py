@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import ABBREVIATION, HOLD, MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, cutting, overlaps
+from ..functions.text import ABBREVIATION, HOLD, MARK, OTHER_MARK, SENTENCE_BREAK, SENTENCE_END, cut, cutting, exploded, let, overlaps
 
 _SENTENCES = "array<struct<index:int,text:string,start:int,end:int>>"
 
@@ -36,7 +36,7 @@ def sentence_spans(text: Column, abbreviations: bool = True, chains: bool = True
         return F.struct((acc["at"] + size).alias("at"), F.when(right > left, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(F.split(marked_sentences(text, abbreviations, chains), MARK), start, step, lambda acc: acc["out"])
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"))))
+    found = let(found, lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end")))))
     numbered = F.transform(found, lambda s, i: F.struct(i.alias("index"), cut(text, s["start"], s["end"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.length(text) > 0, numbered.cast(_SENTENCES)).otherwise(F.array().cast(_SENTENCES))
 
@@ -59,7 +59,7 @@ def change_contexts(prepared: DataFrame) -> DataFrame:
         at = F.filter(all_of, lambda s: (s["start"] <= start) & (start <= s["end"]))
         return F.when(start < end, F.filter(all_of, lambda s: overlaps(s, span))).otherwise(F.slice(at, 1, 1))
 
-    rows = with_context(prepared).select("unit_id", "ordinal", "source_sentences", "spoken_sentences", F.explode("changes").alias("c"))
+    rows = with_context(prepared).select("unit_id", "ordinal", "source_sentences", "spoken_sentences", exploded("changes", name="c"))
     return rows.select(
         "unit_id", "ordinal", F.col("c.id").alias("change_id"), F.col("c.source_start").alias("source_start"), F.col("c.source_end").alias("source_end"),
         chosen(F.col("source_sentences"), F.col("c.source_start"), F.col("c.source_end")).alias("source_sentences"), chosen(F.col("spoken_sentences"), F.col("c.output_start"), F.col("c.output_end")).alias("spoken_sentences"),

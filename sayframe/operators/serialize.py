@@ -14,9 +14,26 @@ def unit_json(prepared: DataFrame, issues: DataFrame) -> DataFrame:
     """(ordinal, unit_id, json) of each prepared unit with its changes and issues; nulls are kept."""
     order = F.struct("pass", "pos", "code_rank", *ISSUES.replace(",", "").split()[::2])
     by_unit = issues.groupBy("unit_id").agg(F.sort_array(F.collect_list(order)).alias("_issues"))
+    return _json(prepared.join(by_unit, "unit_id", "left"))
+
+
+def result_json(result: Any) -> DataFrame:
+    """The same of a whole result. A unit's own issues are found with it, so only others are put together by unit."""
+    if result.checked is None:
+        return unit_json(result.units, result.issues)
+    names = ISSUES.replace(",", "").split()[::2]
+    order = lambda get: F.struct(*[get(n).alias(n) for n in ("pass", "pos", "code_rank", *names)])
+    own = F.transform("_residual", lambda i: order(lambda n: F.col("unit_id") if n == "unit_id" else i[n]))
+    if result.more_issues is None:
+        return _json(result.checked.withColumn("_issues", own))
+    by_unit = result.more_issues.groupBy("unit_id").agg(F.collect_list(order(F.col)).alias("_more_issues"))
+    met = result.checked.join(by_unit, "unit_id", "left")
+    return _json(met.withColumn("_issues", F.when(F.col("_more_issues").isNull(), own).otherwise(F.sort_array(F.concat(own, "_more_issues")))))
+
+
+def _json(met: DataFrame) -> DataFrame:
     names = ISSUES.replace(",", "").split()[::2]
     plain = F.transform("_issues", lambda i: F.struct(*[i[n].alias(n) for n in names]))
-    met = prepared.join(by_unit, "unit_id", "left")
     kind = f"array<struct<{', '.join(f'{n}:{t}' for n, t in zip(names, ISSUES.replace(',', '').split()[1::2]))}>>"
     unit = F.struct("unit_id", F.col("text").alias("source_text"), "spoken_text", "language", "role", "changes", F.coalesce(plain, F.array().cast(kind)).alias("issues"))
     return met.select("ordinal", "unit_id", F.to_json(unit, {"ignoreNullFields": "false"}).alias("json"))
@@ -44,7 +61,7 @@ def unit_schema() -> str:
 def write_result(result: Any, path: str) -> None:
     """A result as a store: `units`, a row of JSON for each unit, in files by ranges of their order; `stats`; and `manifest`, one
     row with the schema and fingerprints, which is written last. Nothing but the fingerprint's stream passes the driver."""
-    rows = unit_json(result.units, result.issues)
+    rows = result_json(result)
     rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.mode("overwrite").parquet(f"{path}/units")
     result.stats.write.mode("overwrite").parquet(f"{path}/stats")
     row = (RESULT_SCHEMA, result.profile_fingerprint, result.override_fingerprint, result.runtime_fingerprint, result.prepared_fingerprint())
@@ -69,7 +86,7 @@ MANIFEST = "schema string, profile_fingerprint string, override_fingerprint stri
 
 def result_to_dict(result: Any) -> dict[str, Any]:
     """A whole (small) result as one JSON tree on the driver; larger ones are written as rows of unit_json."""
-    units = [json.loads(r["json"]) for r in unit_json(result.units, result.issues).orderBy("ordinal").collect()]
+    units = [json.loads(r["json"]) for r in result_json(result).orderBy("ordinal").collect()]
     stats = result.stats.first().asDict(recursive=True)
     return {
         "schema": RESULT_SCHEMA, "units": units, "changes": [c for u in units for c in u["changes"]], "issues": [i for u in units for i in u["issues"]], "stats": stats,

@@ -11,20 +11,34 @@ def histogram(changes: DataFrame, what: str) -> DataFrame:
     return names[what].groupBy("name").agg(F.count("*").alias("edits"))
 
 
-def preparation_stats(prepared: DataFrame, issues: DataFrame) -> DataFrame:
+def preparation_stats(checked: DataFrame, residual: str, issues: DataFrame | None = None) -> DataFrame:
     """One row: units_processed, units_changed, changes, structured_numeric_edits, source_digit_replacements,
-    warning_count, error_count, and the maps stage_edits, rules and recognition_domains."""
-    c = F.col("changes")
+    warning_count, error_count, and the maps stage_edits, rules and recognition_domains. `checked` has changes and, as
+    `residual`, issues of each unit; `issues` are rows of others.
+
+    Each unit is made once: it gives counts by kind and name, which are added up.
+    """
+    c, found, none = F.col("changes"), F.col(residual), F.array().cast("array<struct<what:string,name:string,n:bigint>>")
+    row = lambda what, n, name=F.lit(""): F.struct(F.lit(what).alias("what"), name.alias("name"), F.coalesce(n.cast("bigint"), F.lit(0).cast("bigint")).alias("n"))
+    one = lambda what, name: row(what, F.lit(1), name)
     structured = F.filter(c, lambda x: F.array_contains(x["stages"], "structured") | (x["kind"] == "structured"))
     digits = F.filter(c, lambda x: x["source"].rlike(r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"))
-    units = prepared.agg(
-        F.count("*").alias("units_processed"), F.count_if(F.col("text") != F.col("spoken_text")).alias("units_changed"), F.coalesce(F.sum(F.size(c)), F.lit(0)).alias("changes"),
-        F.coalesce(F.sum(F.size(structured)), F.lit(0)).alias("structured_numeric_edits"), F.coalesce(F.sum(F.size(digits)), F.lit(0)).alias("source_digit_replacements"),
+    level = lambda of: F.size(F.filter(found, lambda i: i["severity"] == of))
+    own = F.array(
+        row("units", F.lit(1)), row("changed", F.col("text") != F.col("spoken_text")), row("changes", F.size(c)), row("structured", F.size(structured)), row("digits", F.size(digits)),
+        row("warning", F.when(found.isNotNull(), level("warning"))), row("error", F.when(found.isNotNull(), level("error"))),
+    )
+    named = [
+        F.flatten(F.transform(c, lambda x: F.transform(x["stages"], lambda s: one("stage", s)))), F.transform(F.filter(c, lambda x: x["rule"].isNotNull()), lambda x: one("rule", x["rule"])),
+        F.transform(F.filter(c, lambda x: x["recognition_domain"] != ""), lambda x: one("domain", x["recognition_domain"])),
+    ]
+    rows = checked.select(F.explode(F.concat(own, *[F.coalesce(x, none) for x in named])).alias("x")).select("x.*")
+    if issues is not None:
+        rows = rows.unionAll(issues.select(F.col("severity").alias("what"), F.lit("").alias("name"), F.lit(1).cast("bigint").alias("n")))
+    sums = rows.groupBy("what", "name").agg(F.sum("n").alias("n"))
+    total = lambda what, name: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(name)
+    as_map = lambda what, name: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("name", F.col("n").alias("edits")))))).alias(name)
+    return sums.agg(
+        total("units", "units_processed"), total("changed", "units_changed"), total("changes", "changes"), total("structured", "structured_numeric_edits"), total("digits", "source_digit_replacements"),
+        total("warning", "warning_count"), total("error", "error_count"), as_map("stage", "stage_edits"), as_map("rule", "rules"), as_map("domain", "recognition_domains"),
     )
-    found = issues.agg(F.count_if(F.col("severity") == "warning").alias("warning_count"), F.count_if(F.col("severity") == "error").alias("error_count"))
-    rows = prepared.select(F.explode("changes").alias("c")).select("c.*")
-    as_map = lambda what, name: histogram(rows, what).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "edits")))).alias(name))
-    out = units.crossJoin(found)  # frames of one row each
-    for what, name in (("stage", "stage_edits"), ("rule", "rules"), ("domain", "recognition_domains")):
-        out = out.crossJoin(as_map(what, name))
-    return out
