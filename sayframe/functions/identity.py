@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping
 from importlib import metadata
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import PreparationProfile, SpeechOverride
@@ -133,11 +134,15 @@ def prepared_fingerprint(prepared: DataFrame) -> str:
     """Of all (unit_id, spoken_text) in the order of `ordinal`.
 
     Units are encoded in parallel and sorted, then hashed one partition after the other on the driver, which holds one
-    partition at a time.
+    partition and the next.
     """
     digest = hashlib.sha256(b"[")
-    rows = prepared.select("ordinal", json_column(unit_id=F.col("unit_id"), spoken_text=F.col("spoken_text")).alias("j")).sort("ordinal").select("j")
-    for i, row in enumerate(rows.toLocalIterator()):
-        digest.update((b"," if i else b"") + row["j"].encode())
+    # Kept, as a sort by ranges reads its rows twice: for the ranges, and to deal them out.
+    rows = prepared.select("ordinal", json_column(unit_id=F.col("unit_id"), spoken_text=F.col("spoken_text")).alias("j")).persist(StorageLevel.DISK_ONLY)
+    try:
+        for i, row in enumerate(rows.sort("ordinal").select("j").toLocalIterator(prefetchPartitions=True)):
+            digest.update((b"," if i else b"") + row["j"].encode())
+    finally:
+        rows.unpersist()
     digest.update(b"]")
     return digest.hexdigest()

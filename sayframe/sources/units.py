@@ -63,7 +63,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One note for each order, with a title, a quantity, a date and a time, and an initialism or words with a slash."""
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    # A group of a million rows is a few megabytes, and one task reads it; what is made of the rows takes far longer.
+    t = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     level = F.regexp_extract("o_orderpriority", "[A-Z]+", 0)
     rest = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("("), level, F.lit(") set."))).otherwise(F.concat(level, F.lit(" open/close.")))
     note = F.concat(F.lit("Dr. Lee ordered "), (F.col("o_custkey") % 50 + 1).cast("string"), F.lit(" kg on "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" at 12:30. Priority "), rest)

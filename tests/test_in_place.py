@@ -61,3 +61,19 @@ def test_few_and_many_places(spark):
     for n, at, sums in df.select("n", spans("t", "b"), running_sums(F.col("v"))).collect():
         assert [(s["start"], s["end"]) for s in at] == [(3 * i + 1, 3 * i + 2) for i in range(n)]
         assert sums == [i * (i + 1) // 2 for i in range(n + 1)]
+
+
+def test_one_file_is_prepared_by_many_tasks(spark, tmp_path):
+    from sayframe.sources.units import order_notes
+
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, TIMESTAMP'2020-01-02' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(100)").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    used = order_notes(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    result = prepare_units(order_notes(spark, str(tmp_path)))
+    rows = sorted((r["ordinal"], r["unit_id"], r["spoken_text"]) for r in result.units.collect())
+    import hashlib
+    import json
+
+    expected = json.dumps([{"spoken_text": s, "unit_id": u} for _, u, s in rows], ensure_ascii=False, separators=(",", ":"))
+    assert result.prepared_fingerprint() == hashlib.sha256(expected.encode()).hexdigest()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
